@@ -118,20 +118,24 @@ def shared_between(keys: np.ndarray, more: bytes, ids: None) -> np.ndarray:
 
 
 def rolling(x: np.ndarray, k: int, base: int) -> np.ndarray:
-    """Hash of x[i : i + k] for each i, by doubling; 64-bit arithmetic that wraps."""
+    """Hash of x[i : i + k] for each i, by doubling; arithmetic wraps at the width of x's type, 32 or 64 bits."""
+    kind, width = x.dtype.type, 8 * x.dtype.itemsize
     if len(x) < k:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, x.dtype)
     out, covered, power, step, own = None, 0, base, 1, x
     while step <= k:
         if k & step:
             # the block of `step` units goes before the `covered` units that stand so far
-            out = own if out is None else own[: len(out) - step] * np.uint64(pow(base, covered, 1 << 64)) + out[step:]
+            out = own if out is None else own[: len(out) - step] * kind(pow(base, covered, 1 << width)) + out[step:]
             covered += step
         if step * 2 <= k:
-            own = own[: len(own) - step] * np.uint64(power) + own[step:]
-        power = power * power & (1 << 64) - 1
+            own = own[: len(own) - step] * kind(power) + own[step:]
+        power = power * power & (1 << width) - 1
         step *= 2
-    return mixed(out)
+    if width == 64:
+        return mixed(out)
+    out = (out ^ (out >> kind(15))) * kind(0x2C1B3C6D)
+    return out ^ (out >> kind(16))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

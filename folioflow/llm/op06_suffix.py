@@ -29,7 +29,7 @@ CONTEXT = BEFORE + AFTER
 #: Depth in bytes at which multikey quicksort hands over to blind tries.
 SHALLOW = 24
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_ROW = np.dtype([("left", "u1"), ("right", "u1"), ("bytes", f"V{CONTEXT}")])
+_ROW = np.dtype([("left", "u1"), ("right", "u1"), ("bytes", f"V{CONTEXT}"), ("need", "<u4")])
 
 
 def sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -43,18 +43,59 @@ def sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(out[: len(out) - (width - step)], out[width - step :]) if step < width else out
 
 
-def anchors_of(flat: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all strings of LENGTH bytes; room: bytes to the end of the document."""
+_STEP = 1 << 17  # places at a time, so that the arrays stay in a core's cache
+
+
+def _words_at(flat: np.ndarray) -> np.ndarray:
+    """A view of the eight bytes at each place as one number."""
+    return np.ndarray(len(flat) - 7, "<u8", flat, 0, (1,))
+
+
+def anchors_of(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and 64-bit keys of the anchors of all strings of LENGTH bytes; ends: where documents end.
+
+    Anchors are chosen by a 32-bit hash; a tie makes both places anchors.
+    """
     width = LENGTH - GRAM + 1
     if len(flat) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = np.maximum(x.rolling(flat.astype(np.uint64) + np.uint64(1), GRAM, _BASE), np.uint64(1))
-    least = sliding(hashes, width, np.minimum)
-    least[room[: len(least)] < LENGTH] = 0  # a string may not cross documents
-    edge = np.zeros(width - 1, np.uint64)
-    chosen = sliding(np.concatenate([edge, least, edge]), width, np.maximum) == hashes
-    at = np.flatnonzero(chosen)
-    return at, hashes[at]
+    n = len(flat) - GRAM + 1
+    hashes, least = np.empty(n, np.uint32), np.zeros(n, np.uint32)
+    for i in range(0, n, _STEP):
+        part = x.rolling(flat[i : i + _STEP + GRAM - 1].astype(np.uint32) + np.uint32(1), GRAM, _BASE & 0xFFFFFFFF)
+        np.maximum(part, 1, out=hashes[i : i + _STEP])
+    for i in range(0, n - width + 1, _STEP):
+        part = sliding(hashes[i : i + _STEP + width - 1], width, np.minimum)
+        least[i : i + len(part)] = part
+    for end in ends.tolist():  # a string may not cross documents
+        least[max(0, end - LENGTH + 1) : end] = 0
+    found = []
+    for i in range(0, n, _STEP):
+        part = least[max(0, i - width + 1) : i + _STEP]
+        if i < width - 1:
+            part = np.concatenate([np.zeros(width - 1 - i, np.uint32), part])
+        most = sliding(part, width, np.maximum)
+        found.append(np.flatnonzero(most == hashes[i : i + _STEP]) + i)
+    at = np.concatenate(found)
+    word, key = _words_at(flat), flat[at + (GRAM - 1)].astype(np.uint64)
+    for k in range(0, GRAM - 8, 8):
+        key = x.mixed(key * np.uint64(_BASE) + word[at + k])
+    return at, key
+
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base ** 0..n, modulo 2 ** 64."""
+    known = _powers.get(base)
+    if known is None or len(known) <= n:
+        known = np.full(n + 1, base, np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if n <= 8 * x.SLICE_BYTES:
+            _powers[base] = known
+    return known[: n + 1]
 
 
 class _Slice:
@@ -66,10 +107,9 @@ class _Slice:
         self.n = np.array([len(r) for r in raw], np.int64)
         self.start = np.cumsum(self.n) - self.n
         self.flat = np.frombuffer(b"".join(raw), np.uint8)
-        doc = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
         end = self.start + self.n
-        self.at, keys = anchors_of(self.flat, np.repeat(end, self.n) - np.arange(len(self.flat)))
-        self.doc = doc[self.at]
+        self.at, keys = anchors_of(self.flat, end)
+        self.doc = np.searchsorted(end, self.at, side="right")
         self.keys, first, last, self.entry = x.distinct_sorted(keys, self.doc)
         self.several = (self.ids[first] != self.ids[last]).astype(np.uint8)
 
@@ -81,14 +121,9 @@ class _Slice:
         self.left = np.minimum(BEFORE, self.at - begin)
         self.right = np.minimum(AFTER, begin + self.n[self.doc] - self.at)
         # Hash of any range from sums of byte * base^place, brought back to place 0 by the inverse power.
-        places = np.arange(len(self.flat) + 1)
-        power = np.full(len(places), _BASE2, np.uint64)
-        power[:1] = 1
-        power = np.multiply.accumulate(power)
-        total = np.concatenate([[np.uint64(0)], np.cumsum((self.flat.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
-        back = np.full(len(places), pow(_BASE2, -1, 1 << 64), np.uint64)
-        back[:1] = 1
-        back = np.multiply.accumulate(back)
+        power, back = _power(_BASE2, len(self.flat)), _power(pow(_BASE2, -1, 1 << 64), len(self.flat))
+        total = np.zeros(len(self.flat) + 1, np.uint64)
+        np.cumsum((self.flat.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
         a, b = self.at - self.left, self.at + self.right
         self.hash = x.mixed((total[b] - total[a]) * back[a] + (self.left * 64 + self.right).astype(np.uint64))
         order = np.lexsort((self.hash, key))
@@ -112,12 +147,35 @@ class _Slice:
         out["bytes"] = np.ascontiguousarray(raw).view(f"V{CONTEXT}")[:, 0] if len(own) else out["bytes"]
         return out
 
+    def settled(self, state: np.ndarray) -> np.ndarray:
+        """Which of the shared anchors lie in surroundings that a smaller document has too, from end to end."""
+        e = self.context
+        return (((state[e] & COVERED) > 0) | (self.lowest[e] < self.ids[self.doc])) & (self.left + self.right >= LENGTH)
+
+    def needs(self, state: np.ndarray) -> np.ndarray:
+        """For each distinct surroundings a bit for every string in it that covers a byte which nothing settled removes."""
+        whole = self.settled(state)
+        gone = x.marked(len(self.flat), (self.at - self.left)[whole], (self.at + self.right - 1)[whole])
+        left = np.concatenate([[0], np.cumsum(~gone)])
+        out = np.zeros(len(self.context_keys), np.uint32)
+        ask = np.flatnonzero(~whole & ((state[self.context] & LATER) > 0))
+        offset = np.arange(BEFORE + 1)
+        for i in range(0, len(ask), 65_536):
+            own = ask[i : i + 65_536]
+            begin = self.at[own][:, None] - BEFORE + offset
+            fits = (offset >= BEFORE - self.left[own][:, None]) & (offset + LENGTH <= BEFORE + self.right[own][:, None])
+            begin = np.where(fits, begin, 0)
+            bare = fits & (left[np.minimum(begin + LENGTH, len(self.flat))] > left[begin])
+            np.bitwise_or.at(out, self.context[own], (bare.astype(np.uint32) << offset.astype(np.uint32)).sum(1, dtype=np.uint32))
+        return out
+
 
-COVERED, OPEN = 1, 2
+#: Of surroundings: a smaller document has the same; the anchor has others; a smaller document has the anchor.
+COVERED, OPEN, LATER = 1, 2, 4
 
 
 def settle(keys: np.ndarray, more: bytes, ids: np.ndarray) -> np.ndarray:
-    """COVERED: a smaller document has the same surroundings. OPEN: the anchor has other surroundings somewhere."""
+    """COVERED, OPEN and LATER for each of the anchors' surroundings."""
     hashes = np.frombuffer(more, np.uint64)
     order = np.lexsort((ids, hashes, keys))
     k, h, i = keys[order], hashes[order], ids[order]
@@ -126,7 +184,8 @@ def settle(keys: np.ndarray, more: bytes, ids: np.ndarray) -> np.ndarray:
     low = i[new][np.cumsum(new) - 1]
     group = np.cumsum(new_key) - 1
     out = np.empty(len(keys), np.uint8)
-    out[order] = (low < i) * COVERED + (np.bincount(group, new)[group] > 1) * OPEN
+    first = np.minimum.reduceat(i, np.flatnonzero(new_key))[group]
+    out[order] = (low < i) * COVERED + (np.bincount(group, new)[group] > 1) * OPEN + (first < i) * LATER
     return out
 
 
@@ -191,7 +250,7 @@ def deep_shallow(raw: bytes, starts: np.ndarray) -> np.ndarray:
     position = np.empty(n, np.int64)
     place = np.arange(n)  # places in the final order that the open elements fill
     finished = np.empty(n, np.int64)  # element at each place
-    tries: list[np.ndarray] = []
+    tries: list[tuple[int, int]] = []
     while len(order):
         size = np.bincount(segment)
         single = size[segment] == 1
@@ -199,8 +258,9 @@ def deep_shallow(raw: bytes, starts: np.ndarray) -> np.ndarray:
         stop = single | deep
         finished[place[stop]] = order[stop]
         if deep.any():
-            cuts = np.flatnonzero(np.diff(segment[deep])) + 1
-            tries += np.split(place[deep], cuts)
+            own, at = segment[deep], place[deep]
+            cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            tries += zip(at[cuts].tolist(), np.diff(np.append(cuts, len(own))).tolist(), strict=True)
         order, depth, segment, place = order[~stop], depth[~stop], segment[~stop], place[~stop]
         if not len(order):
             break
@@ -215,14 +275,23 @@ def deep_shallow(raw: bytes, starts: np.ndarray) -> np.ndarray:
         order, depth, key, side = order[moved], depth[moved], key[moved], side[moved]
         depth = depth + 8 * (side == 1)
         segment = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-    new = np.ones(n, bool)
-    for places in tries:
-        own = finished[places].tolist()
-        trie, at = BlindTrie((e, raw[s : s + LENGTH]) for e, s in zip(own, starts[own].tolist(), strict=True)), int(places[0])
-        for group in trie.groups():
-            finished[at : at + len(group)] = group
-            new[at + 1 : at + len(group)] = False
-            at += len(group)
+    new = bytearray(b"\1") * n
+    elements, begins = finished.tolist(), starts.tolist()
+    for at, size in tries:
+        own = elements[at : at + size]
+        if size == 2:  # a trie of two leaves is one comparison
+            one, two = (raw[s : s + LENGTH] for s in (begins[own[0]], begins[own[1]]))
+            if one == two:
+                new[at + 1] = 0
+            elif one > two:
+                elements[at], elements[at + 1] = own[1], own[0]
+            continue
+        for group in BlindTrie((e, raw[begins[e] : begins[e] + LENGTH]) for e in own).groups():
+            size = len(group)
+            elements[at : at + size] = group
+            new[at + 1 : at + size] = bytes(size - 1)
+            at += size
+    finished, new = np.array(elements), np.frombuffer(new, np.uint8)
     position[finished] = np.cumsum(new) - 1
     return position
 
@@ -231,17 +300,28 @@ def sort_open(keys: np.ndarray, more: bytes, ids: np.ndarray) -> np.ndarray:
     """For each surroundings a bit for every place before its anchor: the string there also starts in a smaller document."""
     rows = np.frombuffer(more, _ROW)
     out = np.zeros(len(rows), np.uint32)
-    order = _by_content(keys, rows, ids)
-    # equal surroundings of one anchor are sorted once, with their smallest document
-    k, r, i = keys[order], rows[order], ids[order]
-    raw = r.view(f"V{_ROW.itemsize}")
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (raw[1:] != raw[:-1])]) if len(r) else np.zeros(0, bool)
+    # Equal strings have their anchor at one offset, so an offset that nobody needs at an anchor isn't sorted there.
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    need = np.repeat(np.bitwise_or.reduceat(rows["need"][order], first), np.diff(np.append(first, len(order))))
+    wanted = np.empty(len(rows), np.uint32)
+    wanted[order] = need
+    some = np.flatnonzero(wanted)
+    if not len(some):
+        return out
+    raw = np.ascontiguousarray(rows[some].view(np.uint8).reshape(-1, _ROW.itemsize)[:, : CONTEXT + 2]).view(f"V{CONTEXT + 2}")[:, 0]
+    order = _by_content(keys[some], raw, ids[some])
+    # Equal surroundings of one anchor are sorted once, with their smallest document.
+    raw, order = raw[order], some[order]
+    k, r, i, need = keys[order], rows[order], ids[order], wanted[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (raw[1:] != raw[:-1])])
     entry = np.cumsum(new) - 1
     one, low = r[new], i[new]
     buffer = one["bytes"].tobytes() + b"\0" * LENGTH
-    # strings that start at BEFORE - left .. BEFORE and end inside
+    # Strings that start at BEFORE - left .. BEFORE and end inside.
     offset = np.arange(BEFORE + 1)
     fits = (offset >= BEFORE - one["left"].astype(np.int64)[:, None]) & (offset + LENGTH <= BEFORE + one["right"].astype(np.int64)[:, None])
+    fits &= (need[new][:, None] >> offset.astype(np.uint32)) & np.uint32(1) > 0
     which, where = np.nonzero(fits)
     group = deep_shallow(buffer, which * CONTEXT + where)
     least = np.full(group.max() + 1 if len(group) else 0, x.NO_ID)
@@ -255,9 +335,9 @@ def sort_open(keys: np.ndarray, more: bytes, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_content(keys: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _by_content(keys: np.ndarray, content: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Places in an order that puts equal surroundings of one anchor side by side, smallest id first."""
-    hashes = np.fromiter((int.from_bytes(hashlib.blake2b(v, digest_size=8).digest(), "big") for v in rows.view(f"V{_ROW.itemsize}").tolist()), np.uint64, len(rows))
+    hashes = np.fromiter((int.from_bytes(hashlib.blake2b(v, digest_size=8).digest(), "big") for v in content.tolist()), np.uint64, len(content))
     return np.lexsort((ids, hashes, keys))
 
 
@@ -269,7 +349,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     doc_id don't remove each other's bytes; repeated rows stay repeated; an empty table gives an
     empty one. Columns that aren't in `carry` are ignored.
     """
-    buckets = partitions(docs.sparkSession)
+    buckets = 4 * partitions(docs.sparkSession)
     parts = x.sliced(docs, list(carry))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     nothing = x.ask(0, buckets, np.zeros(0, np.uint64), np.zeros(0, np.uint8))
@@ -293,8 +373,11 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             return nothing
         own = _Slice(rows)
         own.contexts(x.answers(got, 1, np.uint8))
-        which = np.flatnonzero(x.answers(got, 2, np.uint8) & OPEN)
-        return x.ask(number(rows), buckets, own.context_keys[which], own.surroundings(which), own.lowest[which])
+        state = x.answers(got, 2, np.uint8)
+        which = np.flatnonzero(state & OPEN)
+        around = own.surroundings(which)
+        around["need"] = own.needs(state)[which]
+        return x.ask(number(rows), buckets, own.context_keys[which], around, own.lowest[which])
 
     def cut(rows: pa.Table, got: pa.Table) -> pa.Table:
         own = _Slice(rows)
@@ -305,8 +388,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         if len(own.at):
             bits[np.flatnonzero(state & OPEN)] = x.answers(got, 3, np.uint32)
             e = own.context
-            whole = ((state[e] & COVERED) > 0) | (own.lowest[e] < own.ids[own.doc])
-            whole &= own.left + own.right >= LENGTH
+            whole = own.settled(state)
             first, last = [(own.at - own.left)[whole]], [(own.at + own.right - 1)[whole]]
             rest = np.flatnonzero(~whole & (bits[e] > 0))
             hit, offset = np.nonzero((bits[e[rest]][:, None] >> np.arange(BEFORE + 1, dtype=np.uint32)) & np.uint32(1))
