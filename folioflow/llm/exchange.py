@@ -16,21 +16,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import blocks, partitions
+from folioflow.llm.common import blocks
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+#: Slices and buckets of a small corpus.
+LEAST = 64
 #: Stands for a null doc_id, which compares as the largest.
 NO_ID = np.iinfo(np.int64).max
 ASKED = "bucket long, slice long, keys binary, more binary, ids binary"
 ANSWERED = "slice long, kind int, bucket long, data binary"
 
 
-def sliced(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """__slice, __id, __text and the columns of `carry`; the number of slices follows the bytes of text."""
+def sliced(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, int]:
+    """__slice, __id, __text and the columns of `carry`, and the number of buckets; both numbers follow the bytes of text."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = blocks(total, SLICE_BYTES, partitions(docs.sparkSession))
+    n = blocks(total, SLICE_BYTES, LEAST)
     own = [F.col("doc_id").cast("long").alias("__id"), F.coalesce("text", F.lit("")).alias("__text")]
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("__slice"), *own, *[F.col(c).alias(f"__c_{c}") for c in carry])
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("__slice"), *own, *[F.col(c).alias(f"__c_{c}") for c in carry])
+    return rows, blocks(total, BUCKET_BYTES, LEAST)
 
 
 def ordered(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import exchange as x
-from folioflow.llm.common import partitions, table
+from folioflow.llm.common import table
 
 LENGTH = 50
 GRAM = 25
@@ -349,8 +349,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     doc_id don't remove each other's bytes; repeated rows stay repeated; an empty table gives an
     empty one. Columns that aren't in `carry` are ignored.
     """
-    buckets = 4 * partitions(docs.sparkSession)
-    parts = x.sliced(docs, list(carry))
+    parts, buckets = x.sliced(docs, list(carry))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     nothing = x.ask(0, buckets, np.zeros(0, np.uint64), np.zeros(0, np.uint8))
 

@@ -8,15 +8,13 @@ documents have, the match is extended to all windows of LENGTH words that hold t
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import exchange as x
-from folioflow.llm.common import partitions, table
+from folioflow.llm.common import table
 
 LENGTH = 50
 PERIOD = 31
@@ -24,30 +22,32 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = LENGTH - PERIOD + 1
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+").findall
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 _known: dict[bytes, int] = {}
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """XXH64 of each word; words are remembered up to a bound."""
+    try:
+        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    except KeyError:
+        import xxhash
+
+        if len(_known) > _REMEMBERED:
+            _known.clear()
+        _known.update((word, xxhash.xxh64_intdigest(word)) for word in set(words) if word not in _known)
+        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+
+
 class _Slice:
     """The words of a slice's documents in one row of hashes, and its anchors."""
 
     def __init__(self, rows: pa.Table):
-        import xxhash
-
         self.rows, self.ids = x.ordered(rows)
-        self.words = [_WORD(t.encode("utf-8")) for t in self.rows.column("__text").to_pylist()]
-        hashes = []
-        for words in self.words:
-            if len(words) < LENGTH:
-                words = []  # no window, so no anchor
-            for word in set(words):
-                if word not in _known:
-                    if len(_known) >= _REMEMBERED:
-                        _known.clear()
-                    _known[word] = xxhash.xxh64_intdigest(word)
-            hashes.append(np.fromiter(map(self._hash, words), np.uint64, len(words)))
+        # bytes.split() parts at the six ASCII spaces, which is the contract's class
+        self.words = [t.encode("utf-8").split() for t in self.rows.column("__text").to_pylist()]
+        hashes = [_hashes(words) if len(words) >= LENGTH else _hashes([]) for words in self.words]
         self.n = np.array([len(h) for h in hashes], np.int64)
         self.start = np.cumsum(self.n) - self.n
         self.flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -59,13 +59,6 @@ class _Slice:
         self.keys, first, last, self.entry = x.distinct_sorted(keys, self.doc[at])
         self.several = (self.ids[first] != self.ids[last]).astype(np.uint8)
 
-    @staticmethod
-    def _hash(word: bytes) -> int:
-        import xxhash
-
-        got = _known.get(word)
-        return xxhash.xxh64_intdigest(word) if got is None else got
-
     def windows(self, shared: np.ndarray) -> None:
         """The windows of LENGTH words that hold a shared anchor: their places and distinct keys."""
         at = self.anchor_at[shared[self.entry] > 0] if len(shared) else self.anchor_at[:0]
@@ -103,8 +96,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     any other and stays null; rows of one doc_id don't remove each other's words; repeated rows stay
     repeated; an empty table gives an empty one. Columns that aren't in `carry` are ignored.
     """
-    buckets = partitions(docs.sparkSession)
-    parts = x.sliced(docs, list(carry))
+    parts, buckets = x.sliced(docs, list(carry))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def anchors(rows: pa.Table) -> pa.Table:
