@@ -5,16 +5,21 @@ leftmost minimum of their leaves. The root names the next merge; a merge changes
 merged position and of its live left neighbour and clears the leaf of the position it swallows, so
 three leaves get logarithmic point updates. Short pieces run through one tree each, all trees of a
 batch side by side in numpy arrays; a long piece (`LONG` bytes or more) has a tree of its own.
+
+A worker remembers the ids of the words it has met, up to a bound. A text is cut before spaces that
+follow a character other than white space, where every match of the pattern ends.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +28,13 @@ from folioflow.llm.common import table
 LONG = 64
 #: Below so many new pieces numpy's call overhead costs more than trees one by one.
 FEW = 64
-#: Pieces that a worker remembers; the memory is dropped as a whole when it is full.
-REMEMBERED = 250_000
+#: Pieces, and words, that a worker remembers; when that is full, the words met most often stay.
+REMEMBERED = 400_000
 _NONE = np.int64(1) << 62
 _SLICE_CHARS = 1 << 20
+_SPACE_AFTER_SPACE = re.compile(r"\s ").search
+#: Marks a text's first word, which follows no space; no text that Spark holds has this lone surrogate.
+_FIRST = "\ud800"
 
 
 class Vocabulary:
@@ -53,6 +61,10 @@ class Vocabulary:
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.known: dict[str, tuple[int, ...]] = {}
+        #: Row of a word that follows a space; its ids stand in `flat` from `begins` on.
+        self.word: dict[str, int] = {}
+        self.flat, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hits = np.zeros(0, np.int64)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -60,13 +72,56 @@ class Vocabulary:
         return np.where((self.pair_keys[at] == key) & (right >= 0), self.pair_ranks[at], _NONE)
 
     def encode_text(self, text: str) -> list[int]:
-        return next(self.encode_split([self.find(text)]))
-
-    def encode_split(self, texts: list[list[str]]) -> Iterator[list[int]]:
-        """The ids of texts that are split into pieces; what is new in them is encoded together."""
-        self.learn(set().union(*texts))
-        for pieces in texts:
-            yield list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+        return self.encode_texts([text])[0].tolist()
+
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's begin and end."""
+        cut = []
+        for text in texts:
+            # A space after white space doesn't begin a match for sure; such a text is one long word.
+            words = [text] if _SPACE_AFTER_SPACE(text) else text.split(" ")
+            words[0] = _FIRST + words[0]
+            cut.append(words)
+        try:
+            rows = [np.fromiter(map(self.word.__getitem__, words), np.int64, len(words)) for words in cut]
+        except KeyError:
+            self._meet(cut)
+            rows = [np.fromiter(map(self.word.__getitem__, words), np.int64, len(words)) for words in cut]
+        row = np.concatenate(rows)
+        self.hits += np.bincount(row, minlength=len(self.hits))
+        size = self.sizes[row]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begins[row] - ends[:-1], size)]
+        return ids, ends[np.cumsum([0, *map(len, rows)])]
+
+    def _meet(self, cut: list[list[str]]) -> None:
+        """Give rows to the words that have none."""
+        met = set().union(*cut)
+        if len(self.word) + len(met) > REMEMBERED:
+            self._forget()
+        new = [w for w in met if w not in self.word]
+        pieces = [self.find(w[1:] if w[:1] == _FIRST else f" {w}") for w in new]
+        self.learn(set().union(*pieces))
+        ids = [[i for piece in own for i in self.known[piece]] for own in pieces]
+        size = np.array([len(i) for i in ids], np.int64)
+        self.word.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(size) - size])
+        self.sizes = np.concatenate([self.sizes, size])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
+
+    def _forget(self) -> None:
+        """Keep the words met most often, a quarter of the bound at most, and count anew."""
+        stay = np.sort(np.argsort(-self.hits, kind="stable")[: REMEMBERED // 4])
+        stay = stay[self.hits[stay] > 1]
+        place = np.full(len(self.hits), -1)
+        place[stay] = np.arange(len(stay))
+        place = place.tolist()
+        self.word = {w: place[row] for w, row in self.word.items() if place[row] >= 0}
+        size = self.sizes[stay]
+        begins = np.cumsum(size) - size
+        self.flat = self.flat[np.arange(size.sum()) + np.repeat(self.begins[stay] - begins, size)]
+        self.begins, self.sizes, self.hits = begins, size, np.zeros(len(stay), np.int64)
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are not remembered yet."""
@@ -217,17 +272,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                split, size, start = [], 0, at
+                texts, size, start = [], 0, at
                 while at < batch.num_rows and size < _SLICE_CHARS:
-                    text = batch.column(1)[at].as_py() or ""
-                    split.append(coder.find(text))
-                    size += len(text)
+                    texts.append(batch.column(1)[at].as_py() or "")
+                    size += len(texts[-1])
                     at += 1
-                values, ends = [], [0]
-                for ids in coder.encode_split(split):
-                    values.append(np.array(ids, np.int32))
-                    ends.append(ends[-1] + len(ids))
-                ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(values)))
+                values, ends = coder.encode_texts(texts)
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, at - start), ids], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -239,12 +290,23 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _vocabulary(lines.value, "")
-        token = coder.tokens.__getitem__
+        most = max(coder.tokens, default=-1)
+        token = pa.array([coder.tokens.get(i) for i in range(most + 1)], pa.large_binary())
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                raws = [None if x.values is None else b"".join(map(token, x.values.to_pylist())) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raws, pa.binary())], ["doc_id", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = part.column(1)
+                ids = lists.flatten()
+                # The tokens of all documents end up side by side; a document is a range of that.
+                got = token.take(ids)
+                if got.null_count:
+                    raise ValueError("an id is null or stands for no token")
+                byte = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1)
+                size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+                ends = byte[np.concatenate([[0], np.cumsum(size)])]
+                raws = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends.tobytes()), got.buffers()[2]])
+                raws = pc.if_else(lists.is_valid(), raws, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, raws], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
