@@ -60,7 +60,9 @@ class Vocabulary:
         self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        #: Pieces met lately and those met before them.
         self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
         #: Row of a word that follows a space; its ids stand in `flat` from `begins` on.
         self.word: dict[str, int] = {}
         self.flat, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -111,8 +113,8 @@ class Vocabulary:
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
 
     def _forget(self) -> None:
-        """Keep the words met most often, a quarter of the bound at most, and count anew."""
-        stay = np.sort(np.argsort(-self.hits, kind="stable")[: REMEMBERED // 4])
+        """Keep the words met most often, half of the bound at most, and count anew."""
+        stay = np.sort(np.argsort(-self.hits, kind="stable")[: REMEMBERED // 2])
         stay = stay[self.hits[stay] > 1]
         place = np.full(len(self.hits), -1)
         place[stay] = np.arange(len(stay))
@@ -128,9 +130,12 @@ class Vocabulary:
         new = [piece for piece in pieces if piece not in self.known]
         if not new:
             return
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.known, self.before = {}, self.known
             new = list(pieces)
+        again = [piece for piece in new if piece in self.before]
+        self.known.update((piece, self.before[piece]) for piece in again)
+        new = [piece for piece in new if piece not in self.known] if again else new
         widths: dict[int, list[tuple[str, bytes]]] = {}
         for piece in new:
             raw = piece.encode("utf-8")
