@@ -29,7 +29,7 @@ LONG = 64
 #: Below so many new pieces numpy's call overhead costs more than trees one by one.
 FEW = 64
 #: Pieces, and words, that a worker remembers; when that is full, the words met most often stay.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _NONE = np.int64(1) << 62
 _SLICE_CHARS = 1 << 20
 _SPACE_AFTER_SPACE = re.compile(r"\s ").search
@@ -37,18 +37,19 @@ _SPACE_AFTER_SPACE = re.compile(r"\s ").search
 _FIRST = "\ud800"
 
 
+def read_ranks(lines: list[bytes]) -> dict[bytes, int]:
+    """Ranks by token, from lines of a token in base64 and its rank."""
+    split = (line.split() for line in lines)
+    return {base64.b64decode(token): int(rank) for token, rank in (x for x in split if len(x) == 2)}
+
+
 class Vocabulary:
     """Ranks of a byte-level vocabulary and the rank of every pair of tokens that joins to a token."""
 
     def __init__(self, lines: list[bytes], pattern: str):
         import regex
 
-        self.ranks: dict[bytes, int] = {}
-        for line in lines:
-            token, _, rank = line.strip().partition(b" ")
-            if rank:
-                self.ranks[base64.b64decode(token)] = int(rank)
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.ranks = read_ranks(lines)
         self.find = regex.compile(pattern).findall
         pairs = {}
         for token, rank in self.ranks.items():
@@ -294,9 +295,8 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     lines = encoded.sparkSession.sparkContext.broadcast(_lines(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _vocabulary(lines.value, "")
-        most = max(coder.tokens, default=-1)
-        token = pa.array([coder.tokens.get(i) for i in range(most + 1)], pa.large_binary())
+        tokens = {rank: token for token, rank in read_ranks(lines.value).items()}
+        token = pa.array([tokens.get(i) for i in range(max(tokens, default=-1) + 1)], pa.large_binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -152,7 +152,7 @@ def op8_substring(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), x -> x <> '') as w from documents),
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') as w from documents),
 i as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w where len(w) >= 50),
 k as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as k from i),
 m as (select k, min(doc_id) as low from k group by k),
@@ -161,6 +161,6 @@ g as (select distinct doc_id, unnest(range(i, i + 50)) as p from r),
 n as (select doc_id, count(*) as n, list(p) as gone from g group by doc_id)
 select w.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed,
   sha256(case when n is null then array_to_string(w, ' ')
-    else array_to_string(list_transform(list_filter(range(1, len(w) + 1), p -> not list_contains(gone, p)), p -> w[p]), ' ') end) as kept_sha256
+    else array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda p: not list_contains(gone, p)), lambda p: w[p]), ' ') end) as kept_sha256
 from w left join n on w.doc_id = n.doc_id
 """
