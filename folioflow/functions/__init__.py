@@ -1 +1 @@
-
+"""Column functions shared by the operators; all run inside the JVM."""

@@ -1,11 +1,471 @@
-"""All registered queries of the reference's operators and their oracles."""
+"""The registered queries: each applies an operator to whole tables and has, where SQL can state it, an oracle beside it."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folioflow.functions import text as T
+from folioflow.operators import documents as D
+from folioflow.operators import evaluation as E
+from folioflow.operators import relational as R
+from folioflow.operators import retrieval as V
+from folioflow.operators import rules as U
+from folioflow.streaming import events as S
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+#: Keywords of the corpus's languages, in place of a domain's lexicon.
+LEXICON = {"plan": ("plan", "on", "for"), "result": ("tion", "ment"), "review": ("re", "ver")}
+TERMS = ("the", "and", "der", "que", "les")
+STAGES = {"s1": "the", "s2": "and", "s3": "tion", "s4": "ing", "s5": "able"}
+
+
+def query(sql: str | None) -> Callable:
+    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query("select o_orderstatus, count(*) as n from orders group by o_orderstatus")
+def status_rollup(spark, t):
+    return R.rollup(t("orders"), "o_orderstatus")
+
+
+@query("select l_returnflag, l_linestatus, count(*) as n from lineitem group by l_returnflag, l_linestatus")
+def two_key_rollup(spark, t):
+    return R.rollup(t("lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query("""select count(*) as runs, round(avg(case when o_orderstatus = 'F' then o_totalprice end), 2) as avg_done,
+  sum(case when o_orderstatus = 'O' then 1 else 0 end)::bigint as open_runs, round(sum(o_totalprice), 2) as cost from orders""")
+def run_summary(spark, t):
+    done = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))
+    return t("orders").agg(F.count("*").alias("runs"), F.round(F.avg(done), 2).alias("avg_done"), F.sum((F.col("o_orderstatus") == "O").cast("long")).alias("open_runs"), F.round(F.sum("o_totalprice"), 2).alias("cost"))
+
+
+@query("""select toxic, count(*) as n, sum(case when quality = 0 then 1 else 0 end)::bigint as hits,
+  round(sum(case when quality = 0 then 1 else 0 end) / cast(nullif(count(*), 0) as double), 6) as ratio from labels group by toxic""")
+def override_ratio(spark, t):
+    return R.share_where(t("labels"), F.col("quality") == 0, "toxic")
+
+
+@query("""select r_name, count(*) filter (where o_orderstatus = 'F') as f, count(*) filter (where o_orderstatus = 'O') as o, count(*) filter (where o_orderstatus = 'P') as p
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name""")
+def pivot_dashboard(spark, t):
+    df = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return df.groupBy("r_name").agg(*[F.count(F.when(F.col("o_orderstatus") == s, 1)).alias(s.lower()) for s in "FOP"])
+
+
+@query("""select event_type, count(*) as n, round(avg(cast(json_extract_string(props, '$.k') as bigint)), 6) as avg_k from events group by event_type""")
+def json_metric_rollup(spark, t):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(k), 6).alias("avg_k"))
+
+
+@query("""select cast(ts as date) as day, event_type, count(*) as n, round(sum(value), 4) as total, min(value) as low, max(value) as high from events group by 1, 2""")
+def daily_usage(spark, t):
+    return t("events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+@query("""with m as (select max(ts) as as_of from events) select event_type, count(*) as n, round(sum(value), 4) as cost from events, m where ts >= as_of - interval 1 day group by event_type""")
+def recent_window_cost(spark, t):
+    events = t("events")
+    as_of = events.agg(F.max("ts").alias("as_of"))
+    return events.join(F.broadcast(as_of)).where(F.col("ts") >= F.col("as_of") - F.expr("interval 1 day")).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("cost"))
+
+
+@query("select n_nationkey, n_name, r_name from nation join region on n_regionkey = r_regionkey")
+def parameter_index_join(spark, t):
+    return t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+
+
+@query("""select c_mktsegment, count(*) as n, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue
+  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by c_mktsegment""")
+def three_way_join(spark, t):
+    df = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return df.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("""select lang, count(*) as docs, count(l.doc_id) as labelled from documents d left join labels l on d.doc_id = l.doc_id and l.quality = 1 group by lang""")
+def left_filtered_join(spark, t):
+    good = t("labels").where("quality = 1").select("doc_id", F.lit(1).alias("__l"))
+    return t("documents").join(good, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("docs"), F.count("__l").alias("labelled"))
+
+
+@query("""select o_orderkey, (select count(*) from lineitem where l_orderkey = o_orderkey) as lines,
+  (select count(*) from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') as returned from orders""")
+def correlated_counts(spark, t):
+    counts = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("returned"))
+    return t("orders").join(counts, "o_orderkey", "left").select("o_orderkey", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("returned", F.lit(0)).alias("returned"))
+
+
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def backlog_anti(spark, t):
+    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@query("""select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey in (select max(o_orderkey) from orders group by o_custkey)""")
+def latest_semi(spark, t):
+    last = t("orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("l_orderkey"))
+    return t("lineitem").join(last, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("""select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn desc, role, text) as n from conversations) where n = 1""")
+def latest_per_group(spark, t):
+    return R.latest(t("conversations"), ["conv_id"], F.desc("turn"), F.asc("role"), F.asc("text")).select("conv_id", "turn", "role", "text")
+
+
+@query("""with e as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events)
+  select event_type, count(*) as reviewers, round(count(*) / cast(sum(count(*)) over () as double), 6) as share from e where n = 1 group by event_type""")
+def reviewer_consensus(spark, t):
+    last = R.rollup(R.latest(t("events"), ["user_id"], F.desc("ts"), F.desc("event_id")), "event_type").withColumnRenamed("n", "reviewers")
+    return last.join(F.broadcast(last.agg(F.sum("reviewers").alias("__all")))).select("event_type", "reviewers", R.ratio(F.col("reviewers"), F.col("__all")).alias("share"))
+
+
+@query("select l_partkey as k from lineitem where l_quantity > 49 union select p_partkey from part where p_size = 1")
+def referenced_union(spark, t):
+    return t("lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("k")).union(t("part").where("p_size = 1").select("p_partkey")).distinct()
+
+
+@query("select o_custkey as k from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus = 'O'")
+def leakage_intersect(spark, t):
+    own = lambda s: t("orders").where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k"))
+    return own("F").intersect(own("O"))
+
+
+@query("select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_returnflag = 'R')")
+def orphan_except(spark, t):
+    return R.removed(t("part"), t("lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"]).select("p_partkey")
+
+
+@query("""with r as (select o_custkey, o_totalprice, row_number() over w as n, lead(o_totalprice) over w as next from orders window w as (partition by o_custkey order by o_totalprice desc))
+  select o_custkey, o_totalprice as top1, next as top2, round(o_totalprice - coalesce(next, 0), 4) as margin from r where n = 1""")
+def top_margin(spark, t):
+    return R.margin(t("orders"), "o_custkey", "o_totalprice")
+
+
+@query("""select p_brand, row_number() over (order by cast(regexp_extract(p_brand, '\\d+') as bigint), p_brand) as place from (select distinct p_brand from part)""")
+def natural_sort(spark, t):
+    from pyspark.sql import Window
+
+    return t("part").select("p_brand").distinct().withColumn("place", F.row_number().over(Window.orderBy(T.natural_key(F.col("p_brand"))))).select("p_brand", F.col("place").cast("long").alias("place"))
+
+
+@query("""with r as (select doc_id, lang, n_chars, row_number() over (partition by lang order by n_chars desc, doc_id) as n from documents),
+  q as (select *, n > case lang when 'en' then 40 when 'fr' then 36 when 'de' then 12 when 'es' then 12 else 0 end as backfill from r)
+  select doc_id, lang, n_chars, backfill from q order by backfill, n_chars desc, doc_id limit 120""")
+def quota_sample(spark, t):
+    return R.quotas(t("documents").select("doc_id", "lang", "n_chars"), "lang", {"en": 40, "fr": 36, "de": 12, "es": 12}, 120, F.desc("n_chars"), F.asc("doc_id"))
+
+
+@query("""with r as (select doc_id, lang, n_chars, row_number() over (partition by sha256(text) order by doc_id) as n from documents),
+  o as (select r.*, coalesce(l.quality, 2) as quality from r left join labels l on r.doc_id = l.doc_id where n = 1)
+  select doc_id, lang, n_chars, quality from o order by quality, n_chars desc, doc_id limit 50""")
+def review_queue(spark, t):
+    once = R.latest(t("documents").withColumn("__d", F.sha2("text", 256)), ["__d"], F.asc("doc_id")).join(t("labels"), "doc_id", "left")
+    return once.select("doc_id", "lang", "n_chars", F.coalesce("quality", F.lit(2)).alias("quality")).orderBy("quality", F.desc("n_chars"), "doc_id").limit(50)
+
+
+@query("select sha256(text) as digest, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
+def exact_duplicates(spark, t):
+    return R.duplicate_groups(t("documents"), F.sha2("text", 256), "doc_id")
+
+
+@query("""with d as (select doc_id, text, lang, n_chars, left(text, 40) as name from documents), g as (select name, n_chars, lang, count(*) as n, count(distinct sha256(text)) as texts from d group by all)
+  select name, n_chars, lang, n, case when texts = 1 then 'exact' when texts < n then 'high' else 'possible' end as verdict from g where n > 1""")
+def name_size_duplicates(spark, t):
+    g = t("documents").groupBy(F.substring("text", 1, 40).alias("name"), "n_chars", "lang").agg(F.count("*").alias("n"), F.countDistinct(F.sha2("text", 256)).alias("texts")).where("n > 1")
+    return g.select("name", "n_chars", "lang", "n", F.when(F.col("texts") == 1, "exact").when(F.col("texts") < F.col("n"), "high").otherwise("possible").alias("verdict"))
+
+
+@query(r"""with s as (select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) as emails,
+    len(list_filter(regexp_extract_all(text, '\d+'), lambda x: length(x) = 16)) as long_ids from documents)
+  select doc_id, cast(emails as bigint) as emails, cast(long_ids as bigint) as long_ids from s where emails + long_ids > 0""")
+def sensitive_signals(spark, t):
+    return D.sensitive(t("documents"), {k: D.SIGNALS[k] for k in ("emails", "long_ids")})
+
+
+@query("""with u as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x from documents)
+  select doc_id, count(*) as n_lines, sum(length(x))::bigint as n_chars, sum(case when trim(x) = '' then 1 else 0 end)::bigint as n_empty from u group by doc_id""")
+def units_from_text(spark, t):
+    u = D.units(t("documents"))
+    return u.groupBy("doc_id").agg(F.countDistinct("line").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"), F.sum((F.col("status") == "empty").cast("long")).alias("n_empty"))
+
+
+@query("""with u as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x from documents), c as (select doc_id, count(*) as n_units, sum(case when trim(x) <> '' then 1 else 0 end)::bigint as n_processed from u group by doc_id)
+  select doc_id, n_units, n_processed, round(100.0 * n_processed / cast(n_units as double), 2) as percentage,
+  case when n_processed = n_units then 'complete' when n_processed > 0 then 'partial' else 'blocked' end as coverage_status from c""")
+def coverage_ledger(spark, t):
+    return D.coverage(D.units(t("documents"), 1 << 30))
+
+
+_CLAIMS = r"""s as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: length(x) >= 20) as c from documents),
+  b as (select doc_id, list_transform(c, lambda x: case when length(x) > 700 then coalesce(regexp_extract(left(x, 700), '(?s)^(.*)\s', 1), '') else x end) as c from s),
+  k as (select doc_id, unnest(list_filter(c, lambda x, i: length(x) >= 20 and list_position(c, x) = i)) as claim from b)"""
+
+
+@query(f"with {_CLAIMS} select doc_id, claim from k")
+def sentence_facts(spark, t):
+    return D.claims(t("documents")).select("doc_id", "claim")
+
+
+@query(rf"""with {_CLAIMS},
+  h as (select doc_id, claim, lower(claim) as l from k),
+  n as (select doc_id, claim, (instr(l, 'plan') > 0)::int + (instr(l, 'on') > 0)::int + (instr(l, 'for') > 0)::int as p, (instr(l, 'tion') > 0)::int + (instr(l, 'ment') > 0)::int as r, (instr(l, 're') > 0)::int + (instr(l, 'ver') > 0)::int as v from h)
+  select doc_id, substr(sha256(doc_id || ':' || claim), 1, 24) as fact_key,
+    case when greatest(p, r, v) = 0 then 'general' when v = greatest(p, r, v) then 'review' when r = greatest(p, r, v) then 'result' else 'plan' end as fact_type from n""")
+def typed_facts(spark, t):
+    df = D.claims(t("documents"))
+    return df.select("doc_id", T.fact_key(F.col("doc_id").cast("string"), F.col("claim")).alias("fact_key"), D.fact_type(F.col("claim"), LEXICON).alias("fact_type"))
+
+
+@query("""with h as (select doc_id, lower(text) as l, text from documents), n as (select doc_id, cast((instr(l, 'the') > 0)::int + (instr(l, 'and') > 0)::int + (instr(l, 'der') > 0)::int + (instr(l, 'que') > 0)::int + (instr(l, 'les') > 0)::int as bigint) as term_hits,
+    cast(len(regexp_extract_all(text, '[_]{3,}|[.]{4,}|\\[[^\\]]*\\]')) as bigint) as placeholders from h)
+  select doc_id, term_hits, placeholders, term_hits + placeholders >= 2 as is_template from n""")
+def template_flags(spark, t):
+    return D.template_flags(t("documents"), TERMS)
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+_TOKENS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: length(x) >= 2 and not list_contains({_STOP}, x))"
+_POSTINGS = f"""dp as (select id, token, count(*) as tf from (select doc_id as id, unnest({_TOKENS}) as token from documents) group by id, token),
+  cp as (select id, token, count(*) as tf from (select item_id as id, unnest({_TOKENS}) as token from benchmark) group by id, token),
+  tot as (select count(distinct id) as n, sum(tf) / cast(count(distinct id) as double) as avgdl from cp),
+  st as (select token, count(*) as df, any_value(n) as n, any_value(avgdl) as avgdl from cp, tot group by token)"""
+_COSINE = """w as (select token, power(ln((n + 1) / cast(df + 1 as double)) + 1, 2) as w from st),
+  dn as (select id, sqrt(sum(w)) as dn from dp join w using (token) group by id), cn as (select id, sqrt(sum(w)) as cn from cp join w using (token) group by id),
+  dot as (select dp.id as doc_id, cp.id as item_id, sum(w) as dot from dp join cp on dp.token = cp.token join w on w.token = dp.token group by 1, 2),
+  cosine as (select doc_id, item_id, round(dot / (dn * cn), 6) as cosine from dot join dn on dn.id = doc_id join cn on cn.id = item_id)"""
+_BM25 = """dl as (select id, sum(tf) as dl from cp group by id),
+  cw as (select cp.id, cp.token, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) as w from cp join st on st.token = cp.token join dl on dl.id = cp.id),
+  bm as (select dp.id as doc_id, cw.id as item_id, round(1 - exp(-sum(w * least(tf, 2)) / 8.0), 6) as bm25 from dp join cw on dp.token = cw.token group by 1, 2)"""
+_HYBRID = """hy as (select coalesce(cosine.doc_id, bm.doc_id) as doc_id, coalesce(cosine.item_id, bm.item_id) as item_id, floor((45 * cast(round(coalesce(cosine, 0) * 1e6) as bigint) + 55 * cast(round(coalesce(bm25, 0) * 1e6) as bigint)) / 10000.0::double) / 10000.0::double as score
+    from cosine full join bm on cosine.doc_id = bm.doc_id and cosine.item_id = bm.item_id),
+  top as (select *, row_number() over (partition by doc_id order by score desc, item_id) as rank from hy where score >= 0.12)"""
+
+
+def _postings(t):
+    return V.postings(t("documents"), "doc_id", "text"), V.postings(t("benchmark"), "item_id", "text")
+
+
+def _hybrid(t, k):
+    d, c = _postings(t)
+    return V.top(V.hybrid(V.cosine_idf(d, c), V.bm25(d, c)), "score", k)
+
+
+@query(f"with {_POSTINGS} select token, df, round(ln((n + 1) / cast(df + 1 as double)) + 1, 6) as idf from st")
+def idf_table(spark, t):
+    return V.statistics(_postings(t)[1]).select("token", "df", F.round(F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
+
+
+@query(f"with {_POSTINGS}, {_COSINE} select doc_id, item_id, cosine from cosine where cosine >= 0.12")
+def cosine_idf(spark, t):
+    return V.cosine_idf(*_postings(t)).where("cosine >= 0.12")
+
+
+@query(f"with {_POSTINGS}, {_BM25}, r as (select *, row_number() over (partition by doc_id order by bm25 desc, item_id) as rank from bm) select doc_id, item_id, bm25, cast(rank as int) as rank from r where rank <= 5")
+def bm25_top5(spark, t):
+    return V.top(V.bm25(*_postings(t)), "bm25", 5)
+
+
+@query(f"with {_POSTINGS}, {_COSINE}, {_BM25}, {_HYBRID} select doc_id, item_id, score, cast(rank as int) as rank from top where rank <= 5")
+def hybrid_top5(spark, t):
+    return _hybrid(t, 5)
+
+
+@query(f"""with {_POSTINGS}, {_COSINE}, {_BM25},
+  p as (select doc_id, item_id, 1.0::double / (60 + row_number() over (partition by doc_id order by cosine desc, item_id)) as part from cosine where cosine > 0
+    union all select doc_id, item_id, 1.0::double / (60 + row_number() over (partition by doc_id order by bm25 desc, item_id)) from bm where bm25 > 0)
+  select doc_id, item_id, round(least(sum(part) / (2.0::double / 61), 1.0), 6) as rrf from p group by doc_id, item_id""")
+def rrf_fusion(spark, t):
+    d, c = _postings(t)
+    return V.fuse(V.cosine_idf(d, c), V.bm25(d, c))
+
+
+@query(f"""with tk as (select item_id as id, {_TOKENS} as w from benchmark),
+  v as (select distinct id, token, 1.0::double as w from (select id, unnest(w) as token from tk) union all
+    select distinct id, token, 1.35::double from (select id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) as token from tk)),
+  n as (select id, sqrt(sum(w * w)) as n from v group by id),
+  d as (select a.id as left_id, b.id as right_id, sum(a.w * b.w) as dot from v a join v b on a.token = b.token and a.id < b.id group by 1, 2)
+  select left_id, right_id, round(dot / (a.n * b.n), 6) as cosine from d join n a on a.id = left_id join n b on b.id = right_id""")
+def semantic_bigram_cosine(spark, t):
+    v = V.semantic_vectors(t("benchmark"), "item_id", "text")
+    return V.sparse_cosine(v, v).where("left_id < right_id")
+
+
+@query(None)
+def diverse_topk(spark, t):
+    return V.diverse(_hybrid(t, 40).withColumn("kind", F.col("item_id") % 5), 10, "kind")
+
+
+@query(f"""with {_POSTINGS}, {_COSINE}, {_BM25}, {_HYBRID} select item_id, count(*) as documents, round(max(score), 4) as best, sum(case when rank = 1 then 1 else 0 end)::bigint as firsts from top where rank <= 5 group by item_id""")
+def mapping_support(spark, t):
+    return _hybrid(t, 5).groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("score"), 4).alias("best"), F.sum((F.col("rank") == 1).cast("long")).alias("firsts"))
+
+
+_CHAIN = "case when a and b and c and d and e then 'A' when a and b and c and d then 'B' when a and b and c then 'C' when a and b then 'D' when a then 'E' end"
+_STAGE = "instr(lower(text), 'the') > 0 as a, instr(lower(text), 'and') > 0 as b, instr(lower(text), 'tion') > 0 as c, instr(lower(text), 'ing') > 0 as d, instr(lower(text), 'able') > 0 as e"
+
+
+def _stages():
+    return {k: F.instr(F.lower("text"), w) > 0 for k, w in STAGES.items()}
+
+
+@query(f"with s as (select doc_id, {_STAGE} from documents) select doc_id, {_CHAIN} as grade from s")
+def grade_chain(spark, t):
+    return t("documents").select("doc_id", U.grade(list(_stages().values())).alias("grade"))
+
+
+@query(f"""with s as (select source, lang, {_STAGE} from documents), g as (select source, lang, count(*) as n_members, bool_or(a) as a, bool_or(b) as b, bool_or(c) as c, bool_or(d) as d, bool_or(e) as e from s group by source, lang)
+  select source, lang, n_members, {_CHAIN} as safe_grade from g""")
+def cross_document_groups(spark, t):
+    return U.synthesise(t("documents"), ["source", "lang"], _stages()).select("source", "lang", "n_members", "safe_grade")
+
+
+@query("""select d.source, count(*) as n_rules, case when bool_and(quality = 1) then 'approved' when bool_or(quality = 0) then 'rejected' else 'partial' end as review_state
+  from documents d join labels l on d.doc_id = l.doc_id group by d.source""")
+def rule_catalog(spark, t):
+    status = F.when(F.col("quality") == 1, "approved").otherwise("rejected")
+    return U.catalog_state(t("documents").join(t("labels"), "doc_id").withColumn("status", status), "source", "status")
+
+
+@query("""with v as (select d.doc_id, n_chars >= 200 as size_ok, lang in ('en', 'fr') as lang_ok, coalesce(quality = 1, false) as quality_ok from documents d left join labels l on d.doc_id = l.doc_id)
+  select doc_id, array_to_string(list_filter([case when not size_ok then 'size' end, case when not lang_ok then 'lang' end, case when not quality_ok then 'quality' end], lambda x: x is not null), ',') as findings,
+    size_ok and lang_ok and quality_ok as verified from v""")
+def verification_flags(spark, t):
+    checks = {"size": F.col("n_chars") >= 200, "lang": F.col("lang").isin("en", "fr"), "quality": F.col("quality") == 1}
+    return U.verify(t("documents").join(t("labels"), "doc_id", "left"), checks).select("doc_id", F.array_join("findings", ",").alias("findings"), "verified")
+
+
+@query(r"""with s as (select doc_id, n_chars / 20011.0::double as size, len(regexp_extract_all(text, '[#*$%&|<>]')) / cast(greatest(n_chars, 1) as double) * 10 as noise, len(regexp_extract_all(text, '\d')) / cast(greatest(n_chars, 1) as double) * 10 as digits from documents),
+  w as (select doc_id, round(0.7 * greatest(0, least(1, size)) + 0.3 * greatest(0, least(1, digits)), 4) as complexity, round(1.0 * greatest(0, least(1, noise)), 4) as risk from s)
+  select doc_id, complexity, risk, case when greatest(complexity, risk) >= 0.6 then 'deep' when greatest(complexity, risk) >= 0.3 then 'standard' else 'fast' end as route from w""")
+def routing_scores(spark, t):
+    share = lambda p: F.regexp_count("text", F.lit(p)) / F.greatest("n_chars", F.lit(1)).cast("double") * 10
+    df = t("documents").select("doc_id", U.weighted({"size": (0.7, F.col("n_chars") / 20011.0), "digits": (0.3, share(r"\d"))}).alias("complexity"), U.weighted({"noise": (1.0, share("[#*$%&|<>]"))}).alias("risk"))
+    return df.withColumn("route", U.route(F.col("complexity"), F.col("risk")))
+
+
+@query(f"""with {_POSTINGS}, {_COSINE}, {_BM25}, {_HYBRID}, x as (select doc_id, item_id from cosine where cosine >= 0.2), h as (select doc_id, item_id from top where rank <= 5),
+  s as (select doc_id, count(*) as shown from h group by doc_id), p as (select x.doc_id, count(h.item_id) as got from x left join h on x.doc_id = h.doc_id and x.item_id = h.item_id group by x.doc_id)
+  select count(*) as cases, round(coalesce(sum(case when got > 0 then 1 else 0 end) / cast(nullif(count(*), 0) as double), 0), 6) as recall, round(coalesce(sum(got) / cast(nullif(sum(shown), 0) as double), 0), 6) as precision from p left join s on p.doc_id = s.doc_id""")
+def gold_metrics(spark, t):
+    d, c = _postings(t)
+    return E.retrieval_metrics(_hybrid(t, 5), V.cosine_idf(d, c).where("cosine >= 0.2"), "doc_id", "item_id", 5)
+
+
+_SHADOW = f"""with {_POSTINGS}, {_COSINE}, {_BM25}, l as (select doc_id, item_id from (select *, row_number() over (partition by doc_id order by cosine desc, item_id) as n from cosine) where n <= 5),
+  r as (select doc_id, item_id from (select *, row_number() over (partition by doc_id order by bm25 desc, item_id) as n from bm) where n <= 5),
+  j as (select coalesce(l.doc_id, r.doc_id) as doc_id, count(l.item_id) as n_left, count(r.item_id) as n_right, count(l.item_id + r.item_id) as n_both, count(*) as n_all
+    from l full join r on l.doc_id = r.doc_id and l.item_id = r.item_id group by 1),
+  m as (select doc_id, n_left, n_right, n_both, round(n_both / cast(n_all as double), 6) as jaccard, round(coalesce(n_both / cast(nullif(n_left, 0) as double), 0), 6) as coverage from j)"""
+
+
+def _shadow(t):
+    d, c = _postings(t)
+    return E.candidate_sets(V.top(V.cosine_idf(d, c), "cosine", 5), V.top(V.bm25(d, c), "bm25", 5), "doc_id", "item_id")
+
+
+@query(f"{_SHADOW} select * from m")
+def shadow_jaccard(spark, t):
+    return _shadow(t)
+
+
+@query(f"{_SHADOW} select count(*) as pairs, round(avg(jaccard), 4) as jaccard, round(avg(coverage), 4) as coverage from m")
+def shadow_report(spark, t):
+    return _shadow(t).agg(F.count("*").alias("pairs"), F.round(F.avg("jaccard"), 4).alias("jaccard"), F.round(F.avg("coverage"), 4).alias("coverage"))
+
+
+@query(f"""with k as (select distinct d.doc_id, token from (select doc_id, unnest({_TOKENS}) as token from documents) d join labels l on d.doc_id = l.doc_id),
+  s as (select token, count(case when quality = 0 then 1 end) as support, count(*) as observed from k join labels l on k.doc_id = l.doc_id group by token)
+  select token, support, observed, round(support / cast(observed as double), 6) as precision from s where support >= 2 and round(support / cast(observed as double), 6) >= 0.8""")
+def feedback_terms(spark, t):
+    labels = t("labels")
+    terms = t("documents").join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    return E.feedback_terms(terms, labels.where("quality = 0"))
+
+
+@query("""select doc_id, cast(('0x' || substr(sha256(cast(doc_id as varchar)), 1, 8))::bigint % 100 as int) as bucket from documents""")
+def canary_bucket(spark, t):
+    return t("documents").select("doc_id", T.bucket(F.col("doc_id").cast("string")).alias("bucket"))
+
+
+@query("""with m as (select event_type as metric, round(avg(value), 4) as value from events group by event_type), l as (select * from (values ('click', 1.0::double), ('view', 1.0::double), ('purchase', 1.0::double)) x(metric, threshold))
+  select m.metric, value, threshold from m join l on m.metric = l.metric where value > threshold""")
+def alerts(spark, t):
+    metrics = t("events").groupBy(F.col("event_type").alias("metric")).agg(F.round(F.avg("value"), 4).alias("value"))
+    return U.alerts(metrics, {"click": 1.0, "view": 1.0, "purchase": 1.0})
+
+
+@query("""select 'events{event_type="' || event_type || '"} ' || count(*)::varchar || '.0' as line from events group by event_type""")
+def prometheus_lines(spark, t):
+    return U.exposition(R.rollup(t("events"), "event_type"), "events", "event_type", "n")
+
+
+_TAGS = r"regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _TAGS = f"replace({_TAGS}, '{_a}', '{_b}')"
+
+
+@query(rf"select page_id, trim(regexp_replace({_TAGS}, '\s+', ' ', 'g')) as text from pages")
+def html_text(spark, t):
+    return t("pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+@query(r"select lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)) as host, count(*) as n from pages group by 1")
+def page_hosts(spark, t):
+    return t("pages").groupBy(T.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query("select l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) as weighted_mean from lineitem group by l_returnflag")
+def weighted_confidence(spark, t):
+    return R.weighted_mean(t("lineitem"), "l_discount", "l_quantity", "l_returnflag")
+
+
+@query("""select conv_id, turn, lag(turn) over w as supersedes, lead(turn) over w is null as is_active from conversations window w as (partition by conv_id order by turn)""")
+def versioned_ledger(spark, t):
+    return R.versions(t("conversations"), ["conv_id"], "turn").select("conv_id", "turn", "supersedes", "is_active")
+
+
+@query("""with c as (select source, lang, count(*) as n, sum(count(*)) over (partition by source) as total from documents where lang is not null group by source, lang),
+  r as (select *, row_number() over (partition by source order by n desc, lang) as k from c) select source, lang, n, total::bigint as total from r where k = 1 and n >= 2 and n >= 0.5 * total""")
+def dominant_language(spark, t):
+    return R.dominant(t("documents"), "source", "lang", 0.5).select("source", "lang", "n", "total")
+
+
+@query("select lang, sum(ceil(length(coalesce(text, '')) / 4.0))::bigint as tokens from documents group by lang")
+def token_cost(spark, t):
+    return t("documents").groupBy("lang").agg(F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
+
+
+@query("select cast(ts as date) as day, event_type, count(*) as n from events group by 1, 2")
+def stream_daily(spark, t):
+    return S.drained(S.daily(_stream(spark, t)), f"daily_{uuid.uuid4().hex}", "complete")
+
+
+@query("""select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1""")
+def stream_latest(spark, t):
+    return S.drained(S.latest_state(_stream(spark, t)), f"latest_{uuid.uuid4().hex}", "complete")
+
+
+def _stream(spark, t):
+    events = t("events")
+    path = events.inputFiles()[0]
+    return S.tail(spark, path if len(events.inputFiles()) == 1 else path.rpartition("/")[0], events.schema)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
