@@ -29,7 +29,7 @@ LONG = 64
 #: Below so many new pieces numpy's call overhead costs more than trees one by one.
 FEW = 64
 #: Pieces, and words, that a worker remembers; when that is full, the words met most often stay.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _NONE = np.int64(1) << 62
 _SLICE_CHARS = 1 << 20
 _SPACE_AFTER_SPACE = re.compile(r"\s ").search
@@ -51,15 +51,17 @@ class Vocabulary:
 
         self.ranks = read_ranks(lines)
         self.find = regex.compile(pattern).findall
-        pairs = {}
+        self.token = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        keys, joined = [], []
         for token, rank in self.ranks.items():
+            self.token[rank] = token
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    pairs[left << 32 | right] = rank
-        self.pairs = pairs
-        self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
+                    keys.append(left << 32 | right)
+                    joined.append(rank)
+        order = np.argsort(np.array(keys, np.int64))
+        self.pair_keys, self.pair_ranks = np.array(keys, np.int64)[order], np.array(joined, np.int64)[order]
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         #: Pieces met lately and those met before them.
         self.known: dict[str, tuple[int, ...]] = {}
@@ -131,7 +133,7 @@ class Vocabulary:
         new = [piece for piece in pieces if piece not in self.known]
         if not new:
             return
-        if len(self.known) + len(new) > REMEMBERED // 2:
+        if len(self.known) + len(new) > REMEMBERED // 3:
             self.known, self.before = {}, self.known
             new = list(pieces)
         again = [piece for piece in new if piece in self.before]
@@ -154,14 +156,14 @@ class Vocabulary:
 
     def _one(self, raw: bytes) -> list[int]:
         """A tree for one long piece."""
-        n, none, pairs = len(raw), int(_NONE), self.pairs
+        n, none, token, ranks = len(raw), int(_NONE), self.token, self.ranks
         width = 1 << (n - 1).bit_length()
         ids = self.bytes[np.frombuffer(raw, np.uint8)].tolist()
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         shift = width.bit_length()
         tree = [none] * (2 * width)
         for i in range(n - 1):
-            rank = pairs.get(ids[i] << 32 | ids[i + 1])
+            rank = ranks.get(raw[i : i + 2])
             if rank is not None:
                 tree[width + i] = rank << shift | i
         for node in range(width - 1, 0, -1):
@@ -180,7 +182,7 @@ class Vocabulary:
 
         def pair(i: int) -> int:
             j = after[i]
-            rank = pairs.get(ids[i] << 32 | ids[j]) if j < n else None
+            rank = ranks.get(token[ids[i]] + token[ids[j]]) if j < n else None
             return none if rank is None else rank << shift | i
 
         while tree[1] != none:

@@ -22,7 +22,7 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = LENGTH - PERIOD + 1
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_REMEMBERED = 200_000
+_REMEMBERED = 100_000
 _known: dict[bytes, int] = {}
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
