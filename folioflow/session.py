@@ -9,11 +9,19 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH = "1000"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the Python workers this package, wherever the driver imported it from. Idempotent."""
+    """Give the Python workers this package, wherever the driver imported it from. Idempotent.
+
+    Where the session has Spark's default of 10,000 rows an Arrow batch it gets BATCH, since a row
+    may hold a whole text and a batch stands in a worker's memory.
+    """
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, BATCH)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         here = Path(__file__).resolve().parent
