@@ -116,7 +116,8 @@ def _bin(distance: Column) -> Column:
 
 def _half(rows: DataFrame, distance: Column) -> DataFrame:
     """Per group the first bin up to which at least half of its rows lie."""
-    counts = rows.groupBy(*_KEYS, _bin(distance).alias("bin")).agg(F.count("*").alias("n"))
+    # Counted by group and bin first; only the finished counts, few for a group, meet by group.
+    counts = rows.groupBy(*_KEYS, _bin(distance).alias("bin")).agg(F.count("*").alias("n")).repartition(*_KEYS)
     w = Window.partitionBy(*_KEYS)  # bins of a group: bounded by the range of a double's logarithm
     summed = counts.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "total": F.sum("n").over(w)})
     return summed.where(2 * F.col("upto") >= F.col("total")).groupBy(*_KEYS).agg(F.min("bin").alias("half_bin"), F.first("total").alias("total"))
@@ -153,7 +154,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     leveled = stored(reduce(DataFrame.union, [_level(rows.select("lang", "source", *x), i) for i in range(3)]).select(*_KEYS, *x), "rules-levels")
     long = leveled.select(*_KEYS, F.posexplode(F.array(*x)).alias("at", "x"))
     w = Window.partitionBy(*_KEYS, "at")
-    counts = long.groupBy(*_KEYS, "at", F.round(F.col("x") * 128).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    counts = long.groupBy(*_KEYS, "at", F.round(F.col("x") * 128).cast("int").alias("bin")).agg(F.count("*").alias("n")).repartition(*_KEYS, "at")
     summed = counts.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "total": F.sum("n").over(w)})
     medians = summed.where(2 * F.col("upto") >= F.col("total")).groupBy(*_KEYS).pivot("at", list(range(p))).agg((F.min("bin") / 128.0))
     medians = stored(medians.select(*_KEYS, *[F.col(str(i)).alias(f"m{i}") for i in range(p)]), "rules-medians")
