@@ -29,7 +29,7 @@ LONG = 64
 #: Below so many new pieces numpy's call overhead costs more than trees one by one.
 FEW = 64
 #: Pieces, and words, that a worker remembers; when that is full, the words met most often stay.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 _NONE = np.int64(1) << 62
 _SLICE_CHARS = 1 << 20
 _SPACE_AFTER_SPACE = re.compile(r"\s ").search
@@ -46,9 +46,11 @@ def read_ranks(lines: list[bytes]) -> dict[bytes, int]:
 class Vocabulary:
     """Ranks of a byte-level vocabulary and the rank of every pair of tokens that joins to a token."""
 
-    def __init__(self, lines: list[bytes], pattern: str):
+    def __init__(self, lines: list[bytes], pattern: str, remembered: int = REMEMBERED):
         import regex
 
+        self.remembered = remembered
+
         self.ranks = read_ranks(lines)
         self.find = regex.compile(pattern).findall
         self.token = [b""] * (max(self.ranks.values(), default=-1) + 1)
@@ -102,7 +104,7 @@ class Vocabulary:
     def _meet(self, cut: list[list[str]]) -> None:
         """Give rows to the words that have none."""
         met = set().union(*cut)
-        if len(self.word) + len(met) > REMEMBERED:
+        if len(self.word) + len(met) > self.remembered:
             self._forget()
         new = [w for w in met if w not in self.word]
         pieces = [self.find(w[1:] if w[:1] == _FIRST else f" {w}") for w in new]
@@ -117,7 +119,7 @@ class Vocabulary:
 
     def _forget(self) -> None:
         """Keep the words met most often, half of the bound at most, and count anew."""
-        stay = np.sort(np.argsort(-self.hits, kind="stable")[: REMEMBERED // 2])
+        stay = np.sort(np.argsort(-self.hits, kind="stable")[: self.remembered // 2])
         stay = stay[self.hits[stay] > 1]
         place = np.full(len(self.hits), -1)
         place[stay] = np.arange(len(stay))
@@ -133,7 +135,7 @@ class Vocabulary:
         new = [piece for piece in pieces if piece not in self.known]
         if not new:
             return
-        if len(self.known) + len(new) > REMEMBERED // 3:
+        if len(self.known) + len(new) > self.remembered // 3:
             self.known, self.before = {}, self.known
             new = list(pieces)
         again = [piece for piece in new if piece in self.before]
@@ -253,10 +255,10 @@ class Vocabulary:
 _loaded: dict[tuple, Vocabulary] = {}
 
 
-def _vocabulary(lines: list[bytes], pattern: str) -> Vocabulary:
-    key = (len(lines), hash(lines[0]), hash(lines[-1]), pattern)
+def _vocabulary(lines: list[bytes], pattern: str, remembered: int) -> Vocabulary:
+    key = (len(lines), hash(lines[0]), hash(lines[-1]), pattern, remembered)
     if key not in _loaded:
-        _loaded[key] = Vocabulary(lines, pattern)
+        _loaded[key] = Vocabulary(lines, pattern, remembered)
     return _loaded[key]
 
 
@@ -266,17 +268,18 @@ def _lines(vocabulary: str) -> list[bytes]:
         return f.read().splitlines()
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, ids array<int>: the token ids of each whole text, in order.
 
-    vocabulary: path of a rank file; pattern: the expression whose matches are encoded separately.
+    vocabulary: path of a rank file; pattern: the expression whose matches are encoded separately;
+    remembered: words that a worker keeps, which costs it memory and spares it time, but changes no result.
     A null or empty text gives an empty array, a null doc_id stays null, repeated rows stay repeated,
     other columns are ignored, an empty table gives an empty table.
     """
     lines = docs.sparkSession.sparkContext.broadcast(_lines(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _vocabulary(lines.value, pattern)
+        coder = _vocabulary(lines.value, pattern, remembered)
         for batch in batches:
             at = 0
             while at < batch.num_rows:
