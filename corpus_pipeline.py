@@ -60,7 +60,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ship(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = decode(encode(docs, path, public_tokenizers.PATTERN), path)
+    # Reused workers still hold what the stages before remembered, so this one remembers less than by default.
+    coded = decode(encode(docs, path, public_tokenizers.PATTERN, remembered=200_000), path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
