@@ -37,7 +37,7 @@ def collapse(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Split after . ! ? followed by white space, and at line ends; trimmed, empty ones left out."""
     parts = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+")
-    return F.filter(F.transform(parts, F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def bounded(claim: Column, most: int = 700) -> Column:

@@ -19,6 +19,7 @@ def test_text_functions(spark):
     assert one(spark, T.tokens(F.lit("The Plan-9, a plan"))) == ["plan", "plan"]
     assert one(spark, T.bigrams(F.array(F.lit("a"), F.lit("b"), F.lit("c")))) == ["a_b", "b_c"]
     assert one(spark, T.sentences(F.lit("One two. Three?\n\nFour"))) == ["One two.", "Three?", "Four"]
+    assert one(spark, T.sentences(F.lit("a. 1 b.  2 c"))) == ["a.", "1 b.", "2 c"]
     assert one(spark, T.collapse(F.lit(" a  b\n"))) == "a b"
     assert one(spark, T.safe_path(F.lit("a/../b:c//d "))) == "a/b c/d"
     assert one(spark, T.html_text(F.lit("<p>a&amp;b<script>x</script></p>"))) == "a&b"
