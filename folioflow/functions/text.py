@@ -40,9 +40,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
-def bounded(claim: Column, most: int = 700) -> Column:
-    """A claim of at most `most` characters, cut at its last white space where it is longer."""
-    return F.when(F.length(claim) > most, F.regexp_extract(F.substring(claim, 1, most), r"(?s)^(.*)\s", 1)).otherwise(claim)
+def bounded(claim: Column, most: int = 700, least: int = 20) -> Column:
+    """A claim of at most `most` characters, cut at its last white space where it is longer; where that would leave fewer than `least`, in the word."""
+    cut = F.substring(claim, 1, most)
+    whole = F.regexp_extract(cut, r"(?s)^(.*)[ \t\r\n]", 1)
+    return F.when(F.length(claim) <= most, claim).when(F.length(whole) >= least, F.regexp_replace(whole, r"[ \t\r\n]+$", "")).otherwise(cut)
 
 
 def keyword_hits(text: Column, words: Sequence[str]) -> Column:
@@ -99,3 +101,28 @@ def safe_path(path: Column, most: int = 118) -> Column:
     """Each segment without characters that file systems refuse, trimmed and bounded; empty segments go."""
     parts = F.transform(F.split(F.coalesce(path, F.lit("")), "/"), lambda p: F.substring(F.trim(F.regexp_replace(F.regexp_replace(p, r'[\\:*?"<>|\x00-\x1f]', " "), r"\s+", " ")), 1, most))
     return F.array_join(F.filter(parts, lambda p: ~p.isin("", ".", "..")), "/")
+
+
+def heading(text: Column, most: int = 180) -> Column:
+    """The first line that isn't blank, trimmed and bounded; null without one."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    return F.substring(F.get(lines, F.lit(0)), 1, most)
+
+
+def title_case(name: Column) -> Column:
+    """Runs of ASCII letters and digits of a name, each capitalised, single-spaced; null where there are none."""
+    runs = F.array_join(F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), " ")
+    return F.when(F.length(runs) > 0, F.initcap(runs))
+
+
+def redacted(text: Column) -> Column:
+    """Text with addresses and long numbers replaced."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
+    return F.regexp_replace(out, r"[0-9]{8,}", "[number]")
+
+
+def last_year(text: Column) -> Column:
+    """The last year from 1900 to 2099 that a text names, as a string; null without one."""
+    numbers = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[0-9]+"), F.lit(0))
+    years = F.filter(numbers, lambda x: x.rlike("^(19|20)[0-9]{2}$"))
+    return F.get(years, F.size(years) - 1)

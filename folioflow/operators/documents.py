@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import bounded, fact_key, keyword_hits, sentences
@@ -39,10 +39,19 @@ def sensitive(docs: DataFrame, signals: Mapping[str, str] = SIGNALS) -> DataFram
 
 
 def claims(docs: DataFrame, least: int = 20, most: int = 700, limit: int = 2000) -> DataFrame:
-    """doc_id, place, claim: a document's sentences of `least` characters or more, bounded, each once at its first place; at most `limit`, which is the feature."""
-    own = F.transform(sentences(F.col("text")), lambda s: bounded(s, most))
-    own = F.slice(F.array_distinct(F.filter(own, lambda s: F.length(s) >= least)), 1, limit)
-    return docs.select("doc_id", F.posexplode(own).alias("place", "claim"))
+    """doc_id, place, claim: a document's sentences of `least` characters or more, without dashes and bullets around them, bounded.
+
+    Of claims that agree but for case and white space the first stays; at most `limit` a document,
+    which is the feature. Equal claims meet by key, so a long document costs no more than its length.
+    """
+    edges = r"^[ \t\r\n•-]+|[ \t\r\n•-]+$"
+    own = F.filter(F.transform(sentences(F.col("text")), lambda s: F.regexp_replace(s, edges, "")), lambda s: F.length(s) >= least)
+    rows = docs.select("doc_id", F.posexplode(own).alias("place", "raw")).select("doc_id", "place", bounded(F.col("raw"), most, least).alias("claim"))
+    same = F.lower(F.regexp_replace("claim", r"[ \t\r\n]+", " "))
+    # Dealt by doc_id once: the grouping and the numbering both keep to it.
+    once = rows.repartition("doc_id").groupBy("doc_id", same.alias("same")).agg(F.min(F.struct("place", "claim")).alias("x"))
+    numbered = once.select("doc_id", "x.place", "x.claim").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")))
+    return numbered.where(F.col("__n") <= limit).drop("__n")
 
 
 def fact_type(claim: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
@@ -95,3 +104,35 @@ def upload_findings(files: DataFrame, most_bytes: int) -> DataFrame:
         )
     )
     return files.select("name", F.inline(found))
+
+
+def evidence_role(claim: Column, kind: Column, primary: Sequence[str], supporting: Sequence[str], against: Sequence[str]) -> Column:
+    """contradictory where the claim holds a word against it, else primary or supporting by its type, else context."""
+    return F.when(F.size(keyword_hits(claim, against)) > 0, "contradictory").when(kind.isin(*primary), "primary").when(kind.isin(*supporting), "supporting").otherwise("context")
+
+
+def document_roles(docs: DataFrame, facts_: DataFrame) -> DataFrame:
+    """doc_id, n_facts, role of every document by its facts (doc_id, role): primary, supporting, context, not_evidence without facts."""
+    has = lambda r: F.bool_or(F.col("role") == r)
+    per = facts_.groupBy("doc_id").agg(F.count("*").alias("n_facts"), F.when(has("primary"), "primary").when(has("supporting"), "supporting").otherwise("context").alias("role"))
+    return docs.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.coalesce("n_facts", F.lit(0)).alias("n_facts"), F.coalesce("role", F.lit("not_evidence")).alias("role"))
+
+
+def source_types(text: Column, terms: Mapping[str, Sequence[str]]) -> Column:
+    """The source types whose terms a text holds, sorted."""
+    return F.sort_array(F.array_compact(F.array(*[F.when(F.size(keyword_hits(text, words)) > 0, F.lit(name)) for name, words in terms.items()])))
+
+
+def disqualifiers(text: Column, template: Column, plan: Sequence[str], result: Sequence[str]) -> Column:
+    """template_only, and plan_without_result for a text with a plan's words and none of a result's."""
+    planned = (F.size(keyword_hits(text, plan)) > 0) & (F.size(keyword_hits(text, result)) == 0)
+    return F.array_compact(F.array(F.when(template, F.lit("template_only")), F.when(planned, F.lit("plan_without_result"))))
+
+
+def folder_status(files: DataFrame, folder: str, name: str, vague: Sequence[str], least: int = 4) -> DataFrame:
+    """folder, n_files, n_vague, status: curate where a name says nothing, partial below `least` files, else filled."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    stem = F.regexp_replace(low, r"\.[^.]*$", "")
+    bad = stem.rlike("^[0-9]+$") | (F.length(stem) <= 3) | (F.size(keyword_hits(low, vague)) > 0)
+    df = files.groupBy(folder).agg(F.count("*").alias("n_files"), F.sum(bad.cast("long")).alias("n_vague"))
+    return df.withColumn("status", F.when(F.col("n_vague") > 0, "curate").when(F.col("n_files") < least, "partial").otherwise("filled"))

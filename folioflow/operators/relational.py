@@ -75,3 +75,67 @@ def dominant(df: DataFrame, key: str, value: str, share: float, least: int = 2)
     w = Window.partitionBy(key)
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(w))
     return latest(counts, [key], F.desc("n"), F.asc(value)).where((F.col("n") >= least) & (F.col("n") >= share * F.col("total")))
+
+
+def keep_label(old: DataFrame, new: DataFrame, key: str, label: str) -> DataFrame:
+    """Full outer merge on a key that is unique on both sides: an old label stays unless it is null or blank."""
+    a = old.select(key, F.col(label).alias("__old"))
+    b = new.select(key, F.col(label).alias("__new"))
+    kept = F.when(F.length(F.trim(F.coalesce("__old", F.lit("")))) > 0, F.col("__old")).otherwise(F.col("__new"))
+    return a.join(b, key, "full").select(key, kept.alias(label))
+
+
+def manifest(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """table_name, n_rows, key_sum for each table and its integer key; equal manifests are what a copy is checked by."""
+    rows = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.coalesce(F.sum(F.col(key).cast("long")), F.lit(0)).alias("key_sum")) for name, (df, key) in tables.items()]
+    out = rows[0]
+    for x in rows[1:]:
+        out = out.union(x)
+    return out
+
+
+def copies(df: DataFrame, digest: Column, id_: str) -> DataFrame:
+    """Rows whose digest another row has too: id, first_id of the digest, n_others. Pairs are never made."""
+    keyed = df.select(id_, digest.alias("__digest"))
+    groups = duplicate_groups(keyed, F.col("__digest"), id_).withColumnRenamed("digest", "__digest")
+    return keyed.join(groups, "__digest").select(id_, "first_id", (F.col("n") - 1).alias("n_others"))
+
+
+def prefix_join(paths: DataFrame, path: str, prefixes: DataFrame, prefix: str) -> DataFrame:
+    """Rows of both where prefix is path or a folder above it.
+
+    Every path gives its own prefixes at `/`, and these meet the other table by equality, so no
+    pair is compared that doesn't match.
+    """
+    parts = F.split(F.coalesce(path, F.lit("")), "/")
+    own = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    return paths.withColumn("__prefix", F.explode(own)).join(prefixes, F.col("__prefix") == F.col(prefix)).drop("__prefix")
+
+
+def largest_remainder(weights: Mapping[str, int], total: int) -> dict[str, int]:
+    """Whole shares of total in proportion to the weights; what rounding leaves goes to the largest remainders, first named first."""
+    every = sum(weights.values())
+    shares = {k: total * w // every for k, w in weights.items()}
+    order = sorted(weights, key=lambda k: -(total * weights[k] % every))
+    return {k: n + (k in order[: total - sum(shares.values())]) for k, n in shares.items()}
+
+
+def renumber(df: DataFrame, key: str, declared: str, arrival: str) -> DataFrame:
+    """Rows with a declared rank, each rank of a key once (the first to arrive), with rank counted anew from 1."""
+    once = latest(df.where(F.col(declared).isNotNull()), [key, declared], F.asc(arrival))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(declared)))
+
+
+def first_seen(df: DataFrame, key: str, value: str, order: str, most: int) -> DataFrame:
+    """Distinct values of each key in the order in which they first occur, at most `most` of them; a hot key is pre-aggregated."""
+    once = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("__at"))
+    w = Window.partitionBy(key).orderBy("__at", value)
+    few = once.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("__n", value))), lambda x: x[value])
+    return few.groupBy(key).agg(listed.alias("values"))
+
+
+def resolve(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
+    """Adds resolved: a row's own value, else the dominant one of its key."""
+    common = dominant(df, key, value, share).select(F.col(key).alias("__key"), F.col(value).alias("__common"))
+    return df.join(common, F.col(key).eqNullSafe(F.col("__key")), "left").withColumn("resolved", F.coalesce(value, "__common")).drop("__key", "__common")

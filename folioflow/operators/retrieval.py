@@ -6,12 +6,12 @@ token is ever made. Statistics come from the catalog only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import bigrams, tokens
+from folioflow.functions.text import bigrams, keyword_hits, tokens
 
 K1, B, SQUASH = 1.2, 0.75, 8.0
 #: A candidate below this hybrid score isn't reported.
@@ -122,3 +122,46 @@ def diverse(ranked: DataFrame, k: int, group: str, share: float = 0.2, most: int
     )
     chosen = rows.select("doc_id", folded.alias("f")).select("doc_id", F.slice(F.concat("f.take", "f.skip"), 1, k).alias("c"))
     return chosen.select("doc_id", F.posexplode("c").alias("place", "x")).select("doc_id", (F.col("place") + 1).alias("place"), F.col("x.item_id").alias("item_id"))
+
+
+def overlap(documents: DataFrame, catalog: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_common, share of the smaller token set, for pairs with a common token."""
+    size = lambda p, name: p.groupBy("id").agg(F.count("*").alias(name))
+    both = documents.select(F.col("id").alias("doc_id"), "token").join(catalog.select(F.col("id").alias("item_id"), "token"), "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_common"))
+    a, b = size(documents, "__a").withColumnRenamed("id", "doc_id"), size(catalog, "__b").withColumnRenamed("id", "item_id")
+    share = F.round(F.col("n_common") / F.least("__a", "__b"), 6)
+    return both.join(a, "doc_id").join(b, "item_id").select("doc_id", "item_id", "n_common", share.alias("share"))
+
+
+def bonus(n: Column, each: float, most: float) -> Column:
+    """A field's bonus: `each` for every common token, `most` at most."""
+    return F.round(F.least(F.lit(most), n * each), 6)
+
+
+def phrase_bonus(text: Column, phrase: Column, least: int = 12, points: float = 0.25) -> Column:
+    """Points where the text holds the whole phrase, case aside, and that is long enough."""
+    low = F.lower(F.trim(F.coalesce(phrase, F.lit(""))))
+    return F.when((F.length(low) >= least) & (F.instr(F.lower(F.coalesce(text, F.lit(""))), low) > 0), points).otherwise(0.0)
+
+
+def feedback_bonus(terms: DataFrame, learned: DataFrame, most: float = 0.18) -> DataFrame:
+    """doc_id, bonus for documents whose terms (doc_id, token) are among the learned (term_hash, precision): hashes only are compared."""
+    hits = terms.select("doc_id", F.sha2("token", 256).alias("term_hash")).distinct().join(learned, "term_hash")
+    return hits.groupBy("doc_id").agg(F.round(F.least(F.lit(most), F.sum(0.08 + F.col("precision") * 0.06)), 6).alias("bonus"))
+
+
+def context_scores(df: DataFrame, id_: str, text: Column, classes: Mapping[str, Sequence[str]], most: float = 0.35) -> DataFrame:
+    """id, context, score: hits of each class's keywords against those of the best class; classes without hits are left out."""
+    hits = F.array(*[F.struct(F.lit(name).alias("context"), F.size(keyword_hits(text, words)).alias("n")) for name, words in classes.items()])
+    rows = df.select(id_, hits.alias("h")).withColumn("best", F.array_max(F.transform("h", lambda x: x["n"])))
+    rows = rows.select(id_, "best", F.explode("h").alias("x")).where(F.col("x.n") > 0)
+    return rows.select(id_, "x.context", F.round(F.least(F.lit(most), F.col("x.n") / F.col("best") * most), 4).alias("score"))
+
+
+def topic(text: Column, topics: Mapping[str, Sequence[str]]) -> Column:
+    """The topic with most keyword hits, the first named of equals, null without hits; keywords of four letters or fewer must stand alone."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    hit = lambda w: low.rlike(f"(^|[^a-z0-9]){w}([^a-z0-9]|$)") if len(w) <= 4 else F.instr(low, w) > 0
+    scored = [F.struct(sum((hit(w).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, words) in enumerate(topics.items())]
+    best = F.array_max(F.array(*scored))
+    return F.when(best["n"] > 0, best["name"])

@@ -74,3 +74,84 @@ def exposition(metrics: DataFrame, name: str, label: str, value: str) -> DataFra
     number = F.col(value).cast("double")
     finite = F.when(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")), 0.0).otherwise(number)
     return metrics.select(F.concat(F.lit(f'{name}{{{label}="'), escaped, F.lit('"} '), finite.cast("string")).alias("line"))
+
+
+#: Points of a score above which a candidate leads, from which it supports, and from which it is reviewed.
+LEADS, SUPPORTS, REVIEWED = 80, 65, 55
+
+
+def safe_grade(policy: Column, shared: Column, done: Column, evaluated: Column, improved: Column) -> Column:
+    """Grade of a package: E policy; D and shared; C policy and done; B and evaluated; A and improved. Null without policy."""
+    p, s, d, e, i = (F.coalesce(c, F.lit(False)) for c in (policy, shared, done, evaluated, improved))
+    return F.when(p & d & e & i, "A").when(p & d & e, "B").when(p & d, "C").when(p & s, "D").when(p, "E")
+
+
+def grade_match(target: Column, supported: Column) -> Column:
+    """How well a target level fits the level that the evidence supports, 0.18 to 1."""
+    below = F.greatest(F.lit(0.72), 1.0 - (supported - target) * 0.07)
+    return (
+        F.when(target <= 0, 0.45).when(supported <= 0, 0.4).when(target == supported, 1.0).when(target < supported, below).when(target == supported + 1, 0.45).otherwise(0.18)
+    )
+
+
+def reasoning_score(context: Column, match: Column, target: Column, supported: Column, formality: Column, period: Column) -> Column:
+    """30 context + 25 match + 25 grade + 15 formality + 5 period; a target above what is supported stays below SUPPORTS."""
+    # six places first, so that a half doesn't depend on how a sum of doubles falls
+    raw = F.round(F.round(context * 30 + match * 25 + grade_match(target, supported) * 25 + formality * 15 + period * 5, 6), 1)
+    return F.when((target > 0) & (target > supported), F.least(raw, F.lit(float(SUPPORTS - 1)))).otherwise(raw)
+
+
+def candidate_status(score: Column) -> Column:
+    return F.when(score > LEADS, "primary").when(score >= SUPPORTS, "supporting").when(score >= REVIEWED, "review").otherwise("rejected")
+
+
+def package_score(members: DataFrame, keys: Sequence[str], stages: Mapping[str, Column], score: Column) -> DataFrame:
+    """Packages of members: safe grade of their joint chain, mean score, share of stages met, both blended 0.65 to 0.35, status."""
+    df = members.groupBy(*keys).agg(F.round(F.coalesce(F.avg(score), F.lit(0.0)), 1).alias("average"), *[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in stages.items()])
+    met = reduce(lambda a, b: a + b, [F.col(n).cast("int") for n in stages])
+    df = df.withColumn("chain_score", F.round(met / len(stages) * 100, 1)).withColumn("score", F.round(F.round(F.col("average") * 0.65 + F.col("chain_score") * 0.35, 6), 1))
+    return df.withColumns({"safe_grade": safe_grade(*[F.col(n) for n in stages]), "status": candidate_status(F.col("score"))})
+
+
+def progress(members: DataFrame, key: str, status: str, completed: str, failed: str) -> DataFrame:
+    """Batches: total, terminal, completed, failed, percentage and their status."""
+    n = lambda s: F.count(F.when(F.col(status) == s, 1))
+    df = members.groupBy(key).agg(F.count("*").alias("total"), n(completed).alias("completed"), n(failed).alias("failed")).withColumn("terminal", F.col("completed") + F.col("failed"))
+    state = (
+        F.when(F.col("terminal") < F.col("total"), F.when(F.col("terminal") > 0, "running").otherwise("queued"))
+        .when(F.col("failed") == F.col("total"), "failed")
+        .when(F.col("failed") > 0, "partial")
+        .otherwise("completed")
+    )
+    return df.withColumns({"percentage": F.round(100.0 * F.col("terminal") / F.col("total"), 1), "status": state})
+
+
+def missing(have: Column, needed: Sequence[str]) -> Column:
+    """What of needed the array lacks, in order; empty where needed is a subset."""
+    return F.array_except(F.array(*[F.lit(x) for x in needed]), F.coalesce(have, F.array().cast("array<string>")))
+
+
+def period_allowed(effective_year: Column, periods: Column) -> Column:
+    """No effective year, or every period is a year and none lies before it; no period at all isn't allowed."""
+    years = F.transform(periods, lambda p: F.substring(p, 1, 4).try_cast("int"))
+    fine = (F.size(years) > 0) & ~F.exists(years, lambda y: y.isNull()) & (F.array_min(years) >= effective_year)
+    return F.when(effective_year.isNull(), True).otherwise(F.coalesce(fine, F.lit(False)))
+
+
+def veto(df: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
+    """A second pass can only take back: verified stays where the verdict (key, agrees) agrees; without a verdict it is taken back."""
+    second = verdicts.select(key, F.col("agrees").alias("__agrees"))
+    return df.join(second, key, "left").withColumn("verified", F.coalesce(F.col("verified") & F.col("__agrees"), F.lit(False))).drop("__agrees")
+
+
+def overlay(units: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
+    """Units (key, checksum) under the latest decisions (key, checksum, decision): applied, stale where the checksum moved on, none."""
+    own = decisions.select(key, F.col("checksum").alias("__sum"), F.col("decision"))
+    state = F.when(F.col("__sum").isNull(), "none").when(F.col("__sum") == F.col("checksum"), "applied").otherwise("stale")
+    return units.join(own, key, "left").withColumn("overlay", state).withColumn("decision", F.when(F.col("overlay") == "applied", F.col("decision"))).drop("__sum")
+
+
+def leases(jobs: DataFrame, status: str, until: str, as_of: Column) -> DataFrame:
+    """Adds effective: what a recovery at as_of makes of a job; running leases that ended are queued again, requested cancellations take place."""
+    over = F.coalesce(F.col(until) < as_of, F.lit(False))
+    return jobs.withColumn("effective", F.when(over & (F.col(status) == "running"), "queued").when(over & (F.col(status) == "cancel_requested"), "cancelled").otherwise(F.col(status)))

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
@@ -14,27 +12,16 @@ from folioflow.operators import evaluation as E
 from folioflow.operators import relational as R
 from folioflow.operators import retrieval as V
 from folioflow.operators import rules as U
+from folioflow.plans import evidence  # noqa: F401  registers its queries too
+from folioflow.plans.registry import oracle_sql, queries, query  # noqa: F401
 from folioflow.streaming import events as S
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
 #: Keywords of the corpus's languages, in place of a domain's lexicon.
 LEXICON = {"plan": ("plan", "on", "for"), "result": ("tion", "ment"), "review": ("re", "ver")}
 TERMS = ("the", "and", "der", "que", "les")
 STAGES = {"s1": "the", "s2": "and", "s3": "tion", "s4": "ing", "s5": "able"}
 
 
-def query(sql: str | None) -> Callable:
-    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        _QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            _ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 @query("select o_orderstatus, count(*) as n from orders group by o_orderstatus")
 def status_rollup(spark, t):
     return R.rollup(t("orders"), "o_orderstatus")
@@ -208,9 +195,12 @@ def coverage_ledger(spark, t):
     return D.coverage(D.units(t("documents"), 1 << 30))
 
 
-_CLAIMS = r"""s as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: length(x) >= 20) as c from documents),
-  b as (select doc_id, list_transform(c, lambda x: case when length(x) > 700 then coalesce(regexp_extract(left(x, 700), '(?s)^(.*)\s', 1), '') else x end) as c from s),
-  k as (select doc_id, unnest(list_filter(c, lambda x, i: length(x) >= 20 and list_position(c, x) = i)) as claim from b)"""
+_CLAIMS = r"""s as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: regexp_replace(x, '^[ \t\r\n•-]+|[ \t\r\n•-]+$', '', 'g')), lambda x: length(x) >= 20) as c from documents),
+  b as (select doc_id, list_transform(c, lambda x: case when length(x) <= 700 then x when length(regexp_extract(left(x, 700), '(?s)^(.*)[ \t\r\n]', 1)) >= 20
+    then regexp_replace(regexp_extract(left(x, 700), '(?s)^(.*)[ \t\r\n]', 1), '[ \t\r\n]+$', '') else left(x, 700) end) as c from s),
+  e as (select doc_id, unnest(c) as claim, generate_subscripts(c, 1) as i from b),
+  f as (select *, row_number() over (partition by doc_id, lower(regexp_replace(claim, '[ \t\r\n]+', ' ', 'g')) order by i) as n from e),
+  k as (select doc_id, claim from (select *, row_number() over (partition by doc_id order by i) as place from f where n = 1) where place <= 2000)"""
 
 
 @query(f"with {_CLAIMS} select doc_id, claim from k")
@@ -449,23 +439,15 @@ def token_cost(spark, t):
 
 @query("select cast(ts as date) as day, event_type, count(*) as n from events group by 1, 2")
 def stream_daily(spark, t):
-    return S.drained(S.daily(_stream(spark, t)), f"daily_{uuid.uuid4().hex}", "complete")
+    return S.drained(S.daily(_stream(spark, t)), f"daily-{uuid.uuid4().hex}")
 
 
 @query("""select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1""")
 def stream_latest(spark, t):
-    return S.drained(S.latest_state(_stream(spark, t)), f"latest_{uuid.uuid4().hex}", "complete")
+    return S.drained(S.latest_state(_stream(spark, t)), f"latest-{uuid.uuid4().hex}")
 
 
 def _stream(spark, t):
     events = t("events")
     path = events.inputFiles()[0]
     return S.tail(spark, path if len(events.inputFiles()) == 1 else path.rpartition("/")[0], events.schema)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)

@@ -32,3 +32,8 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(target)
         _shipped.add(context.applicationId)
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share: `spark.checkpoint.dir`, or a local one where it is unset (tests)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/folioflow-checkpoints"

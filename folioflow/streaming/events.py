@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from folioflow.session import scratch
+
 
 def tail(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A stream of the Parquet files of a folder, or of one file."""
@@ -28,9 +30,19 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(last.alias("e")).select("user_id", F.col("e.event_id").alias("event_id"), F.col("e.event_type").alias("event_type"))
 
 
-def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over what is there now and give its result table."""
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream of a complete result over what is there now and give that result.
+
+    State and result stand in the shared folder, never on the driver; a batch that runs again
+    overwrites what it wrote before.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    base = f"{scratch(spark)}/folioflow-{spark.sparkContext.applicationId}/stream-{name}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out")  # the result without any batch
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
