@@ -50,5 +50,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def smallest_hashes(df: DataFrame, rows: int, most: int, *keys: str) -> DataFrame:
+    """The `most` of df's `rows` rows that have the smallest hash of `keys`, ties by the keys.
+
+    Each task of a sorted limit hands over up to `most` rows, which adds up over many tasks. So rows
+    whose hash lies clearly above the sample's are dropped before: the tasks hand over about `most`
+    rows in all. The margin is ten standard deviations; a few rows less come where it doesn't do.
+    """
+    hash_ = F.xxhash64(*keys)
+    reach = most + 10 * math.sqrt(most) + 100
+    if rows > reach:
+        df = df.where(hash_ < F.lit(int(reach / rows * 2.0**64) - 2**63))
+    return df.orderBy(hash_, *keys).limit(most)
+
+
 def blocks(total: int, size: int, least: int = 1) -> int:
     return max(least, math.ceil(total / size))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.common import smallest_hashes
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the decimal doc_id, modulo folds; null for a null doc_id."""
@@ -18,13 +20,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
     and the same in every run; only ids and labels are sorted for it, and at most `most` pairs are
     broadcast. A doc_id that is labelled twice counts once, null labels and ids don't count.
     """
-    chosen = (
+    usable = (
         labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("double").alias("__label"))
         .where(F.col("__id").isNotNull() & F.col("__label").isNotNull())
         .where(learn)
-        .orderBy(F.xxhash64("__id"), "__id", "__label")
-        .limit(most)
-        .dropDuplicates(["__id"])
+        .groupBy("__id")
+        .agg(F.min("__label").alias("__label"))
     )
+    chosen = smallest_hashes(usable, usable.count(), most, "__id")
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text")
     return texts.join(F.broadcast(chosen), "__id").select("__id", "text", "__label")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import stored, table
+from folioflow.llm.common import smallest_hashes, stored, table
 
 NEAREST = 20
 #: Bounds of the sample that the tree is built from.
@@ -135,7 +135,7 @@ def search(vectors: DataFrame, id_: str, vector: str, is_query: Column, nearest:
         return spark.createDataFrame([], schema)
     base = base.where(F.col("n") == usual["n"]).drop("n")
     rows = min(SAMPLE_ROWS, SAMPLE_VALUES // usual["n"] + 1)
-    sample = _matrix(base.orderBy(F.xxhash64("id"), "id", "v").limit(rows).select("v").toArrow().column(0))
+    sample = _matrix(smallest_hashes(base, usual["c"], rows, "id", "v").select("v").toArrow().column(0))
     tree = Tree(sample)
     visits = calibrate(tree, sample, nearest)
     known = spark.sparkContext.broadcast(tree)

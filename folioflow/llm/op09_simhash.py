@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import partitions, stored, table
+from folioflow.llm.common import partitions, smallest_hashes, stored, table
 
 RADIUS = 3
 SHINGLE = 3
@@ -164,7 +164,7 @@ def shard_components(members: np.ndarray, visitors: np.ndarray, reach: int) -> t
 def links(distinct: DataFrame, reach: int = RADIUS) -> DataFrame:
     """a, b: edges among the distinct fingerprints `fp` whose components are those of all pairs within reach."""
     count = distinct.count()
-    sample = np.array([r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLED).collect()], np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in smallest_hashes(distinct.select("fp"), count, SAMPLED, "fp").collect()], np.int64).view(np.uint64)
     shards = max(count // SHARD + 1, min(partitions(distinct.sparkSession), count // 512 + 1))
     trees = []
     for half in (0, 1):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import partitions, scratch_root, stored, table
+from folioflow.llm.common import partitions, scratch_root, smallest_hashes, stored, table
 
 #: Fixed values of the WARC format.
 _CRLF = "\r\n"
@@ -181,7 +181,7 @@ def merged(sorted_runs: DataFrame, ranges: int) -> DataFrame:
     """
     key = F.struct(*[F.col("c")[n].alias(n) for n in ("key", "stamp", "page_id")])
     keys = sorted_runs.select(F.explode("captures").alias("c")).select(key.alias("k"))
-    sample = sorted((r[0][0], r[0][1], r[0][2] is None, r[0][2] or 0) for r in keys.orderBy(F.xxhash64("k")).limit(SAMPLED).collect())
+    sample = sorted((r[0][0], r[0][1], r[0][2] is None, r[0][2] or 0) for r in smallest_hashes(keys, keys.count(), SAMPLED, "k").collect())
     bounds = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

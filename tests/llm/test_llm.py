@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from folioflow.llm import exchange, op05_mix, op09_simhash, op10_warc
 from folioflow.llm import op06_suffix, op08_substring
-from folioflow.llm.common import table
+from folioflow.llm.common import smallest_hashes, table
 from folioflow.llm.op01_bpe import Vocabulary, _lines, round_trip
 from folioflow.llm.op02_toxicity import op2_toxicity
 from folioflow.llm.op03_rules import quality_rules
@@ -217,6 +217,13 @@ def test_nearest_neighbours_recall(spark):
     assert set(got) == {i for i in rows if i % 20 == 0} and hits >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("rows,most", [(0, 5), (7, 10), (50_000, 40), (50_000, 5_000)])
+def test_sampled_rows_are_those_of_smallest_hash(spark, rows, most):
+    df = spark.range(rows).withColumn("x", F.when(F.col("id") % 3 > 0, F.col("id") % 100))
+    every = sorted((r["h"], r["id"]) for r in df.withColumn("h", F.xxhash64("id", "x")).collect())
+    assert [r["id"] for r in smallest_hashes(df, rows, most, "id", "x").collect()] == [id_ for _, id_ in every[:most]]
+
+
 def test_warc_round_trip(spark):
     page = "<html>" + "é" * 60
     rows = [(5, "http://www.A.example/x", page), (2, "https://b.example/\r\n", page), (9, None, None), (7, "u", "tiny"), (8, "u", "tiny"), (None, "u", page), (2, "again", page), (4, "x", "a\r\n\r\nb" * 40)]
