@@ -3,7 +3,8 @@
 Everything here is DataFrame functions. A document's texts are read once into a row of statistics;
 the estimates concentrate on the half of each group that lies nearest to its centre (C-steps). The
 distance that holds half of a group comes from exact counts of distance bins, so every figure is a
-sum that is pre-aggregated before its shuffle and no group is ever gathered.
+sum that is pre-aggregated before its shuffle and no group is ever gathered. Every group keeps its own
+estimate, shrunk by its count: a source's towards its language's, a language's towards that of all rows.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from folioflow.llm.common import stored, table, words
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 DIMENSIONS = 6
-#: Groups of fewer rows take the estimate of their language, then that of all rows.
-LEAST_ROWS = 200
+#: A language of fewer rows bears no estimate, and other languages say nothing about it: its documents are kept.
+LEAST_ROWS = 5 * DIMENSIONS
+#: Rows that the next level's covariance and its centre count for beside a group's own.
+PRIOR_ROWS, PRIOR_CENTRE = 5 * DIMENSIONS, 1
 C_STEPS = 3
 #: Added to each variance: a statistic that is constant in a group still has a scale.
 RIDGE = 0.08**2
@@ -124,15 +127,38 @@ def _half(rows: DataFrame, distance: Column) -> DataFrame:
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and the Cholesky factor of the ridged covariance for each group."""
+    """Mean and ridged covariance for each group."""
     p = DIMENSIONS
     sums = {f"m{i}": F.avg(f"x{i}") for i in range(p)} | {f"c{i}_{j}": F.covar_pop(f"x{i}", f"x{j}") for i in range(p) for j in range(i + 1)}
-    df = rows.groupBy(*_KEYS).agg(*[c.alias(k) for k, c in sums.items()])
-    for i in range(p):
+    return rows.groupBy(*_KEYS).agg(*[c.alias(k) for k, c in sums.items()]).withColumns({f"c{i}_{i}": F.col(f"c{i}_{i}") + RIDGE for i in range(p)})
+
+
+def _factored(df: DataFrame) -> DataFrame:
+    """Adds the Cholesky factor of the covariance."""
+    for i in range(DIMENSIONS):
         for j in range(i + 1):
-            inner = F.col(f"c{i}_{j}") + (RIDGE if i == j else 0.0) - reduce(add, [F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)], F.lit(0.0))
+            inner = F.col(f"c{i}_{j}") - reduce(add, [F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)], F.lit(0.0))
             df = df.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(inner, F.lit(RIDGE / 4))) if i == j else inner / F.col(f"l{j}_{j}"))
-    return df.drop(*[f"c{i}_{j}" for i in range(p) for j in range(i + 1)])
+    return df
+
+
+def _shrunk(own: DataFrame, prior: DataFrame, on: list[str]) -> DataFrame:
+    """The estimates of own shrunk towards prior's by their counts, a lone row's wholly.
+
+    As in a normal-inverse-Wishart posterior the way between the two centres adds to the covariance,
+    so rows that agree with one another aren't far from the centre that lies between.
+    """
+    p = DIMENSIONS
+    names = [f"m{i}" for i in range(p)] + [f"c{i}_{j}" for i in range(p) for j in range(i + 1)]
+    n = F.col("total") - 1.0
+    joined = own.join(prior.select(*on, *[F.col(k).alias(f"p_{k}") for k in names]), on) if on else own.crossJoin(prior.select(*[F.col(k).alias(f"p_{k}") for k in names]))
+    off = [F.col(f"m{i}") - F.col(f"p_m{i}") for i in range(p)]
+    new = {f"m{i}": (n * F.col(f"m{i}") + PRIOR_CENTRE * F.col(f"p_m{i}")) / (n + PRIOR_CENTRE) for i in range(p)}
+    for i in range(p):
+        for j in range(i + 1):
+            between = PRIOR_CENTRE * n / (n + PRIOR_CENTRE) * off[i] * off[j]
+            new[f"c{i}_{j}"] = (PRIOR_ROWS * F.col(f"p_c{i}_{j}") + n * F.col(f"c{i}_{j}") + between) / (PRIOR_ROWS + n)
+    return joined.withColumns(new).select(*own.columns)
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -144,7 +170,7 @@ def _distance(df: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """level, g_lang, g_source, mean, factor, scale: MCD estimates of every group of vectors, at the three levels.
+    """g_lang, g_source, mean, factor: the shrunk MCD estimate of every language and source whose language bears one.
 
     Starts at the rows near the coordinatewise medians, which exact bin counts give, then takes
     C_STEPS concentration steps. Each step reads the small table of vectors only.
@@ -162,34 +188,31 @@ def estimates(rows: DataFrame) -> DataFrame:
     near = at_first
     for step in range(C_STEPS):
         half = stored(_half(near, F.col("d2")), f"rules-half{step}")
-        model = stored(_moments(near.join(half, _KEYS).where(_bin(F.col("d2")) <= F.col("half_bin"))), f"rules-model{step}")
+        model = stored(_factored(_moments(near.join(half, _KEYS).where(_bin(F.col("d2")) <= F.col("half_bin")))), f"rules-model{step}")
         near = _distance(leveled.join(model, _KEYS))
     half = _half(near, F.col("d2"))
     scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("half_bin") + 1) / _BINS) / MEDIAN_CHI2)
-    return stored(model.join(half, _KEYS).withColumn("scale", scale), "rules-estimates")
+    names = [f"c{i}_{j}" for i in range(p) for j in range(i + 1)]
+    own = stored(model.join(half, _KEYS).withColumn("scale", scale).select(*_KEYS, "total", *[f"m{i}" for i in range(p)], *[(F.col(c) * F.col("scale")).alias(c) for c in names]), "rules-own")
+    level = [own.where(F.col("level") == i).drop("level") for i in range(3)]
+    languages = _shrunk(level[1].where(F.col("total") >= LEAST_ROWS), level[0], [])
+    return stored(_factored(_shrunk(level[2], languages, ["g_lang"])).drop("total", *names), "rules-estimates")
 
 
 def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """The statistics of every row of docs with base_failed and kept; columns named in carry come along as __c_<name>.
 
     kept is false where a base rule fails; else it tells whether the document's vector lies within
-    CUTOFF of the estimates of its language and source (null counts as a value of its own). Repeated
+    CUTOFF of the estimate of its language and source (null counts as a value of its own). Repeated
     rows stay repeated and agree, a null doc_id stays null, extra columns are ignored, an empty table
-    gives an empty one. Where too few rows passed the base rules for any estimate, all that pass are kept.
+    gives an empty one. In a language of which fewer than LEAST_ROWS rows passed the base rules, all that
+    pass are kept. distance is null where there is no estimate.
     """
     stats = stored(vectors(base_statistics(docs, carry)), "rules-stats")
     passed = stats.where(~F.col("base_failed"))
-    model = estimates(passed)
-    out = stats
-    verdict = F.lit(None).cast("double")
-    for level in (2, 1, 0):
-        own = model.where(F.col("level") == level).where(F.col("total") >= (LEAST_ROWS if level else 1))
-        keyed = _level(out, level).drop("level")
-        joined = keyed.join(own.drop("level"), ["g_lang", "g_source"], "left")
-        joined = _distance(joined).withColumn(f"far{level}", F.col("d2") / F.col("scale"))
-        out = joined.select(*[c for c in out.columns], f"far{level}")
-        verdict = F.coalesce(verdict, F.col(f"far{level}"))
-    return out.withColumn("distance", verdict).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))
+    keyed = _level(stats, 2).drop("level")
+    out = _distance(keyed.join(estimates(passed), ["g_lang", "g_source"], "left")).select(*stats.columns, F.col("d2").alias("distance"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))
 
 
 def op3_rules(spark, sf_dir: str) -> DataFrame:

@@ -141,6 +141,21 @@ def test_rules_keep_good_documents(spark):
     assert kept[1][0] >= 0.995 * kept[1][1] and kept[0][0] <= 0.25 * kept[0][1]
 
 
+def test_rules_keep_small_clean_groups_of_another_word_shape(spark):
+    rng = random.Random(5)
+    long = lambda: "".join(rng.choice("กขคงจฉชซญดตถทนบปผฝพฟมยรล") for _ in range(rng.randrange(20, 60)))
+    groups = {("th", "a"): 120, ("th", "b"): 12, ("lo", "a"): 8, ("en", "odd"): 20}
+    rows = [(10_000_000, " ".join(long() for _ in range(rng.randrange(15, 80))), *g) for g, n in groups.items() for _ in range(n)]
+    lone = [(10_000_001, "# $ | " * 3 + " ".join(long() for _ in range(40)), "en", "lone")]
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "lang", "source")
+    got = quality_rules(docs.union(spark.createDataFrame(rows + lone, docs.schema))).where("doc_id >= 10000000").collect()
+    assert Counter((r.lang, r.source) for r in got if r.kept) == groups
+    assert [r.kept for r in got if r.source == "lone"] == [False]
+    junk = [(10_000_002, "# $ | < > " * 2 + " ".join(f"{long()} #" for _ in range(30)), "th", "a")]
+    mixed = quality_rules(docs.union(spark.createDataFrame(rows + junk, docs.schema))).where("doc_id = 10000002").collect()
+    assert [(r.base_failed, r.kept) for r in mixed] == [(False, False)]
+
+
 def test_mix_meets_targets_and_reruns_agree(spark):
     docs = table(spark, "/root/testdata/sf0.1", "documents")
     first = op05_mix.mix(docs).collect()
