@@ -103,24 +103,29 @@ def fuse(*components: DataFrame) -> DataFrame:
     return total.groupBy("doc_id", "item_id").agg(F.round(F.least(F.sum("part") / best, F.lit(1.0)), 6).alias("rrf"))
 
 
-def diverse(ranked: DataFrame, k: int, group: str, share: float = 0.2, most: int = 4) -> DataFrame:
+def diverse(ranked: DataFrame, k: int, group: str, share: float = 0.2, most: int = 4, wider: str | None = None) -> DataFrame:
     """Greedy top k of each doc_id with at most ceil(share * k) (1..most) items of a group, then the skipped ones in order.
 
+    Of a value of wider at most twice the share (2..2 * most) is taken. k candidates or fewer stay in order.
+
     A fold over the ordered candidates of one document; candidates are bounded by the catalog's size.
     """
     cap = max(1, min(most, -(-int(share * k * 1000) // 1000)))
-    item = F.struct(F.col("rank").alias("rank"), F.col("item_id").alias("item_id"), F.col(group).cast("string").alias("g"))
+    wide = max(2, min(2 * most, -(-int(2 * share * k * 1000) // 1000))) if wider else k
+    item = F.struct(F.col("rank").alias("rank"), F.col("item_id").alias("item_id"), F.col(group).cast("string").alias("g"), (F.col(wider) if wider else F.lit(None)).cast("string").alias("w"))
     rows = ranked.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("c"))
-    kind = "array<struct<rank:int,item_id:bigint,g:string>>"
+    kind = "array<struct<rank:int,item_id:bigint,g:string,w:string>>"
     start = F.struct(F.array().cast(kind).alias("take"), F.array().cast(kind).alias("skip"))
-    fits = lambda a, x: (F.size(a["take"]) < k) & (F.size(F.filter(a["take"], lambda t: t["g"].eqNullSafe(x["g"]))) < cap)
+    held = lambda a, x, of: F.size(F.filter(a["take"], lambda t: t[of].eqNullSafe(x[of])))
+    fits = lambda a, x: (F.size(a["take"]) < k) & (held(a, x, "g") < cap) & (held(a, x, "w") < wide)
     add = lambda a, x: F.array_append(a, x)
     folded = F.aggregate(
         F.col("c").cast(kind),
         start,
         lambda a, x: F.struct(F.when(fits(a, x), add(a["take"], x)).otherwise(a["take"]).alias("take"), F.when(fits(a, x), a["skip"]).otherwise(add(a["skip"], x)).alias("skip")),
     )
-    chosen = rows.select("doc_id", folded.alias("f")).select("doc_id", F.slice(F.concat("f.take", "f.skip"), 1, k).alias("c"))
+    chosen = rows.select("doc_id", "c", folded.alias("f"))
+    chosen = chosen.select("doc_id", F.when(F.size("c") <= k, F.col("c").cast(kind)).otherwise(F.slice(F.concat("f.take", "f.skip"), 1, k)).alias("c"))
     return chosen.select("doc_id", F.posexplode("c").alias("place", "x")).select("doc_id", (F.col("place") + 1).alias("place"), F.col("x.item_id").alias("item_id"))
 
 

@@ -294,7 +294,9 @@ def semantic_bigram_cosine(spark, t):
 
 @query(None)
 def diverse_topk(spark, t):
-    return V.diverse(_hybrid(t, 40).withColumn("kind", F.col("item_id") % 5), 10, "kind")
+    # All candidates, as many as the catalog has items; an odd and an even kind stand for the wider groups.
+    ranked = _hybrid(t, 2**31 - 1).withColumns({"kind": F.col("item_id") % 5, "wider": F.col("item_id") % 5 % 2})
+    return V.diverse(ranked, 10, "kind", wider="wider")
 
 
 @query(f"""with {_POSTINGS}, {_COSINE}, {_BM25}, {_HYBRID} select item_id, count(*) as documents, round(max(score), 4) as best, sum(case when rank = 1 then 1 else 0 end)::bigint as firsts from top where rank <= 5 group by item_id""")

@@ -41,6 +41,24 @@ def test_diverse_takes_skipped_items_last(spark):
     assert [r.item_id for r in got] == [11, 12, 14, 15]
 
 
+def test_diverse_equals_plain_greedy(spark):
+    def greedy(ranked, k):
+        if len(ranked) <= k:
+            return ranked
+        taken = []
+        for i in ranked:
+            if sum(j % 5 == i % 5 for j in taken) < 2 and sum(j % 5 % 2 == i % 5 % 2 for j in taken) < 4 and len(taken) < k:
+                taken.append(i)
+        return (taken + [i for i in ranked if i not in taken])[:k]
+
+    items = {1: [*range(0, 250, 5), 1, 2, 3], 2: [0, 5, 10, 1], 3: [0, 2, 4, 5, 7, 9, 1, 3, 6, 8, 11], 4: list(range(30, 0, -1))}
+    df = spark.createDataFrame([(d, r, i, i % 5, i % 5 % 2) for d, own in items.items() for r, i in enumerate(own, 1)], "doc_id long, rank int, item_id long, kind long, wider long")
+    got = {d: [] for d in items}
+    for r in V.diverse(df, 10, "kind", wider="wider").orderBy("doc_id", "place").collect():
+        got[r.doc_id].append(r.item_id)
+    assert got == {d: greedy(own, 10) for d, own in items.items()}
+
+
 def test_upsert_and_versions(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "id long, v long, x string")
     new = spark.createDataFrame([(1, 1, "c"), (2, 4, "d"), (3, 1, "e")], "id long, v long, x string")
