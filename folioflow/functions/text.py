@@ -56,7 +56,8 @@ def keyword_hits(text: Column, words: Sequence[str]) -> Column:
 def natural_key(text: Column) -> Column:
     """Sort key in which runs of digits compare as numbers."""
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 18, "0")).otherwise(p))
+    digits = lambda p: F.regexp_replace(p, "^0+", "")
+    return F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))).otherwise(p))
 
 
 def html_text(html: Column) -> Column:

@@ -59,6 +59,13 @@ def test_diverse_equals_plain_greedy(spark):
     assert got == {d: greedy(own, 10) for d, own in items.items()}
 
 
+def test_natural_key_compares_numbers_of_any_length(spark):
+    names = ["a2", "a10", "a" + "9" * 18, "a1" + "0" * 18, "a1" + "0" * 17 + "1", "a" + "1" * 30]
+    df = spark.createDataFrame([(x,) for x in reversed(names)], "x string")
+    assert [r.x for r in df.orderBy(T.natural_key(F.col("x"))).collect()] == sorted(names, key=lambda x: int(x[1:]))
+    assert one(spark, T.natural_key(F.lit("a007"))) == one(spark, T.natural_key(F.lit("a7")))
+
+
 def test_upsert_and_versions(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "id long, v long, x string")
     new = spark.createDataFrame([(1, 1, "c"), (2, 4, "d"), (3, 1, "e")], "id long, v long, x string")
