@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -121,8 +122,8 @@ def calibrate(tree: Tree, sample: np.ndarray, nearest: int) -> int:
 def search(vectors: DataFrame, id_: str, vector: str, is_query: Column, nearest: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score: the `nearest` best rows found for each query, its own id left out.
 
-    is_query is over the column `id`. Null ids, vectors that are not `valid` and vectors of another
-    length than the most frequent one take no part. A query id that occurs several times is answered
+    is_query is over the column `id`. Null ids and vectors that are not `valid` take no part. Each length of
+    vectors has a tree of its own and is searched apart. A query id that occurs several times is answered
     once, for the smallest of its vectors; repeated candidates count as often as they occur. Ties go
     to the smaller id. Without queries or candidates the result is empty.
     """
@@ -130,12 +131,17 @@ def search(vectors: DataFrame, id_: str, vector: str, is_query: Column, nearest:
     base = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & valid(F.col(vector)))
     base = stored(base.withColumn("n", F.size("v")), "ann-valid")
     schema = "query_id long, rank int, vec_id long, score double"
-    usual = base.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    if usual is None:
-        return spark.createDataFrame([], schema)
-    base = base.where(F.col("n") == usual["n"]).drop("n")
-    rows = min(SAMPLE_ROWS, SAMPLE_VALUES // usual["n"] + 1)
-    sample = _matrix(smallest_hashes(base, usual["c"], rows, "id", "v").select("v").toArrow().column(0))
+    queries = base.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
+    lengths = base.groupBy("n").agg(F.count("*").alias("c")).orderBy("n").collect()
+    found = [_search(base.where(F.col("n") == r["n"]).drop("n"), queries.where(F.size("v") == r["n"]), r["n"], r["c"], nearest) for r in lengths]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
+
+
+def _search(base: DataFrame, queries: DataFrame, length: int, count: int, nearest: int) -> DataFrame:
+    """The answers of queries (id, v) from base (id, v), `count` rows of vectors of one length."""
+    spark = base.sparkSession
+    rows = min(SAMPLE_ROWS, SAMPLE_VALUES // length + 1)
+    sample = _matrix(smallest_hashes(base, count, rows, "id", "v").select("v").toArrow().column(0))
     tree = Tree(sample)
     visits = calibrate(tree, sample, nearest)
     known = spark.sparkContext.broadcast(tree)
@@ -209,7 +215,7 @@ def search(vectors: DataFrame, id_: str, vector: str, is_query: Column, nearest:
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
-    asked = base.where(is_query).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(ask, f"shard long, id long, v {kind}, leaves array<long>")
+    asked = queries.mapInArrow(ask, f"shard long, id long, v {kind}, leaves array<long>")
     sharded = placed.mapInArrow(members, f"shard long, id long, v {kind}, leaf long")
     found = sharded.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(best, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -232,6 +232,20 @@ def test_nearest_neighbours_recall(spark):
     assert set(got) == {i for i in rows if i % 20 == 0} and hits >= 0.9 * 20 * len(got)
 
 
+def test_each_length_of_vectors_is_searched(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4 if i < 30 else 3).tolist()) for i in range(50)] + [(40, rng.normal(size=4).tolist())]
+    got = {}
+    for r in search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("id") % 20 == 0, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = {}
+    for q in (0, 20, 40):
+        own = min(v for i, v in rows if i == q)
+        scores = sorted((-np.dot(own, v), i) for i, v in rows if i != q and len(v) == len(own))
+        want[q] = [i for _, i in scores[:5]]
+    assert got == want
+
+
 @pytest.mark.parametrize("rows,most", [(0, 5), (7, 10), (50_000, 40), (50_000, 5_000)])
 def test_sampled_rows_are_those_of_smallest_hash(spark, rows, most):
     df = spark.range(rows).withColumn("x", F.when(F.col("id") % 3 > 0, F.col("id") % 100))
