@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import scratch_root, table
+from folioflow.llm.common import scratch_root, stored, table
 from folioflow.llm.op01_bpe import decode, encode
 from folioflow.llm.op03_rules import quality_rules
 from folioflow.llm.op05_mix import mix
@@ -27,11 +27,18 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near-duplicates, once; rows without a doc_id pass."""
+    """One row of each group of near-duplicates: that of smallest doc_id, a null one last, then of smallest text."""
     ship(spark)
-    named = docs.where(F.col("doc_id").isNotNull())
-    stay = near_duplicates(named).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    keyed = docs.withColumn("__d", F.coalesce(F.md5("text"), F.lit("")))  # doc_id and digest tell rows apart
+    found = stored(near_duplicates(keyed, carry=("__d",)).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("root", "doc_id", "__d"), "pipeline-first")
+    low = found.groupBy("root").agg(F.min("__d").alias("__d"), F.max("__d").alias("__most"), F.min("doc_id").alias("doc_id"))
+    sole = low.where("__d = __most").select("doc_id", "__d")
+    # Texts are only read again where one doc_id, or none, has several.
+    tied = found.join(low.where("__d <> __most").select("root"), "root").distinct()
+    same = lambda x: keyed["doc_id"].cast("long").eqNullSafe(x["doc_id"]) & (keyed["__d"] == x["__d"])
+    texts = keyed.join(tied, same(tied)).groupBy(tied["root"], tied["doc_id"]).agg(F.min(F.struct(keyed["text"], keyed["__d"])).alias("x"))
+    stay = stored(sole.union(texts.select("doc_id", "x.__d")), "pipeline-stay")
+    return keyed.join(stay, same(stay), "left_semi").dropDuplicates(["doc_id", "__d"]).select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

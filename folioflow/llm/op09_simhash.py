@@ -55,15 +55,16 @@ def _ones(hashes: list[int]) -> np.ndarray:
     return np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp long (the fingerprint's bits as a signed number) for each row of docs."""
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp long (the fingerprint's bits as a signed number) and the columns of carry for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *carry])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInArrow(run, "doc_id long, fp long" + kinds)
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -218,20 +219,20 @@ def connected(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, reach: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, reach: int = RADIUS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fp, component_id for each row of docs: the smallest doc_id reachable over links of `reach` bits or fewer.
 
     Null and empty texts have fingerprint zero. A null doc_id takes part and is never the smallest
     unless a component has no other. Repeated rows stay repeated, other columns are ignored, an
-    empty table gives an empty one.
+    empty table gives an empty one. With carry its columns come along, and root, the component's own key.
     """
-    prints = stored(fingerprints(docs), "simhash")
+    prints = stored(fingerprints(docs, carry), "simhash")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots = connected(links(distinct, reach))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = stored(named.join(lowest, "root").select("fp", "component_id"), "simhash-components")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stored(named.join(lowest, "root").select("fp", "component_id", "root"), "simhash-components")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", *carry, *(["root"] if carry else []))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -292,6 +292,18 @@ def test_empty_pages_and_vectors(spark):
     assert search(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding", F.col("id") % 20 == 0).collect() == []
 
 
+def test_near_copies_judge_rows_not_ids(spark):
+    rng = random.Random(8)
+    text = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(5)]
+    a, b, c, d, e = text
+    rows = [(1, a), (2, b), (2, a), (2, c), (None, a), (None, d), (None, d), (None, d.upper()), (7, e), (7, e), (7, e.upper())]
+    docs = spark.createDataFrame([(*r, "en", "s", "x") for r in rows], DOCS)
+    got = corpus_pipeline.near_copies(spark, docs, DATA)
+    assert got.columns == docs.columns
+    want = [(1, a), (2, b), (2, c), (None, d.upper()), (7, e.upper())]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, DATA, "documents")
     kept = corpus_pipeline.rules(spark, docs, DATA).cache()
