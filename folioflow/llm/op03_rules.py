@@ -1,18 +1,20 @@
 """Quality rules: base rules, then minimum-covariance-determinant outliers per language and source.
 
-Everything here is DataFrame functions. A document's texts are read once into a row of statistics;
-the estimates concentrate on the half of each group that lies nearest to its centre (C-steps). The
-distance that holds half of a group comes from exact counts of distance bins, so every figure is a
-sum that is pre-aggregated before its shuffle and no group is ever gathered. Every group keeps its own
-estimate, shrunk by its count: a source's towards its language's, a language's towards that of all rows.
+Everything here is DataFrame functions. A document's texts are read once into a row of statistics.
+Three starts that need no chance take C-steps (each moves to the half of the group that lies nearest
+to its estimate); each group keeps the start of least determinant and takes C-steps until no group's
+determinant falls. The distance that holds half of a group is an exact discrete percentile of distance
+bins, a sum that is pre-aggregated before its shuffle, so no group is ever gathered. Every group keeps
+its own estimate, shrunk by its count: a source's towards its language's, a language's towards that of all rows.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import stored, table, words
@@ -24,14 +26,30 @@ DIMENSIONS = 6
 LEAST_ROWS = 5 * DIMENSIONS
 #: Rows that the next level's covariance and its centre count for beside a group's own.
 PRIOR_ROWS, PRIOR_CENTRE = 5 * DIMENSIONS, 1
-C_STEPS = 3
-#: Added to each variance: a statistic that is constant in a group still has a scale.
-RIDGE = 0.08**2
-#: Squared distance, over the consistency factor, beyond which a document is rejected.
-CUTOFF = 55.0
-#: Median of chi-squared with DIMENSIONS degrees of freedom: the nearest half is scaled to it.
-MEDIAN_CHI2 = 5.348
+#: C-steps that each start takes, C-steps of the best start at most, and the fall of a log determinant that counts as one.
+FIRST_STEPS, MOST_STEPS, LEAST_FALL = 2, 12, 1e-3
+STARTS = 3
+#: Added to each variance: what sampling alone gives a square-rooted rate over SHORT words, 1 / (4 * SHORT).
+SHORT = 40
+RIDGE = 1 / (4 * SHORT)
+#: Under normal vectors, the share of clean documents beyond the cutoff: under one in two billion.
+FALSE_ALARMS = 5e-10
 _BINS = 32  # bins for a distance's doubling
+_GRID = 128  # bins of a statistic's unit, for the percentiles that starts are made of
+
+
+def _chi2_above(share: float) -> float:
+    """The value that chi-squared with DIMENSIONS (even) degrees of freedom exceeds with that probability."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        x = (low + high) / 2
+        above = math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(DIMENSIONS // 2))
+        low, high = (x, high) if above > share else (low, x)
+    return high
+
+
+#: Squared distance, over the consistency factor, beyond which a document is rejected; and the distance that half of a group lies within.
+CUTOFF, MEDIAN_CHI2 = _chi2_above(FALSE_ALARMS), _chi2_above(0.5)
 
 
 def base_statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -117,29 +135,26 @@ def _bin(distance: Column) -> Column:
     return F.floor(F.log2(distance + 1e-6) * _BINS).cast("int")
 
 
-def _half(rows: DataFrame, distance: Column) -> DataFrame:
-    """Per group the first bin up to which at least half of its rows lie."""
-    # Counted by group and bin first; only the finished counts, few for a group, meet by group.
-    counts = rows.groupBy(*_KEYS, _bin(distance).alias("bin")).agg(F.count("*").alias("n")).repartition(*_KEYS)
-    w = Window.partitionBy(*_KEYS)  # bins of a group: bounded by the range of a double's logarithm
-    summed = counts.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "total": F.sum("n").over(w)})
-    return summed.where(2 * F.col("upto") >= F.col("total")).groupBy(*_KEYS).agg(F.min("bin").alias("half_bin"), F.first("total").alias("total"))
+def _half(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group the bin of d2 up to which at least half of its rows lie, from counts that the map side has summed."""
+    at = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY bin)").cast("int")
+    return rows.withColumn("bin", _bin(F.col("d2"))).groupBy(*keys).agg(at.alias("half_bin"), F.count("*").alias("total"))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and ridged covariance for each group."""
     p = DIMENSIONS
     sums = {f"m{i}": F.avg(f"x{i}") for i in range(p)} | {f"c{i}_{j}": F.covar_pop(f"x{i}", f"x{j}") for i in range(p) for j in range(i + 1)}
-    return rows.groupBy(*_KEYS).agg(*[c.alias(k) for k, c in sums.items()]).withColumns({f"c{i}_{i}": F.col(f"c{i}_{i}") + RIDGE for i in range(p)})
+    return rows.groupBy(*keys).agg(*[c.alias(k) for k, c in sums.items()]).withColumns({f"c{i}_{i}": F.col(f"c{i}_{i}") + RIDGE for i in range(p)})
 
 
 def _factored(df: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor of the covariance."""
+    """Adds the Cholesky factor of the covariance and the log of its determinant."""
     for i in range(DIMENSIONS):
         for j in range(i + 1):
             inner = F.col(f"c{i}_{j}") - reduce(add, [F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)], F.lit(0.0))
             df = df.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(inner, F.lit(RIDGE / 4))) if i == j else inner / F.col(f"l{j}_{j}"))
-    return df
+    return df.withColumn("log_det", 2 * reduce(add, [F.ln(f"l{i}_{i}") for i in range(DIMENSIONS)]))
 
 
 def _shrunk(own: DataFrame, prior: DataFrame, on: list[str]) -> DataFrame:
@@ -169,34 +184,58 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", reduce(add, [F.col(f"y{i}") ** 2 for i in range(DIMENSIONS)]))
 
 
+def _starts(leveled: DataFrame) -> DataFrame:
+    """One row per start and group: 0 a unit ball around the medians, 1 the medians with the quartiles' spread, 2 mean and covariance of all rows."""
+    p = DIMENSIONS
+    share = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY g{i})").alias(f"q{i}_{at}") for i in range(p) for at, q in enumerate((0.25, 0.5, 0.75))]
+    gridded = leveled.select(*_KEYS, *[F.round(F.col(f"x{i}") * _GRID).cast("int").alias(f"g{i}") for i in range(p)])
+    quartiles = gridded.groupBy(*_KEYS).agg(*share)
+    # A normal variable's quartiles lie 1.349 standard deviations apart.
+    spread = [((F.col(f"q{i}_2") - F.col(f"q{i}_0")) / (1.349 * _GRID)) ** 2 + RIDGE for i in range(p)]
+    middle = {f"m{i}": F.col(f"q{i}_1") / _GRID for i in range(p)}
+    square = lambda own: {f"c{i}_{j}": own[i] if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)}
+    made = [_moments(leveled, _KEYS)] + [quartiles.select(*_KEYS, *[c.alias(k) for k, c in (middle | square(v)).items()]) for v in ([F.lit(1.0)] * p, spread)]
+    return reduce(DataFrame.unionByName, [df.withColumn("start", F.lit(i)) for i, df in zip((2, 0, 1), made, strict=True)])
+
+
+def _step(leveled: DataFrame, model: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """One C-step: the estimate of the nearest half of each group, by the distance of the model before."""
+    near = _distance(leveled.join(model, _KEYS)).select(*keys, *[f"x{i}" for i in range(DIMENSIONS)], "d2")
+    half = stored(_half(near, keys), f"rules-half{name}")
+    return stored(_factored(_moments(near.join(half, keys).where(_bin(F.col("d2")) <= F.col("half_bin")), keys)), f"rules-model{name}")
+
+
 def estimates(rows: DataFrame) -> DataFrame:
     """g_lang, g_source, mean, factor: the shrunk MCD estimate of every language and source whose language bears one.
 
-    Starts at the rows near the coordinatewise medians, which exact bin counts give, then takes
-    C_STEPS concentration steps. Each step reads the small table of vectors only.
+    Each step reads the small table of vectors only; a group whose determinant no longer falls keeps its estimate.
     """
     p = DIMENSIONS
     x = [f"x{i}" for i in range(p)]
     leveled = stored(reduce(DataFrame.union, [_level(rows.select("lang", "source", *x), i) for i in range(3)]).select(*_KEYS, *x), "rules-levels")
-    long = leveled.select(*_KEYS, F.posexplode(F.array(*x)).alias("at", "x"))
-    w = Window.partitionBy(*_KEYS, "at")
-    counts = long.groupBy(*_KEYS, "at", F.round(F.col("x") * 128).cast("int").alias("bin")).agg(F.count("*").alias("n")).repartition(*_KEYS, "at")
-    summed = counts.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "total": F.sum("n").over(w)})
-    medians = summed.where(2 * F.col("upto") >= F.col("total")).groupBy(*_KEYS).pivot("at", list(range(p))).agg((F.min("bin") / 128.0))
-    medians = stored(medians.select(*_KEYS, *[F.col(str(i)).alias(f"m{i}") for i in range(p)]), "rules-medians")
-    at_first = leveled.join(medians, _KEYS).withColumn("d2", reduce(add, [(F.col(f"x{i}") - F.col(f"m{i}")) ** 2 for i in range(p)]))
-    near = at_first
-    for step in range(C_STEPS):
-        half = stored(_half(near, F.col("d2")), f"rules-half{step}")
-        model = stored(_factored(_moments(near.join(half, _KEYS).where(_bin(F.col("d2")) <= F.col("half_bin")))), f"rules-model{step}")
-        near = _distance(leveled.join(model, _KEYS))
-    half = _half(near, F.col("d2"))
+    model = stored(_factored(_starts(leveled)), "rules-starts")
+    for step in range(FIRST_STEPS):
+        model = _step(leveled, model, [*_KEYS, "start"], f"-first{step}")
+    best = model.groupBy(*_KEYS).agg(F.min_by("start", F.struct("log_det", "start")).alias("start"))
+    model = stored(model.join(best, [*_KEYS, "start"]).drop("start"), "rules-best")
+    for step in range(MOST_STEPS):
+        before = model
+        own = [c for c in before.columns if c not in _KEYS]
+        new = _step(leveled, before, _KEYS, str(step)).select(*_KEYS, F.struct(*own).alias("new"))
+        both = before.select(*_KEYS, F.struct(*own).alias("old")).join(new, _KEYS)
+        falls = F.col("new.log_det") < F.col("old.log_det") - LEAST_FALL
+        model = stored(both.select(*_KEYS, falls.alias("falls"), F.when(falls, F.col("new")).otherwise(F.col("old")).alias("own")).select(*_KEYS, "falls", "own.*"), f"rules-kept{step}")
+        moved = model.where("falls").limit(1).count()
+        model = model.drop("falls")
+        if not moved:
+            break
+    half = _half(_distance(leveled.join(model, _KEYS)), _KEYS)
     scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("half_bin") + 1) / _BINS) / MEDIAN_CHI2)
     names = [f"c{i}_{j}" for i in range(p) for j in range(i + 1)]
     own = stored(model.join(half, _KEYS).withColumn("scale", scale).select(*_KEYS, "total", *[f"m{i}" for i in range(p)], *[(F.col(c) * F.col("scale")).alias(c) for c in names]), "rules-own")
     level = [own.where(F.col("level") == i).drop("level") for i in range(3)]
     languages = _shrunk(level[1].where(F.col("total") >= LEAST_ROWS), level[0], [])
-    return stored(_factored(_shrunk(level[2], languages, ["g_lang"])).drop("total", *names), "rules-estimates")
+    return stored(_factored(_shrunk(level[2], languages, ["g_lang"])).drop("total", "log_det", *names), "rules-estimates")
 
 
 def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
