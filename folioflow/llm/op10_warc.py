@@ -1,12 +1,14 @@
 """WARC: write pages as archives, read them back, and merge their index into ordered capture histories.
 
-Every archive that is read gives runs of captures sorted by (URL key, time, page). The runs are cut
-at common boundaries, and the pieces of a range are merged by a k-way loser tree, so the ranges in
-their order are one globally sorted index.
+Archives are cut by bytes, so one is read as one row of bounded size. Each gives a run of captures
+sorted by (URL key, time, page, place). The runs are cut at common boundaries, as many as the number of
+captures asks for, and the pieces of a range, whose size doesn't grow with the table, are merged by a
+k-way loser tree. The ranges in their order are one globally sorted index.
 """
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -14,15 +16,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import partitions, scratch_root, smallest_hashes, stored, table
+from folioflow.llm.common import blocks, partitions, scratch_root, smallest_hashes, stored, table
 
 #: Fixed values of the WARC format.
 _CRLF = "\r\n"
 _END = "\r\n\r\n"
+_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SMALLEST = 100
-RECORDS_A_FILE = 1_000
-#: Keys sampled over all runs for the boundaries of the merged ranges.
-SAMPLED = 4_096
+#: Bounds of an archive; a record that is larger than FILE_BYTES stands alone in its archive.
+RECORDS_A_FILE, FILE_BYTES = 1_000, 32 << 20
+#: Captures that a merged range is meant to hold, and keys that are sampled for each range's boundary.
+RANGE_ROWS, SAMPLED_A_RANGE = 100_000, 16
 
 
 def url_key(url: Column) -> Column:
@@ -32,40 +36,56 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(bare, r"^[^/?]*", ""))
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """One WARC record per row of pages, as record string, with the columns that its header holds.
+def records(pages: DataFrame, captured: Column | None = None) -> DataFrame:
+    """page_id and record string: one WARC record for each row of pages.
 
     A null html is an empty payload. Of equal payloads of SMALLEST bytes or more the row of smallest
     page_id is the response, the others are revisits of it without a body; rows that share that
     smallest page_id are all responses. A null page_id compares as the largest. A null url is empty.
+    Record ids are UUIDs made of a random name of this call and the row's place, so repeated rows
+    have ids of their own. captured is the time of capture, a timestamp over pages; without it the
+    time is made from page_id, since the tables hold none: page n is n seconds after a fixed day.
     """
     html = F.coalesce("html", F.lit(""))
+    made = F.timestamp_seconds(F.lit(1_600_000_000) + F.coalesce(F.col("page_id").cast("long"), F.lit(0)) % 100_000_000)
     df = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", "").alias("url"),
+        F.date_format(F.coalesce(captured, made) if captured is not None else made, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
         html.alias("html"),
         F.octet_length(html).cast("long").alias("payload_bytes"),
         F.sha2(html.cast("binary"), 256).alias("payload_digest"),
     )
-    # Ids and digests only are shuffled to find the first of each payload; the payloads stay where they are.
-    light = df.where(F.col("payload_bytes") >= SMALLEST).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    # Ids, URLs and digests only are shuffled to find the first of each payload; the payloads stay where they are.
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "date")))
+    light = df.where(F.col("payload_bytes") >= SMALLEST).groupBy("payload_digest").agg(first.alias("first"), F.count("*").alias("n"))
     repeated = stored(light.where("n > 1").drop("n"), "warc-repeated")
     df = df.join(repeated, "payload_digest", "left")
-    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    df = df.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first_id")))
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    df = df.withColumn("record_type", F.when(again, "revisit").otherwise("response"))
     body = F.when(again, F.lit("")).otherwise(F.col("html"))
-    seconds = F.timestamp_seconds(F.lit(1_600_000_000) + F.coalesce(F.col("page_id"), F.lit(0)) % 100_000_000)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_CRLF))
+    hex_ = F.md5(F.concat(F.lit(uuid.uuid4().hex), F.monotonically_increasing_id().cast("string")))
+    urn = F.concat(F.lit("<urn:uuid:"), F.regexp_replace(hex_, "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-4$3-8$4-$5"), F.lit(">"))
     header = F.concat(
         F.lit("WARC/1.1" + _CRLF),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(">"))),
-        line("WARC-Date", F.date_format(seconds, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Record-ID", urn),
+        line("WARC-Date", F.col("date")),
         line("WARC-Target-URI", F.col("url")),
         line("X-URL-Key", url_key(F.col("url"))),
+        F.when(F.col("page_id").isNotNull(), line("X-Page-ID", F.col("page_id").cast("string"))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         line("X-Payload-Length", F.col("payload_bytes").cast("string")),
-        F.when(again, line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))).otherwise(F.lit("")),
+        F.when(
+            again,
+            F.concat(
+                line("WARC-Profile", F.lit(_PROFILE)),
+                line("WARC-Refers-To-Target-URI", F.col("first.url")),
+                line("WARC-Refers-To-Date", F.col("first.date")),
+                line("X-Refers-To-Page-ID", F.col("first.page_id").cast("string")),
+            ),
+        ).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.octet_length(body).cast("string")),
         F.lit(_CRLF),
@@ -73,9 +93,18 @@ def records(pages: DataFrame) -> DataFrame:
     return df.select("page_id", F.concat(header, body).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str) -> str:
-    """WARC files below path, RECORDS_A_FILE records each at most: the text writer ends a record by two line ends."""
-    records(pages).select("record").write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+def write_archives(pages: DataFrame, path: str, captured: Column | None = None) -> str:
+    """WARC files below path of RECORDS_A_FILE records and FILE_BYTES bytes at most; the text writer ends a record by two line ends.
+
+    Records that are too large for RECORDS_A_FILE of them to fit go by classes, each of twice the
+    size of the one before: a folder takes so many consecutive rows that all of its class would fit.
+    """
+    small = FILE_BYTES // RECORDS_A_FILE
+    class_ = F.greatest(F.lit(0), F.ceil(F.log2(F.octet_length("record") / small))).cast("int")
+    fit = F.greatest(F.lit(1), F.floor(F.lit(RECORDS_A_FILE) / F.pow(F.lit(2), F.col("class"))))
+    folder = F.when(F.col("class") == 0, "0").otherwise(F.concat_ws("-", "class", F.floor(F.monotonically_increasing_id() / fit)))
+    rows = records(pages, captured).select("record", class_.alias("class")).select("record", folder.alias("folder"))
+    rows.write.partitionBy("folder").option("lineSep", _END).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
     return path
 
 
@@ -96,9 +125,8 @@ _CAPTURE = "key string, stamp string, page_id long, payload_bytes long, payload_
 _FIELDS = [x.split()[0] for x in _CAPTURE.split(", ")]
 
 
-def _urn(text: str | None) -> int | None:
-    inner = (text or "<urn:page:null>")[len("<urn:page:") : -1]
-    return None if inner == "null" else int(inner)
+def _number(text: str | None) -> int | None:
+    return None if text is None else int(text)
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
@@ -116,14 +144,13 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
                     if h["WARC-Type"] == "response" and hashlib.sha256(x["body"]).hexdigest() != digest:
                         raise ValueError(f"{file} at {x['offset']}: the payload has another digest")
                     size = len(x["body"]) if h["WARC-Type"] == "response" else int(h["X-Payload-Length"])
-                    out.append((h["X-URL-Key"], h["WARC-Date"], _urn(h["WARC-Record-ID"]), size, digest, h["WARC-Type"], _urn(h.get("WARC-Refers-To")), file, x["offset"]))
+                    out.append((h["X-URL-Key"], h["WARC-Date"], _number(h.get("X-Page-ID")), size, digest, h["WARC-Type"], _number(h.get("X-Refers-To-Page-ID")), file, x["offset"]))
                 out.sort(key=_order)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([file]), pa.array([[dict(zip(_FIELDS, x, strict=True)) for x in out]], pa.list_(_ARROW))], ["run", "captures"]
                 )
 
-    # A small read size: an archive of a few MB becomes one row, and one task gets a handful of them.
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(read, f"run string, captures array<struct<{_CAPTURE.replace(' ', ':').replace(',:', ',')}>>")
 
 
@@ -173,48 +200,64 @@ class LoserTree:
             self._replay(run)
 
 
-def merged(sorted_runs: DataFrame, ranges: int) -> DataFrame:
+def _orders(captures: pa.StructArray) -> list[tuple]:
+    """The global order of captures: URL key, time, page (null last), then file and offset, which no two share."""
+    key, stamp, page, file, offset = (captures.field(_FIELDS.index(n)).to_pylist() for n in ("key", "stamp", "page_id", "file", "offset"))
+    return [(k, t, p is None, p or 0, f, o) for k, t, p, f, o in zip(key, stamp, page, file, offset, strict=True)]
+
+
+def merged(sorted_runs: DataFrame, least_ranges: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The captures of all runs with range and place: (range, place) is their global order.
 
-    The boundaries come from at most SAMPLED keys; a key is (URL key, time, page), so the captures
-    of one host or URL are spread over ranges too.
+    There are as many ranges as hold range_rows captures each, `least_ranges` at least. Boundaries come
+    from SAMPLED_A_RANGE keys a range and compare captures to the last field, so repeated rows of one
+    page are cut as well.
     """
-    key = F.struct(*[F.col("c")[n].alias(n) for n in ("key", "stamp", "page_id")])
-    keys = sorted_runs.select(F.explode("captures").alias("c")).select(key.alias("k"))
-    sample = sorted((r[0][0], r[0][1], r[0][2] is None, r[0][2] or 0) for r in smallest_hashes(keys, keys.count(), SAMPLED, "k").collect())
+    every = sorted_runs.select(F.explode("captures").alias("c")).select("c.key", "c.stamp", "c.page_id", "c.file", "c.offset")
+    count = every.count()
+    ranges = max(least_ranges, blocks(count, range_rows))
+    got = smallest_hashes(every, count, SAMPLED_A_RANGE * ranges, *every.columns).collect()
+    sample = sorted((r.key, r.stamp, r.page_id is None, r.page_id or 0, r.file, r.offset) for r in got)
     bounds = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run, captures in zip(batch.column(0), batch.column(1), strict=True):
-                rows = captures.as_py()
-                at = [(x["key"], x["stamp"], x["page_id"] is None, x["page_id"] or 0) for x in rows]
-                ends = [0, *(bisect_left(at, b) for b in bounds), len(rows)]
-                for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
-                    if a < b:
-                        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([run.as_py()]), pa.array([rows[a:b]], pa.list_(_ARROW))], ["range", "run", "captures"])
+            for i in range(batch.num_rows):
+                captures = batch.column(1).slice(i, 1).flatten()
+                at = _orders(captures)
+                # Only the boundaries between the run's ends are looked at.
+                low = bisect_left(bounds, at[0]) if at else 0
+                start = 0
+                while start < len(at):
+                    while low < len(bounds) and bounds[low] <= at[start]:
+                        low += 1
+                    stop = bisect_left(at, bounds[low], start) if low < len(bounds) else len(at)
+                    piece = pa.ListArray.from_arrays(pa.array([0, stop - start], pa.int32()), captures.slice(start, stop - start))
+                    yield pa.RecordBatch.from_arrays([pa.array([low]), batch.column(0).slice(i, 1), piece], ["range", "run", "captures"])
+                    start = stop
 
     def merge(pieces: pa.Table) -> pa.Table:
-        pieces = pieces.sort_by("run")
-        heads = [[(_order(t := tuple(x[n] for n in _FIELDS)), t) for x in c] for c in pieces.column("captures").to_pylist()]
-        rows = [t for _, t in LoserTree(heads)]
-        columns = list(zip(*rows, strict=True))
-        return pa.table(
-            [pa.array([pieces.column("range")[0].as_py()] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64()), *[pa.array(c, _ARROW.field(i).type) for i, c in enumerate(columns)]],
-            names=["range", "place", *_FIELDS],
-        )
+        pieces = pieces.sort_by("run").combine_chunks()
+        lists = pieces.column("captures").combine_chunks()
+        captures = lists.flatten()
+        orders = _orders(captures)
+        ends = [0]
+        for n in lists.value_lengths().to_pylist():
+            ends.append(ends[-1] + n)
+        heads = [list(zip(orders[a:b], range(a, b), strict=True)) for a, b in zip(ends, ends[1:], strict=False)]
+        captures = captures.take(pa.array([i for _, i in LoserTree(heads)], pa.int64()))
+        n = len(captures)
+        return pa.table([pa.array([pieces.column("range")[0].as_py()] * n, pa.int64()), pa.array(range(n), pa.int64()), *captures.flatten()], names=["range", "place", *_FIELDS])
 
     captures = sorted_runs.schema["captures"].dataType.simpleString()
     pieces = sorted_runs.mapInArrow(cut, f"range long, run string, captures {captures}")
     return pieces.groupBy("range").applyInArrow(merge, f"range long, place long, {_CAPTURE}")
 
 
-def capture_index(pages: DataFrame) -> DataFrame:
+def capture_index(pages: DataFrame, captured: Column | None = None) -> DataFrame:
     """Write pages as archives in the shared folder, read these back and give their merged index."""
-    import uuid
-
     spark = pages.sparkSession
-    path = write_archives(pages, f"{scratch_root(spark)}/folioflow-{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}")
+    path = write_archives(pages, f"{scratch_root(spark)}/folioflow-{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}", captured)
     return merged(stored(runs(spark, path), "warc-runs"), 2 * partitions(spark))
 
 

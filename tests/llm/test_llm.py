@@ -268,6 +268,41 @@ def test_warc_round_trip(spark):
     assert keys == sorted(keys)
 
 
+def test_archives_are_cut_by_bytes_and_revisits_name_their_response(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op10_warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(op10_warc, "RECORDS_A_FILE", 20)
+    rng = random.Random(2)
+    rows = [(i, f"https://h{i % 3}.example/{i}", chr(97 + i % 26) * rng.choice([50, 300, 3_000, 9_000, 60_000])) for i in range(120)] + [(3, "https://h/3", "c" * 300)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = op10_warc.write_archives(pages, str(tmp_path / "w"))
+    seen, ids = [], []
+    for file in (tmp_path / "w").rglob("part-*"):
+        raw = file.read_bytes()
+        own = list(op10_warc.parse(raw))
+        assert len(own) <= 20 and (len(raw) <= 44_000 or len(own) == 1)
+        seen += own
+        ids += [x["fields"]["WARC-Record-ID"] for x in own]
+    assert len(seen) == len(rows) and len(set(ids)) == len(ids)
+    dates = {int(x["fields"]["X-Page-ID"]): x["fields"]["WARC-Date"] for x in seen}
+    for x in seen:
+        if x["fields"]["WARC-Type"] == "revisit":
+            assert x["fields"]["WARC-Profile"].endswith("/revisit/identical-payload-digest") and not x["body"]
+            assert x["fields"]["WARC-Refers-To-Date"] == dates[int(x["fields"]["X-Refers-To-Page-ID"])]
+    got = op10_warc.merged(op10_warc.runs(spark, path), 1, 10).collect()
+    sizes = Counter(r.range for r in got)
+    # 13 ranges of about ten captures; the most in one stays a small multiple of that
+    assert len(got) == len(rows) and 6 <= len(sizes) <= 13 and max(sizes.values()) <= 40
+    order = [(r.key, r.stamp, r.page_id) for r in sorted(got, key=lambda r: (r.range, r.place))]
+    assert order == sorted(order)
+
+
+def test_repeats_of_one_page_are_spread_over_ranges(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 200)] * 300 + [(2, "v", "y")], "page_id long, url string, html string")
+    got = op10_warc.capture_index(pages).collect()
+    assert Counter(r.record_type for r in got) == {"response": 301}
+    assert max(Counter(r.range for r in got).values()) < 150
+
+
 def test_loser_tree_merges():
     rng = random.Random(3)
     for k in (0, 1, 2, 5, 8):
