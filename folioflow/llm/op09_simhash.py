@@ -1,10 +1,13 @@
 """SimHash near-dedup by vantage-point trees over Hamming distance.
 
-Of two fingerprints within RADIUS bits, one half of 32 bits differs in RADIUS // 2 bits at most. For
-each half a vantage-point tree, built over a bounded sample, partitions all distinct fingerprints
-into shards; a fingerprint lives in one shard and also queries each shard that its ball of radius
-RADIUS // 2 overlaps, by the triangle inequality. Within a shard a tree over all 64 bits answers the
-queries exactly. A shard reports the links' components, not the pairs; these are then connected.
+Of two fingerprints within RADIUS bits, one quarter of 16 bits differs in RADIUS // 4 bits at most, so
+for RADIUS 3 in none. For each quarter a vantage-point tree, built over exact counts of the quarter's
+values (65,536 at most), partitions all distinct fingerprints into shards; a fingerprint lives in one
+shard of each and also queries each shard that its ball of radius RADIUS // 4 overlaps, by the triangle
+inequality. A shard that is too large, since many fingerprints share a quarter, is split by the trees of
+the other three quarters, of which one differs in RADIUS // 3 bits at most, again with queries to all
+shards that the ball overlaps. Within a shard trees answer the queries exactly. A shard reports the
+links' components, not the pairs; these are then connected.
 """
 
 from __future__ import annotations
@@ -17,16 +20,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import partitions, smallest_hashes, stored, table
+from folioflow.llm.common import partitions, stored, table
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: Fingerprints that the shards' trees are built from, at most.
-SAMPLED = 8_192
-#: Fingerprints a shard is meant to hold.
-SHARD = 8_192
-LEAF = 64
+QUARTERS, WIDTH = 4, 16
+#: Fingerprints a shard is meant to hold, and how many times as many make it split further.
+SHARD, OVERSIZE = 8_192, 16
+#: Points of a leaf within a shard; points of one quarter's value that a tree of its own orders.
+LEAF, CROWD = 64, 2_048
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -71,27 +74,39 @@ def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
+def quarter(fp: np.ndarray, which: int) -> np.ndarray:
+    return (fp >> np.uint64(WIDTH * which)) & np.uint64((1 << WIDTH) - 1)
+
+
 class VantageTree:
-    """A vantage-point tree over unsigned integers: left of a node is what lies within its radius of its vantage point."""
+    """A vantage-point tree over unsigned integers: left of a node is what lies within its radius of its vantage point.
+
+    A node of more than `leaf` weight splits, unless its points are equal.
+    """
 
-    def __init__(self, points: np.ndarray, leaf: int, rng: np.random.Generator):
-        self.nodes: list[tuple] = []  # (vantage, radius, left, right) or (None, places)
+    def __init__(self, points: np.ndarray, leaf: int, rng: np.random.Generator, weights: np.ndarray | None = None):
+        self.nodes: list[tuple] = []  # (vantage, radius, left, right) or (None, places, number of the leaf)
         self.leaves = 0
+        self.weights = np.ones(len(points)) if weights is None else weights.astype(np.float64)
         self._build(points, np.arange(len(points)), leaf, rng)
+        del self.weights
 
     def _build(self, points: np.ndarray, at: np.ndarray, leaf: int, rng: np.random.Generator) -> int:
         here = len(self.nodes)
         self.nodes.append(())
-        if len(at) > leaf:
-            # Of some vantage points take the one whose split is even and whose boundary few points are near.
+        weight = self.weights[at]
+        total = weight.sum()
+        if total > leaf and len(at) > 1:
+            # The most even split whose boundary few points are near; the heaviest point is a candidate, so a hot one can be split off.
             best = None
-            for vantage in points[at[rng.integers(0, len(at), 8)]]:
+            for vantage in points[at[np.append(rng.integers(0, len(at), 7), weight.argmax())]]:
                 d = distance(points[at], vantage).astype(np.int64)
-                counts = np.bincount(d, minlength=66)
+                counts = np.bincount(d, weight, minlength=66)
                 upto = np.cumsum(counts)
                 near = counts + np.append(counts[1:], 0)
-                for radius in np.flatnonzero((upto > len(at) * 0.3) & (upto < len(at) * 0.7)):
-                    key = (int(near[radius]), abs(int(upto[radius]) * 2 - len(at)))
+                for radius in np.flatnonzero((upto > 0) & (upto < total) & (counts > 0)):
+                    uneven = abs(upto[radius] * 2 - total)
+                    key = (uneven > 0.4 * total, near[radius] if uneven <= 0.4 * total else uneven, uneven)
                     if best is None or key < best[0]:
                         best = (key, vantage, int(radius), d)
             if best:
@@ -104,6 +119,18 @@ class VantageTree:
         self.leaves += 1
         return here
 
+    def bare(self) -> VantageTree:
+        """Without the places in the leaves, to send it to others."""
+        self.nodes = [(None, None, n[2]) if n[0] is None else n for n in self.nodes]
+        return self
+
+    def homes(self, queries: np.ndarray) -> np.ndarray:
+        """The leaf that each query lies in."""
+        out = np.zeros(len(queries), np.int64)
+        for (_, _, leaf), at in self.visit(queries, 0):
+            out[at] = leaf
+        return out
+
     def visit(self, queries: np.ndarray, reach: int) -> Iterator[tuple[tuple, np.ndarray]]:
         """Each leaf with the places of the queries whose ball of that reach may overlap it."""
         todo = [(0, np.arange(len(queries)))] if len(queries) else []
@@ -137,64 +164,105 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def shard_components(members: np.ndarray, visitors: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints that have a link in this shard, and for each the smallest of its component here."""
+def shard_components(members: np.ndarray, visitors: np.ndarray, which: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints that have a link in this shard, and for each the smallest of its component here.
+
+    A link has one end among the members, and differs in reach // QUARTERS bits of the quarter `which` at most.
+    """
     points = np.concatenate([members, visitors])
-    tree = VantageTree(members, LEAF, np.random.default_rng(1))
-    label = np.arange(len(points))
-    held_a, held_b, held = [], [], 0
-    for (_, places, _), at in tree.visit(points, reach):
-        for start in range(0, len(at), 4_096):
-            part = at[start : start + 4_096]
+    state = {"label": np.arange(len(points)), "held": 0}
+    held_a, held_b = [], []
+
+    def link() -> None:
+        if held_a:
+            state["label"] = join_labels(state["label"], np.concatenate(held_a), np.concatenate(held_b))
+            held_a.clear(), held_b.clear()
+            state["held"] = 0
+
+    def compare(places: np.ndarray, at: np.ndarray) -> None:
+        step = max(1, (1 << 22) // max(len(places), 1))
+        for start in range(0, len(at), step):
+            part = at[start : start + step]
             x, y = np.nonzero(distance(points[part][:, None], members[places][None, :]) <= reach)
             a, b = part[x], places[y]
             some = a != b
             held_a.append(a[some])
             held_b.append(b[some])
-            held += int(some.sum())
-            if held > 500_000:
-                label = join_labels(label, np.concatenate(held_a), np.concatenate(held_b))
-                held_a, held_b, held = [], [], 0
-    if held:
-        label = join_labels(label, np.concatenate(held_a), np.concatenate(held_b))
-    root = label
+            state["held"] += int(some.sum())
+            if state["held"] > 500_000:
+                link()
+
+    own = quarter(members, which)
+    values, at, counts = np.unique(own, return_inverse=True, return_counts=True)
+    tree = VantageTree(values, LEAF, np.random.default_rng(1), counts)
+    order = np.argsort(at, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    for (_, kinds, _), asking in tree.visit(quarter(points, which), reach // QUARTERS):
+        places = np.concatenate([order[ends[k] : ends[k + 1]] for k in kinds])
+        if len(places) <= CROWD:
+            compare(places, asking)
+            continue
+        # Many fingerprints share the quarter: a tree over all bits.
+        crowd = VantageTree(members[places], LEAF, np.random.default_rng(2))
+        for (_, inner, _), near in crowd.visit(points[asking], reach):
+            compare(places[inner], asking[near])
+    link()
+    root = state["label"]
     linked = np.flatnonzero(root != np.arange(len(points)))
     return points[linked], points[root[linked]]
 
 
 def links(distinct: DataFrame, reach: int = RADIUS) -> DataFrame:
-    """a, b: edges among the distinct fingerprints `fp` whose components are those of all pairs within reach."""
-    count = distinct.count()
-    sample = np.array([r[0] for r in smallest_hashes(distinct.select("fp"), count, SAMPLED, "fp").collect()], np.int64).view(np.uint64)
-    shards = max(count // SHARD + 1, min(partitions(distinct.sparkSession), count // 512 + 1))
-    trees = []
-    for half in (0, 1):
-        points = (sample >> np.uint64(32)) if half == 0 else (sample & np.uint64(0xFFFFFFFF))
-        trees.append(VantageTree(points, max(2, len(sample) // shards), np.random.default_rng(half)))
-    shared = distinct.sparkSession.sparkContext.broadcast(trees)
+    """a, b: edges among the distinct fingerprints `fp` whose components are those of all pairs within reach.
+
+    The driver sees one count for each value of each quarter, 4 * 65,536 at most, and one for each of the
+    trees' leaves, which are fewer. A fingerprint is sent once for each quarter, and more often where
+    its ball overlaps shards only if its shard is oversize or reach is above 3.
+    """
+    spark = distinct.sparkSession
+    fp = F.col("fp")
+    part = lambda k: F.shiftrightunsigned(fp, WIDTH * k).bitwiseAND(F.lit((1 << WIDTH) - 1))
+    values = distinct.select(F.posexplode(F.array(*[part(k) for k in range(QUARTERS)])).alias("k", "v")).groupBy("k", "v").count().toArrow().sort_by([("k", "ascending"), ("v", "ascending")])
+    kind, value, times = (values.column(c).to_numpy() for c in ("k", "v", "count"))
+    count = int(times[kind == 0].sum())
+    shards = max(count // SHARD + 1, min(partitions(spark), count // 512 + 1))
+    trees, large = [], []
+    for k in range(QUARTERS):
+        own, weight = value[kind == k].astype(np.uint64), times[kind == k]
+        tree = VantageTree(own, max(2, count // shards), np.random.default_rng(k), weight)
+        held = np.bincount(tree.homes(own), weight, tree.leaves)
+        trees.append(tree.bare())
+        large.append(held > OVERSIZE * SHARD)
+    shared = spark.sparkContext.broadcast((trees, large))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, large = shared.value
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for half, tree in enumerate(shared.value):
-                points = (fp >> np.uint64(32)) if half == 0 else (fp & np.uint64(0xFFFFFFFF))
-                home = np.full(len(fp), -1)
-                for (_, _, leaf), at in tree.visit(points, 0):
-                    home[at] = leaf
-                for (_, _, leaf), at in tree.visit(points, reach // 2):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), leaf * 2 + half, np.int64)), pa.array(fp[at].view(np.int64)), pa.array(home[at] == leaf)],
-                        ["shard", "fp", "member"],
-                    )
+            homes = [tree.homes(quarter(fp, k)) for k, tree in enumerate(trees)]
+            for k in range(QUARTERS):
+                for (_, _, leaf), at in trees[k].visit(quarter(fp, k), reach // QUARTERS):
+                    if not large[k][leaf]:
+                        yield _sent((k, leaf, k, 0), fp[at], homes[k][at] == leaf)
+                        continue
+                    for other in set(range(QUARTERS)) - {k}:
+                        for (_, _, inner), near in trees[other].visit(quarter(fp[at], other), reach // (QUARTERS - 1)):
+                            yield _sent((k, leaf, other, inner + 1), fp[at][near], (homes[k][at][near] == leaf) & (homes[other][at][near] == inner))
 
     def search(rows: pa.Table) -> pa.Table:
-        fp = np.sort(rows.filter(rows.column("member")).column("fp").to_numpy().view(np.uint64))
-        others = np.sort(rows.filter(pc.invert(rows.column("member"))).column("fp").to_numpy().view(np.uint64))
-        a, b = shard_components(fp, others, reach)
+        # Repeats come of a retried batch only; one is enough.
+        own = np.unique(rows.filter(rows.column("member")).column("fp").to_numpy().view(np.uint64))
+        others = np.unique(rows.filter(pc.invert(rows.column("member"))).column("fp").to_numpy().view(np.uint64))
+        a, b = shard_components(own, others, rows.column("k")[0].as_py(), reach)
         return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    routed = distinct.select("fp").mapInArrow(route, "shard long, fp long, member boolean")
-    return routed.groupBy("shard").applyInArrow(search, "a long, b long")
+    routed = distinct.select("fp").mapInArrow(route, "k int, leaf int, other int, inner int, fp long, member boolean")
+    return routed.groupBy("k", "leaf", "other", "inner").applyInArrow(search, "a long, b long")
+
+
+def _sent(shard: tuple[int, int, int, int], fp: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
+    keys = [pa.array(np.full(len(fp), x, np.int32)) for x in shard]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(fp.view(np.int64)), pa.array(member)], ["k", "leaf", "other", "inner", "fp", "member"])
 
 
 def connected(edges: DataFrame) -> DataFrame:

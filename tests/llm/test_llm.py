@@ -202,6 +202,45 @@ def test_simhash_components_equal_brute_force(spark, odd):
         assert sorted(map(tuple, op09_simhash.near_duplicates(docs).collect()), key=str) == want
 
 
+def planted_prints(rng, hot):
+    """Random fingerprints and near ones; `hot` of them share one quarter."""
+    base = rng.integers(0, 1 << 64, 3_000, dtype=np.uint64)
+    base[:hot] = (base[:hot] & ~np.uint64(0xFFFF0000)) | np.uint64(0x12340000)
+    near = base[rng.integers(0, len(base), 1_500)]
+    for _ in range(4):
+        near = near ^ (np.uint64(1) << rng.integers(0, 64, len(near)).astype(np.uint64))
+    return np.unique(np.concatenate([base, near, base[:50] ^ np.uint64(7), base[:50] ^ np.uint64(15)]))
+
+
+@pytest.mark.parametrize("hot,shard,over", [(0, 64, 16), (2_500, 64, 16), (2_500, 64, 1), (2_500, 8_192, 16)])
+def test_links_equal_brute_force(spark, monkeypatch, hot, shard, over):
+    monkeypatch.setattr(op09_simhash, "SHARD", shard)
+    monkeypatch.setattr(op09_simhash, "OVERSIZE", over)
+    fp = planted_prints(np.random.default_rng(hot + shard), hot)
+    df = spark.createDataFrame([(x,) for x in fp.view(np.int64).tolist()], "fp long").repartition(3)
+    label = np.arange(len(fp))
+    a, b = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3)
+    want = op09_simhash.join_labels(label, a, b)
+    place = {x: i for i, x in enumerate(fp.view(np.int64).tolist())}
+    edges = [(place[r.a], place[r.b]) for r in op09_simhash.links(df).collect()]
+    assert all(want[x] == want[y] for x, y in edges)
+    got = op09_simhash.join_labels(label, *(np.array(c, np.int64) for c in zip(*edges, strict=True)))
+    assert (got == want).all() and len(set(want.tolist())) < len(fp)
+
+
+def test_a_fingerprint_is_sent_once_for_each_quarter_at_every_size():
+    for n in (1_000, 30_000, 300_000):
+        fp = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64))
+        sizes = []
+        for k in range(op09_simhash.QUARTERS):
+            values, times = np.unique(op09_simhash.quarter(fp, k), return_counts=True)
+            tree = op09_simhash.VantageTree(values, 1_024, np.random.default_rng(k), times)
+            visits = [len(at) for _, at in tree.visit(op09_simhash.quarter(fp, k), op09_simhash.RADIUS // op09_simhash.QUARTERS)]
+            assert sum(visits) == len(fp)
+            sizes += visits
+        assert max(sizes) <= 1_024
+
+
 def test_fingerprint_follows_the_contract():
     import xxhash
 
