@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first traversal.
 
 The tree is built from a bounded sample; every vector is put into one leaf. A query walks the tree
-with a priority queue, best centre first, and visits as many leaves as a calibration against brute
-force over the sample asked for. Leaves are packed into shards of bounded size, a leaf that is
-larger is split by hash, and a shard gives each of its queries the best of what it holds.
+with a priority queue, by the inner product with a node's centre plus a part of its radius, and visits
+as many leaves as a calibration against brute force over the sample asked for. Leaves are packed into
+shards of bounded size. A leaf that is larger is dealt into parts, each of which has a tree of its own
+over all its rows, so leaves multiply with the table. A shard skips leaves whose bound (centre's
+product plus radius) lies below what a query has found there, and gives the best of the rest.
 """
 
 from __future__ import annotations
@@ -17,41 +19,52 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import smallest_hashes, stored, table
+from folioflow.llm.common import blocks, partitions, smallest_hashes, stored, table
 
 NEAREST = 20
 #: Bounds of the sample that the tree is built from.
 SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 8_000_000
-BRANCHES, LEAF = 12, 40
-#: Recall that the widening of visits is calibrated to, on CALIBRATED queries.
-RECALL, CALIBRATED = 0.97, 300
-SHARD = 4_096
+BRANCHES, LEAF = 24, 40
+#: Recall that the widening of visits is calibrated to, on CALIBRATED queries, and within the tree of a large leaf's part.
+RECALL, CALIBRATED, PART_RECALL = 0.95, 200, 0.98
+#: Shares of a node's radius that may count in the order of visits; calibration takes the cheapest.
+REACHES = (0.0, 0.5, 1.0)
+#: Rows of a shard, queries of a group that meets it, and queries that one task routes.
+SHARD, GROUP, ROUTED = 4_096, 2_048, 1_024
 
 
 class Tree:
-    """Hierarchical k-means: nodes are (centres, children), a leaf is a negative child -1 - leaf."""
+    """Hierarchical k-means: inner nodes are numbered from 0, leaf i is the number -1 - i; each but the root has a centre and a radius."""
 
     def __init__(self, vectors: np.ndarray, seed: int = 5):
-        self.nodes: list[tuple[np.ndarray, list[int]]] = []
+        self.children: list[list[int]] = []
+        self.spans: list[tuple[int, int]] = []  # rows of `centres` that belong to an inner node's children
         self.leaves = 0
-        self.rng = np.random.default_rng(seed)
+        self._centres: list[np.ndarray] = []
+        self._radii: list[float] = []
+        self._rng = np.random.default_rng(seed)
         self._build(vectors)
+        self.centres = np.array(self._centres) if self._centres else np.zeros((0, vectors.shape[1]))
+        self.radii = np.array(self._radii)
+        del self._centres, self._radii, self._rng
 
     def _build(self, x: np.ndarray) -> int:
-        k = min(BRANCHES, len(x) // 2)
-        label = self._split(x, k) if len(x) > LEAF else None
+        label = self._split(x, min(BRANCHES, len(x) // 2)) if len(x) > LEAF else None
         if label is None or label.max() == 0:
             self.leaves += 1
             return -self.leaves
-        here = len(self.nodes)
-        self.nodes.append((np.zeros((0, 0)), []))
+        here = len(self.children)
+        self.children.append([])
         groups = [x[label == i] for i in range(label.max() + 1)]
-        centres = np.array([g.mean(0) for g in groups])
-        self.nodes[here] = (centres, [self._build(g) for g in groups])
+        self.spans.append((len(self._centres), len(self._centres) + len(groups)))
+        for g in groups:
+            self._centres.append(g.mean(0))
+            self._radii.append(float(np.linalg.norm(g - g.mean(0), axis=1).max()))
+        self.children[here] = [self._build(g) for g in groups]
         return here
 
     def _split(self, x: np.ndarray, k: int) -> np.ndarray:
-        centres = x[self.rng.choice(len(x), k, replace=False)]
+        centres = x[self._rng.choice(len(x), k, replace=False)]
         for _ in range(8):
             label = (x @ centres.T * -2 + (centres**2).sum(1)).argmin(1)
             centres = np.array([x[label == i].mean(0) if (label == i).any() else centres[i] for i in range(k)])
@@ -60,12 +73,12 @@ class Tree:
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), np.int64)
-        todo = [(0, np.arange(len(x)))] if self.nodes and len(x) else []
+        todo = [(0, np.arange(len(x)))] if self.children and len(x) else []
         while todo:
             node, at = todo.pop()
-            centres, children = self.nodes[node]
+            centres = self.centres[slice(*self.spans[node])]
             best = (x[at] @ centres.T * -2 + (centres**2).sum(1)).argmin(1)
-            for i, child in enumerate(children):
+            for i, child in enumerate(self.children[node]):
                 own = at[best == i]
                 if child < 0:
                     out[own] = -1 - child
@@ -73,20 +86,20 @@ class Tree:
                     todo.append((child, own))
         return out
 
-    def best_first(self, q: np.ndarray) -> Iterator[int]:
-        """Leaves in the order of their centres' inner product with q, as a priority queue opens them."""
-        if not self.nodes:
+    def best_first(self, q: np.ndarray, reach: float) -> Iterator[int]:
+        """Leaves as a priority queue opens them: by the centres' inner product with q plus `reach` times what a radius can add."""
+        if not self.children:
             yield 0
             return
+        value = (-(self.centres @ q) - reach * float(np.linalg.norm(q)) * self.radii).tolist()
         queue: list[tuple[float, int]] = [(0.0, 0)]
         while queue:
             _, node = heapq.heappop(queue)
             if node < 0:
                 yield -1 - node
                 continue
-            centres, children = self.nodes[node]
-            for value, child in zip((-(centres @ q)).tolist(), children, strict=True):
-                heapq.heappush(queue, (value, child))
+            for at, child in enumerate(self.children[node], self.spans[node][0]):
+                heapq.heappush(queue, (value[at], child))
 
 
 def valid(vector: Column) -> Column:
@@ -100,23 +113,73 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def calibrate(tree: Tree, sample: np.ndarray, nearest: int) -> int:
-    """Widen the number of visited leaves until the recall over the sample is reached."""
-    leaf, queries = tree.leaf_of(sample), np.arange(0, len(sample), max(1, len(sample) // CALIBRATED))
+def calibrate(tree: Tree, sample: np.ndarray, nearest: int, recall: float = RECALL, most: int = CALIBRATED) -> tuple[int, float]:
+    """The number of leaves to visit, widened until the recall over the sample is reached, and the share of radii that needs the fewest rows for it."""
+    leaf, queries = tree.leaf_of(sample), np.arange(0, len(sample), max(1, len(sample) // most))
     k = min(nearest, len(sample) - 1)
     if k < 1:
-        return 1
-    need = []
+        return 1, 0.0
+    size = np.bincount(leaf, minlength=tree.leaves)
+    true = []
     for i in queries:
         scores = sample @ sample[i]
         scores[i] = -np.inf
-        true = np.argpartition(-scores, k - 1)[:k]
-        rank = {x: n for n, x in enumerate(tree.best_first(sample[i]), 1)}
-        need.append([rank[x] for x in leaf[true].tolist()])
-    need, visits = np.array(need), 1
-    while (need <= visits).mean() < RECALL and visits < tree.leaves:
-        visits = min(tree.leaves, max(visits + 1, visits * 5 // 4))
-    return visits
+        true.append(leaf[np.argpartition(-scores, k - 1)[:k]])
+    found = []
+    for reach in REACHES:
+        need, rows = [], []
+        for i, wanted in zip(queries, true, strict=True):
+            order = np.fromiter(tree.best_first(sample[i], reach), np.int64, tree.leaves)
+            rank = np.empty(tree.leaves, np.int64)
+            rank[order] = np.arange(1, tree.leaves + 1)
+            need.append(rank[wanted])
+            rows.append(np.cumsum(size[order]))
+        need, rows, visits = np.array(need), np.array(rows), 1
+        while (need <= visits).mean() < recall and visits < tree.leaves:
+            visits = min(tree.leaves, max(visits + 1, visits * 9 // 8))
+        found.append((float(rows[:, visits - 1].mean()), visits, reach))
+    _, visits, reach = min(found)
+    return visits, reach
+
+
+def share_scored(tree: Tree, visits: int, reach: float, vectors: np.ndarray, queries: np.ndarray) -> float:
+    """The share of vectors that lie in the leaves which a query visits, on average."""
+    size = np.bincount(tree.leaf_of(vectors), minlength=tree.leaves)
+    return float(np.mean([sum(size[x] for x in _first(tree.best_first(q, reach), visits)) for q in queries])) / max(len(vectors), 1)
+
+
+def nearest_in(x: np.ndarray, ids: np.ndarray, leaf: np.ndarray, wanted: list[Iterator[int] | list[int]], q: np.ndarray, own: list[int], nearest: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query its id, and ids and products of its `nearest` best among the rows of its wanted leaves, ties to smaller ids.
+
+    A leaf whose centre's product plus radius is less than the least that the query holds is skipped.
+    """
+    order = np.argsort(leaf, kind="stable")
+    names, first = np.unique(leaf[order], return_index=True)
+    ends = np.append(first, len(leaf))
+    x, ids = x[order], ids[order]
+    parts = {n: (a, b) for n, a, b in zip(names.tolist(), ends.tolist(), ends[1:].tolist(), strict=False)}
+    centre = {n: x[a:b].mean(0) for n, (a, b) in parts.items()}
+    radius = {n: float(np.linalg.norm(x[a:b] - centre[n], axis=1).max()) for n, (a, b) in parts.items()}
+    out = []
+    for vector, query, leaves in zip(q, own, wanted, strict=True):
+        norm = float(np.linalg.norm(vector))
+        here = [n for n in leaves if n in parts]
+        bound = sorted(((float(centre[n] @ vector) + radius[n] * norm, n) for n in here), reverse=True)
+        held, value, least = np.zeros(0, np.int64), np.zeros(0), -np.inf
+        for most, n in bound:
+            # rounding may put a product a little above its bound
+            if most + 1e-9 * (1 + abs(most)) < least:
+                break
+            a, b = parts[n]
+            mine = np.flatnonzero(ids[a:b] != query) + a
+            held, value = np.append(held, mine), np.append(value, x[mine] @ vector)
+            if len(held) > nearest:
+                edge = np.partition(value, len(value) - nearest)[len(value) - nearest]
+                keep = value >= edge
+                held, value, least = held[keep], value[keep], edge
+        best = np.lexsort((ids[held], -value))[:nearest]
+        out.append((np.full(len(best), query), ids[held][best], value[best]))
+    return out
 
 
 def search(vectors: DataFrame, id_: str, vector: str, is_query: Column, nearest: int = NEAREST) -> DataFrame:
@@ -143,7 +206,7 @@ def _search(base: DataFrame, queries: DataFrame, length: int, count: int, neares
     rows = min(SAMPLE_ROWS, SAMPLE_VALUES // length + 1)
     sample = _matrix(smallest_hashes(base, count, rows, "id", "v").select("v").toArrow().column(0))
     tree = Tree(sample)
-    visits = calibrate(tree, sample, nearest)
+    visits, reach = calibrate(tree, sample, nearest)
     known = spark.sparkContext.broadcast(tree)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +223,7 @@ def _search(base: DataFrame, queries: DataFrame, length: int, count: int, neares
     for leaf in range(tree.leaves):
         if filled and filled + counts[leaf] > SHARD:
             shard, filled = shard + 1, 0
-        first[leaf], parts[leaf] = shard, max(1, -(-counts[leaf] // SHARD))
+        first[leaf], parts[leaf] = shard, blocks(counts[leaf], SHARD)
         filled += counts[leaf]
         if parts[leaf] > 1:
             shard, filled = shard + parts[leaf], 0
@@ -181,7 +244,7 @@ def _search(base: DataFrame, queries: DataFrame, length: int, count: int, neares
             for row in range(len(q)):
                 wanted: dict[int, list[int]] = {}
                 held = 0
-                for n, leaf in enumerate(known.value.best_first(q[row]), 1):
+                for n, leaf in enumerate(known.value.best_first(q[row], reach), 1):
                     for part in range(parts[leaf]):
                         wanted.setdefault(first[leaf] + part, []).append(leaf)
                     held += counts[leaf]
@@ -198,29 +261,36 @@ def _search(base: DataFrame, queries: DataFrame, length: int, count: int, neares
             )
 
     def best(own: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, x, leaf = own.column("id").to_numpy(), _matrix(own.column("v")), own.column("leaf").to_numpy()
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for start in range(0, asked.num_rows if len(ids) else 0, 256):
-            part = asked.slice(start, 256)
-            scores = _matrix(part.column("v")) @ x.T
-            for row, (query, leaves) in enumerate(zip(part.column("id").to_pylist(), part.column("leaves").to_pylist(), strict=True)):
-                here = np.flatnonzero(np.isin(leaf, leaves) & (ids != query))
-                value = scores[row, here]
-                if len(here) > nearest:
-                    edge = np.partition(value, len(value) - nearest)[len(value) - nearest]
-                    keep = value >= edge
-                    here, value = here[keep], value[keep]
-                order = np.lexsort((ids[here], -value))[:nearest]
-                out.append((np.full(len(order), query), ids[here][order], value[order]))
+        if own.num_rows and asked.num_rows:
+            ids, x, leaf = own.column("id").to_numpy(), _matrix(own.column("v")), own.column("leaf").to_numpy()
+            q, names, wanted = _matrix(asked.column("v")), asked.column("id").to_pylist(), asked.column("leaves").to_pylist()
+            if plan.value[2][int(leaf[0])] > 1:
+                # A part of a large leaf: the leaves of its own tree take the leaf's place.
+                inner = Tree(x)
+                widened, inner_reach = calibrate(inner, x, nearest, PART_RECALL, 100)
+                leaf, wanted = inner.leaf_of(x), [_first(inner.best_first(v, inner_reach), widened) for v in q]
+            out = nearest_in(x, ids, leaf, wanted, q, names, nearest)
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
-    asked = queries.mapInArrow(ask, f"shard long, id long, v {kind}, leaves array<long>")
-    sharded = placed.mapInArrow(members, f"shard long, id long, v {kind}, leaf long")
-    found = sharded.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(best, "query_id long, vec_id long, score double")
+    # An explicit number of tasks: routing is the dear part of a small table.
+    dealt = queries.repartition(max(partitions(spark), blocks(queries.count(), ROUTED)), "id")
+    asked = stored(dealt.mapInArrow(ask, f"shard long, id long, v {kind}, leaves array<long>"), "ann-asked")
+    # The queries of a shard meet it in groups of bounded size, each with the shard's rows.
+    groups = stored(asked.groupBy("shard").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")), "ann-groups")
+    group = F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")
+    asked = asked.join(groups, "shard").select("shard", group.alias("group"), "id", "v", "leaves")
+    sharded = placed.mapInArrow(members, f"shard long, id long, v {kind}, leaf long").join(groups.withColumnRenamed("groups", "n"), "shard")
+    sharded = sharded.select("shard", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("group"), "id", "v", "leaf")
+    found = sharded.groupBy("shard", "group").cogroup(asked.groupBy("shard", "group")).applyInArrow(best, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
+def _first(leaves: Iterator[int], n: int) -> list[int]:
+    return [x for x, _ in zip(leaves, range(n), strict=False)]
+
+
 def op7_ann(spark, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)

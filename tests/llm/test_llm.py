@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioflow.llm import exchange, op05_mix, op09_simhash, op10_warc
+from folioflow.llm import exchange, op05_mix, op07_ann, op09_simhash, op10_warc
 from folioflow.llm import op06_suffix, op08_substring
 from folioflow.llm.common import smallest_hashes, table
 from folioflow.llm.op01_bpe import Vocabulary, _lines, round_trip
@@ -271,6 +271,57 @@ def test_nearest_neighbours_recall(spark):
     assert set(got) == {i for i in rows if i % 20 == 0} and hits >= 0.9 * 20 * len(got)
 
 
+def clustered(n, length=32, clusters=120, seed=1):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, length))
+    return centres[rng.integers(0, clusters, n)] * rng.uniform(0.5, 2, (n, 1)) + rng.normal(0, 0.25, (n, length))
+
+
+def recall_of(found, x, nearest):
+    """Recall by score, so that ties don't count against it."""
+    hits, queries = 0, {r.query_id for r in found}
+    edge = {q: np.sort(np.delete(x @ x[q], q))[-nearest] for q in queries}
+    for r in found:
+        hits += r.score >= edge[r.query_id] - 1e-9
+    return hits / (nearest * len(queries))
+
+
+@pytest.mark.parametrize("shard,group", [(4_096, 2_048), (300, 16)])
+def test_clustered_vectors_are_found_in_few_leaves(spark, monkeypatch, shard, group):
+    """With small shards large leaves are split by trees of their own, and queries meet them in groups."""
+    monkeypatch.setattr(op07_ann, "SHARD", shard)
+    monkeypatch.setattr(op07_ann, "GROUP", group)
+    monkeypatch.setattr(op07_ann, "SAMPLE_ROWS", 600 if shard < 1_000 else 20_000)
+    x = clustered(6_000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = search(df, "vec_id", "embedding", F.col("id") % 20 == 0).collect()
+    assert recall_of(found, x, 20) >= 0.9 and Counter(r.query_id for r in found) == {i: 20 for i in range(0, 6_000, 20)}
+    assert all(abs(r.score - x[r.query_id] @ x[r.vec_id]) < 1e-9 for r in found)
+    tree = op07_ann.Tree(x)
+    share = op07_ann.share_scored(tree, *op07_ann.calibrate(tree, x, 20), x, x[::20])
+    assert share < 0.25, share
+
+
+def test_bounds_skip_no_better_row():
+    rng = np.random.default_rng(4)
+    x, q = clustered(900, 8, 12, 3), clustered(20, 8, 12, 5)
+    leaf = op07_ann.Tree(x).leaf_of(x)
+    every = np.unique(leaf).tolist()
+    ids = rng.permutation(900)
+    for query, got in zip(q, op07_ann.nearest_in(x, ids, leaf, [every] * 20, q, [-1] * 20, 15), strict=True):
+        scores = x @ query
+        assert got[1].tolist() == ids[np.lexsort((ids, -scores))[:15]].tolist()
+
+
+def test_ties_repeats_and_other_columns(spark):
+    rows = [(i, [1.0, 0.0], "a", 7) for i in (3, 1, 2, 40)] + [(20, [1.0, 0.0], "b", 8), (5, [0.5, 0.5], None, 9), (5, [0.5, 0.5], None, 9), (None, [9.0, 9.0], "c", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string, leaf int")
+    got = {}
+    for r in search(df, "vec_id", "embedding", F.col("id") % 20 == 0, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert got == {20: [(1, 1), (2, 2), (3, 3), (4, 40), (5, 5)], 40: [(1, 1), (2, 2), (3, 3), (4, 20), (5, 5)]}
+
+
 def test_each_length_of_vectors_is_searched(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=4 if i < 30 else 3).tolist()) for i in range(50)] + [(40, rng.normal(size=4).tolist())]
