@@ -30,6 +30,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, a small aggregate, in a sixteenth as many files: footers of many tiny ones would make the planner
+    take it for too large to broadcast, and join rows by its keys, all of a hot one in one task."""
+    return df.coalesce(max(1, partitions(df.sparkSession) // 16))
+
+
 def purge(spark: SparkSession) -> None:
     """Remove every scratch table of this application; results that were not consumed yet are lost."""
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext

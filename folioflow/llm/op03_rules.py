@@ -17,7 +17,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import stored, table, words
+from folioflow.llm.common import few, stored, table, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -201,8 +201,8 @@ def _starts(leveled: DataFrame) -> DataFrame:
 def _step(leveled: DataFrame, model: DataFrame, keys: list[str], name: str) -> DataFrame:
     """One C-step: the estimate of the nearest half of each group, by the distance of the model before."""
     near = _distance(leveled.join(model, _KEYS)).select(*keys, *[f"x{i}" for i in range(DIMENSIONS)], "d2")
-    half = stored(_half(near, keys), f"rules-half{name}")
-    return stored(_factored(_moments(near.join(half, keys).where(_bin(F.col("d2")) <= F.col("half_bin")), keys)), f"rules-model{name}")
+    half = stored(few(_half(near, keys)), f"rules-half{name}")
+    return stored(few(_factored(_moments(near.join(half, keys).where(_bin(F.col("d2")) <= F.col("half_bin")), keys))), f"rules-model{name}")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -213,18 +213,18 @@ def estimates(rows: DataFrame) -> DataFrame:
     p = DIMENSIONS
     x = [f"x{i}" for i in range(p)]
     leveled = stored(reduce(DataFrame.union, [_level(rows.select("lang", "source", *x), i) for i in range(3)]).select(*_KEYS, *x), "rules-levels")
-    model = stored(_factored(_starts(leveled)), "rules-starts")
+    model = stored(few(_factored(_starts(leveled))), "rules-starts")
     for step in range(FIRST_STEPS):
         model = _step(leveled, model, [*_KEYS, "start"], f"-first{step}")
     best = model.groupBy(*_KEYS).agg(F.min_by("start", F.struct("log_det", "start")).alias("start"))
-    model = stored(model.join(best, [*_KEYS, "start"]).drop("start"), "rules-best")
+    model = stored(few(model.join(best, [*_KEYS, "start"]).drop("start")), "rules-best")
     for step in range(MOST_STEPS):
         before = model
         own = [c for c in before.columns if c not in _KEYS]
         new = _step(leveled, before, _KEYS, str(step)).select(*_KEYS, F.struct(*own).alias("new"))
         both = before.select(*_KEYS, F.struct(*own).alias("old")).join(new, _KEYS)
         falls = F.col("new.log_det") < F.col("old.log_det") - LEAST_FALL
-        model = stored(both.select(*_KEYS, falls.alias("falls"), F.when(falls, F.col("new")).otherwise(F.col("old")).alias("own")).select(*_KEYS, "falls", "own.*"), f"rules-kept{step}")
+        model = stored(few(both.select(*_KEYS, falls.alias("falls"), F.when(falls, F.col("new")).otherwise(F.col("old")).alias("own")).select(*_KEYS, "falls", "own.*")), f"rules-kept{step}")
         moved = model.where("falls").limit(1).count()
         model = model.drop("falls")
         if not moved:
@@ -232,10 +232,10 @@ def estimates(rows: DataFrame) -> DataFrame:
     half = _half(_distance(leveled.join(model, _KEYS)), _KEYS)
     scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("half_bin") + 1) / _BINS) / MEDIAN_CHI2)
     names = [f"c{i}_{j}" for i in range(p) for j in range(i + 1)]
-    own = stored(model.join(half, _KEYS).withColumn("scale", scale).select(*_KEYS, "total", *[f"m{i}" for i in range(p)], *[(F.col(c) * F.col("scale")).alias(c) for c in names]), "rules-own")
+    own = stored(few(model.join(half, _KEYS).withColumn("scale", scale).select(*_KEYS, "total", *[f"m{i}" for i in range(p)], *[(F.col(c) * F.col("scale")).alias(c) for c in names])), "rules-own")
     level = [own.where(F.col("level") == i).drop("level") for i in range(3)]
     languages = _shrunk(level[1].where(F.col("total") >= LEAST_ROWS), level[0], [])
-    return stored(_factored(_shrunk(level[2], languages, ["g_lang"])).drop("total", "log_det", *names), "rules-estimates")
+    return stored(few(_factored(_shrunk(level[2], languages, ["g_lang"])).drop("total", "log_det", *names)), "rules-estimates")
 
 
 def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
