@@ -1,7 +1,8 @@
 """Lexical retrieval of catalog entries for documents: IDF cosine, BM25, sparse semantic vectors, rank fusion.
 
-Both sides become postings (id, token, count); they meet on the token, so no pair without a common
-token is ever made. Statistics come from the catalog only.
+Documents meet the catalog on tokens, so no pair without a common token is ever made. Statistics come
+from the catalog only, so a document's other tokens are dropped before anything is shuffled. Both
+lexical scores come of one join and one aggregation, dealt by document once.
 """
 
 from __future__ import annotations
@@ -16,7 +17,15 @@ from folioflow.functions.text import bigrams, keyword_hits, tokens
 K1, B, SQUASH = 1.2, 0.75, 8.0
 #: A candidate below this hybrid score isn't reported.
 ABSTAIN = 0.12
-FUSION = 60
+#: Rank fusion: the constant beside a rank, and how many of the best of each component take part.
+FUSION, DEPTH = 60, 20
+#: Rows up to which a side of a join is broadcast; beyond, the planner shuffles both sides.
+BROADCAST_ROWS = 1_000_000
+
+
+def measured(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for a broadcast only if it has `rows` rows at most, which is counted first."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def postings(df: DataFrame, id_: str, text: str, words: Column | None = None) -> DataFrame:
@@ -31,28 +40,33 @@ def statistics(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(total))  # one row
 
 
-def cosine_idf(documents: DataFrame, catalog: DataFrame) -> DataFrame:
-    """doc_id, item_id, cosine over sets of tokens weighted by idf = ln((n + 1) / (df + 1)) + 1; document tokens outside the catalog don't count."""
+def weights(catalog: DataFrame) -> DataFrame:
+    """item_id, token, w2 (squared idf), bm (the token's part of BM25), cn (the item's norm) for the catalog's postings (id, token, tf)."""
     stats = statistics(catalog)
-    idf2 = F.pow(F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1, 2)
-    d = documents.join(stats, "token").select("id", "token", idf2.alias("w"))
-    c = catalog.join(stats, "token").select(F.col("id").alias("item_id"), "token", idf2.alias("w"))
-    dn = d.groupBy("id").agg(F.sqrt(F.sum("w")).alias("dn"))
-    cn = c.groupBy("item_id").agg(F.sqrt(F.sum("w")).alias("cn"))
-    dot = d.join(c.drop("w"), "token").groupBy("id", "item_id").agg(F.sum("w").alias("dot"))
-    return dot.join(cn, "item_id").join(dn, "id").select(F.col("id").alias("doc_id"), "item_id", F.round(F.col("dot") / (F.col("dn") * F.col("cn")), 6).alias("cosine"))
+    idf = F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1
+    bm_idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    item = Window.partitionBy("id")  # an item's tokens
+    norm = F.col("tf") + K1 * (1 - B + B * F.sum("tf").over(item) / F.col("avgdl"))
+    df = catalog.join(stats, "token").withColumn("w2", F.pow(idf, 2)).withColumn("bm", bm_idf * F.col("tf") * (K1 + 1) / norm)
+    return df.select(F.col("id").alias("item_id"), "token", "w2", "bm", F.sqrt(F.sum("w2").over(item)).alias("cn"))
 
 
-def bm25(documents: DataFrame, catalog: DataFrame) -> DataFrame:
-    """doc_id, item_id, bm25: the document as a query, its counts capped at 2, squashed to 1 - exp(-score / SQUASH)."""
-    stats = statistics(catalog)
-    length = catalog.groupBy("id").agg(F.sum("tf").alias("dl"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    c = catalog.join(stats, "token").join(length, "id").select(F.col("id").alias("item_id"), "token", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"))
-    q = documents.select("id", "token", F.least(F.col("tf"), F.lit(2)).alias("qtf"))
-    score = q.join(c, "token").groupBy("id", "item_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("s"))
-    return score.select(F.col("id").alias("doc_id"), "item_id", F.round(1 - F.exp(-F.col("s") / SQUASH), 6).alias("bm25"))
+def lexical(documents: DataFrame, id_: str, text: str, catalog: DataFrame) -> DataFrame:
+    """doc_id, item_id, cosine, bm25 for every pair with a common token; catalog has postings (id, token, tf).
+
+    cosine is over sets of tokens weighted by idf = ln((n + 1) / (df + 1)) + 1; document tokens outside
+    the catalog don't count. bm25 takes the document as a query, its counts capped at 2, and is squashed
+    to 1 - exp(-score / SQUASH). Occurrences are dealt by document once; counting them, the join's sums
+    and the norms keep to that.
+    """
+    known = measured(weights(catalog))
+    words = measured(known.select("token", "w2").distinct())
+    found = documents.select(F.col(id_).alias("doc_id"), F.explode(tokens(F.col(text))).alias("token")).join(words, "token")
+    own = found.repartition("doc_id").groupBy("doc_id", "token", "w2").agg(F.least(F.count("*"), F.lit(2)).alias("qtf"))
+    norms = own.groupBy("doc_id").agg(F.sqrt(F.sum("w2")).alias("dn"))
+    sums = own.join(known.drop("w2"), "token").groupBy("doc_id", "item_id").agg(F.sum("w2").alias("dot"), F.sum(F.col("bm") * F.col("qtf")).alias("s"), F.first("cn").alias("cn"))
+    both = sums.join(norms, "doc_id")
+    return both.select("doc_id", "item_id", F.round(F.col("dot") / (F.col("dn") * F.col("cn")), 6).alias("cosine"), F.round(1 - F.exp(-F.col("s") / SQUASH), 6).alias("bm25"))
 
 
 def semantic_vectors(df: DataFrame, id_: str, text: str, groups: Sequence[Sequence[str]] = ()) -> DataFrame:
@@ -76,13 +90,15 @@ def sparse_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
     return dot.join(a, "left_id").join(b, "right_id").select("left_id", "right_id", F.round(F.col("dot") / (F.col("a") * F.col("b")), 6).alias("cosine"))
 
 
-def hybrid(cosine: DataFrame, lexical: DataFrame) -> DataFrame:
+def whole(c: str | Column) -> Column:
+    """A score of six places as a whole number of millionths, so that a cut doesn't depend on how a sum of doubles falls."""
+    return F.round(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0)) * 1e6).cast("long")
+
+
+def hybrid(scored: DataFrame) -> DataFrame:
     """doc_id, item_id, score = 0.45 cosine + 0.55 bm25 cut to four places, from ABSTAIN on."""
-    both = cosine.join(lexical, ["doc_id", "item_id"], "full")
-    part = lambda c: F.round(F.coalesce(c, F.lit(0.0)) * 1e6).cast("long")
-    # whole numbers, so that the cut to four places doesn't depend on how a sum of doubles falls
-    score = F.floor((45 * part("cosine") + 55 * part("bm25")) / 10_000) / 10_000.0
-    return both.select("doc_id", "item_id", score.alias("score")).where(F.col("score") >= ABSTAIN)
+    score = F.floor((45 * whole("cosine") + 55 * whole("bm25")) / 10_000) / 10_000.0
+    return scored.select("doc_id", "item_id", score.alias("score")).where(F.col("score") >= ABSTAIN)
 
 
 def top(df: DataFrame, by: str, k: int, key: str = "doc_id", tie: str = "item_id") -> DataFrame:
@@ -91,16 +107,17 @@ def top(df: DataFrame, by: str, k: int, key: str = "doc_id", tie: str = "item_id
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def fuse(*components: DataFrame) -> DataFrame:
-    """Reciprocal rank fusion of tables (doc_id, item_id, one score): 1 / (FUSION + rank) over positive scores, normalised by the best possible."""
-    total = None
+def fuse(scored: DataFrame, components: Sequence[str], depth: int = DEPTH) -> DataFrame:
+    """Reciprocal rank fusion of the score columns `components` of (doc_id, item_id, ...): rrf, for pairs that are among
+    the `depth` best positive ones of a component: the sum of 1 / (FUSION + rank) over those, by the best possible sum."""
+    ranked = scored
     for c in components:
-        name = next(x for x in c.columns if x not in ("doc_id", "item_id"))
-        w = Window.partitionBy("doc_id").orderBy(F.desc(name), "item_id")
-        part = c.where(F.col(name) > 0).select("doc_id", "item_id", (1.0 / (FUSION + F.row_number().over(w))).alias("part"))
-        total = part if total is None else total.union(part)
-    best = len(components) / (FUSION + 1)
-    return total.groupBy("doc_id", "item_id").agg(F.round(F.least(F.sum("part") / best, F.lit(1.0)), 6).alias("rrf"))
+        w = Window.partitionBy("doc_id").orderBy(F.desc(c), "item_id")
+        ranked = ranked.withColumn(f"__{c}", F.row_number().over(w))
+    part = lambda c: F.when((F.col(c) > 0) & (F.col(f"__{c}") <= depth), 1.0 / (FUSION + F.col(f"__{c}"))).otherwise(0.0)
+    total = sum((part(c) for c in components), F.lit(0.0))
+    out = ranked.withColumn("rrf", F.round(F.least(total / (len(components) / (FUSION + 1)), F.lit(1.0)), 6))
+    return out.drop(*[f"__{c}" for c in components])
 
 
 def diverse(ranked: DataFrame, k: int, group: str, share: float = 0.2, most: int = 4, wider: str | None = None) -> DataFrame:

@@ -243,28 +243,27 @@ _HYBRID = """hy as (select coalesce(cosine.doc_id, bm.doc_id) as doc_id, coalesc
   top as (select *, row_number() over (partition by doc_id order by score desc, item_id) as rank from hy where score >= 0.12)"""
 
 
-def _postings(t):
-    return V.postings(t("documents"), "doc_id", "text"), V.postings(t("benchmark"), "item_id", "text")
+def _scored(t):
+    return V.lexical(t("documents"), "doc_id", "text", V.postings(t("benchmark"), "item_id", "text"))
 
 
 def _hybrid(t, k):
-    d, c = _postings(t)
-    return V.top(V.hybrid(V.cosine_idf(d, c), V.bm25(d, c)), "score", k)
+    return V.top(V.hybrid(_scored(t)), "score", k)
 
 
 @query(f"with {_POSTINGS} select token, df, round(ln((n + 1) / cast(df + 1 as double)) + 1, 6) as idf from st")
 def idf_table(spark, t):
-    return V.statistics(_postings(t)[1]).select("token", "df", F.round(F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
+    return V.statistics(V.postings(t("benchmark"), "item_id", "text")).select("token", "df", F.round(F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
 
 
 @query(f"with {_POSTINGS}, {_COSINE} select doc_id, item_id, cosine from cosine where cosine >= 0.12")
 def cosine_idf(spark, t):
-    return V.cosine_idf(*_postings(t)).where("cosine >= 0.12")
+    return _scored(t).select("doc_id", "item_id", "cosine").where("cosine >= 0.12")
 
 
 @query(f"with {_POSTINGS}, {_BM25}, r as (select *, row_number() over (partition by doc_id order by bm25 desc, item_id) as rank from bm) select doc_id, item_id, bm25, cast(rank as int) as rank from r where rank <= 5")
 def bm25_top5(spark, t):
-    return V.top(V.bm25(*_postings(t)), "bm25", 5)
+    return V.top(_scored(t).select("doc_id", "item_id", "bm25"), "bm25", 5)
 
 
 @query(f"with {_POSTINGS}, {_COSINE}, {_BM25}, {_HYBRID} select doc_id, item_id, score, cast(rank as int) as rank from top where rank <= 5")
@@ -273,12 +272,11 @@ def hybrid_top5(spark, t):
 
 
 @query(f"""with {_POSTINGS}, {_COSINE}, {_BM25},
-  p as (select doc_id, item_id, 1.0::double / (60 + row_number() over (partition by doc_id order by cosine desc, item_id)) as part from cosine where cosine > 0
-    union all select doc_id, item_id, 1.0::double / (60 + row_number() over (partition by doc_id order by bm25 desc, item_id)) from bm where bm25 > 0)
+  p as (select doc_id, item_id, 1.0::double / (60 + n) as part from (select doc_id, item_id, cosine as v, row_number() over (partition by doc_id order by cosine desc, item_id) as n from cosine
+    union all select doc_id, item_id, bm25, row_number() over (partition by doc_id order by bm25 desc, item_id) from bm) where v > 0 and n <= 20)
   select doc_id, item_id, round(least(sum(part) / (2.0::double / 61), 1.0), 6) as rrf from p group by doc_id, item_id""")
 def rrf_fusion(spark, t):
-    d, c = _postings(t)
-    return V.fuse(V.cosine_idf(d, c), V.bm25(d, c))
+    return V.fuse(_scored(t), ["cosine", "bm25"]).where("rrf > 0").select("doc_id", "item_id", "rrf")
 
 
 @query(f"""with tk as (select item_id as id, {_TOKENS} as w from benchmark),
@@ -351,8 +349,7 @@ def routing_scores(spark, t):
   s as (select doc_id, count(*) as shown from h group by doc_id), p as (select x.doc_id, count(h.item_id) as got from x left join h on x.doc_id = h.doc_id and x.item_id = h.item_id group by x.doc_id)
   select count(*) as cases, round(coalesce(sum(case when got > 0 then 1 else 0 end) / cast(nullif(count(*), 0) as double), 0), 6) as recall, round(coalesce(sum(got) / cast(nullif(sum(shown), 0) as double), 0), 6) as precision from p left join s on p.doc_id = s.doc_id""")
 def gold_metrics(spark, t):
-    d, c = _postings(t)
-    return E.retrieval_metrics(_hybrid(t, 5), V.cosine_idf(d, c).where("cosine >= 0.2"), "doc_id", "item_id", 5)
+    return E.retrieval_metrics(_hybrid(t, 5), _scored(t).where("cosine >= 0.2"), "doc_id", "item_id", 5)
 
 
 _SHADOW = f"""with {_POSTINGS}, {_COSINE}, {_BM25}, l as (select doc_id, item_id from (select *, row_number() over (partition by doc_id order by cosine desc, item_id) as n from cosine) where n <= 5),
@@ -363,8 +360,8 @@ _SHADOW = f"""with {_POSTINGS}, {_COSINE}, {_BM25}, l as (select doc_id, item_id
 
 
 def _shadow(t):
-    d, c = _postings(t)
-    return E.candidate_sets(V.top(V.cosine_idf(d, c), "cosine", 5), V.top(V.bm25(d, c), "bm25", 5), "doc_id", "item_id")
+    scored = _scored(t)
+    return E.candidate_sets(V.top(scored, "cosine", 5), V.top(scored, "bm25", 5), "doc_id", "item_id")
 
 
 @query(f"{_SHADOW} select * from m")
