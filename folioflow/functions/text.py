@@ -110,6 +110,12 @@ def heading(text: Column, most: int = 180) -> Column:
     return F.substring(F.get(lines, F.lit(0)), 1, most)
 
 
+def normal_name(name: Column) -> Column:
+    """A file name for comparison: lower case, without extension, other characters than letters and digits as single spaces."""
+    bare = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\.[a-z0-9]{1,5}$", "")
+    return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
+
+
 def title_case(name: Column) -> Column:
     """Runs of ASCII letters and digits of a name, each capitalised, single-spaced; null where there are none."""
     runs = F.array_join(F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), " ")
