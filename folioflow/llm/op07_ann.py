@@ -24,7 +24,7 @@ from folioflow.llm.common import blocks, partitions, smallest_hashes, stored, ta
 NEAREST = 20
 #: Bounds of the sample that the tree is built from.
 SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 8_000_000
-BRANCHES, LEAF = 24, 40
+BRANCHES, LEAF = 24, 80
 #: Recall that the widening of visits is calibrated to, on CALIBRATED queries, and within the tree of a large leaf's part.
 RECALL, CALIBRATED, PART_RECALL = 0.95, 200, 0.98
 #: Shares of a node's radius that may count in the order of visits; calibration takes the cheapest.
@@ -148,38 +148,60 @@ def share_scored(tree: Tree, visits: int, reach: float, vectors: np.ndarray, que
     return float(np.mean([sum(size[x] for x in _first(tree.best_first(q, reach), visits)) for q in queries])) / max(len(vectors), 1)
 
 
-def nearest_in(x: np.ndarray, ids: np.ndarray, leaf: np.ndarray, wanted: list[Iterator[int] | list[int]], q: np.ndarray, own: list[int], nearest: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query its id, and ids and products of its `nearest` best among the rows of its wanted leaves, ties to smaller ids.
+def nearest_in(x: np.ndarray, ids: np.ndarray, leaf: np.ndarray, wanted: list[list[int]], q: np.ndarray, own: np.ndarray, nearest: int, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, ids and products of each query's `nearest` best among the rows of its wanted leaves, ties to smaller ids.
 
-    A leaf whose centre's product plus radius is less than the least that the query holds is skipped.
+    Queries of one best leaf go together. What they find there bounds them from below, and leaves whose
+    centre's product plus radius is less are skipped.
     """
     order = np.argsort(leaf, kind="stable")
-    names, first = np.unique(leaf[order], return_index=True)
-    ends = np.append(first, len(leaf))
+    names, first, size = np.unique(leaf[order], return_index=True, return_counts=True)
     x, ids = x[order], ids[order]
-    parts = {n: (a, b) for n, a, b in zip(names.tolist(), ends.tolist(), ends[1:].tolist(), strict=False)}
-    centre = {n: x[a:b].mean(0) for n, (a, b) in parts.items()}
-    radius = {n: float(np.linalg.norm(x[a:b] - centre[n], axis=1).max()) for n, (a, b) in parts.items()}
-    out = []
-    for vector, query, leaves in zip(q, own, wanted, strict=True):
-        norm = float(np.linalg.norm(vector))
-        here = [n for n in leaves if n in parts]
-        bound = sorted(((float(centre[n] @ vector) + radius[n] * norm, n) for n in here), reverse=True)
-        held, value, least = np.zeros(0, np.int64), np.zeros(0), -np.inf
-        for most, n in bound:
-            # rounding may put a product a little above its bound
-            if most + 1e-9 * (1 + abs(most)) < least:
-                break
-            a, b = parts[n]
-            mine = np.flatnonzero(ids[a:b] != query) + a
-            held, value = np.append(held, mine), np.append(value, x[mine] @ vector)
-            if len(held) > nearest:
-                edge = np.partition(value, len(value) - nearest)[len(value) - nearest]
-                keep = value >= edge
-                held, value, least = held[keep], value[keep], edge
-        best = np.lexsort((ids[held], -value))[:nearest]
-        out.append((np.full(len(best), query), ids[held][best], value[best]))
-    return out
+    at = np.repeat(np.arange(len(names)), size)
+    centre = np.add.reduceat(x, first, axis=0) / size[:, None]
+    radius = np.maximum.reduceat(np.linalg.norm(x - centre[at], axis=1), first)
+    bound = q @ centre.T + np.linalg.norm(q, axis=1)[:, None] * radius
+    bound += 1e-9 * (1 + np.abs(bound))  # rounding may put a product a little above its bound
+    rows = np.repeat(np.arange(len(q)), [len(w) for w in wanted])
+    leaves = np.array([n for w in wanted for n in w], np.int64)
+    place = np.minimum(np.searchsorted(names, leaves), len(names) - 1)
+    here = names[place] == leaves
+    want = np.zeros(bound.shape, bool)
+    want[rows[here], place[here]] = True
+    bound[~want] = -np.inf
+    best = bound.argmax(1)
+    found = []
+    by_leaf = np.argsort(best, kind="stable")
+    for start in range(0, len(q), block):
+        some = by_leaf[start : start + block]
+        least = np.full(len(some), -np.inf)
+        for n in np.unique(best[some]).tolist():
+            mine = np.flatnonzero(best[some] == n)
+            span = slice(first[n], first[n] + size[n])
+            if size[n] > nearest:
+                value = q[some[mine]] @ x[span].T
+                value[ids[span][None, :] == own[some[mine]][:, None]] = -np.inf
+                least[mine] = np.partition(value, size[n] - nearest, axis=1)[:, size[n] - nearest]
+        open_ = want[some] & (bound[some] >= least[:, None])
+        used = np.flatnonzero(open_.any(0)[at])
+        if not len(used):
+            continue
+        value = q[some] @ x[used].T
+        value[~open_[:, at[used]] | (ids[used][None, :] == own[some][:, None])] = -np.inf
+        if len(used) > nearest:
+            edge = np.partition(value, len(used) - nearest, axis=1)[:, len(used) - nearest]
+        else:
+            edge = np.full(len(some), -np.inf)
+        row, column = np.nonzero((value >= edge[:, None]) & (value > -np.inf))
+        value, id_ = value[row, column], ids[used][column]
+        sort = np.lexsort((id_, -value, row))
+        row, value, id_ = row[sort], value[sort], id_[sort]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < nearest
+        found.append((own[some][row[keep]], id_[keep], value[keep]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def search(vectors: DataFrame, id_: str, vector: str, is_query: Column, nearest: int = NEAREST) -> DataFrame:
@@ -261,18 +283,17 @@ def _search(base: DataFrame, queries: DataFrame, length: int, count: int, neares
             )
 
     def best(own: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if own.num_rows and asked.num_rows:
             ids, x, leaf = own.column("id").to_numpy(), _matrix(own.column("v")), own.column("leaf").to_numpy()
-            q, names, wanted = _matrix(asked.column("v")), asked.column("id").to_pylist(), asked.column("leaves").to_pylist()
+            q, wanted = _matrix(asked.column("v")), asked.column("leaves").to_pylist()
             if plan.value[2][int(leaf[0])] > 1:
                 # A part of a large leaf: the leaves of its own tree take the leaf's place.
                 inner = Tree(x)
                 widened, inner_reach = calibrate(inner, x, nearest, PART_RECALL, 100)
                 leaf, wanted = inner.leaf_of(x), [_first(inner.best_first(v, inner_reach), widened) for v in q]
-            out = nearest_in(x, ids, leaf, wanted, q, names, nearest)
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-        return pa.table([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+            found = nearest_in(x, ids, leaf, wanted, q, asked.column("id").to_numpy(), nearest)
+        return pa.table([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
     # An explicit number of tasks: routing is the dear part of a small table.
     dealt = queries.repartition(max(partitions(spark), blocks(queries.count(), ROUTED)), "id")

@@ -308,9 +308,10 @@ def test_bounds_skip_no_better_row():
     leaf = op07_ann.Tree(x).leaf_of(x)
     every = np.unique(leaf).tolist()
     ids = rng.permutation(900)
-    for query, got in zip(q, op07_ann.nearest_in(x, ids, leaf, [every] * 20, q, [-1] * 20, 15), strict=True):
-        scores = x @ query
-        assert got[1].tolist() == ids[np.lexsort((ids, -scores))[:15]].tolist()
+    own = np.arange(-20, 0)
+    queries, found, _ = op07_ann.nearest_in(x, ids, leaf, [every] * 20, q, own, 15, block=6)
+    for name, query in zip(own, q, strict=True):
+        assert found[queries == name].tolist() == ids[np.lexsort((ids, -(x @ query)))[:15]].tolist()
 
 
 def test_ties_repeats_and_other_columns(spark):
