@@ -1,14 +1,18 @@
 """Toxicity: a logistic classifier over hashed words with counterfactual regularisation.
 
-In the sentences of the labelled rows an identity term is swapped for another of its kind; the model
-pays for the square of the change of its logit, so a bare mention of a group can't carry a score.
+In the sentences of the labelled rows an identity term is swapped for each other of its kind; the model
+pays for the square of the change of its logit, so it can't matter to a score which group a sentence
+names. Each kind also stands in one neutral sentence with each of its terms and in one without any, so
+a bare mention of a group can't carry a score either.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -58,16 +62,17 @@ def document_features(text: str) -> np.ndarray:
     return np.array([f for word in sorted(set(_WORD(text.lower()))) for f in word_features(word)], np.int32)
 
 
-def counterfactuals(text: str) -> list[tuple[list[int], list[int]]]:
-    """For each sentence with an identity term: the features that a swap takes away and those it brings."""
+def swaps(text: str) -> Counter[tuple[str, str]]:
+    """How many of a text's sentences name the first term and would name the second after a swap; every other term of a kind is a swap.
+
+    In a sentence that names both, a swap would only repeat a word: it doesn't count.
+    """
     kinds = {term: kind for kind in IDENTITY_TERMS for term in kind}
-    found = []
+    found: Counter[tuple[str, str]] = Counter()
     for sentence in _SENTENCE(text.lower()):
         have = set(_WORD(sentence))
-        for term in sorted(have & kinds.keys()):
-            kind = kinds[term]
-            other = kind[(kind.index(term) + 1) % len(kind)]
-            found.append((word_features(term), word_features(other)))
+        for term in have & kinds.keys():
+            found.update((term, other) for other in kinds[term] if other not in have)
     return found
 
 
@@ -75,26 +80,28 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             text = batch.column(1)[i].as_py() or ""
-            swaps = counterfactuals(text)
+            found = sorted(swaps(text).items())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(i, 1),
                     batch.column(2).slice(i, 1),
                     pa.array([document_features(text).tolist()], pa.list_(pa.int32())),
-                    pa.array([[s[0] for s in swaps]], pa.list_(pa.list_(pa.int32()))),
-                    pa.array([[s[1] for s in swaps]], pa.list_(pa.list_(pa.int32()))),
+                    pa.array([[{"a": a, "b": b, "n": n} for (a, b), n in found]], _SWAPS),
                 ],
-                ["id", "label", "features", "less", "more"],
+                ["id", "label", "features", "swaps"],
             )
 
 
-def fit(rows: DataFrame, penalty: float = 1.0, decay: float = 1e-4, steps: int = 200, rate: float = 0.05) -> tuple[np.ndarray, float]:
+_SWAPS = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
+
+
+def fit(rows: DataFrame, penalty: float = 20.0, decay: float = 1e-4, steps: int = 200, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and intercept from the rows of `training_rows` (a bounded sample, gathered on the driver).
 
-    Each pair of terms of one kind counts as a swap in one neutral sentence too, so the weights of a
-    kind keep together where the sample has few mentions. Without rows the model is all zero.
+    A swap weighs as many times as the sample's sentences have it, and once more for a neutral sentence;
+    and each term against no term at all counts as one neutral sentence. Without rows the model is all zero.
     """
-    schema = "id long, label double, features array<int>, less array<array<int>>, more array<array<int>>"
+    schema = "id long, label double, features array<int>, swaps array<struct<a:string,b:string,n:long>>"
     got = rows.mapInArrow(_features, schema).toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     weights = np.zeros(DIMENSIONS, np.float32)
     if not got.num_rows:
@@ -103,11 +110,19 @@ def fit(rows: DataFrame, penalty: float = 1.0, decay: float = 1e-4, steps: int =
     column = got.column("features").combine_chunks()
     size = np.diff(column.offsets.to_numpy())
     features = column.flatten().to_numpy()
-    swaps = [s for less, more in zip(got.column("less").to_pylist(), got.column("more").to_pylist(), strict=True) for s in zip(less, more, strict=True)]
-    swaps += [(word_features(a), word_features(b)) for kind in IDENTITY_TERMS for a, b in zip(kind, kind[1:], strict=False)]
-    swap_at = np.array([f for less, more in swaps for f in [*less, *more]], np.int32)
-    swap_sign = np.array([x for less, more in swaps for x in [-1.0] * len(less) + [1.0] * len(more)])
-    swap_row = np.repeat(np.arange(len(swaps)), [len(less) + len(more) for less, more in swaps])
+    times: Counter[tuple[str, str]] = Counter()
+    for x in got.column("swaps").combine_chunks().flatten().to_pylist():
+        times[tuple(sorted((x["a"], x["b"])))] += x["n"]
+    for kind in IDENTITY_TERMS:
+        times.update(tuple(sorted(pair)) for pair in combinations(kind, 2))
+        times.update((term, "") for term in kind)
+    pairs = sorted(times)
+    parts = [(word_features(a), word_features(b) if b else []) for a, b in pairs]
+    swap_weight = np.array([times[p] for p in pairs], np.float64)
+    swap_weight *= penalty / swap_weight.sum()
+    swap_at = np.array([f for less, more in parts for f in [*less, *more]], np.int32)
+    swap_sign = np.array([x for less, more in parts for x in [-1.0] * len(less) + [1.0] * len(more)])
+    swap_row = np.repeat(np.arange(len(parts)), [len(less) + len(more) for less, more in parts])
 
     used, at = np.unique(np.concatenate([features, swap_at]), return_inverse=True)
     at, swap_at = at[: len(features)], at[len(features) :]
@@ -122,8 +137,8 @@ def fit(rows: DataFrame, penalty: float = 1.0, decay: float = 1e-4, steps: int =
     for step in range(1, steps + 1):
         z = np.bincount(row, (w * lift)[at], len(label)) + b
         slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * importance
-        change = np.bincount(swap_row, swap_sign * (w * lift)[swap_at], len(swaps))
-        g = np.bincount(at, slope[row], len(used)) + penalty / len(swaps) * np.bincount(swap_at, swap_sign * change[swap_row], len(used))
+        change = np.bincount(swap_row, swap_sign * (w * lift)[swap_at], len(parts))
+        g = np.bincount(at, slope[row], len(used)) + np.bincount(swap_at, swap_sign * (swap_weight * change)[swap_row], len(used))
         g = np.append(g * lift + decay * w, slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-4)
@@ -160,7 +175,12 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, most: int = TRAINING_ROWS) -> DataFrame:
-    """Learn from at most `most` labelled rows that satisfy `learn` (over `__id`), score every document."""
+    """doc_id, score for every row of docs; learns from at most `most` labelled rows that satisfy `learn` (over `__id`).
+
+    Null ids and labels teach nothing, an id that is labelled twice counts once with its smaller label, an id
+    with several texts teaches with each. Without any label all scores are 0.5. Rows are scored as `score` says;
+    an empty table gives an empty one, columns other than doc_id and text are ignored.
+    """
     return score(docs, *fit(training_rows(docs, labels, "toxic", learn, most)))
 
 

@@ -146,7 +146,12 @@ def score(docs: DataFrame, w: np.ndarray, v: np.ndarray, b: float) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, learn: Column, most: int = TRAINING_ROWS) -> DataFrame:
-    """Learn from at most `most` labelled rows that satisfy `learn` (over `__id`), score every document."""
+    """doc_id, score for every row of docs; learns from at most `most` labelled rows that satisfy `learn` (over `__id`).
+
+    Null ids and labels teach nothing, an id that is labelled twice counts once with its smaller label, an id
+    with several texts teaches with each. Without any label all scores are 0.5. Rows are scored as `score` says;
+    an empty table gives an empty one, columns other than doc_id and text are ignored.
+    """
     return score(docs, *fit(training_rows(docs, labels, "quality", learn, most)))
 
 
