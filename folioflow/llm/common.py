@@ -8,14 +8,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.session import scratch
+
 #: Fixed value of the word contract: a word is a run of characters outside this class.
 GAP = r"[ \t-\r]+"
-_LOCAL = "/tmp/folioflow-checkpoints"
-
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or a local one where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL
+scratch_root = scratch
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

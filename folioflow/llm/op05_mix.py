@@ -90,7 +90,7 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _flight(last: bool) -> Callable[[pa.Table], pa.Table]:
     def run(rows: pa.Table) -> pa.Table:
         # Large documents fly first, so what is left to land is small.
-        rows = rows.sort_by([("size", "ascending"), ("id", "ascending")])
+        rows = rows.sort_by([("size", "ascending"), ("id", "ascending"), ("nth", "ascending")])
         p, size = rows.column("p").to_numpy(), rows.column("size").to_numpy().astype(np.float64)
         seed = [len(p), int(size.sum()) & 0x7FFFFFFF, int(rows.column("block")[0].as_py())]
         p = fly(p, size, np.random.default_rng(seed))
@@ -114,16 +114,19 @@ def mix(docs: DataFrame) -> DataFrame:
         F.col("source").cast("string").alias("source"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t-\r]+")).cast("long").alias("size"),
     )
-    rows = stored(rows, "mix-sizes")
+    # Rows that agree get numbers, so that they spread over blocks like any others; they are summed up before they meet.
+    same = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    rows = stored(same.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n"), "mix-sizes")
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n"))
     goal = stored(targets(per.select("source", "source_size")).join(per.select(F.col("source").alias("__s"), "__n"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s"), "mix-targets")
     goal = goal.withColumnRenamed("source", "__source")
     joined = rows.join(goal, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio + _EDGE)
-    spread = lambda level: F.xxhash64("id", "size", F.lit(level))
+    spread = lambda level: F.xxhash64("id", "size", "nth", F.lit(level))
     open_ = joined.select(
         F.col("doc_id").alias("id"),
+        "nth",
         "source",
         "size",
         "source_size",

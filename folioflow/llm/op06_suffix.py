@@ -347,7 +347,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller
     doc_id. A null text is empty; a null doc_id is larger than any other and stays null; rows of one
     doc_id don't remove each other's bytes; repeated rows stay repeated; an empty table gives an
-    empty one. Columns that aren't in `carry` are ignored.
+    empty one. Columns in `carry` come along as __c_<name>, so none can clash; others are ignored.
     """
     parts, buckets = x.sliced(docs, list(carry))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
@@ -403,14 +403,14 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         return pa.table(
             [own.rows.column("__id"), pa.array(own.n), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), *carried],
-            names=["doc_id", "n_bytes", "n_removed", "spans", "kept", *carry],
+            names=["doc_id", "n_bytes", "n_removed", "spans", "kept", *[f"__c_{c}" for c in carry]],
         )
 
     by_slice = parts.groupBy("__slice")
     one = x.answer(by_slice.applyInArrow(anchors, x.ASKED), 1, x.shared_between)
     two = x.answer(by_slice.cogroup(one.groupBy("slice")).applyInArrow(contexts, x.ASKED), 2, settle)
     three = x.answer(by_slice.cogroup(one.union(two).groupBy("slice")).applyInArrow(opened, x.ASKED), 3, sort_open)
-    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,last:long>>, kept binary" + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,last:long>>, kept binary" + "".join(f", `__c_{c}` {kinds[c]}" for c in carry)
     return by_slice.cogroup(one.union(two).union(three).groupBy("slice")).applyInArrow(cut, schema)
 
 

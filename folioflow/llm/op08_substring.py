@@ -94,7 +94,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     A word goes if a window of LENGTH words that covers it also starts in a document with a smaller
     doc_id; kept joins the others by a space. A null text has no words; a null doc_id is larger than
     any other and stays null; rows of one doc_id don't remove each other's words; repeated rows stay
-    repeated; an empty table gives an empty one. Columns that aren't in `carry` are ignored.
+    repeated; an empty table gives an empty one. Columns in `carry` come along as __c_<name>, so none can clash; others are ignored.
     """
     parts, buckets = x.sliced(docs, list(carry))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
@@ -138,12 +138,12 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                 pa.array(kept, pa.string()),
                 *carried,
             ],
-            names=["doc_id", "n_words", "n_removed", "spans", "kept", *carry],
+            names=["doc_id", "n_words", "n_removed", "spans", "kept", *[f"__c_{c}" for c in carry]],
         )
 
     first = x.answer(parts.groupBy("__slice").applyInArrow(anchors, x.ASKED), 1, x.shared_between)
     second = x.answer(parts.groupBy("__slice").cogroup(first.groupBy("slice")).applyInArrow(windows, x.ASKED), 2, _lower_elsewhere)
-    schema = "doc_id long, n_words long, n_removed long, spans array<struct<first:long,last:long>>, kept string" + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    schema = "doc_id long, n_words long, n_removed long, spans array<struct<first:long,last:long>>, kept string" + "".join(f", `__c_{c}` {kinds[c]}" for c in carry)
     return parts.groupBy("__slice").cogroup(first.union(second).groupBy("slice")).applyInArrow(cut, schema)
 
 
