@@ -20,49 +20,60 @@ from folioflow.session import ship
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that the quality rules keep, unchanged."""
+    """The rows of docs that the quality rules keep, unchanged; null and empty texts go with the short ones, repeated rows stay or go together."""
     ship(spark)
     judged = quality_rules(docs, carry=tuple(docs.columns)).where("kept")
     return judged.select(*[F.col(f"__c_{c}").alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: that of smallest doc_id, a null one last, then of smallest text."""
+    """One row of each group of near-duplicates: that of smallest doc_id, a null one last, then of smallest text.
+
+    Rows are judged, not ids: different texts under one doc_id, or none, all have their chance; rows that
+    agree in both count as one. Null and empty texts form one group.
+    """
     ship(spark)
-    keyed = docs.withColumn("__d", F.coalesce(F.md5("text"), F.lit("")))  # doc_id and digest tell rows apart
-    found = stored(near_duplicates(keyed, carry=("__d",)).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("root", "doc_id", "__d"), "pipeline-first")
-    low = found.groupBy("root").agg(F.min("__d").alias("__d"), F.max("__d").alias("__most"), F.min("doc_id").alias("doc_id"))
-    sole = low.where("__d = __most").select("doc_id", "__d")
+    # The row travels as one column, so no name of it can clash; doc_id and digest tell rows apart.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.md5("text"), F.lit("")).alias("digest"), F.struct("*").alias("row"))
+    found = near_duplicates(keyed.select("doc_id", "text", "digest"), carry=("digest",))
+    found = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("root", "doc_id", "digest"), "pipeline-first")
+    low = found.groupBy("root").agg(F.min("digest").alias("digest"), F.max("digest").alias("most"), F.min("doc_id").alias("doc_id"))
+    sole = low.where("digest = most").select("doc_id", "digest")
     # Texts are only read again where one doc_id, or none, has several.
-    tied = found.join(low.where("__d <> __most").select("root"), "root").distinct()
-    same = lambda x: keyed["doc_id"].cast("long").eqNullSafe(x["doc_id"]) & (keyed["__d"] == x["__d"])
-    texts = keyed.join(tied, same(tied)).groupBy(tied["root"], tied["doc_id"]).agg(F.min(F.struct(keyed["text"], keyed["__d"])).alias("x"))
-    stay = stored(sole.union(texts.select("doc_id", "x.__d")), "pipeline-stay")
-    return keyed.join(stay, same(stay), "left_semi").dropDuplicates(["doc_id", "__d"]).select(*docs.columns)
+    tied = found.join(low.where("digest <> most").select("root"), "root").distinct()
+    same = lambda x: keyed["doc_id"].eqNullSafe(x["doc_id"]) & (keyed["digest"] == x["digest"])
+    texts = keyed.join(tied, same(tied)).groupBy(tied["root"], tied["doc_id"]).agg(F.min(F.struct(keyed["text"], keyed["digest"])).alias("x"))
+    stay = stored(sole.union(texts.select("doc_id", "x.digest")), "pipeline-stay")
+    return keyed.join(stay, same(stay), "left_semi").dropDuplicates(["doc_id", "digest"]).select("row.*")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the passages that a document of smaller doc_id has; an untouched text stays as it was."""
+    """Every document without the passages that a document of smaller doc_id has; an untouched text stays as it was.
+
+    A null text stays null, a null doc_id counts as the largest, repeated rows stay and keep each other's words.
+    """
     ship(spark)
     others = tuple(c for c in docs.columns if c != "doc_id")
     found = remove_repeats(docs, carry=others)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars").cast("long"))} if "n_chars" in others else {})
-    return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    changed = F.col("n_removed") > 0
+    own = {c: F.col("doc_id" if c == "doc_id" else f"__c_{c}") for c in docs.columns}
+    own["text"] = F.when(changed, F.col("kept")).otherwise(own["text"])
+    if "n_chars" in others:
+        own["n_chars"] = F.when(changed, F.length("kept").cast("long")).otherwise(own["n_chars"].cast("long"))
+    return found.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows without a doc_id that agree in all else share one decision."""
+    """Each document as often as the mix takes it; rows that agree in doc_id, source and text share one decision. Null sources are a source, null texts have no words."""
     ship(spark)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", "source"))
-    keyed = docs.withColumn("__key", key)
-    taken = mix(keyed.select(F.col("__key").alias("doc_id"), "source", "text")).where("copies > 0")
-    copies = taken.groupBy(F.col("doc_id").alias("__key")).agg(F.max("copies").cast("int").alias("__copies"))
-    return keyed.join(copies, "__key").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")
+    keyed = docs.select(F.xxhash64("doc_id", "source", "text").alias("key"), "source", "text", F.struct("*").alias("row"))
+    taken = mix(keyed.select(F.col("key").alias("doc_id"), "source", "text")).where("copies > 0")
+    copies = taken.groupBy(F.col("doc_id").alias("key")).agg(F.max("copies").cast("int").alias("copies"))
+    return keyed.join(copies, "key").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digests of the ids and of the bytes that they decode to, for each row."""
+    """doc_id, n_tokens, ids and the digests of the ids and of the bytes that they decode to, for each row; a null text is empty."""
     import public_tokenizers
 
     ship(spark)

@@ -35,5 +35,10 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or a local one where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/folioflow-checkpoints"
+    """The folder that all executors share, `spark.checkpoint.dir`. A local session without it uses one of its own; a cluster must name it."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "/tmp/folioflow-checkpoints"
