@@ -187,3 +187,128 @@ def topic(text: Column, topics: Mapping[str, Sequence[str]]) -> Column:
     scored = [F.struct(sum((hit(w).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, words) in enumerate(topics.items())]
     best = F.array_max(F.array(*scored))
     return F.when(best["n"] > 0, best["name"])
+
+
+def semantic(documents: DataFrame, id_: str, text: str, catalog: DataFrame, catalog_id: str, catalog_text: str, groups: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """doc_id, item_id, semantic: cosine of the sparse semantic vectors of documents and items with a common term.
+
+    A document's own terms are distinct within its row, so only products are shuffled, summed before; terms
+    outside the catalog count for the norm alone.
+    """
+    items = semantic_vectors(catalog, catalog_id, catalog_text, groups)
+    norm = Window.partitionBy("id")
+    items = measured(items.select(F.col("id").alias("item_id"), "token", F.col("w").alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm)).alias("cn")))
+    words = documents.select(F.col(id_).alias("doc_id"), tokens(F.col(text)).alias("t"))
+    if groups:
+        pairs = F.create_map(*[x for g in _synonyms(groups).items() for x in (F.lit(g[0]), F.array(*[F.lit(o) for o in g[1]]))])
+        more = F.flatten(F.transform("t", lambda x: F.coalesce(F.try_element_at(pairs, x), F.array().cast("array<string>"))))
+        words = words.withColumn("own", F.array_distinct(F.concat("t", more)))
+    else:
+        words = words.withColumn("own", F.array_distinct("t"))
+    words = words.withColumn("two", F.array_distinct(bigrams(F.col("t"))))
+    words = words.withColumn("dn", F.sqrt(F.size("own") + 1.35 * 1.35 * F.size("two")))
+    term = lambda c, w: F.transform(c, lambda x: F.struct(x.alias("token"), F.lit(w).alias("w")))
+    terms = words.select("doc_id", "dn", F.inline(F.concat(term("own", 1.0), term("two", 1.35))))
+    dot = terms.join(items, "token").groupBy("doc_id", "item_id").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.first("dn").alias("dn"), F.first("cn").alias("cn"))
+    return dot.select("doc_id", "item_id", F.round(F.col("dot") / (F.col("dn") * F.col("cn")), 6).alias("semantic"))
+
+
+def _synonyms(groups: Sequence[Sequence[str]]) -> dict[str, list[str]]:
+    found: dict[str, list[str]] = {}
+    for g in groups:
+        for a in g:
+            found[a] = sorted({*found.get(a, []), *(b for b in g if b != a)})
+    return found
+
+
+#: Points for each common token of a field and their bound.
+FIELDS = {"description": (0.035, 0.18), "hint": (0.06, 0.24), "hierarchy": (0.04, 0.16)}
+#: Hundredths of each part of the full score, and of a shortlist beside it.
+PARTS = {"bm25": 30, "cosine": 25, "semantic": 30, "rrf": 15}
+LOCAL, SHORTLIST = 65, 35
+
+
+def field_bonus(documents: DataFrame, id_: str, text: str, fields: DataFrame) -> DataFrame:
+    """doc_id, item_id, fields: the bonuses of all fields; fields has item_id, field, text."""
+    terms = fields.select("item_id", "field", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    own = documents.select(F.col(id_).alias("doc_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("token"))
+    n = own.join(measured(terms), "token").groupBy("doc_id", "item_id", "field").agg(F.count("*").alias("n"))
+    points = F.coalesce(*[F.when(F.col("field") == f, F.least(F.lit(most), F.col("n") * each)) for f, (each, most) in FIELDS.items()], F.lit(0.0))
+    return n.groupBy("doc_id", "item_id").agg(F.round(F.sum(points), 6).alias("fields"))
+
+
+def intent(text: Column, rules: Sequence[tuple[str, str, float]], item: Column, least: float = -0.35, most: float = 0.55) -> Column:
+    """Sum of the adjustments of the rules (pattern of the query, pattern of the item, points) that both sides match, clamped."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    total = F.lit(0.0)
+    for q, i, points in rules:
+        total = total + F.when(low(text).rlike(q) & low(item).rlike(i), points).otherwise(0.0)
+    return F.round(F.greatest(F.lit(least), F.least(F.lit(most), total)), 6)
+
+
+def full(scored: DataFrame, bonus_: DataFrame, shortlist: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
+    """doc_id, item_id, score, rank of every candidate from ABSTAIN on.
+
+    scored has cosine, bm25, semantic; bonus_ (doc_id, item_id, bonus) adds to their blend with the rank fusion,
+    the sum is at most 1; a shortlist (doc_id, item_id, relevance) is blended in. Scores are cut to four places.
+    """
+    df = fuse(scored, ["bm25", "cosine", "semantic"], depth).join(bonus_, ["doc_id", "item_id"], "left")
+    local = sum((w * whole(c) for c, w in PARTS.items()), F.lit(0)) / 100 + whole("bonus")
+    local = F.greatest(F.lit(-1e6), F.least(F.lit(1e6), local))
+    if shortlist is not None:
+        df = df.join(shortlist, ["doc_id", "item_id"], "left")
+        local = (LOCAL * local + SHORTLIST * whole("relevance")) / 100
+    score = F.floor(local / 100 + 1e-6) / 10_000.0
+    return top(df.select("doc_id", "item_id", score.alias("score")).where(F.col("score") >= ABSTAIN), "score", 2**31 - 1)
+
+
+def accepted(terms: DataFrame, key: str, vocabulary: DataFrame, synonyms: Sequence[Sequence[str]] = (), most: int = 6) -> DataFrame:
+    """key, token of expansion terms (key, place, token) that the catalog's vocabulary or a synonym group has; each once, the first `most` of a key."""
+    known = vocabulary.select("token").distinct()
+    words = sorted({w for g in synonyms for w in g})
+    if words:
+        known = known.union(vocabulary.sparkSession.createDataFrame([(w,) for w in words], "token string")).distinct()
+    once = terms.groupBy(key, F.lower("token").alias("token")).agg(F.min("place").alias("place")).join(measured(known), "token", "left_semi")
+    w = Window.partitionBy(key).orderBy("place", "token")
+    return once.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).select(key, "token")
+
+
+def shortlisted(proposals: DataFrame, key: str, catalog: DataFrame, item: str, most: int = 8) -> DataFrame:
+    """proposals (key, place, item, relevance) whose item is in the catalog; an item once, at its first place, the first `most` of a key; relevance clamped to 0..1."""
+    real = proposals.join(measured(catalog.select(item).distinct()), item, "left_semi")
+    once = real.groupBy(key, item).agg(F.min(F.struct("place", "relevance")).alias("x")).select(key, item, "x.place", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("x.relevance", F.lit(0.0)))).alias("relevance"))
+    w = Window.partitionBy(key).orderBy("place", item)
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("place")
+
+
+def merged(local: DataFrame, model: DataFrame, key: str, item: str) -> DataFrame:
+    """key, item, score, origin: local candidates (key, item, score) with a model's; where both have one the mean counts, a model's alone counts half."""
+    a, b = local.select(key, item, F.col("score").alias("a")), model.select(key, item, F.col("score").alias("b"))
+    origin = F.when(F.col("a").isNull(), "model").when(F.col("b").isNull(), "local").otherwise("both")
+    score = F.when(F.col("a").isNull(), F.col("b") / 2).when(F.col("b").isNull(), F.col("a")).otherwise((F.col("a") + F.col("b")) / 2)
+    return a.join(b, [key, item], "full").select(key, item, F.round(score, 6).alias("score"), origin.alias("origin"))
+
+
+#: Fixed values of the earlier ranking: least number of query tokens that overlap is shared by, and bonuses for names, sections and descriptions.
+LEAST_TOKENS, NAME_POINTS, SECTION_POINTS, DESCRIPTION_POINTS = 5, 0.12, 0.10, 0.12
+
+
+def earlier_score(documents: DataFrame, id_: str, text: str, name: str, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, score, reasons of the earlier ranking; items has item_id, code, section, text.
+
+    Tokens of three letters or more; their overlap over the document's tokens, plus bonuses where the document's
+    name holds the code or its tokens meet those of the section or the text; at most 1. Reasons name the bonuses, three at most.
+    """
+    own = documents.select(F.col(id_).alias("doc_id"), F.lower(F.coalesce(F.col(name).cast("string"), F.lit(""))).alias("name"), F.array_distinct(tokens(F.col(text), 3)).alias("t"))
+    parts = lambda c: F.array_distinct(tokens(F.col(c), 3))
+    terms = items.select("item_id", "code", parts("section").alias("s"), parts("text").alias("x")).withColumn("token", F.explode(F.array_distinct(F.concat("s", "x"))))
+    terms = terms.select("item_id", "code", "token", F.array_contains("s", F.col("token")).alias("in_section"), F.array_contains("x", F.col("token")).alias("in_text"))
+    hits = own.select("doc_id", "name", F.size("t").alias("n_query"), F.explode("t").alias("token")).join(measured(terms), "token")
+    df = hits.groupBy("doc_id", "item_id").agg(
+        F.count("*").alias("n"), F.first("n_query").alias("n_query"), F.first("name").alias("name"), F.first("code").alias("code"), F.bool_or("in_section").alias("in_section"), F.bool_or("in_text").alias("in_text")
+    )
+    named = (F.length("code") > 0) & (F.instr(F.col("name"), F.lower("code")) > 0)
+    bonus_ = F.when(named, NAME_POINTS).otherwise(0.0) + F.when(F.col("in_section"), SECTION_POINTS).otherwise(0.0) + F.when(F.col("in_text"), DESCRIPTION_POINTS).otherwise(0.0)
+    score = F.floor(F.least(F.lit(1.0), F.col("n") / F.greatest(F.col("n_query"), F.lit(LEAST_TOKENS)) + bonus_) * 10_000 + 1e-6) / 10_000.0
+    reasons = F.slice(F.array_compact(F.array(F.when(named, F.lit("name")), F.when(F.col("in_section"), F.lit("section")), F.when(F.col("in_text"), F.lit("text")), F.when(F.col("n") >= 5, F.lit("many tokens")))), 1, 3)
+    return df.select("doc_id", "item_id", score.alias("score"), reasons.alias("reasons"))

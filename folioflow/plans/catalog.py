@@ -12,8 +12,9 @@ from folioflow.operators import evaluation as E
 from folioflow.operators import relational as R
 from folioflow.operators import retrieval as V
 from folioflow.operators import rules as U
-from folioflow.plans import evidence, grading, ledgers  # noqa: F401  register their queries too
+from folioflow.plans import evidence, grading, ledgers, retrieval  # noqa: F401  register their queries too
 from folioflow.plans.registry import oracle_sql, queries, query  # noqa: F401
+from folioflow.plans.sql import BM25, COSINE, HYBRID, POSTINGS, TOKENS
 from folioflow.streaming import events as S
 
 #: Keywords of the corpus's languages, in place of a domain's lexicon.
@@ -225,23 +226,6 @@ def template_flags(spark, t):
     return D.template_flags(t("documents"), TERMS)
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
-_TOKENS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: length(x) >= 2 and not list_contains({_STOP}, x))"
-_POSTINGS = f"""dp as (select id, token, count(*) as tf from (select doc_id as id, unnest({_TOKENS}) as token from documents) group by id, token),
-  cp as (select id, token, count(*) as tf from (select item_id as id, unnest({_TOKENS}) as token from benchmark) group by id, token),
-  tot as (select count(distinct id) as n, sum(tf) / cast(count(distinct id) as double) as avgdl from cp),
-  st as (select token, count(*) as df, any_value(n) as n, any_value(avgdl) as avgdl from cp, tot group by token)"""
-_COSINE = """w as (select token, power(ln((n + 1) / cast(df + 1 as double)) + 1, 2) as w from st),
-  dn as (select id, sqrt(sum(w)) as dn from dp join w using (token) group by id), cn as (select id, sqrt(sum(w)) as cn from cp join w using (token) group by id),
-  dot as (select dp.id as doc_id, cp.id as item_id, sum(w) as dot from dp join cp on dp.token = cp.token join w on w.token = dp.token group by 1, 2),
-  cosine as (select doc_id, item_id, round(dot / (dn * cn), 6) as cosine from dot join dn on dn.id = doc_id join cn on cn.id = item_id)"""
-_BM25 = """dl as (select id, sum(tf) as dl from cp group by id),
-  cw as (select cp.id, cp.token, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) as w from cp join st on st.token = cp.token join dl on dl.id = cp.id),
-  bm as (select dp.id as doc_id, cw.id as item_id, round(1 - exp(-sum(w * least(tf, 2)) / 8.0), 6) as bm25 from dp join cw on dp.token = cw.token group by 1, 2)"""
-_HYBRID = """hy as (select coalesce(cosine.doc_id, bm.doc_id) as doc_id, coalesce(cosine.item_id, bm.item_id) as item_id, floor((45 * cast(round(coalesce(cosine, 0) * 1e6) as bigint) + 55 * cast(round(coalesce(bm25, 0) * 1e6) as bigint)) / 10000.0::double) / 10000.0::double as score
-    from cosine full join bm on cosine.doc_id = bm.doc_id and cosine.item_id = bm.item_id),
-  top as (select *, row_number() over (partition by doc_id order by score desc, item_id) as rank from hy where score >= 0.12)"""
-
 
 def _scored(t):
     return V.lexical(t("documents"), "doc_id", "text", V.postings(t("benchmark"), "item_id", "text"))
@@ -251,27 +235,27 @@ def _hybrid(t, k):
     return V.top(V.hybrid(_scored(t)), "score", k)
 
 
-@query(f"with {_POSTINGS} select token, df, round(ln((n + 1) / cast(df + 1 as double)) + 1, 6) as idf from st")
+@query(f"with {POSTINGS} select token, df, round(ln((n + 1) / cast(df + 1 as double)) + 1, 6) as idf from st")
 def idf_table(spark, t):
     return V.statistics(V.postings(t("benchmark"), "item_id", "text")).select("token", "df", F.round(F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
 
 
-@query(f"with {_POSTINGS}, {_COSINE} select doc_id, item_id, cosine from cosine where cosine >= 0.12")
+@query(f"with {POSTINGS}, {COSINE} select doc_id, item_id, cosine from cosine where cosine >= 0.12")
 def cosine_idf(spark, t):
     return _scored(t).select("doc_id", "item_id", "cosine").where("cosine >= 0.12")
 
 
-@query(f"with {_POSTINGS}, {_BM25}, r as (select *, row_number() over (partition by doc_id order by bm25 desc, item_id) as rank from bm) select doc_id, item_id, bm25, cast(rank as int) as rank from r where rank <= 5")
+@query(f"with {POSTINGS}, {BM25}, r as (select *, row_number() over (partition by doc_id order by bm25 desc, item_id) as rank from bm) select doc_id, item_id, bm25, cast(rank as int) as rank from r where rank <= 5")
 def bm25_top5(spark, t):
     return V.top(_scored(t).select("doc_id", "item_id", "bm25"), "bm25", 5)
 
 
-@query(f"with {_POSTINGS}, {_COSINE}, {_BM25}, {_HYBRID} select doc_id, item_id, score, cast(rank as int) as rank from top where rank <= 5")
+@query(f"with {POSTINGS}, {COSINE}, {BM25}, {HYBRID} select doc_id, item_id, score, cast(rank as int) as rank from top where rank <= 5")
 def hybrid_top5(spark, t):
     return _hybrid(t, 5)
 
 
-@query(f"""with {_POSTINGS}, {_COSINE}, {_BM25},
+@query(f"""with {POSTINGS}, {COSINE}, {BM25},
   p as (select doc_id, item_id, 1.0::double / (60 + n) as part from (select doc_id, item_id, cosine as v, row_number() over (partition by doc_id order by cosine desc, item_id) as n from cosine
     union all select doc_id, item_id, bm25, row_number() over (partition by doc_id order by bm25 desc, item_id) from bm) where v > 0 and n <= 20)
   select doc_id, item_id, round(least(sum(part) / (2.0::double / 61), 1.0), 6) as rrf from p group by doc_id, item_id""")
@@ -279,7 +263,7 @@ def rrf_fusion(spark, t):
     return V.fuse(_scored(t), ["cosine", "bm25"]).where("rrf > 0").select("doc_id", "item_id", "rrf")
 
 
-@query(f"""with tk as (select item_id as id, {_TOKENS} as w from benchmark),
+@query(f"""with tk as (select item_id as id, {TOKENS} as w from benchmark),
   v as (select distinct id, token, 1.0::double as w from (select id, unnest(w) as token from tk) union all
     select distinct id, token, 1.35::double from (select id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) as token from tk)),
   n as (select id, sqrt(sum(w * w)) as n from v group by id),
@@ -297,7 +281,7 @@ def diverse_topk(spark, t):
     return V.diverse(ranked, 10, "kind", wider="wider")
 
 
-@query(f"""with {_POSTINGS}, {_COSINE}, {_BM25}, {_HYBRID} select item_id, count(*) as documents, round(max(score), 4) as best, sum(case when rank = 1 then 1 else 0 end)::bigint as firsts from top where rank <= 5 group by item_id""")
+@query(f"""with {POSTINGS}, {COSINE}, {BM25}, {HYBRID} select item_id, count(*) as documents, round(max(score), 4) as best, sum(case when rank = 1 then 1 else 0 end)::bigint as firsts from top where rank <= 5 group by item_id""")
 def mapping_support(spark, t):
     return _hybrid(t, 5).groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("score"), 4).alias("best"), F.sum((F.col("rank") == 1).cast("long")).alias("firsts"))
 
@@ -345,14 +329,14 @@ def routing_scores(spark, t):
     return df.withColumn("route", U.route(F.col("complexity"), F.col("risk")))
 
 
-@query(f"""with {_POSTINGS}, {_COSINE}, {_BM25}, {_HYBRID}, x as (select doc_id, item_id from cosine where cosine >= 0.2), h as (select doc_id, item_id from top where rank <= 5),
+@query(f"""with {POSTINGS}, {COSINE}, {BM25}, {HYBRID}, x as (select doc_id, item_id from cosine where cosine >= 0.2), h as (select doc_id, item_id from top where rank <= 5),
   s as (select doc_id, count(*) as shown from h group by doc_id), p as (select x.doc_id, count(h.item_id) as got from x left join h on x.doc_id = h.doc_id and x.item_id = h.item_id group by x.doc_id)
   select count(*) as cases, round(coalesce(sum(case when got > 0 then 1 else 0 end) / cast(nullif(count(*), 0) as double), 0), 6) as recall, round(coalesce(sum(got) / cast(nullif(sum(shown), 0) as double), 0), 6) as precision from p left join s on p.doc_id = s.doc_id""")
 def gold_metrics(spark, t):
     return E.retrieval_metrics(_hybrid(t, 5), _scored(t).where("cosine >= 0.2"), "doc_id", "item_id", 5)
 
 
-_SHADOW = f"""with {_POSTINGS}, {_COSINE}, {_BM25}, l as (select doc_id, item_id from (select *, row_number() over (partition by doc_id order by cosine desc, item_id) as n from cosine) where n <= 5),
+_SHADOW = f"""with {POSTINGS}, {COSINE}, {BM25}, l as (select doc_id, item_id from (select *, row_number() over (partition by doc_id order by cosine desc, item_id) as n from cosine) where n <= 5),
   r as (select doc_id, item_id from (select *, row_number() over (partition by doc_id order by bm25 desc, item_id) as n from bm) where n <= 5),
   j as (select coalesce(l.doc_id, r.doc_id) as doc_id, count(l.item_id) as n_left, count(r.item_id) as n_right, count(l.item_id + r.item_id) as n_both, count(*) as n_all
     from l full join r on l.doc_id = r.doc_id and l.item_id = r.item_id group by 1),
@@ -374,7 +358,7 @@ def shadow_report(spark, t):
     return _shadow(t).agg(F.count("*").alias("pairs"), F.round(F.avg("jaccard"), 4).alias("jaccard"), F.round(F.avg("coverage"), 4).alias("coverage"))
 
 
-@query(f"""with k as (select distinct d.doc_id, token from (select doc_id, unnest({_TOKENS}) as token from documents) d join labels l on d.doc_id = l.doc_id),
+@query(f"""with k as (select distinct d.doc_id, token from (select doc_id, unnest({TOKENS}) as token from documents) d join labels l on d.doc_id = l.doc_id),
   s as (select token, count(case when quality = 0 then 1 end) as support, count(*) as observed from k join labels l on k.doc_id = l.doc_id group by token)
   select token, support, observed, round(support / cast(observed as double), 6) as precision from s where support >= 2 and round(support / cast(observed as double), 6) >= 0.8""")
 def feedback_terms(spark, t):
