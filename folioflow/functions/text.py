@@ -110,6 +110,40 @@ def heading(text: Column, most: int = 180) -> Column:
     return F.substring(F.get(lines, F.lit(0)), 1, most)
 
 
+def public_link(base: str, path: Column) -> Column:
+    """A base URL followed by a path whose segments are percent-encoded."""
+    parts = F.transform(F.split(F.coalesce(path, F.lit("")), "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20")))
+    return F.concat(F.lit(base.rstrip("/") + "/"), F.array_join(parts, "/"))
+
+
+def http_date(text: Column) -> Column:
+    """A date of HTTP headers (`Tue, 15 Nov 1994 08:12:31 GMT`) in ISO form, UTC; null for anything else."""
+    bare = F.regexp_extract(F.coalesce(text, F.lit("")), r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
+    return F.date_format(F.try_to_timestamp(F.when(F.length(bare) > 0, bare), F.lit("dd MMM yyyy HH:mm:ss")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def whole_sentences(text: Column, most: int) -> Column:
+    """The text if it fits, else its start up to the last end of a sentence within `most` characters; without one, cut there."""
+    clean = collapse(text)
+    head = F.substring(clean, 1, most)
+    full = F.regexp_extract(head, r"^(.*[.!?])(\s|$)", 1)
+    return F.when(F.length(clean) <= most, clean).when(F.length(full) > 0, full).otherwise(F.rtrim(head))
+
+
+def like_prefix(text: Column, prefix: str) -> Column:
+    """Whether a text begins with prefix as LIKE sees it: ASCII case aside, an underscore in prefix stands for any character."""
+    return F.lower(text).like(prefix.lower() + "%")
+
+
+def narrative(text: Column) -> Column:
+    """A text without markup: code fences, headings, emphasis, list marks and links' targets go, lines are single-spaced."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"```[a-zA-Z]*", " ")
+    out = F.regexp_replace(out, r"(?m)^[ \t]*(#{1,6}|[-*+]|[0-9]+\.)[ \t]+", "")
+    out = F.regexp_replace(out, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    out = F.regexp_replace(out, r"[*_`]{1,3}", "")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
 def normal_name(name: Column) -> Column:
     """A file name for comparison: lower case, without extension, other characters than letters and digits as single spaces."""
     bare = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\.[a-z0-9]{1,5}$", "")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import bounded, fact_key, keyword_hits, sentences
+from folioflow.functions.text import bounded, fact_key, keyword_hits, sentences, title_case
 
 SEGMENT = 20_000
 #: Patterns of sensitive signals.
@@ -136,3 +136,81 @@ def folder_status(files: DataFrame, folder: str, name: str, vague: Sequence[str]
     bad = stem.rlike("^[0-9]+$") | (F.length(stem) <= 3) | (F.size(keyword_hits(low, vague)) > 0)
     df = files.groupBy(folder).agg(F.count("*").alias("n_files"), F.sum(bad.cast("long")).alias("n_vague"))
     return df.withColumn("status", F.when(F.col("n_vague") > 0, "curate").when(F.col("n_files") < least, "partial").otherwise("filled"))
+
+
+def intake(files: DataFrame, id_: str, most_bytes: int) -> DataFrame:
+    """id, findings, route of every file (id, name, content): blocked by a blocking finding, review with others, accepted without."""
+    found = upload_findings(files, most_bytes)  # named by the file's name
+    per = found.groupBy("name").agg(F.count("*").alias("findings"), F.bool_or("blocking").alias("blocked"))
+    df = files.select(id_, "name").join(per, "name", "left")
+    route = F.when(F.coalesce("blocked", F.lit(False)), "blocked").when(F.col("findings") > 0, "review").otherwise("accepted")
+    return df.select(id_, F.coalesce("findings", F.lit(0)).alias("findings"), route.alias("route"))
+
+
+#: Fixed value: mark of a unit whose picture nobody has looked at.
+PENDING = "pending_review_or_vision"
+
+
+def eligible(status: Column, text: Column, visual: Column, template: Column) -> Column:
+    """Whether a unit may give facts: it was read, has text, its picture isn't pending, and it is no template."""
+    return status.isin("processed", "partial") & (F.length(F.coalesce(text, F.lit(""))) > 0) & ~F.coalesce(visual == PENDING, F.lit(False)) & ~F.coalesce(template, F.lit(False))
+
+
+def review_kind(status: Column, visual: Column) -> Column:
+    """What a person has to look at: visual_semantics, ocr_rescue or null."""
+    return F.when(visual == PENDING, "visual_semantics").when(status == "ocr_required", "ocr_rescue")
+
+
+def unit_ledger(units_: DataFrame) -> DataFrame:
+    """Per doc_id of units (doc_id, text, status, visual, template): n_units, eligible, checked, template_units, reviews by kind, block_reasons (sorted)."""
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    c = F.col
+    read = c("status").isin("processed", "partial")
+    kind = review_kind(c("status"), c("visual"))
+    reason = F.when(c("status") == "ocr_required", "ocr_required").when(c("visual") == PENDING, "visual_pending")
+    return units_.groupBy("doc_id").agg(
+        F.count("*").alias("n_units"),
+        n(eligible(c("status"), c("text"), c("visual"), c("template"))).alias("eligible"),
+        n(read).alias("checked"),
+        n(read & c("template")).alias("template_units"),
+        n(kind == "visual_semantics").alias("visual_semantics"),
+        n(kind == "ocr_rescue").alias("ocr_rescue"),
+        F.sort_array(F.collect_set(reason)).alias("block_reasons"),
+    )
+
+
+def templates(docs: DataFrame, terms: Sequence[str], marks: Sequence[str], activity: Sequence[str], instructions: Sequence[str], date: str) -> DataFrame:
+    """doc_id, score, dated_activity, template_only: hits of terms and of mark patterns reach 2, or an instruction is there, and no dated activity stands against it."""
+    text = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    df = docs.select("doc_id", text.alias("x"))
+    count = lambda cs: sum((c.cast("int") for c in cs), F.lit(0))
+    has = lambda w: F.col("x").contains(w)
+    score = count([has(w) for w in terms] + [F.col("x").rlike(p) for p in marks])
+    dated = (count([has(w) for w in activity]) > 0) & F.col("x").rlike(date)
+    only = ~dated & ((score >= 2) | (count([has(w) for w in instructions]) > 0))
+    return df.select("doc_id", score.alias("score"), dated.alias("dated_activity"), only.alias("template_only"))
+
+
+def typed(claims_: DataFrame, lexicon: Mapping[str, Sequence[str]], substantive: Sequence[str]) -> DataFrame:
+    """claims with words, fact_type: the type with most whole words, the largest name in a tie; `unknown` without any, and such claims stay only with a substantive word."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("claim"), F.lit("[a-z0-9]+"), F.lit(0)))
+    df = claims_.withColumn("words", words)
+    hits = lambda own: F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in own])))
+    best = F.array_max(F.array(*[F.struct(hits(own).alias("n"), F.lit(name).alias("name")) for name, own in lexicon.items()]))
+    df = df.withColumn("fact_type", F.when(best["n"] > 0, best["name"]).otherwise("unknown"))
+    return df.where((F.col("fact_type") != "unknown") | (hits(substantive) > 0))
+
+
+def organization(text: Column, pattern: str, aliases: Mapping[str, str] | None = None) -> Column:
+    """The first match of a pattern in title case, or the name that an alias (lower case) stands for; null without a match."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+    named = title_case(F.get(found, F.lit(0)))
+    known = [F.when(F.lower(named) == k, F.lit(v)) for k, v in (aliases or {}).items()]
+    return F.coalesce(*known, named) if known else named
+
+
+def matched_regions(quotes: DataFrame, regions: DataFrame, key: str, most: int) -> DataFrame:
+    """key, region, n_common, place: a unit's regions (key, region, words) that share words with its quote (key, quote), the nearest `most`."""
+    both = quotes.join(regions, key).withColumn("n_common", F.size(F.array_intersect("quote", "words"))).where("n_common > 0")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n_common"), "region"))
+    return both.select(key, "region", F.col("n_common").cast("long").alias("n_common"), place.alias("place")).where(F.col("place") <= most)

@@ -94,6 +94,14 @@ def manifest(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     return out
 
 
+def manifest_diff(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """table_name, state of two manifests: same, changed, missing (not found) or extra (not expected)."""
+    own = lambda df, p: df.select("table_name", F.col("n_rows").alias(f"{p}n"), F.col("key_sum").alias(f"{p}s"))
+    same = (F.col("an") == F.col("bn")) & (F.col("as") == F.col("bs"))
+    state = F.when(F.col("an").isNull(), "extra").when(F.col("bn").isNull(), "missing").when(same, "same").otherwise("changed")
+    return own(expected, "a").join(own(found, "b"), "table_name", "full").select("table_name", state.alias("state"))
+
+
 def copies(df: DataFrame, digest: Column, id_: str) -> DataFrame:
     """Rows whose digest another row has too: id, first_id of the digest, n_others. Pairs are never made."""
     keyed = df.select(id_, digest.alias("__digest"))

@@ -76,6 +76,15 @@ def exposition(metrics: DataFrame, name: str, label: str, value: str) -> DataFra
     return metrics.select(F.concat(F.lit(f'{name}{{{label}="'), escaped, F.lit('"} '), finite.cast("string")).alias("line"))
 
 
+def exposition_lines(metrics: DataFrame, name: str, labels: Sequence[str], value: str) -> DataFrame:
+    """As `exposition`, with several labels in their order."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit('"'), F.lit('\\"'))
+    number = F.col(value).cast("double")
+    finite = F.when(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")), 0.0).otherwise(number)
+    parts = [F.concat(F.lit(f'{c}="'), escaped(c), F.lit('"')) for c in labels]
+    return metrics.select(F.concat(F.lit(name + "{"), F.concat_ws(",", *parts), F.lit("} "), finite.cast("string")).alias("line"))
+
+
 #: Points of a score above which a candidate leads, from which it supports, and from which it is reviewed.
 LEADS, SUPPORTS, REVIEWED = 80, 65, 55
 

@@ -12,7 +12,7 @@ from folioflow.operators import evaluation as E
 from folioflow.operators import relational as R
 from folioflow.operators import retrieval as V
 from folioflow.operators import rules as U
-from folioflow.plans import evidence, grading, ledgers, retrieval  # noqa: F401  register their queries too
+from folioflow.plans import evidence, grading, ledgers, retrieval, texts  # noqa: F401  register their queries too
 from folioflow.plans.registry import oracle_sql, queries, query  # noqa: F401
 from folioflow.plans.sql import BM25, COSINE, HYBRID, POSTINGS, TOKENS
 from folioflow.streaming import events as S
@@ -422,15 +422,13 @@ def token_cost(spark, t):
 
 @query("select cast(ts as date) as day, event_type, count(*) as n from events group by 1, 2")
 def stream_daily(spark, t):
-    return S.drained(S.daily(_stream(spark, t)), f"daily-{uuid.uuid4().hex}")
+    return S.drained(S.daily(_stream(spark, t)), f"daily-{uuid.uuid4().hex}", ["day", "event_type"])
 
 
 @query("""select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1""")
 def stream_latest(spark, t):
-    return S.drained(S.latest_state(_stream(spark, t)), f"latest-{uuid.uuid4().hex}")
+    return S.drained(S.latest_state(_stream(spark, t)), f"latest-{uuid.uuid4().hex}", ["user_id"])
 
 
 def _stream(spark, t):
-    events = t("events")
-    path = events.inputFiles()[0]
-    return S.tail(spark, path if len(events.inputFiles()) == 1 else path.rpartition("/")[0], events.schema)
+    return S.tail(spark, t.path("events"), t("events").schema)

@@ -11,11 +11,24 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
+class Tables:
+    """Reads the tables of a folder by name."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}.parquet"
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
+
 def query(sql: str | None) -> Callable:
     """Register a function of (spark, reader of a table by name) under its name, with its SQL if SQL can state it."""
 
     def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        _QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, Tables(spark, sf_dir))
         if sql:
             _ORACLES[f.__name__] = sql
         return f

@@ -18,14 +18,32 @@ def binaries(spark: SparkSession, path: str, depth: bool = True) -> DataFrame:
     return df.select("path", "length", "content", F.sha2("content", 256).alias("sha256"))
 
 
+def with_encoding(raw: bytes) -> tuple[str, str]:
+    """Text and encoding: what a byte-order mark says, else UTF-8 if it is that, else cp1252 with U+FFFD for what it lacks."""
+    marks = {b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16", b"\xef\xbb": "utf-8-sig"}
+    kind = marks.get(raw[:2], "utf-8")
+    if kind == "utf-8":
+        try:
+            return raw.decode(kind), kind
+        except UnicodeDecodeError:
+            kind = "cp1252"
+    return raw.decode(kind, "replace"), kind
+
+
 def decoded(raw: bytes) -> str:
-    """Text by byte-order mark, then UTF-8, then cp1252."""
-    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return raw.decode("utf-16", "replace")
-    try:
-        return raw.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        return raw.decode("cp1252", "replace")
+    return with_encoding(raw)[0]
+
+
+def decoded_texts(files: DataFrame, id_: str) -> DataFrame:
+    """id, text, encoding, n_replaced (characters U+FFFD) of files (id, content); a null content is empty."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [with_encoding(bytes(c) if c is not None else b"") for c in batch["content"]]
+            yield pd.DataFrame({id_: batch[id_], "text": [x for x, _ in rows], "encoding": [k for _, k in rows], "n_replaced": [x.count("\ufffd") for x, _ in rows]})
+
+    kind = files.schema[id_].dataType.simpleString()
+    return files.select(id_, "content").mapInPandas(read, f"{id_} {kind}, text string, encoding string, n_replaced int")
 
 
 def office_units(name: str, raw: bytes) -> Iterator[tuple[str, int, str]]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
+from folioflow.operators.relational import latest
 from folioflow.session import scratch
 
 
@@ -19,7 +22,7 @@ def tail(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def daily(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Events a day and type; a day closes `late` after the newest event (our choice, events later than that are dropped)."""
+    """Events a day and type; an event more than `late` older than the newest that an earlier batch saw is dropped, and closed days leave the state."""
     windowed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type")
     return windowed.agg(F.count("*").alias("n")).select(F.col("w.start").cast("date").alias("day"), "event_type", "n")
 
@@ -30,19 +33,28 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(last.alias("e")).select("user_id", F.col("e.event_id").alias("event_id"), F.col("e.event_type").alias("event_type"))
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream of a complete result over what is there now and give that result.
+def drained(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Run an aggregated stream over what is there now and give its result, one row for each of keys.
 
-    State and result stand in the shared folder, never on the driver; a batch that runs again
-    overwrites what it wrote before.
+    A batch writes only the rows that it changed, into a folder of its own, and one that runs again
+    overwrites that; the newest batch of a key counts. State and rows stand in the shared folder, never on
+    the driver. A later call of the same name goes on where this one stopped.
     """
     spark = stream.sparkSession
     base = f"{scratch(spark)}/folioflow-{spark.sparkContext.applicationId}/stream-{name}"
-    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out")  # the result without any batch
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").outputMode("complete").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{base}/out/batch=-1")  # the result without any batch
+    return latest(spark.read.schema(schema).parquet(f"{base}/out"), list(keys), F.desc("batch")).drop("batch")
+
+
+def until_final(events: DataFrame, key: str, order: Sequence[str], final: Column) -> DataFrame:
+    """The events of each key up to its first final one, that included; what a reader of the tail sees before it stops."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max(F.coalesce(final, F.lit(False)).cast("int")).over(w), F.lit(0))
+    return events.withColumn("__ended", ended).where("__ended = 0").drop("__ended")
