@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import bounded, fact_key, keyword_hits, sentences, title_case
+from folioflow.functions.text import bounded, keyword_hits, sentences, title_case
 
 SEGMENT = 20_000
 #: Patterns of sensitive signals.
@@ -60,13 +60,6 @@ def fact_type(claim: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
     return F.when(scored["n"] > 0, scored["name"]).otherwise("general")
 
 
-def facts(docs: DataFrame, lexicon: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Typed and keyed claims with provenance."""
-    df = claims(docs)
-    key = fact_key(F.col("doc_id").cast("string"), F.col("place").cast("string"), F.col("claim"))
-    return df.select("doc_id", "place", key.alias("fact_key"), fact_type(F.col("claim"), lexicon).alias("fact_type"), F.length("claim").cast("long").alias("n_chars"))
-
-
 def verified_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """quotes (doc_id, quote) with verified: the quote isn't blank and stands in its document."""
     texts = docs.select("doc_id", "text")

@@ -1,9 +1,7 @@
-"""Evaluation: retrieval metrics against labels, comparison of two candidate sets, feedback terms, promotion gates."""
+"""Evaluation: retrieval metrics against labels, comparison of two candidate sets, feedback terms."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +30,3 @@ def feedback_terms(terms: DataFrame, positives: DataFrame, least_support: int =
     marked = terms.distinct().join(positives.select("doc_id").distinct().withColumn("__p", F.lit(1)), "doc_id", "left")
     df = marked.groupBy("token").agg(F.count("__p").alias("support"), F.count("*").alias("observed"))
     return df.withColumn("precision", ratio(F.col("support"), F.col("observed"))).where((F.col("support") >= least_support) & (F.col("precision") >= least_precision))
-
-
-def gates(metrics: DataFrame, least: Mapping[str, float]) -> DataFrame:
-    """One row: the gates that the row of metrics misses, and ready."""
-    missed = F.array_compact(F.array(*[F.when(F.coalesce(F.col(k) < v, F.lit(True)), F.lit(k)) for k, v in least.items()]))
-    return metrics.withColumn("missed", missed).withColumn("ready", F.size("missed") == 0)

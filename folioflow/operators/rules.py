@@ -49,13 +49,6 @@ def catalog_state(rules: DataFrame, key: str, status: str) -> DataFrame:
     return rules.groupBy(key).agg(F.count("*").alias("n_rules"), state.alias("review_state"))
 
 
-def approvals(rules: DataFrame, decisions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rules with approval_status: the decision's if its checksum is the rule's, `stale` if not, `draft` without one."""
-    own = decisions.select(*keys, F.col("checksum").alias("__sum"), F.col("status").alias("__status"))
-    status = F.when(F.col("__status").isNull(), "draft").when(F.col("__sum") != F.col("checksum"), "stale").otherwise(F.col("__status"))
-    return rules.join(own, list(keys), "left").withColumn("approval_status", status).drop("__sum", "__status")
-
-
 def synthesise(members: DataFrame, keys: Sequence[str], stages: Mapping[str, Column]) -> DataFrame:
     """Groups of documents: members, which stages any has, and the safe grade of their chain."""
     df = members.groupBy(*keys).agg(F.count("*").alias("n_members"), *[F.bool_or(c).alias(n) for n, c in stages.items()])

@@ -37,6 +37,11 @@ def previews(spark, t):
     return t("documents").select("doc_id", T.whole_sentences(F.col("text"), 200).alias("preview"))
 
 
+@query(r"select doc_id, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), lambda x: length(x) >= 2)) as n from documents")
+def unicode_words(spark, t):
+    return t("documents").select("doc_id", F.size(T.unicode_tokens(F.col("text"))).cast("long").alias("n"))
+
+
 @query(r"select event_id, lower(event_type) like 'p_r%' as hit from events")
 def like_prefix(spark, t):
     return t("events").select("event_id", T.like_prefix(F.col("event_type"), "P_R").alias("hit"))

@@ -46,67 +46,165 @@ def decoded_texts(files: DataFrame, id_: str) -> DataFrame:
     return files.select(id_, "content").mapInPandas(read, f"{id_} {kind}, text string, encoding string, n_replaced int")
 
 
+_LOCAL = lambda e: e.tag.rsplit("}", 1)[-1]
+#: Parts of a word-processing archive beside its body, and their unit types.
+WORD_PARTS = {"header": "header", "footer": "footer", "footnotes": "footnote", "endnotes": "endnote", "comments": "comment"}
+
+
+def _text(element: ElementTree.Element) -> str:
+    """The text runs below an element."""
+    return "".join(t.text or "" for t in element.iter() if _LOCAL(t) == "t")
+
+
+def _word(archive: zipfile.ZipFile, parts: list[str]) -> Iterator[tuple[str, str]]:
+    """Blocks and table rows in the body's order, then headers, footers, notes and comments by part."""
+    if "word/document.xml" in parts:
+        root = ElementTree.fromstring(archive.read("word/document.xml"))
+        bodies = [e for e in root.iter() if _LOCAL(e) == "body"] or [root]
+        for e in bodies[0]:
+            if _LOCAL(e) == "p":
+                yield "block", _text(e)
+            elif _LOCAL(e) == "tbl":
+                for row in (r for r in e if _LOCAL(r) == "tr"):
+                    yield "table_row", "\t".join(_text(c) for c in row if _LOCAL(c) == "tc")
+    for part in parts:
+        name = part.rsplit("/", 1)[-1].removesuffix(".xml")
+        kind = WORD_PARTS.get(name.rstrip("0123456789"))
+        if part.startswith("word/") and kind:
+            root = ElementTree.fromstring(archive.read(part))
+            notes = [e for e in root if _LOCAL(e) in ("footnote", "endnote", "comment")] if kind in ("footnote", "endnote", "comment") else [root]
+            yield from ((kind, text) for text in map(_text, notes) if text)
+
+
+def _slides(archive: zipfile.ZipFile, parts: list[str]) -> Iterator[tuple[str, str]]:
+    """Each slide by number, its notes after it."""
+    number = lambda n: int("".join(filter(str.isdigit, n.rsplit("/", 1)[-1])) or 0)
+    notes = {number(n): n for n in parts if n.startswith("ppt/notesSlides/notesSlide")}
+    for part in sorted((n for n in parts if n.startswith("ppt/slides/slide")), key=number):
+        yield "slide", _text(ElementTree.fromstring(archive.read(part)))
+        if number(part) in notes and (text := _text(ElementTree.fromstring(archive.read(notes[number(part)])))):
+            yield "notes", text
+
+
+def _sheets(archive: zipfile.ZipFile, parts: list[str]) -> Iterator[tuple[str, str]]:
+    """Rows under their sheet's name, formulas and merged ranges with their cells, comments of the workbook."""
+    read = lambda n: ElementTree.fromstring(archive.read(n))
+    shared = [_text(e) for e in read("xl/sharedStrings.xml") if _LOCAL(e) == "si"] if "xl/sharedStrings.xml" in parts else []
+    names = [e.get("name") or "" for e in read("xl/workbook.xml").iter() if _LOCAL(e) == "sheet"] if "xl/workbook.xml" in parts else []
+    number = lambda n: int("".join(filter(str.isdigit, n.rsplit("/", 1)[-1])) or 0)
+    for i, part in enumerate(sorted((n for n in parts if n.startswith("xl/worksheets/")), key=number)):
+        root, sheet = read(part), names[i] if i < len(names) else f"sheet{i + 1}"
+        for row in (e for e in root.iter() if _LOCAL(e) == "row"):
+            cells = []
+            for cell in (e for e in row if _LOCAL(e) == "c"):
+                value = next((v.text or "" for v in cell if _LOCAL(v) == "v"), _text(cell))
+                cells.append(shared[int(value)] if cell.get("t") == "s" and value.isdigit() and int(value) < len(shared) else value)
+                formula = next((v.text or "" for v in cell if _LOCAL(v) == "f"), None)
+                if formula:
+                    yield "formula", f"{sheet}!{cell.get('r') or ''}={formula}"
+            yield "row", f"{sheet}\t" + "\t".join(cells)
+        yield from (("merged", f"{sheet}!{e.get('ref') or ''}") for e in root.iter() if _LOCAL(e) == "mergeCell")
+    for part in parts:
+        if part.startswith("xl/comments"):
+            yield from (("comment", f"{e.get('ref') or ''}: {_text(e)}") for e in read(part).iter() if _LOCAL(e) == "comment")
+
+
+READERS = {"docx": _word, "pptx": _slides, "xlsx": _sheets}
+
+
 def office_units(name: str, raw: bytes) -> Iterator[tuple[str, int, str]]:
-    """unit_type, ordinal, text of the paragraphs, cells or slides of an office archive; nothing for a broken one."""
+    """unit_type, ordinal, text of an office archive; one unit `broken` for what can't be read, nothing for other archives."""
+    reader = READERS.get(name.rsplit(".", 1)[-1].lower())
     try:
-        archive = zipfile.ZipFile(io.BytesIO(raw))
-    except zipfile.BadZipFile:
-        return
-    with archive:
-        kind = name.rsplit(".", 1)[-1].lower()
-        parts = [n for n in archive.namelist() if n.endswith(".xml")]
-        local = lambda e: e.tag.rsplit("}", 1)[-1]
-        joined = lambda e: "".join(t.text or "" for t in e.iter() if local(t) == "t")
-        if kind == "docx" and "word/document.xml" in parts:
-            root = ElementTree.fromstring(archive.read("word/document.xml"))
-            yield from (("block", i, joined(e)) for i, e in enumerate(e for e in root.iter() if local(e) == "p"))
-        elif kind == "pptx":
-            slides = sorted((n for n in parts if n.startswith("ppt/slides/slide")), key=lambda n: int("".join(filter(str.isdigit, n)) or 0))
-            yield from (("slide", i, joined(ElementTree.fromstring(archive.read(n)))) for i, n in enumerate(slides))
-        elif kind == "xlsx":
-            shared = [joined(e) for e in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")) if local(e) == "si"] if "xl/sharedStrings.xml" in parts else []
-            place = 0
-            for sheet in sorted(n for n in parts if n.startswith("xl/worksheets/")):
-                for row in (e for e in ElementTree.fromstring(archive.read(sheet)).iter() if local(e) == "row"):
-                    cells = []
-                    for cell in (e for e in row if local(e) == "c"):
-                        value = next((v.text or "" for v in cell if local(v) == "v"), joined(cell))
-                        cells.append(shared[int(value)] if cell.get("t") == "s" and value.isdigit() and int(value) < len(shared) else value)
-                    yield "row", place, "\t".join(cells)
-                    place += 1
+        with zipfile.ZipFile(io.BytesIO(raw)) as archive:
+            parts = sorted(n for n in archive.namelist() if n.endswith(".xml"))
+            found = list(reader(archive, parts)) if reader else []
+    except (zipfile.BadZipFile, ElementTree.ParseError):
+        found = [("broken", "")]
+    yield from ((kind, i, text) for i, (kind, text) in enumerate(found))
+
+
+def image_size(raw: bytes) -> tuple[int, int] | None:
+    """Width and height that the header of a PNG, GIF, BMP or JPEG picture tells; null for anything else."""
+    if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:
+        return int.from_bytes(raw[16:20], "big"), int.from_bytes(raw[20:24], "big")
+    if raw[:4] == b"GIF8" and len(raw) >= 10:
+        return int.from_bytes(raw[6:8], "little"), int.from_bytes(raw[8:10], "little")
+    if raw[:2] == b"BM" and len(raw) >= 26:
+        return int.from_bytes(raw[18:22], "little"), abs(int.from_bytes(raw[22:26], "little", signed=True))
+    at = 2
+    while raw[:2] == b"\xff\xd8" and at + 9 <= len(raw):
+        if raw[at] != 0xFF:
+            break
+        # a start of frame holds the size; other segments are skipped by their length
+        if 0xC0 <= raw[at + 1] <= 0xCF and raw[at + 1] not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(raw[at + 7 : at + 9], "big"), int.from_bytes(raw[at + 5 : at + 7], "big")
+        at += 2 + int.from_bytes(raw[at + 2 : at + 4], "big")
+    return None
 
 
 def file_units(files: DataFrame) -> DataFrame:
-    """path, unit_type, ordinal, text of files (path, content): a line of text, or a unit of an office archive."""
+    """path, unit_type, ordinal, text, status of files (path, content), by their bytes: units of an office archive, a picture's size
+    (`ocr_required`), a PDF as one unit that no reader here opens (`unsupported`), else lines of text."""
+
+    def one(path: str, raw: bytes) -> Iterator[tuple]:
+        if raw[:4] == b"PK\x03\x04":
+            yield from ((kind, i, text, "failed" if kind == "broken" else "processed" if text.strip() else "empty") for kind, i, text in office_units(path, raw))
+        elif raw[:5] == b"%PDF-":
+            yield "pdf", 0, None, "unsupported"
+        elif size := image_size(raw):
+            yield "image", 0, f"{size[0]}x{size[1]}", "ocr_required"
+        else:
+            yield from (("line", i, x, "processed" if x.strip() else "empty") for i, x in enumerate(decoded(raw).split("\n")))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                raw = bytes(content) if content is not None else b""
-                own = office_units(path, raw) if raw[:4] == b"PK\x03\x04" else (("line", i, x) for i, x in enumerate(decoded(raw).split("\n")))
-                rows += [(path, *x) for x in own]
-            yield pd.DataFrame(rows, columns=["path", "unit_type", "ordinal", "text"])
+            rows = [(path, *x) for path, content in zip(batch["path"], batch["content"], strict=True) for x in one(path, bytes(content) if content is not None else b"")]
+            yield pd.DataFrame(rows, columns=["path", "unit_type", "ordinal", "text", "status"])
+
+    return files.select("path", "content").mapInPandas(read, "path string, unit_type string, ordinal int, text string, status string")
+
 
-    return files.select("path", "content").mapInPandas(read, "path string, unit_type string, ordinal int, text string")
+#: Bounds of an archive.
+MOST_ENTRIES, MOST_BYTES, MOST_RATIO = 2_000, 512 << 20, 100.0
 
 
-def members(files: DataFrame, most_ratio: float = 100.0) -> DataFrame:
-    """path, member, size, compressed, finding for each entry of zip files: traversal, encrypted, ratio or null."""
+def members(files: DataFrame, most_ratio: float = MOST_RATIO, most_entries: int = MOST_ENTRIES, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """path, member, size, compressed, finding of each entry of zip files (path, content), and one row without a member for the archive if it is broken or too large.
+
+    Findings: traversal, symlink, encrypted, ratio, collision (its name equals an earlier entry's but for case), broken,
+    entries and total (the archive's bounds); null for a sound entry. Folders are left out.
+    """
+
+    def one(raw: bytes) -> Iterator[tuple]:
+        try:
+            entries = zipfile.ZipFile(io.BytesIO(raw)).infolist()
+        except zipfile.BadZipFile:
+            yield None, 0, 0, "broken"
+            return
+        total = sum(e.file_size for e in entries)
+        if len(entries) > most_entries:
+            yield None, total, len(raw), "entries"
+        if total > most_bytes:
+            yield None, total, len(raw), "total"
+        seen: set[str] = set()
+        for e in entries:
+            name = e.filename.replace("\\", "/")
+            if name.endswith("/"):
+                continue
+            found = {
+                "traversal": name.startswith("/") or ".." in name.split("/") or name[1:2] == ":",
+                "symlink": e.external_attr >> 16 & 0o170000 == 0o120000,
+                "encrypted": bool(e.flag_bits & 1),
+                "ratio": e.file_size > most_ratio * max(e.compress_size, 1),
+                "collision": name.casefold() in seen,
+            }
+            seen.add(name.casefold())
+            yield e.filename, e.file_size, e.compress_size, next((k for k, bad in found.items() if bad), None)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    entries = zipfile.ZipFile(io.BytesIO(bytes(content or b""))).infolist()
-                except zipfile.BadZipFile:
-                    rows.append((path, None, 0, 0, "broken"))
-                    continue
-                for e in entries:
-                    bad = e.filename.startswith("/") or ".." in e.filename.replace("\\", "/").split("/")
-                    heavy = e.file_size > most_ratio * max(e.compress_size, 1)
-                    rows.append((path, e.filename, e.file_size, e.compress_size, "traversal" if bad else "encrypted" if e.flag_bits & 1 else "ratio" if heavy else None))
+            rows = [(path, *x) for path, content in zip(batch["path"], batch["content"], strict=True) for x in one(bytes(content) if content is not None else b"")]
             yield pd.DataFrame(rows, columns=["path", "member", "size", "compressed", "finding"])
 
     return files.select("path", "content").mapInPandas(read, "path string, member string, size long, compressed long, finding string")
