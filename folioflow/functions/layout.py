@@ -45,7 +45,7 @@ def lines(words: DataFrame, *keys: str) -> DataFrame:
         F.max(F.col("left") + F.col("width")).alias("right"),
         F.max(F.col("top") + F.col("height")).alias("bottom"),
     )
-    return df.withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))), 4))
+    return df.withColumn("confidence", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))) * 10_000 + 0.500001) / 10_000.0)
 
 
 def _index(letters: Column) -> Column:

@@ -228,13 +228,25 @@ PARTS = {"bm25": 30, "cosine": 25, "semantic": 30, "rrf": 15}
 LOCAL, SHORTLIST = 65, 35
 
 
-def field_bonus(documents: DataFrame, id_: str, text: str, fields: DataFrame) -> DataFrame:
-    """doc_id, item_id, fields: the bonuses of all fields; fields has item_id, field, text."""
-    terms = fields.select("item_id", "field", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+def item_terms(items: DataFrame, fields: DataFrame, learned: DataFrame) -> DataFrame:
+    """item_id, token, the fields that hold it, points (a learned term's, else null), n_tokens of the item.
+
+    items has item_id, text; fields item_id, field, text with texts that are parts of the item's; learned term_hash, precision.
+    """
+    own = items.select("item_id", F.array_distinct(tokens(F.col("text"))).alias("t")).select("item_id", F.size("t").alias("n_tokens"), F.explode("t").alias("token"))
+    held = fields.select("item_id", "field", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).groupBy("item_id", "token").agg(F.collect_set("field").alias("fields"))
+    df = own.join(held, ["item_id", "token"], "left").withColumn("term_hash", F.sha2("token", 256)).join(learned, "term_hash", "left")
+    return df.select("item_id", "token", "n_tokens", F.coalesce("fields", F.array().cast("array<string>")).alias("fields"), (0.08 + F.col("precision") * 0.06).alias("points"))
+
+
+def term_bonuses(documents: DataFrame, id_: str, text: str, terms: DataFrame, most: float = 0.18) -> DataFrame:
+    """doc_id, item_id, fields, feedback, every: the bonuses of common tokens by field and by learned terms, and whether
+    the document has all the item's tokens; from one join of distinct tokens with `item_terms`."""
     own = documents.select(F.col(id_).alias("doc_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("token"))
-    n = own.join(measured(terms), "token").groupBy("doc_id", "item_id", "field").agg(F.count("*").alias("n"))
-    points = F.coalesce(*[F.when(F.col("field") == f, F.least(F.lit(most), F.col("n") * each)) for f, (each, most) in FIELDS.items()], F.lit(0.0))
-    return n.groupBy("doc_id", "item_id").agg(F.round(F.sum(points), 6).alias("fields"))
+    n = {f: F.sum(F.array_contains("fields", f).cast("int")) for f in FIELDS}
+    points = sum((F.least(F.lit(bound), n[f] * each) for f, (each, bound) in FIELDS.items()), F.lit(0.0))
+    found = own.join(measured(terms), "token").groupBy("doc_id", "item_id")
+    return found.agg(F.round(points, 6).alias("fields"), F.round(F.least(F.lit(most), F.coalesce(F.sum("points"), F.lit(0.0))), 6).alias("feedback"), (F.count("*") == F.first("n_tokens")).alias("every"))
 
 
 def intent(text: Column, rules: Sequence[tuple[str, str, float]], item: Column, least: float = -0.35, most: float = 0.55) -> Column:

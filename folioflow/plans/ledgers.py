@@ -103,13 +103,12 @@ def active_job_dedupe(spark, t):
     return keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
-@query(f"""with j as (select event_id, case event_type when 'view' then 'queued' when 'click' then 'running' else 'done' end as status, ts + interval 30 minute as until, cast(value as int) % 4 as attempts from events),
+@query(f"""with j as (select event_id, case event_type when 'view' then 'queued' when 'click' then 'running' else 'done' end as status, ts + interval 30 minute as until, cast(floor(value) as int) % 4 as attempts from events),
   a as (select *, case when (status = 'queued' or (status = 'running' and until <= timestamp '{AS_OF}')) and attempts < 3 then 'claim' when status = 'running' and until <= timestamp '{AS_OF}' then 'fail' when status = 'running' then 'renew' else 'none' end as action from j)
   select event_id, action, case when action in ('claim', 'renew') then timestamp '{AS_OF}' + interval 10 minute else until end as lease_until from a""")
 def lease_claims(spark, t):
     status = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "running").otherwise("done")
-    # toward zero before the remainder, as a cast to whole numbers in the oracle rounds
-    jobs = t("events").select("event_id", status.alias("status"), (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("until"), (F.round("value").cast("int") % 4).alias("attempts"))
+    jobs = t("events").select("event_id", status.alias("status"), (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("until"), (F.floor("value").cast("int") % 4).alias("attempts"))
     as_of = F.lit(AS_OF).cast(dict(jobs.dtypes)["until"])
     return L.claims(jobs, "status", "until", as_of, 10, 3).select("event_id", "action", "lease_until")
 

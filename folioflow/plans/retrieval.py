@@ -13,7 +13,9 @@ from folioflow.plans.registry import query
 from folioflow.plans.sql import BM25, COSINE, HYBRID, POSTINGS, TOKENS
 
 #: Patterns of documents and of items that belong together or don't, and their points.
-INTENT = ((r"\bthat\b", r"\bthat\b", 0.2), (r"\bwith\b", r"\bfrom\b", 0.45), (r"\bdans\b", r"\bthat\b", -0.3), (r"\bnicht\b", r"\bthe\b", -0.25))
+_INTENT = (("that", "that", 0.2), ("with", "from", 0.45), ("dans", "that", -0.3), ("nicht", "the", -0.25))
+#: Boundaries are spelt out, since engines differ on \\b beside letters outside ASCII.
+INTENT = tuple((f"(^|[^a-z0-9]){q}([^a-z0-9]|$)", f"(^|[^a-z0-9]){i}([^a-z0-9]|$)", p) for q, i, p in _INTENT)
 SYNONYMS = (("est", "best", "rest"), ("on", "upon"))
 
 _FIRST = r"regexp_extract(text, '^[^.!?\n]*', 0)"
@@ -31,25 +33,17 @@ def _fields(t):
     return out
 
 
-def _phrases(t):
-    """A phrase can only be in a document that has all its tokens, so texts meet for those few pairs only."""
-    items = t("benchmark").select("item_id", F.col("text").alias("phrase"), F.size(F.array_distinct(T.tokens(F.col("text")))).alias("n_tokens"))
-    words = items.select("item_id", "n_tokens", F.explode(F.array_distinct(T.tokens(F.col("phrase")))).alias("token"))
-    own = t("documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-    every = own.join(V.measured(words), "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.first("n_tokens").alias("m")).where("n = m").select("doc_id", "item_id")
-    near = every.join(items.select("item_id", "phrase"), "item_id").join(t("documents").select("doc_id", "text"), "doc_id")
-    return near.select("doc_id", "item_id", V.phrase_bonus(F.col("text"), F.col("phrase")).alias("phrase"))
-
-
-def _feedback(t):
-    """Documents with learned terms; a term is learned from labelled documents of low quality and counts for items that hold it too."""
+def _bonuses(t):
+    """Field, feedback and phrase bonuses; a term is learned from labelled documents of low quality and counts for items that hold it too."""
     labels = t("labels")
     seen = t("documents").join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
     learned = E.feedback_terms(seen, labels.where("quality = 0"), 4).select(F.sha2("token", 256).alias("term_hash"), "precision")
-    items = t("benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).select("item_id", F.sha2("token", 256).alias("term_hash")).join(learned, "term_hash")
-    own = t("documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).select("doc_id", F.sha2("token", 256).alias("term_hash"))
-    hits = own.join(V.measured(items), "term_hash").groupBy("doc_id", "item_id")
-    return hits.agg(F.round(F.least(F.lit(0.18), F.sum(0.08 + F.col("precision") * 0.06)), 6).alias("feedback"))
+    terms = V.item_terms(t("benchmark"), _fields(t), learned)
+    found = V.term_bonuses(t("documents"), "doc_id", "text", terms)
+    # A phrase can only be in a document that has all its tokens, so texts meet for those few pairs only.
+    near = found.where("every").select("doc_id", "item_id").join(t("benchmark").select("item_id", F.col("text").alias("phrase")), "item_id").join(t("documents").select("doc_id", "text"), "doc_id")
+    phrases = near.select("doc_id", "item_id", V.phrase_bonus(F.col("text"), F.col("phrase")).alias("phrase"))
+    return found.select("doc_id", "item_id", "fields", "feedback").join(phrases, ["doc_id", "item_id"], "left")
 
 
 def _scored(t):
@@ -65,9 +59,7 @@ def _full(t):
     # Patterns are matched once a text, then pairs meet flags; texts don't travel with pairs.
     pairs = scored.select("doc_id", "item_id").join(t("documents").select("doc_id", *flags("q", 0)), "doc_id").join(V.measured(t("benchmark").select("item_id", *flags("i", 1))), "item_id")
     points = sum((F.when(F.col(f"q{i}") & F.col(f"i{i}"), r[2]).otherwise(0.0) for i, r in enumerate(INTENT)), F.lit(0.0))
-    bonus = pairs.select("doc_id", "item_id", F.greatest(F.lit(-0.35), F.least(F.lit(0.55), points)).alias("intent"))
-    for more in (V.field_bonus(t("documents"), "doc_id", "text", _fields(t)), _phrases(t), _feedback(t)):
-        bonus = bonus.join(more, ["doc_id", "item_id"], "left")
+    bonus = pairs.select("doc_id", "item_id", F.greatest(F.lit(-0.35), F.least(F.lit(0.55), points)).alias("intent")).join(_bonuses(t), ["doc_id", "item_id"], "left")
     total = sum((F.coalesce(c, F.lit(0.0)) for c in ("intent", "fields", "phrase", "feedback")), F.lit(0.0))
     shortlist = scored.where("item_id % 3 = 0 and doc_id % 2 = 0").select("doc_id", "item_id", F.lit(0.8).alias("relevance"))
     return V.full(scored, bonus.select("doc_id", "item_id", F.round(total, 6).alias("bonus")), shortlist)
@@ -75,12 +67,11 @@ def _full(t):
 
 _SYN = "case x " + " ".join(f"when '{k}' then [{', '.join(repr(o) for o in v)}]" for k, v in V._synonyms(SYNONYMS).items()) + " else []::varchar[] end"
 _PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))"
-_RULES = [(q.replace("\\b", ""), i.replace("\\b", ""), p) for q, i, p in INTENT]
-_WORDSET = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')"
+_RULES = INTENT
 
 
 def _flag_sql(side):
-    return ", ".join(f"regexp_matches(lower(coalesce(text, '')), '\\b{r[side]}\\b') as {'qi'[side]}{i}" for i, r in enumerate(_RULES))
+    return ", ".join(f"regexp_matches(lower(coalesce(text, '')), '{r[side]}') as {'qi'[side]}{i}" for i, r in enumerate(_RULES))
 
 
 def _field_sql():

@@ -92,7 +92,7 @@ def page_boxes(spark, t):
 
 
 @query("""with w as (select o_custkey as page, o_orderkey as ordinal, o_orderpriority as text, case when o_orderstatus = 'P' then -1 else 40 + o_orderkey % 60 end as confidence, o_orderkey % 500 as x, o_orderkey % 90 as y, length(o_orderpriority) * 8 as wd from orders)
-  select page, string_agg(text, ' ' order by ordinal) as text, round(sum(confidence * length(text)) / cast(sum(length(text)) as double) / 100, 4) as confidence, min(x) as "left", min(y) as top, max(x + wd) as "right", max(y + 12) as bottom from w where confidence >= 0 group by page""")
+  select page, string_agg(text, ' ' order by ordinal) as text, floor(sum(confidence * length(text)) / cast(sum(length(text)) as double) * 100 + 0.500001) / 10000.0::double as confidence, min(x) as "left", min(y) as top, max(x + wd) as "right", max(y + 12) as bottom from w where confidence >= 0 group by page""")
 def line_boxes(spark, t):
     k = F.col("o_orderkey")
     words = t("orders").select(
