@@ -34,17 +34,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship(spark)
     # The row travels as one column, so no name of it can clash; doc_id and digest tell rows apart.
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.md5("text"), F.lit("")).alias("digest"), F.struct("*").alias("row"))
-    found = near_duplicates(keyed.select("doc_id", "text", "digest"), carry=("digest",))
-    found = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("root", "doc_id", "digest"), "pipeline-first")
-    low = found.groupBy("root").agg(F.min("digest").alias("digest"), F.max("digest").alias("most"), F.min("doc_id").alias("doc_id"))
-    sole = low.where("digest = most").select("doc_id", "digest")
+    keyed = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.md5("row.text"), F.lit("")).alias("digest"))
+    found = near_duplicates(keyed.select("doc_id", F.col("row.text").alias("text"), "digest"), carry=("digest",))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
+    first = stored(first, "pipeline-first")
+    low = first.groupBy("root").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
     # Texts are only read again where one doc_id, or none, has several.
-    tied = found.join(low.where("digest <> most").select("root"), "root").distinct()
+    tied = first.join(low.where("low <> high").select("root"), "root").select("root", "doc_id", "digest")
     same = lambda x: keyed["doc_id"].eqNullSafe(x["doc_id"]) & (keyed["digest"] == x["digest"])
-    texts = keyed.join(tied, same(tied)).groupBy(tied["root"], tied["doc_id"]).agg(F.min(F.struct(keyed["text"], keyed["digest"])).alias("x"))
-    stay = stored(sole.union(texts.select("doc_id", "x.digest")), "pipeline-stay")
-    return keyed.join(stay, same(stay), "left_semi").dropDuplicates(["doc_id", "digest"]).select("row.*")
+    texts = keyed.join(tied, same(tied)).groupBy(tied["root"]).agg(F.min(F.struct(keyed["row.text"], keyed["digest"])).alias("x")).select("root", F.col("x.digest").alias("digest"))
+    sole = low.where("low = high").select("root", F.col("low").alias("digest"))
+    stay = stored(first.join(sole.union(texts), ["root", "digest"]).select("doc_id", "digest", "n"), "pipeline-stay")
+    # Only rows that occur several times are dealt to find one of each; the others pass where they stand.
+    lone, several = stay.where("n = 1"), stay.where("n > 1")
+    once = keyed.join(several, same(several), "left_semi").dropDuplicates(["doc_id", "digest"])
+    return keyed.join(lone, same(lone), "left_semi").union(once).select("row.*")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +83,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     # Reused workers still hold what the stages before remembered, so this one remembers less than by default.
-    coded = decode(encode(docs, path, public_tokenizers.PATTERN, remembered=200_000), path)
+    coded = decode(encode(docs, path, public_tokenizers.PATTERN, remembered=120_000), path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
