@@ -194,34 +194,38 @@ class BlindTrie:
 
     def __init__(self, strings: Iterator[tuple[int, bytes]]):
         self.root: list | None = None
+        leaves: dict[bytes, list] = {}
         for place, text in strings:
-            self._insert(place, text)
+            # An equal string joins the leaf that is there.
+            if text in leaves:
+                leaves[text][2].append(place)
+            else:
+                leaves[text] = self._insert(place, text)
 
-    def _insert(self, place: int, text: bytes) -> None:
+    def _insert(self, place: int, text: bytes) -> list:
+        leaf = [None, text, [place]]
         if self.root is None:
-            self.root = [None, text, [place]]
-            return
+            self.root = leaf
+            return leaf
         # Blind descent: only the branching bytes are looked at, any leaf below tells the true depth.
         node = self.root
         while node[0] is not None:
             node = node[1].get(text[node[0]]) or next(iter(node[1].values()))
         part = int.from_bytes(node[1], "big") ^ int.from_bytes(text, "big")
-        if not part:
-            node[2].append(place)
-            return
         depth = len(text) - (part.bit_length() + 7) // 8
-        leaf, known = [None, text, [place]], node[1]
+        known = node[1]
         up, node = None, self.root
         while node[0] is not None and node[0] < depth:
             up, node = node, node[1][text[node[0]]]
         if node[0] == depth:
             node[1][text[depth]] = leaf
-            return
+            return leaf
         inner = [depth, {known[depth]: node, text[depth]: leaf}]
         if up is None:
             self.root = inner
         else:
             up[1][text[up[0]]] = inner
+        return leaf
 
     def groups(self) -> Iterator[list[int]]:
         """The places of equal strings, in the order of the strings."""
@@ -244,8 +248,9 @@ def deep_shallow(raw: bytes, starts: np.ndarray) -> np.ndarray:
     for i in range(1, 8):
         word = (word << np.uint64(8)) | flat[i : len(flat) - 7 + i]
     # Multikey quicksort over all open segments at once: less, equal and greater than each one's pivot.
-    order, depth = np.argsort(word[starts] >> np.uint64(48), kind="stable"), np.zeros(n, np.int64)
-    head = (word[starts[order]] >> np.uint64(48)).astype(np.int64)
+    # The first word is sorted at once, what follows goes by pivots.
+    order, depth = np.argsort(word[starts], kind="stable"), np.full(n, 8, np.int64)
+    head = word[starts[order]]
     segment = np.cumsum(np.concatenate([[0], head[1:] != head[:-1]]))  # ascending along order
     position = np.empty(n, np.int64)
     place = np.arange(n)  # places in the final order that the open elements fill
@@ -276,16 +281,34 @@ def deep_shallow(raw: bytes, starts: np.ndarray) -> np.ndarray:
         depth = depth + 8 * (side == 1)
         segment = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     new = bytearray(b"\1") * n
+    if tries:
+        # A trie of equal strings is one leaf: such groups are found by comparing words, and only the others are inserted.
+        first, size = (np.array(c) for c in zip(*tries, strict=True))
+        begin = np.cumsum(size) - size
+        at = np.arange(size.sum()) - np.repeat(begin - first, size)
+        own, head = starts[finished[at]], np.repeat(starts[finished[first]], size)
+        equal = np.ones(len(at), bool)
+        offsets = (*range(SHALLOW, LENGTH - 8, 8), LENGTH - 8)
+        for offset in offsets:
+            equal &= word[own + offset] == word[head + offset]
+        leaf = np.logical_and.reduceat(equal, begin)
+        repeats = np.repeat(leaf, size)
+        repeats[begin] = False
+        np.frombuffer(new, np.uint8)[at[repeats]] = 0
+        # A trie of two leaves is one comparison.
+        two = first[~leaf & (size == 2)]
+        a, b = starts[finished[two]], starts[finished[two + 1]]
+        later, open_ = np.zeros(len(two), bool), np.ones(len(two), bool)
+        for offset in offsets:
+            x_, y_ = word[a + offset], word[b + offset]
+            later |= open_ & (x_ > y_)
+            open_ &= x_ == y_
+        swap = two[later]
+        finished[swap], finished[swap + 1] = finished[swap + 1], finished[swap]
+        tries = [t for t, done in zip(tries, (leaf | (size == 2)).tolist(), strict=True) if not done]
     elements, begins = finished.tolist(), starts.tolist()
     for at, size in tries:
         own = elements[at : at + size]
-        if size == 2:  # a trie of two leaves is one comparison
-            one, two = (raw[s : s + LENGTH] for s in (begins[own[0]], begins[own[1]]))
-            if one == two:
-                new[at + 1] = 0
-            elif one > two:
-                elements[at], elements[at + 1] = own[1], own[0]
-            continue
         for group in BlindTrie((e, raw[begins[e] : begins[e] + LENGTH]) for e in own).groups():
             size = len(group)
             elements[at : at + size] = group
