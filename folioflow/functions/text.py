@@ -73,6 +73,18 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1))
 
 
+def public_host(host: Column) -> Column:
+    """Whether a host is neither empty nor local: `localhost`, `.local` names and private, loopback or link-local IPv4 literals aren't public. Names aren't resolved."""
+    low = F.lower(F.coalesce(host, F.lit("")))
+    private = low.rlike(r"^(0|10|127)\.|^192\.168\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.")
+    return (F.length(low) > 0) & (low != "localhost") & ~low.endswith(".local") & ~(low.rlike(r"^[0-9.]+$") & private)
+
+
+def assembled(*fields: Column) -> Column:
+    """Fields joined by single spaces; nulls are left out."""
+    return F.concat_ws(" ", *[f.cast("string") for f in fields])
+
+
 def host_allowed(url: Column, hosts: Sequence[str]) -> Column:
     """Whether a URL is https and its host is one of the list or below one."""
     host = url_host(url)

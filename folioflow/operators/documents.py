@@ -66,6 +66,12 @@ def verified_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     return quotes.join(texts, "doc_id", "left").withColumn("verified", F.coalesce((F.length(F.trim("quote")) > 0) & (F.instr("text", F.col("quote")) > 0), F.lit(False))).drop("text")
 
 
+def accepted(facts: DataFrame, docs: DataFrame) -> DataFrame:
+    """facts (doc_id, quote) whose quote isn't blank and stands, case aside, in its document."""
+    texts = docs.select("doc_id", "text")
+    return facts.join(texts, "doc_id").where((F.length(F.trim("quote")) > 0) & (F.instr(F.lower("text"), F.lower("quote")) > 0)).drop("text")
+
+
 def template_flags(docs: DataFrame, terms: Sequence[str], placeholder: str = r"[_]{3,}|[.]{4,}|\[[^\]]*\]") -> DataFrame:
     """doc_id, term_hits, placeholders, is_template: two hits or more of terms and placeholders together."""
     text = F.coalesce("text", F.lit(""))

@@ -49,6 +49,22 @@ def duplicate_groups(df: DataFrame, digest: Column, id_: str) -> DataFrame:
     return df.groupBy(digest.alias("digest")).agg(F.count("*").alias("n"), F.min(id_).alias("first_id")).where("n > 1")
 
 
+def duplicate_verdicts(df: DataFrame, id_: str, digest: str, name: str, size: str) -> DataFrame:
+    """id, verdict: exact (another row has the digest), high (name and size), possible (name), clear. Groups are counted first, so a hot one costs a row."""
+
+    def counted(keys: list[str], flag: str, rows: DataFrame) -> DataFrame:
+        many = df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1")
+        own = many.select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit(True).alias(flag))
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        on = same[0]
+        for x in same[1:]:
+            on = on & x
+        return rows.join(own, on, "left").drop(*[f"__{k}" for k in keys])
+
+    out = counted([name], "__c", counted([name, size], "__b", counted([digest], "__a", df)))
+    return out.select(id_, F.when(F.col("__a"), "exact").when(F.col("__b"), "high").when(F.col("__c"), "possible").otherwise("clear").alias("verdict"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """Rows of both, the highest version of each key; the new row wins a tie."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))

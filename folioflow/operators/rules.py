@@ -82,18 +82,31 @@ def exposition_lines(metrics: DataFrame, name: str, labels: Sequence[str], value
 LEADS, SUPPORTS, REVIEWED = 80, 65, 55
 
 
+#: The stages that a package needs for each grade, best first.
+SAFE = {"A": ("policy", "done", "evaluated", "improved"), "B": ("policy", "done", "evaluated"), "C": ("policy", "done"), "D": ("policy", "shared"), "E": ("policy",)}
+#: Fit of a target level by its distance from the supported one; farther below, farther above, without a target, without support.
+FIT = {0: 1.0, -1: 0.93, -2: 0.86, -3: 0.79, 1: 0.45}
+FAR_BELOW, FAR_ABOVE, NO_TARGET, NO_SUPPORT = 0.72, 0.18, 0.45, 0.4
+
+
 def safe_grade(policy: Column, shared: Column, done: Column, evaluated: Column, improved: Column) -> Column:
-    """Grade of a package: E policy; D and shared; C policy and done; B and evaluated; A and improved. Null without policy."""
-    p, s, d, e, i = (F.coalesce(c, F.lit(False)) for c in (policy, shared, done, evaluated, improved))
-    return F.when(p & d & e & i, "A").when(p & d & e, "B").when(p & d, "C").when(p & s, "D").when(p, "E")
+    """The best grade of SAFE whose stages are all met; null without any."""
+    met = {"policy": policy, "shared": shared, "done": done, "evaluated": evaluated, "improved": improved}
+    every = lambda names: reduce(lambda a, b: a & b, [F.coalesce(met[n], F.lit(False)) for n in names])
+    return F.coalesce(*[F.when(every(names), F.lit(g)) for g, names in SAFE.items()])
 
 
 def grade_match(target: Column, supported: Column) -> Column:
-    """How well a target level fits the level that the evidence supports, 0.18 to 1."""
-    below = F.greatest(F.lit(0.72), 1.0 - (supported - target) * 0.07)
-    return (
-        F.when(target <= 0, 0.45).when(supported <= 0, 0.4).when(target == supported, 1.0).when(target < supported, below).when(target == supported + 1, 0.45).otherwise(0.18)
-    )
+    """How well a target level fits the level that the evidence supports, by FIT."""
+    fit = F.coalesce(*[F.when(target - supported == d, F.lit(v)) for d, v in FIT.items()], F.when(target < supported, FAR_BELOW).otherwise(FAR_ABOVE))
+    return F.when(target <= 0, NO_TARGET).when(supported <= 0, NO_SUPPORT).otherwise(fit)
+
+
+def gated(candidates: DataFrame, key: str, blocked: Column) -> DataFrame:
+    """Candidates whose primary and supporting places turn to review where anything blocks their key; nothing is promoted."""
+    stops = candidates.groupBy(key).agg(F.coalesce(F.bool_or(blocked), F.lit(False)).alias("__stop"))
+    status = F.when(F.col("__stop") & F.col("status").isin("primary", "supporting"), "review").otherwise(F.col("status"))
+    return candidates.join(stops, key).withColumn("status", status).drop("__stop")
 
 
 def reasoning_score(context: Column, match: Column, target: Column, supported: Column, formality: Column, period: Column) -> Column:

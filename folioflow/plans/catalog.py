@@ -12,7 +12,7 @@ from folioflow.operators import evaluation as E
 from folioflow.operators import relational as R
 from folioflow.operators import retrieval as V
 from folioflow.operators import rules as U
-from folioflow.plans import evidence, grading, ledgers, retrieval, texts  # noqa: F401  register their queries too
+from folioflow.plans import evidence, grading, ledgers, retrieval, selection, texts  # noqa: F401  register their queries too
 from folioflow.plans.registry import oracle_sql, queries, query  # noqa: F401
 from folioflow.plans.sql import BM25, COSINE, HYBRID, POSTINGS, TOKENS
 from folioflow.streaming import events as S
@@ -274,7 +274,13 @@ def semantic_bigram_cosine(spark, t):
     return V.sparse_cosine(v, v).where("left_id < right_id")
 
 
-@query(None)
+@query(f"""with recursive {POSTINGS}, {COSINE}, {BM25}, {HYBRID}, r as (select doc_id, cast(rank as bigint) as rank, item_id from top),
+  s(doc_id, n, take) as (select distinct doc_id, 0::bigint, []::bigint[] from r union all
+    select s.doc_id, s.n + 1, case when len(take) < 10 and len(list_filter(take, lambda x: x % 5 = r.item_id % 5)) < 2 and len(list_filter(take, lambda x: x % 5 % 2 = r.item_id % 5 % 2)) < 4 then list_append(take, r.item_id) else take end
+    from s join r on r.doc_id = s.doc_id and r.rank = s.n + 1),
+  g as (select doc_id, max(n) as n, arg_max(take, n) as take from s group by doc_id), a as (select doc_id, list(item_id order by rank) as every from r group by doc_id),
+  c as (select g.doc_id, case when n <= 10 then every else list_concat(take, list_filter(every, lambda x: not list_contains(take, x)))[1:10] end as chosen from g join a on g.doc_id = a.doc_id)
+  select doc_id, cast(unnest(range(1, len(chosen) + 1)) as int) as place, unnest(chosen) as item_id from c""")
 def diverse_topk(spark, t):
     # All candidates, as many as the catalog has items; an odd and an even kind stand for the wider groups.
     ranked = _hybrid(t, 2**31 - 1).withColumns({"kind": F.col("item_id") % 5, "wider": F.col("item_id") % 5 % 2})

@@ -10,7 +10,7 @@ from folioflow.functions import layout as Y
 from folioflow.functions import nested as N
 from folioflow.functions import text as T
 from folioflow.operators import ledgers as L
-from folioflow.sources import files
+from folioflow.sources import catalogs, files
 from folioflow.streaming import events as S
 
 
@@ -57,6 +57,23 @@ def test_every_kind_of_file_becomes_units(spark):
     assert got["f.pdf"] == [("pdf", None, "unsupported")] and got["g.docx"] == [("broken", "", "failed")] and got["h.txt"] == [("line", "", "empty")] and "i.zip" not in got
 
 
+def test_sheets_become_tables_and_evidence(spark):
+    rows = [("row", 0, "Plan\tGroup\tName\tNote"), ("row", 1, "Plan\tk1\tfirst\tsee https://a.example/x https://a.example/x"), ("row", 2, "Plan\tk2\t\tthe review was done"), ("formula", 3, "Plan!A1=1"), ("row", 4, "Other\tName"), ("row", 5, "Other\tz")]
+    units = spark.createDataFrame([("c.xlsx", *r) for r in rows], "path string, unit_type string, ordinal int, text string")
+    got = catalogs.sheet_table(units, {"GROUP": "kk", "name": "parameter"}).orderBy("ordinal").collect()
+    assert [(r.sheet, r.ordinal, r.kk, r.parameter) for r in got] == [("Plan", 1, "k1", "first"), ("Plan", 2, "k2", None), ("Other", 5, None, "z")]
+    seen = {r.ordinal: (r.text, r.links, r.stages) for r in catalogs.sheet_evidence(units, {"evaluation": ("review", "audit"), "policy": ("rule",)}).collect()}
+    assert seen[1] == ("k1 | first | see https://a.example/x https://a.example/x", ["https://a.example/x"], [])
+    assert seen[2] == ("k2 | the review was done", [], ["evaluation"])
+
+
+def test_nested_catalogs(spark, tmp_path):
+    (tmp_path / "c.json").write_text('[{"kk": "a",\n "parameters": [{"name": "p", "grades": ["A", "B"]}, {"name": "q"}]}, {"kk": "b", "parameters": []}]')
+    got = catalogs.exploded(catalogs.read(spark, str(tmp_path / "c.json"))).collect()
+    assert sorted(map(tuple, got)) == [("a", "p", "A"), ("a", "p", "B")]
+    assert catalogs.parsed(spark.createDataFrame([("no json",), (None,)], "v string"), "v").count() == 0
+
+
 def test_archive_members_are_inspected(spark):
     link = zipfile.ZipInfo("link")
     link.external_attr = 0o120777 << 16
