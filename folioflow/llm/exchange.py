@@ -58,15 +58,15 @@ def _unpack_ids(raw: bytes) -> np.ndarray:
     return own[np.frombuffer(raw, np.uint16 if n < 1 << 16 else np.uint32, -1, 8 + 8 * n)]
 
 
-def ask(slice_: int, buckets: int, keys: np.ndarray, more: np.ndarray, ids: np.ndarray | None = None) -> pa.Table:
-    """The rows that a slice sends for its sorted keys; `more` and `ids` go along entry by entry."""
+def ask(slice_: int, buckets: int, keys: np.ndarray, more: np.ndarray, ids: np.ndarray | None = None, send_keys: bool = True) -> pa.Table:
+    """The rows that a slice sends for its sorted keys; `more` and `ids` go along entry by entry. Keys that `more` tells needn't be sent."""
     ends = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
     rows = [(b, x, y) for b, (x, y) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)) if x < y]
     return pa.table(
         [
             pa.array([r[0] for r in rows], pa.int64()),
             pa.array([slice_] * len(rows), pa.int64()),
-            pa.array([keys[x:y].tobytes() for _, x, y in rows], pa.binary()),
+            pa.array([keys[x:y].tobytes() if send_keys else b"" for _, x, y in rows], pa.binary()),
             pa.array([more[x:y].tobytes() for _, x, y in rows], pa.binary()),
             pa.array([None if ids is None else _pack_ids(ids[x:y]) for _, x, y in rows], pa.binary()),
         ],
@@ -74,16 +74,17 @@ def ask(slice_: int, buckets: int, keys: np.ndarray, more: np.ndarray, ids: np.n
     )
 
 
-def answer(asked: DataFrame, kind: int, decide: Callable[[np.ndarray, bytes, np.ndarray | None], np.ndarray]) -> DataFrame:
-    """Give each bucket's entries to decide(keys, more, ids) and send every slice the part of the result that answers it."""
+def answer(asked: DataFrame, kind: int, decide: Callable[[np.ndarray | None, bytes, np.ndarray | None], np.ndarray], unit: int | None = None) -> DataFrame:
+    """Give each bucket's entries to decide(keys, more, ids) and send every slice the part of the result that answers it. unit: bytes of an entry of `more`, where keys weren't sent."""
 
     def run(rows: pa.Table) -> pa.Table:
         blobs = rows.column("keys").to_pylist()
-        keys = np.frombuffer(b"".join(blobs), np.uint64)
+        keys = None if unit else np.frombuffer(b"".join(blobs), np.uint64)
+        blobs, size = (rows.column("more").to_pylist(), unit) if unit else (blobs, 8)
         packed = rows.column("ids").to_pylist()
         ids = None if packed[0] is None else np.concatenate([_unpack_ids(x) for x in packed])
         result = decide(keys, b"".join(rows.column("more").to_pylist()), ids)
-        ends = np.cumsum([0, *(len(x) // 8 for x in blobs)])
+        ends = np.cumsum([0, *(len(x) // size for x in blobs)])
         data = [result[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
         return pa.table([rows.column("slice"), pa.array([kind] * len(data), pa.int32()), rows.column("bucket"), pa.array(data, pa.binary())], names=["slice", "kind", "bucket", "data"])
 

@@ -2,15 +2,14 @@
 
 A string of LENGTH bytes is removed where it also starts in a document with a smaller id. Suffixes
 are sorted only where it matters: each string of LENGTH bytes holds an anchor (its GRAM-byte string of
-least hash), and an anchor that no other document has can't lie in a repeat. Of the anchors that are
-shared, those whose whole surroundings agree everywhere are settled by one comparison; around the
-others the suffixes of all surroundings are ordered: multikey quicksort to a shallow depth, blind
-tries for the groups that still agree there. Neighbours that agree in LENGTH bytes are repeats.
+least hash), and an anchor that no other document has can't lie in a repeat. Around the anchors that
+are shared the suffixes of all surroundings are ordered, equal surroundings once: multikey quicksort to
+a shallow depth, blind tries for the groups that still agree there. Neighbours that agree in LENGTH
+bytes are repeats.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ CONTEXT = BEFORE + AFTER
 #: Depth in bytes at which multikey quicksort hands over to blind tries.
 SHALLOW = 24
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_ROW = np.dtype([("left", "u1"), ("right", "u1"), ("bytes", f"V{CONTEXT}"), ("need", "<u4")])
+_ROW = np.dtype([("left", "u1"), ("right", "u1"), ("bytes", f"V{CONTEXT}")])
 
 
 def sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -114,7 +113,7 @@ class _Slice:
         self.several = (self.ids[first] != self.ids[last]).astype(np.uint8)
 
     def contexts(self, shared: np.ndarray) -> None:
-        """The surroundings of the shared anchors: hash, distinct (anchor, surroundings) and the smallest document of each."""
+        """The surroundings of the shared anchors: the distinct ones of this slice, by 64 bits for the anchor and 64 for its surroundings, and the smallest document of each."""
         own = shared[self.entry] > 0 if len(shared) else np.zeros(len(self.at), bool)
         self.at, self.doc, key = self.at[own], self.doc[own], self.keys[self.entry[own]]
         begin = self.start[self.doc]
@@ -125,68 +124,45 @@ class _Slice:
         total = np.zeros(len(self.flat) + 1, np.uint64)
         np.cumsum((self.flat.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
         a, b = self.at - self.left, self.at + self.right
-        self.hash = x.mixed((total[b] - total[a]) * back[a] + (self.left * 64 + self.right).astype(np.uint64))
-        order = np.lexsort((self.hash, key))
-        k, h = key[order], self.hash[order]
+        hash_ = x.mixed((total[b] - total[a]) * back[a] + (self.left * 64 + self.right).astype(np.uint64))
+        order = np.lexsort((hash_, key))
+        k, h = key[order], hash_[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])[: len(k)]
         self.context = np.empty(len(k), np.int64)
         self.context[order] = np.cumsum(new) - 1
-        self.context_keys, self.context_hash = k[new], h[new]
+        self.context_keys = k[new]
         self.sample = order[new]
         self.lowest = self.ids[self.doc[order][new]]
 
-    def surroundings(self, which: np.ndarray) -> np.ndarray:
-        """The bytes of some of the distinct surroundings, zeros where a document ends."""
-        own = self.sample[which]
+    def surroundings(self) -> np.ndarray:
+        """The bytes of the distinct surroundings, zeros where a document ends."""
+        own = self.sample
         out = np.zeros(len(own), _ROW)
         out["left"], out["right"] = self.left[own], self.right[own]
         offset = np.arange(-BEFORE, AFTER)
-        place = self.at[own][:, None] + offset
-        inside = (offset >= -self.left[own][:, None]) & (offset < self.right[own][:, None])
-        raw = np.where(inside, self.flat[np.clip(place, 0, max(len(self.flat) - 1, 0))], 0).astype(np.uint8)
-        out["bytes"] = np.ascontiguousarray(raw).view(f"V{CONTEXT}")[:, 0] if len(own) else out["bytes"]
+        for i in range(0, len(own), 65_536):
+            part = own[i : i + 65_536]
+            place = self.at[part][:, None] + offset
+            inside = (offset >= -self.left[part][:, None]) & (offset < self.right[part][:, None])
+            raw = np.where(inside, self.flat[np.clip(place, 0, len(self.flat) - 1)], 0).astype(np.uint8)
+            out["bytes"][i : i + 65_536] = np.ascontiguousarray(raw).view(f"V{CONTEXT}")[:, 0]
         return out
 
-    def settled(self, state: np.ndarray) -> np.ndarray:
-        """Which of the shared anchors lie in surroundings that a smaller document has too, from end to end."""
+    def removed(self, bits: np.ndarray) -> np.ndarray:
+        """Which bytes go, by the answers for the distinct surroundings: a bit for each place before the anchor whose string a smaller document has."""
+        if not len(self.at):
+            return np.zeros(len(self.flat), bool)
         e = self.context
-        return (((state[e] & COVERED) > 0) | (self.lowest[e] < self.ids[self.doc])) & (self.left + self.right >= LENGTH)
-
-    def needs(self, state: np.ndarray) -> np.ndarray:
-        """For each distinct surroundings a bit for every string in it that covers a byte which nothing settled removes."""
-        whole = self.settled(state)
-        gone = x.marked(len(self.flat), (self.at - self.left)[whole], (self.at + self.right - 1)[whole])
-        left = np.concatenate([[0], np.cumsum(~gone)])
-        out = np.zeros(len(self.context_keys), np.uint32)
-        ask = np.flatnonzero(~whole & ((state[self.context] & LATER) > 0))
-        offset = np.arange(BEFORE + 1)
-        for i in range(0, len(ask), 65_536):
-            own = ask[i : i + 65_536]
-            begin = self.at[own][:, None] - BEFORE + offset
-            fits = (offset >= BEFORE - self.left[own][:, None]) & (offset + LENGTH <= BEFORE + self.right[own][:, None])
-            begin = np.where(fits, begin, 0)
-            bare = fits & (left[np.minimum(begin + LENGTH, len(self.flat))] > left[begin])
-            np.bitwise_or.at(out, self.context[own], (bare.astype(np.uint32) << offset.astype(np.uint32)).sum(1, dtype=np.uint32))
-        return out
-
-
-#: Of surroundings: a smaller document has the same; the anchor has others; a smaller document has the anchor.
-COVERED, OPEN, LATER = 1, 2, 4
-
-
-def settle(keys: np.ndarray, more: bytes, ids: np.ndarray) -> np.ndarray:
-    """COVERED, OPEN and LATER for each of the anchors' surroundings."""
-    hashes = np.frombuffer(more, np.uint64)
-    order = np.lexsort((ids, hashes, keys))
-    k, h, i = keys[order], hashes[order], ids[order]
-    new_key = np.concatenate([[True], k[1:] != k[:-1]])
-    new = new_key | np.concatenate([[True], h[1:] != h[:-1]])
-    low = i[new][np.cumsum(new) - 1]
-    group = np.cumsum(new_key) - 1
-    out = np.empty(len(keys), np.uint8)
-    first = np.minimum.reduceat(i, np.flatnonzero(new_key))[group]
-    out[order] = (low < i) * COVERED + (np.bincount(group, new)[group] > 1) * OPEN + (first < i) * LATER
-    return out
+        # Strings that fit start from BEFORE - left to BEFORE + right - LENGTH; a smaller document of this slice with the same surroundings has them all.
+        low, high = BEFORE - self.left, BEFORE + self.right - LENGTH
+        fit = np.where(high >= low, (np.int64(1) << np.maximum(high + 1, 0)) - (np.int64(1) << low), 0)
+        mine = np.where(self.lowest[e] < self.ids[self.doc], fit, bits[e].astype(np.int64) & fit)
+        whole = (mine == fit) & (fit > 0)
+        first, last = [(self.at - self.left)[whole]], [(self.at + self.right - 1)[whole]]
+        rest = np.flatnonzero(~whole & (mine > 0))
+        hit, offset = np.nonzero((mine[rest][:, None] >> np.arange(BEFORE + 1)) & 1)
+        begin = self.at[rest][hit] - BEFORE + offset
+        return x.marked(len(self.flat), np.concatenate([*first, begin]), np.concatenate([*last, begin + LENGTH - 1]))
 
 
 class BlindTrie:
@@ -319,32 +295,26 @@ def deep_shallow(raw: bytes, starts: np.ndarray) -> np.ndarray:
     return position
 
 
-def sort_open(keys: np.ndarray, more: bytes, ids: np.ndarray) -> np.ndarray:
-    """For each surroundings a bit for every place before its anchor: the string there also starts in a smaller document."""
+def sort_all(keys: None, more: bytes, ids: np.ndarray) -> np.ndarray:
+    """For each surroundings a bit for every place before its anchor: the string there also starts in a smaller document.
+
+    Equal strings hold the same anchor at the same place, so whatever can be equal stands in one bucket.
+    """
     rows = np.frombuffer(more, _ROW)
     out = np.zeros(len(rows), np.uint32)
-    # Equal strings have their anchor at one offset, so an offset that nobody needs at an anchor isn't sorted there.
-    order = np.argsort(keys, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-    need = np.repeat(np.bitwise_or.reduceat(rows["need"][order], first), np.diff(np.append(first, len(order))))
-    wanted = np.empty(len(rows), np.uint32)
-    wanted[order] = need
-    some = np.flatnonzero(wanted)
-    if not len(some):
+    if not len(rows):
         return out
-    raw = np.ascontiguousarray(rows[some].view(np.uint8).reshape(-1, _ROW.itemsize)[:, : CONTEXT + 2]).view(f"V{CONTEXT + 2}")[:, 0]
-    order = _by_content(keys[some], raw, ids[some])
-    # Equal surroundings of one anchor are sorted once, with their smallest document.
-    raw, order = raw[order], some[order]
-    k, r, i, need = keys[order], rows[order], ids[order], wanted[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (raw[1:] != raw[:-1])])
+    # Equal surroundings are sorted once, with their smallest document.
+    raw = np.ascontiguousarray(rows).view(f"V{_ROW.itemsize}")
+    order = _by_content(rows, ids)
+    raw, r, i = raw[order], rows[order], ids[order]
+    new = np.concatenate([[True], raw[1:] != raw[:-1]])
     entry = np.cumsum(new) - 1
     one, low = r[new], i[new]
     buffer = one["bytes"].tobytes() + b"\0" * LENGTH
     # Strings that start at BEFORE - left .. BEFORE and end inside.
     offset = np.arange(BEFORE + 1)
     fits = (offset >= BEFORE - one["left"].astype(np.int64)[:, None]) & (offset + LENGTH <= BEFORE + one["right"].astype(np.int64)[:, None])
-    fits &= (need[new][:, None] >> offset.astype(np.uint32)) & np.uint32(1) > 0
     which, where = np.nonzero(fits)
     group = deep_shallow(buffer, which * CONTEXT + where)
     least = np.full(group.max() + 1 if len(group) else 0, x.NO_ID)
@@ -358,10 +328,14 @@ def sort_open(keys: np.ndarray, more: bytes, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_content(keys: np.ndarray, content: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Places in an order that puts equal surroundings of one anchor side by side, smallest id first."""
-    hashes = np.fromiter((int.from_bytes(hashlib.blake2b(v, digest_size=8).digest(), "big") for v in content.tolist()), np.uint64, len(content))
-    return np.lexsort((ids, hashes, keys))
+def _by_content(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places in an order that puts equal surroundings side by side, smallest id first."""
+    wide = np.zeros((len(rows), -(-_ROW.itemsize // 8) * 8), np.uint8)
+    wide[:, : _ROW.itemsize] = np.ascontiguousarray(rows).view(np.uint8).reshape(-1, _ROW.itemsize)
+    hashes = np.zeros(len(rows), np.uint64)
+    for column in wide.view(np.uint64).T:
+        hashes = x.mixed(hashes * np.uint64(_BASE) + column)
+    return np.lexsort((ids, hashes))
 
 
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -388,34 +362,12 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             return nothing
         own = _Slice(rows)
         own.contexts(x.answers(got, 1, np.uint8))
-        return x.ask(number(rows), buckets, own.context_keys, own.context_hash, own.lowest)
-
-    def opened(rows: pa.Table, got: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return nothing
-        own = _Slice(rows)
-        own.contexts(x.answers(got, 1, np.uint8))
-        state = x.answers(got, 2, np.uint8)
-        which = np.flatnonzero(state & OPEN)
-        around = own.surroundings(which)
-        around["need"] = own.needs(state)[which]
-        return x.ask(number(rows), buckets, own.context_keys[which], around, own.lowest[which])
+        return x.ask(number(rows), buckets, own.context_keys, own.surroundings(), own.lowest, send_keys=False)
 
     def cut(rows: pa.Table, got: pa.Table) -> pa.Table:
         own = _Slice(rows)
-        size = len(own.flat)
         own.contexts(x.answers(got, 1, np.uint8))
-        state, bits = x.answers(got, 2, np.uint8), np.zeros(len(own.context_keys), np.uint32)
-        gone = np.zeros(size, bool)
-        if len(own.at):
-            bits[np.flatnonzero(state & OPEN)] = x.answers(got, 3, np.uint32)
-            e = own.context
-            whole = own.settled(state)
-            first, last = [(own.at - own.left)[whole]], [(own.at + own.right - 1)[whole]]
-            rest = np.flatnonzero(~whole & (bits[e] > 0))
-            hit, offset = np.nonzero((bits[e[rest]][:, None] >> np.arange(BEFORE + 1, dtype=np.uint32)) & np.uint32(1))
-            begin = own.at[rest][hit] - BEFORE + offset
-            gone = x.marked(size, np.concatenate([*first, begin]), np.concatenate([*last, begin + LENGTH - 1]))
+        gone = own.removed(x.answers(got, 2, np.uint32))
         spans, kept, removed = [], [], []
         for start, n in zip(own.start.tolist(), own.n.tolist(), strict=True):
             mask, part = gone[start : start + n], own.flat[start : start + n]
@@ -431,10 +383,9 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     by_slice = parts.groupBy("__slice")
     one = x.answer(by_slice.applyInArrow(anchors, x.ASKED), 1, x.shared_between)
-    two = x.answer(by_slice.cogroup(one.groupBy("slice")).applyInArrow(contexts, x.ASKED), 2, settle)
-    three = x.answer(by_slice.cogroup(one.union(two).groupBy("slice")).applyInArrow(opened, x.ASKED), 3, sort_open)
+    two = x.answer(by_slice.cogroup(one.groupBy("slice")).applyInArrow(contexts, x.ASKED), 2, sort_all, _ROW.itemsize)
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,last:long>>, kept binary" + "".join(f", `__c_{c}` {kinds[c]}" for c in carry)
-    return by_slice.cogroup(one.union(two).union(three).groupBy("slice")).applyInArrow(cut, schema)
+    return by_slice.cogroup(one.union(two).groupBy("slice")).applyInArrow(cut, schema)
 
 
 def op6_suffix(spark, sf_dir: str) -> DataFrame:
