@@ -34,7 +34,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship(spark)
     # The row travels as one column, so no name of it can clash; doc_id and digest tell rows apart.
-    keyed = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.md5("row.text"), F.lit("")).alias("digest"))
+    keyed = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.unhex(F.md5("row.text")), F.unhex(F.lit(""))).alias("digest"))
     found = near_duplicates(keyed.select("doc_id", F.col("row.text").alias("text"), "digest"), carry=("digest",))
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
     first = stored(first, "pipeline-first")
