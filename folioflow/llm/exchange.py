@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,11 @@ def _unpack_ids(raw: bytes) -> np.ndarray:
 
 
 def ask(slice_: int, buckets: int, keys: np.ndarray, more: np.ndarray, ids: np.ndarray | None = None, send_keys: bool = True) -> pa.Table:
-    """The rows that a slice sends for its sorted keys; `more` and `ids` go along entry by entry. Keys that `more` tells needn't be sent."""
+    """The rows that a slice sends for its sorted keys; `more` and `ids` go along entry by entry.
+
+    Keys that `more` tells needn't be sent; such a `more` holds texts and is packed.
+    """
+    pack = bytes if send_keys else zstandard.ZstdCompressor(level=1).compress
     ends = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
     rows = [(b, x, y) for b, (x, y) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)) if x < y]
     return pa.table(
@@ -67,7 +72,7 @@ def ask(slice_: int, buckets: int, keys: np.ndarray, more: np.ndarray, ids: np.n
             pa.array([r[0] for r in rows], pa.int64()),
             pa.array([slice_] * len(rows), pa.int64()),
             pa.array([keys[x:y].tobytes() if send_keys else b"" for _, x, y in rows], pa.binary()),
-            pa.array([more[x:y].tobytes() for _, x, y in rows], pa.binary()),
+            pa.array([pack(more[x:y].tobytes()) for _, x, y in rows], pa.binary()),
             pa.array([None if ids is None else _pack_ids(ids[x:y]) for _, x, y in rows], pa.binary()),
         ],
         names=["bucket", "slice", "keys", "more", "ids"],
@@ -80,10 +85,13 @@ def answer(asked: DataFrame, kind: int, decide: Callable[[np.ndarray | None, byt
     def run(rows: pa.Table) -> pa.Table:
         blobs = rows.column("keys").to_pylist()
         keys = None if unit else np.frombuffer(b"".join(blobs), np.uint64)
-        blobs, size = (rows.column("more").to_pylist(), unit) if unit else (blobs, 8)
+        sent, size = rows.column("more").to_pylist(), unit or 8
+        if unit:
+            unpack = zstandard.ZstdDecompressor().decompress
+            blobs = sent = [unpack(x) for x in sent]
         packed = rows.column("ids").to_pylist()
         ids = None if packed[0] is None else np.concatenate([_unpack_ids(x) for x in packed])
-        result = decide(keys, b"".join(rows.column("more").to_pylist()), ids)
+        result = decide(keys, b"".join(sent), ids)
         ends = np.cumsum([0, *(len(x) // size for x in blobs)])
         data = [result[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
         return pa.table([rows.column("slice"), pa.array([kind] * len(data), pa.int32()), rows.column("bucket"), pa.array(data, pa.binary())], names=["slice", "kind", "bucket", "data"])

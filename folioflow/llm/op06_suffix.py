@@ -295,15 +295,38 @@ def deep_shallow(raw: bytes, starts: np.ndarray) -> np.ndarray:
     return position
 
 
+#: Surroundings that are sorted at a time; those of one anchor stay together.
+_SORTED = 8_192
+
+
 def sort_all(keys: None, more: bytes, ids: np.ndarray) -> np.ndarray:
     """For each surroundings a bit for every place before its anchor: the string there also starts in a smaller document.
 
-    Equal strings hold the same anchor at the same place, so whatever can be equal stands in one bucket.
+    Equal strings hold the same anchor at the same place, so whatever can be equal stands in one bucket, and
+    in one part of it.
     """
     rows = np.frombuffer(more, _ROW)
     out = np.zeros(len(rows), np.uint32)
     if not len(rows):
         return out
+    anchor = _hashed(np.ascontiguousarray(rows["bytes"]).view(np.uint8).reshape(-1, CONTEXT)[:, BEFORE : BEFORE + GRAM])
+    order = np.argsort(anchor, kind="stable")
+    own = anchor[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    start = 0
+    while start < len(rows):
+        # up to the last anchor that begins within the bound, one at least
+        following = np.searchsorted(first, start, side="right")
+        within = np.searchsorted(first, start + _SORTED, side="right") - 1
+        stop = int(first[max(following, within)]) if max(following, within) < len(first) and start + _SORTED < len(rows) else len(rows)
+        part = order[start:stop]
+        out[part] = _sort_part(rows[part], ids[part])
+        start = stop
+    return out
+
+
+def _sort_part(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(rows), np.uint32)
     # Equal surroundings are sorted once, with their smallest document.
     raw = np.ascontiguousarray(rows).view(f"V{_ROW.itemsize}")
     order = _by_content(rows, ids)
@@ -330,12 +353,17 @@ def sort_all(keys: None, more: bytes, ids: np.ndarray) -> np.ndarray:
 
 def _by_content(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Places in an order that puts equal surroundings side by side, smallest id first."""
-    wide = np.zeros((len(rows), -(-_ROW.itemsize // 8) * 8), np.uint8)
-    wide[:, : _ROW.itemsize] = np.ascontiguousarray(rows).view(np.uint8).reshape(-1, _ROW.itemsize)
-    hashes = np.zeros(len(rows), np.uint64)
+    return np.lexsort((ids, _hashed(np.ascontiguousarray(rows).view(np.uint8).reshape(-1, _ROW.itemsize))))
+
+
+def _hashed(raw: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes."""
+    wide = np.zeros((len(raw), -(-raw.shape[1] // 8) * 8), np.uint8)
+    wide[:, : raw.shape[1]] = raw
+    hashes = np.zeros(len(raw), np.uint64)
     for column in wide.view(np.uint64).T:
         hashes = x.mixed(hashes * np.uint64(_BASE) + column)
-    return np.lexsort((ids, hashes))
+    return hashes
 
 
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:

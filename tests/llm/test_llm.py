@@ -74,6 +74,26 @@ def test_deep_shallow_orders_suffixes():
     assert op06_suffix.deep_shallow(raw, starts).tolist() == [rank[raw[s : s + 50]] for s in starts]
 
 
+@pytest.mark.parametrize("part", [1, 700, 8_192])
+def test_sorted_surroundings_equal_brute_force(monkeypatch, part):
+    monkeypatch.setattr(op06_suffix, "_SORTED", part)
+    rng = np.random.default_rng(1)
+    n, wide = 1_200, op06_suffix.CONTEXT
+    raw = rng.integers(97, 100, (20, wide)).astype(np.uint8)[rng.integers(0, 20, n)]
+    some = rng.random(n) < 0.5
+    raw[some, rng.integers(0, wide, some.sum())] = 120
+    rows = np.zeros(n, op06_suffix._ROW)
+    rows["left"], rows["right"] = op06_suffix.BEFORE, op06_suffix.AFTER
+    rows["bytes"] = np.ascontiguousarray(raw).view(f"V{wide}")[:, 0]
+    ids, low = rng.integers(0, 300, n), {}
+    strings = [[(o, raw[i, o : o + 50].tobytes()) for o in range(26)] for i in range(n)]
+    for i, own in enumerate(strings):
+        for k in own:
+            low[k] = min(low.get(k, 1 << 60), ids[i])
+    want = [sum(int(low[k] < ids[i]) << k[0] for k in own) for i, own in enumerate(strings)]
+    assert op06_suffix.sort_all(None, rows.tobytes(), ids).tolist() == want
+
+
 def test_cover_meets_every_pair_of_places():
     cover = set(op08_substring.COVER)
     for a in range(op08_substring.PERIOD):
