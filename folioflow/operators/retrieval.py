@@ -61,7 +61,9 @@ def lexical(documents: DataFrame, id_: str, text: str, catalog: DataFrame) -> Da
     """
     known = measured(weights(catalog))
     words = measured(known.select("token", "w2").distinct())
-    found = documents.select(F.col(id_).alias("doc_id"), F.explode(tokens(F.col(text))).alias("token")).join(words, "token")
+    # The catalog's vocabulary leaves out short and stop words already.
+    runs = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    found = documents.select(F.col(id_).alias("doc_id"), F.explode(runs).alias("token")).join(words, "token")
     own = found.repartition("doc_id").groupBy("doc_id", "token", "w2").agg(F.least(F.count("*"), F.lit(2)).alias("qtf"))
     norms = own.groupBy("doc_id").agg(F.sqrt(F.sum("w2")).alias("dn"))
     sums = own.join(known.drop("w2"), "token").groupBy("doc_id", "item_id").agg(F.sum("w2").alias("dot"), F.sum(F.col("bm") * F.col("qtf")).alias("s"), F.first("cn").alias("cn"))
