@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from folioflow.sources import ooxml, pdf
+from folioflow.sources.ooxml import MOST_BYTES, MOST_ENTRIES, MOST_RATIO
 
 
 def binaries(spark: SparkSession, path: str, depth: bool = True) -> DataFrame:
@@ -46,84 +52,6 @@ def decoded_texts(files: DataFrame, id_: str) -> DataFrame:
     return files.select(id_, "content").mapInPandas(read, f"{id_} {kind}, text string, encoding string, n_replaced int")
 
 
-_LOCAL = lambda e: e.tag.rsplit("}", 1)[-1]
-#: Parts of a word-processing archive beside its body, and their unit types.
-WORD_PARTS = {"header": "header", "footer": "footer", "footnotes": "footnote", "endnotes": "endnote", "comments": "comment"}
-
-
-def _text(element: ElementTree.Element) -> str:
-    """The text runs below an element."""
-    return "".join(t.text or "" for t in element.iter() if _LOCAL(t) == "t")
-
-
-def _word(archive: zipfile.ZipFile, parts: list[str]) -> Iterator[tuple[str, str]]:
-    """Blocks and table rows in the body's order, then headers, footers, notes and comments by part."""
-    if "word/document.xml" in parts:
-        root = ElementTree.fromstring(archive.read("word/document.xml"))
-        bodies = [e for e in root.iter() if _LOCAL(e) == "body"] or [root]
-        for e in bodies[0]:
-            if _LOCAL(e) == "p":
-                yield "block", _text(e)
-            elif _LOCAL(e) == "tbl":
-                for row in (r for r in e if _LOCAL(r) == "tr"):
-                    yield "table_row", "\t".join(_text(c) for c in row if _LOCAL(c) == "tc")
-    for part in parts:
-        name = part.rsplit("/", 1)[-1].removesuffix(".xml")
-        kind = WORD_PARTS.get(name.rstrip("0123456789"))
-        if part.startswith("word/") and kind:
-            root = ElementTree.fromstring(archive.read(part))
-            notes = [e for e in root if _LOCAL(e) in ("footnote", "endnote", "comment")] if kind in ("footnote", "endnote", "comment") else [root]
-            yield from ((kind, text) for text in map(_text, notes) if text)
-
-
-def _slides(archive: zipfile.ZipFile, parts: list[str]) -> Iterator[tuple[str, str]]:
-    """Each slide by number, its notes after it."""
-    number = lambda n: int("".join(filter(str.isdigit, n.rsplit("/", 1)[-1])) or 0)
-    notes = {number(n): n for n in parts if n.startswith("ppt/notesSlides/notesSlide")}
-    for part in sorted((n for n in parts if n.startswith("ppt/slides/slide")), key=number):
-        yield "slide", _text(ElementTree.fromstring(archive.read(part)))
-        if number(part) in notes and (text := _text(ElementTree.fromstring(archive.read(notes[number(part)])))):
-            yield "notes", text
-
-
-def _sheets(archive: zipfile.ZipFile, parts: list[str]) -> Iterator[tuple[str, str]]:
-    """Rows under their sheet's name, formulas and merged ranges with their cells, comments of the workbook."""
-    read = lambda n: ElementTree.fromstring(archive.read(n))
-    shared = [_text(e) for e in read("xl/sharedStrings.xml") if _LOCAL(e) == "si"] if "xl/sharedStrings.xml" in parts else []
-    names = [e.get("name") or "" for e in read("xl/workbook.xml").iter() if _LOCAL(e) == "sheet"] if "xl/workbook.xml" in parts else []
-    number = lambda n: int("".join(filter(str.isdigit, n.rsplit("/", 1)[-1])) or 0)
-    for i, part in enumerate(sorted((n for n in parts if n.startswith("xl/worksheets/")), key=number)):
-        root, sheet = read(part), names[i] if i < len(names) else f"sheet{i + 1}"
-        for row in (e for e in root.iter() if _LOCAL(e) == "row"):
-            cells = []
-            for cell in (e for e in row if _LOCAL(e) == "c"):
-                value = next((v.text or "" for v in cell if _LOCAL(v) == "v"), _text(cell))
-                cells.append(shared[int(value)] if cell.get("t") == "s" and value.isdigit() and int(value) < len(shared) else value)
-                formula = next((v.text or "" for v in cell if _LOCAL(v) == "f"), None)
-                if formula:
-                    yield "formula", f"{sheet}!{cell.get('r') or ''}={formula}"
-            yield "row", f"{sheet}\t" + "\t".join(cells)
-        yield from (("merged", f"{sheet}!{e.get('ref') or ''}") for e in root.iter() if _LOCAL(e) == "mergeCell")
-    for part in parts:
-        if part.startswith("xl/comments"):
-            yield from (("comment", f"{e.get('ref') or ''}: {_text(e)}") for e in read(part).iter() if _LOCAL(e) == "comment")
-
-
-READERS = {"docx": _word, "pptx": _slides, "xlsx": _sheets}
-
-
-def office_units(name: str, raw: bytes) -> Iterator[tuple[str, int, str]]:
-    """unit_type, ordinal, text of an office archive; one unit `broken` for what can't be read, nothing for other archives."""
-    reader = READERS.get(name.rsplit(".", 1)[-1].lower())
-    try:
-        with zipfile.ZipFile(io.BytesIO(raw)) as archive:
-            parts = sorted(n for n in archive.namelist() if n.endswith(".xml"))
-            found = list(reader(archive, parts)) if reader else []
-    except (zipfile.BadZipFile, ElementTree.ParseError):
-        found = [("broken", "")]
-    yield from ((kind, i, text) for i, (kind, text) in enumerate(found))
-
-
 def image_size(raw: bytes) -> tuple[int, int] | None:
     """Width and height that the header of a PNG, GIF, BMP or JPEG picture tells; null for anything else."""
     if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:
@@ -143,30 +71,87 @@ def image_size(raw: bytes) -> tuple[int, int] | None:
     return None
 
 
+#: Characters that a unit's text has at most, and below how many a page with pictures waits for OCR.
+MOST_TEXT, SPARSE_TEXT = 2_000_000, 200
+#: Rows of units of files; heading is the path of headings above a unit, location and metadata are as each kind has them.
+UNITS = "path string, kind string, unit_type string, ordinal int, text string, status string, heading array<string>, location map<string,string>, metadata map<string,string>, warning string"
+
+
+def kind_of(head: bytes) -> str:
+    """What a file is by its first bytes: zip, pdf, image or text."""
+    if head[:4] == b"PK\x03\x04":
+        return "zip"
+    if b"%PDF-" in head[:1024]:
+        return "pdf"
+    return "image" if image_size(head) else "text"
+
+
+def _pages(raw: bytes, part: int, parts: int) -> Iterator[ooxml.Unit]:
+    """Pages of a PDF, or a share of them; without text, or with little beside pictures, a page waits for OCR."""
+    for number, total, text, pictures, reason in pdf.pages(raw, part, parts):
+        text = None if text is None else "\n".join(" ".join(line.split()) for line in text.split("\n")).strip()
+        sparse = bool(text) and len(text) < SPARSE_TEXT and pictures > 0
+        status = "failed" if text is None else "ocr_required" if not text or sparse else "processed"
+        more = {"pages": str(total), "characters": str(len(text or "")), "pictures": str(pictures)}
+        first = next((line for line in (text or "").split("\n") if line), "")
+        heading = (first[:HEADING],) if first else ()
+        yield ooxml.Unit("page", text, status, heading, {"page": str(number)}, more, reason or ("little text beside pictures" if sparse else None if text else "no text"))
+
+
+#: Fixed value: characters of a heading that is guessed from a page's first line.
+HEADING = 180
+
+
+def units_of(path: str, raw: bytes, part: int = 0, parts: int = 1) -> Iterator[tuple]:
+    """Rows of UNITS of one file; parts split the pages of a PDF, other files are wholly in part 0."""
+    kind = kind_of(raw)
+    if part and kind != "pdf":
+        return
+    if kind == "zip":
+        found = ooxml.units(path, raw)
+    elif kind == "pdf":
+        found = _pages(raw, part, parts)
+    elif kind == "image":
+        width, height = image_size(raw)
+        found = iter([ooxml.Unit("image", f"{width}x{height}", "ocr_required")])
+    else:
+        found = (ooxml.Unit("line", x) for x in decoded(raw).split("\n"))
+    ordinal = -1
+    while True:
+        try:
+            u = next(found, None)
+        except pdf.Damaged as e:
+            u, found = ooxml.Unit("broken", "", "failed", warning=str(e)), iter(())
+            if part:  # the first part tells it
+                return
+        if u is None:
+            return
+        ordinal = ordinal + 1 if kind != "pdf" or u.kind == "broken" else int(u.place["page"]) - 1
+        text, status, warning = u.text, u.status or ("processed" if (u.text or "").strip() else "empty"), u.warning
+        if text is not None and len(text) > MOST_TEXT:
+            text, status, warning = text[:MOST_TEXT], "partial", f"{len(text)} characters"
+        yield path, kind, u.kind, ordinal, text, status, list(u.heading), u.place, u.more, warning
+
+
 def file_units(files: DataFrame) -> DataFrame:
-    """path, unit_type, ordinal, text, status of files (path, content), by their bytes: units of an office archive, a picture's size
-    (`ocr_required`), a PDF as one unit that no reader here opens (`unsupported`), else lines of text."""
-
-    def one(path: str, raw: bytes) -> Iterator[tuple]:
-        if raw[:4] == b"PK\x03\x04":
-            yield from ((kind, i, text, "failed" if kind == "broken" else "processed" if text.strip() else "empty") for kind, i, text in office_units(path, raw))
-        elif raw[:5] == b"%PDF-":
-            yield "pdf", 0, None, "unsupported"
-        elif size := image_size(raw):
-            yield "image", 0, f"{size[0]}x{size[1]}", "ocr_required"
-        else:
-            yield from (("line", i, x, "processed" if x.strip() else "empty") for i, x in enumerate(decoded(raw).split("\n")))
+    """Rows of UNITS of files (path, content), by their bytes: units of an office archive, pages of a PDF, a picture's size
+    (`ocr_required`), else lines of text. A null content is an empty text; a file or part that can't be read gives a `failed` unit with the reason."""
+    schema = to_arrow_schema(_parse_datatype_string(UNITS))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(path, *x) for path, content in zip(batch["path"], batch["content"], strict=True) for x in one(path, bytes(content) if content is not None else b"")]
-            yield pd.DataFrame(rows, columns=["path", "unit_type", "ordinal", "text", "status"])
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from batched(units_of(path, content.as_py() or b""), schema)
 
-    return files.select("path", "content").mapInPandas(read, "path string, unit_type string, ordinal int, text string, status string")
+    return files.select("path", "content").mapInArrow(read, UNITS)
 
 
-#: Bounds of an archive.
-MOST_ENTRIES, MOST_BYTES, MOST_RATIO = 2_000, 512 << 20, 100.0
+def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 512) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of bounded size; maps are given as dictionaries."""
+    while held := list(itertools.islice(rows, size)):
+        columns = [list(c.items()) if isinstance(c, dict) else c for r in held for c in r]
+        n = len(schema)
+        yield pa.RecordBatch.from_arrays([pa.array(columns[i::n], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def members(files: DataFrame, most_ratio: float = MOST_RATIO, most_entries: int = MOST_ENTRIES, most_bytes: int = MOST_BYTES) -> DataFrame:

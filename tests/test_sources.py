@@ -54,7 +54,7 @@ def test_every_kind_of_file_becomes_units(spark):
     assert got["b.pptx"] == [("slide", "s1", ok), ("slide", "s2", ok), ("notes", "say", ok), ("slide", "s10", ok)]
     assert got["c.xlsx"] == [("formula", "Plan!B1=SUM(C1:C3)", ok), ("row", "Plan\ttwo\t6", ok), ("merged", "Plan!A1:B2", ok), ("comment", "A1: check", ok)]
     assert got["d.png"] == [("image", "640x480", "ocr_required")] and got["e.jpg"] == [("image", "30x20", "ocr_required")]
-    assert got["f.pdf"] == [("pdf", None, "unsupported")] and got["g.docx"] == [("broken", "", "failed")] and got["h.txt"] == [("line", "", "empty")] and "i.zip" not in got
+    assert got["f.pdf"] == [("broken", "", "failed")] and got["g.docx"] == [("broken", "", "failed")] and got["h.txt"] == [("line", "", "empty")] and "i.zip" not in got
 
 
 def test_sheets_become_tables_and_evidence(spark):
