@@ -88,9 +88,9 @@ def canonical(fields: Mapping[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def rule_checksum(rules: DataFrame) -> DataFrame:
-    """Adds checksum, the SHA-256 of a rule's canonical JSON."""
-    fields = {"grade": F.col("grade"), "prerequisite": F.col("prerequisite"), "required_sources[]": F.col("required_sources"), "required_stages[]": F.col("required_stages")}
+def rule_checksum(rules: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Adds checksum, the SHA-256 of a rule's canonical JSON; more names further columns that belong to a rule."""
+    fields = {"grade": F.col("grade"), "prerequisite": F.col("prerequisite"), "required_sources[]": F.col("required_sources"), "required_stages[]": F.col("required_stages")} | {c: F.col(c).cast("string") for c in more}
     return rules.withColumn("checksum", F.sha2(canonical(fields), 256))
 
 

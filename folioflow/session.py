@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 BATCH = "1000"
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -42,3 +43,11 @@ def scratch(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return "/tmp/folioflow-checkpoints"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table below the shared folder, read again: what several parts of a plan use is made once, and its size is known."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/folioflow-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
