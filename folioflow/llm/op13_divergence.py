@@ -7,30 +7,59 @@ contribution for each pair of sources, which partial aggregation adds up before
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from folioflow.llm.common import ascii_lower, few, stored, table
+from folioflow.llm.common import few, stored, table
 
 #: Fixed values of the contract: what parts terms, documents a kept term has, the scale of p and its smoothing, and the ranks of terms.
-BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+BREAK = bytes(b for b in range(0x80) if not chr(b).isalpha())
 LEAST_DOCS, SCALE, SMOOTH, TOP_TERMS = 10, 1_000_000_000, 2, 10
 _WHOLE = "decimal(28,0)"
+#: Groups' terms that a task holds before it hands them on.
+HELD_TERMS = 300_000
+_TERMS = bytes(32 if b in BREAK else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, docs: occurrences of each term in each group, and the rows of docs that hold it.
 
-    Null texts, langs and sources are empty strings. A text's terms are sorted once, so the first of equal
-    ones marks the document and one aggregation counts both, with partial sums before its shuffle.
+    Null texts, langs and sources are empty strings. A task adds up what it has read in tables of bounded size
+    before anything is shuffled; UTF-8 keeps the bytes that part terms apart from those of other characters.
     """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        size = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, rows) in held.items():
+                many = len(n)
+                term = pa.array(list(n), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * many), pa.array([source] * many), term, pa.array(list(n.values()), pa.int64()), pa.array(list(rows.values()), pa.int64())], ["lang", "source", "term", "n", "docs"])
+            held.clear()
+
+        for batch in batches:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = Counter(text.as_py().encode("utf-8").translate(_TERMS).split())
+                n, rows = held.setdefault((lang, source), (Counter(), Counter()))
+                before = len(n)
+                n.update(own)
+                rows.update(own.keys())
+                size += len(n) - before
+                if size > HELD_TERMS:
+                    yield from flushed()
+                    size = 0
+        yield from flushed()
+
     own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    terms = F.sort_array(F.array_remove(F.split(ascii_lower(F.col("text")), BREAK), ""))
-    listed = docs.select(own("lang"), own("source"), own("text")).select("lang", "source", terms.alias("terms"))
-    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (t != F.get("terms", i - 1))).cast("long").alias("first")))
-    exploded = listed.select("lang", "source", F.explode(marked).alias("t"))
-    return exploded.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.count("*").alias("n"), F.sum("t.first").alias("docs"))
+    counted = docs.select(own("lang"), own("source"), own("text")).mapInArrow(count, "lang string, source string, term string, n long, docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _share(count: Column, total: Column, kept: Column) -> Column:
