@@ -41,7 +41,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
             for (lang, source), (n, rows) in held.items():
                 many = len(n)
                 term = pa.array(list(n), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * many), pa.array([source] * many), term, pa.array(list(n.values()), pa.int64()), pa.array(list(rows.values()), pa.int64())], ["lang", "source", "term", "n", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * many, pa.string()), pa.array([source] * many, pa.string()), term, pa.array(list(n.values()), pa.int64()), pa.array(list(rows.values()), pa.int64())], ["lang", "source", "term", "n", "docs"])
             held.clear()
 
         for batch in batches:
