@@ -22,10 +22,13 @@ from folioflow.llm.common import few, stored, table, words
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 DIMENSIONS = 6
-#: A language of fewer rows bears no estimate, and other languages say nothing about it: its documents are kept.
-LEAST_ROWS = 5 * DIMENSIONS
-#: Rows that the next level's covariance and its centre count for beside a group's own.
-PRIOR_ROWS, PRIOR_CENTRE = 5 * DIMENSIONS, 1
+#: Rows that the next level's covariance counts for beside a group's own.
+PRIOR_ROWS = 5 * DIMENSIONS
+#: Rows that the next level's centre counts for, by statistic: word length, capitals and marks are a language's or source's own
+#: and follow its rows at once; symbols, repeated lines and words are junk in any language, so few rows can't move their centre.
+PRIOR_CENTRE = (1, 300, 300, 300, 1, 1)
+#: Variance of a language's centre about that of all rows, which one row of it can't tell: words without spaces are many times as long.
+BETWEEN_LANGUAGES = (1.0, 0.0, 0.0, 0.0, 0.05, 0.05)
 #: C-steps that each start takes, C-steps of the best start at most, and the fall of a log determinant that counts as one.
 FIRST_STEPS, MOST_STEPS, LEAST_FALL = 2, 12, 1e-3
 STARTS = 3
@@ -157,22 +160,23 @@ def _factored(df: DataFrame) -> DataFrame:
     return df.withColumn("log_det", 2 * reduce(add, [F.ln(f"l{i}_{i}") for i in range(DIMENSIONS)]))
 
 
-def _shrunk(own: DataFrame, prior: DataFrame, on: list[str]) -> DataFrame:
+def _shrunk(own: DataFrame, prior: DataFrame, on: list[str], wide: tuple[float, ...] = (0.0,) * DIMENSIONS) -> DataFrame:
     """The estimates of own shrunk towards prior's by their counts, a lone row's wholly.
 
-    As in a normal-inverse-Wishart posterior the way between the two centres adds to the covariance,
-    so rows that agree with one another aren't far from the centre that lies between.
+    As in a normal-inverse-Wishart posterior the way between the two centres adds to the covariance where a centre
+    follows its own rows, so rows that agree aren't far from the centre that lies between; where the prior's centre
+    holds, being far from it is what counts. wide is the centres' variance about the prior's, it fades with the count.
     """
     p = DIMENSIONS
     names = [f"m{i}" for i in range(p)] + [f"c{i}_{j}" for i in range(p) for j in range(i + 1)]
     n = F.col("total") - 1.0
     joined = own.join(prior.select(*on, *[F.col(k).alias(f"p_{k}") for k in names]), on) if on else own.crossJoin(prior.select(*[F.col(k).alias(f"p_{k}") for k in names]))
     off = [F.col(f"m{i}") - F.col(f"p_m{i}") for i in range(p)]
-    new = {f"m{i}": (n * F.col(f"m{i}") + PRIOR_CENTRE * F.col(f"p_m{i}")) / (n + PRIOR_CENTRE) for i in range(p)}
+    new = {f"m{i}": (n * F.col(f"m{i}") + k * F.col(f"p_m{i}")) / (n + k) for i, k in enumerate(PRIOR_CENTRE)}
     for i in range(p):
         for j in range(i + 1):
-            between = PRIOR_CENTRE * n / (n + PRIOR_CENTRE) * off[i] * off[j]
-            new[f"c{i}_{j}"] = (PRIOR_ROWS * F.col(f"p_c{i}_{j}") + n * F.col(f"c{i}_{j}") + between) / (PRIOR_ROWS + n)
+            between = n / (n + 1) * off[i] * off[j] if PRIOR_CENTRE[i] == PRIOR_CENTRE[j] == 1 else F.lit(0.0)
+            new[f"c{i}_{j}"] = (PRIOR_ROWS * F.col(f"p_c{i}_{j}") + n * F.col(f"c{i}_{j}") + between) / (PRIOR_ROWS + n) + (F.lit(wide[i]) / (n + 1) if i == j else F.lit(0.0))
     return joined.withColumns(new).select(*own.columns)
 
 
@@ -206,7 +210,7 @@ def _step(leveled: DataFrame, model: DataFrame, keys: list[str], name: str) -> D
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """g_lang, g_source, mean, factor: the shrunk MCD estimate of every language and source whose language bears one.
+    """g_lang, g_source, mean, factor: the shrunk MCD estimate of every language and source.
 
     Each step reads the small table of vectors only; a group whose determinant no longer falls keeps its estimate.
     """
@@ -234,7 +238,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     names = [f"c{i}_{j}" for i in range(p) for j in range(i + 1)]
     own = stored(few(model.join(half, _KEYS).withColumn("scale", scale).select(*_KEYS, "total", *[f"m{i}" for i in range(p)], *[(F.col(c) * F.col("scale")).alias(c) for c in names])), "rules-own")
     level = [own.where(F.col("level") == i).drop("level") for i in range(3)]
-    languages = _shrunk(level[1].where(F.col("total") >= LEAST_ROWS), level[0], [])
+    languages = _shrunk(level[1], level[0], [], BETWEEN_LANGUAGES)
     return stored(few(_factored(_shrunk(level[2], languages, ["g_lang"])).drop("total", "log_det", *names)), "rules-estimates")
 
 
@@ -244,8 +248,8 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     kept is false where a base rule fails; else it tells whether the document's vector lies within
     CUTOFF of the estimate of its language and source (null counts as a value of its own). Repeated
     rows stay repeated and agree, a null doc_id stays null, extra columns are ignored, an empty table
-    gives an empty one. In a language of which fewer than LEAST_ROWS rows passed the base rules, all that
-    pass are kept. distance is null where there is no estimate.
+    gives an empty one. Groups of every size are judged alike, a lone row by what its language and all rows say of it;
+    distance is null only for a group of which no row passed the base rules.
     """
     stats = stored(vectors(base_statistics(docs, carry)), "rules-stats")
     passed = stats.where(~F.col("base_failed"))

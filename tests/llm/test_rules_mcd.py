@@ -73,23 +73,24 @@ def mcd(x):
     return best[0], best[1] * max(1.0, 2 ** ((half_bin(d2) + 1) / 32) / rules.MEDIAN_CHI2), len(x)
 
 
-def shrunk(own, prior):
-    n, off = own[2] - 1.0, own[0] - prior[0]
-    k = rules.PRIOR_CENTRE
+def shrunk(own, prior, wide=np.zeros(P)):
+    n, off, k = own[2] - 1.0, own[0] - prior[0], np.array(rules.PRIOR_CENTRE, float)
     centre = (n * own[0] + k * prior[0]) / (n + k)
-    return centre, (rules.PRIOR_ROWS * prior[1] + n * own[1] + k * n / (n + k) * np.outer(off, off)) / (rules.PRIOR_ROWS + n), own[2]
+    free = (k == 1).astype(float)
+    between = n / (n + 1) * np.outer(off * free, off * free)
+    return centre, (rules.PRIOR_ROWS * prior[1] + n * own[1] + between) / (rules.PRIOR_ROWS + n) + np.diag(wide) / (n + 1), own[2]
 
 
 def distances(rows):
-    """rows: (lang, source, vector) of the documents past the base rules; None where a language bears no estimate."""
+    """rows: (lang, source, vector) of the documents past the base rules."""
     group = defaultdict(list)
     for lang, source, v in rows:
         for key in ((), (lang,), (lang, source)):
             group[key].append(v)
     own = {k: mcd(np.array(v)) for k, v in group.items()}
-    languages = {k: shrunk(own[k], own[()]) for k, v in group.items() if len(k) == 1 and len(v) >= rules.LEAST_ROWS}
-    final = {k: shrunk(own[k], languages[k[:1]]) for k in group if len(k) == 2 and k[:1] in languages}
-    return [squared(v[None, :], *final[lang, source][:2])[0] if (lang, source) in final else None for lang, source, v in rows]
+    languages = {k: shrunk(own[k], own[()], np.array(rules.BETWEEN_LANGUAGES)) for k in group if len(k) == 1}
+    final = {k: shrunk(own[k], languages[k[:1]]) for k in group if len(k) == 2}
+    return [squared(v[None, :], *final[lang, source][:2])[0] for lang, source, v in rows]
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
@@ -102,9 +103,8 @@ def test_verdicts_equal_numpy(spark, sf):
     passed = [i for i, r in enumerate(rows) if not r["base_failed"]]
     found = distances([(rows[i]["__c_lang"], rows[i]["__c_source"], vector(type("Row", (), rows[i]))) for i in passed])
     for i, d in zip(passed, found, strict=True):
-        assert (rows[i]["distance"] is None) == (d is None)
-        assert rows[i]["kept"] == (d is None or d <= rules.CUTOFF)
-        assert d is None or rows[i]["distance"] == pytest.approx(d, rel=1e-6, abs=1e-6)
+        assert rows[i]["kept"] == (d <= rules.CUTOFF)
+        assert rows[i]["distance"] == pytest.approx(d, rel=1e-6, abs=1e-6)
     assert not any(r["kept"] for r in rows if r["base_failed"])
 
 
@@ -133,3 +133,20 @@ def test_cutoffs_are_chi_squared():
     assert np.mean(draws > rules.MEDIAN_CHI2) == pytest.approx(0.5, abs=0.005)
     assert np.mean(draws > rules._chi2_above(0.01)) == pytest.approx(0.01, abs=0.001)
     assert 50 < rules.CUTOFF < 60
+
+
+def test_few_rows_of_junk_do_not_vouch_for_themselves(spark):
+    """Groups of junk of their own, in a known language and in one of their own, go at every size; small clean ones stay."""
+    import random
+
+    rng = random.Random(2)
+    junk = lambda: " ".join("".join(rng.choice("#$%&*|") for _ in range(rng.randrange(2, 8))) for _ in range(60))
+    clean = lambda: " ".join("".join(rng.choice("abcdeilmnoprstu") for _ in range(rng.randrange(2, 9))) for _ in range(80)).capitalize() + "."
+    groups = {("en", "j1"): 1, ("en", "j2"): 2, ("en", "j3"): 3, ("fr", "j29"): 29, ("xx", "j29"): 29, ("xy", "j1"): 1, ("xz", "j3"): 3}
+    rows = [(10_000_000, junk(), *g) for g, n in groups.items() for _ in range(n)]
+    fine = {("en", "c1"): 1, ("en", "c2"): 2, ("yy", "c1"): 1, ("yz", "c29"): 29, ("de", "c5"): 5}
+    rows += [(10_000_001, clean(), *g) for g, n in fine.items() for _ in range(n)]
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang", "source")
+    got = rules.quality_rules(docs.union(spark.createDataFrame(rows, docs.schema))).where("doc_id >= 10000000").collect()
+    assert [(r.lang, r.source, r.distance) for r in got if r.doc_id == 10_000_000 and (r.kept or r.base_failed)] == []
+    assert [(r.lang, r.source, r.distance) for r in got if r.doc_id == 10_000_001 and not r.kept] == []
