@@ -6,8 +6,9 @@ merged position and of its live left neighbour and clears the leaf of the positi
 three leaves get logarithmic point updates. Short pieces run through one tree each, all trees of a
 batch side by side in numpy arrays; a long piece (`LONG` bytes or more) has a tree of its own.
 
-A worker remembers the ids of the words it has met, up to a bound. A text is cut before spaces that
-follow a character other than white space, where every match of the pattern ends.
+A worker remembers the ids of short words it has met, up to a bound in number and thus in bytes; what is longer
+is forgotten with its batch. A text is cut before spaces that follow or precede a character other than white space,
+where every match of the pattern ends.
 """
 
 from __future__ import annotations
@@ -30,13 +31,28 @@ LONG = 64
 FEW = 64
 #: Pieces, and words, that a worker remembers; when that is full, the words met most often stay.
 REMEMBERED = 300_000
+#: Characters of the longest word or piece that is remembered.
+SHORT = 48
 _NONE = np.int64(1) << 62
 _SLICE_CHARS = 1 << 20
 _SPACE_AFTER_SPACE = re.compile(r"\s ").search
-#: Marks a text's first word, which follows no space; no text that Spark holds has this lone surrogate.
+#: Of several characters of white space the last goes with what follows, if it is a space; so a match ends before it.
+_CUTS = re.compile(r"(?<=\S) | (?=\S)").finditer
+#: Marks a word as it stands, without a space before it; no text that Spark holds has this lone surrogate.
 _FIRST = "\ud800"
 
 
+def _words(text: str) -> list[str]:
+    """A text's words: what follows a space without it, anything else marked."""
+    if not _SPACE_AFTER_SPACE(text):
+        words = text.split(" ")
+        words[0] = _FIRST + words[0]
+        return words
+    places = [0, *(m.start() for m in _CUTS(text)), len(text)]
+    parts = (text[a:b] for a, b in zip(places, places[1:], strict=False) if a < b)
+    return [x[1:] if x[0] == " " and len(x) > 1 and not x[1].isspace() else _FIRST + x for x in parts]
+
+
 def read_ranks(lines: list[bytes]) -> dict[bytes, int]:
     """Ranks by token, from lines of a token in base64 and its rank."""
     split = (line.split() for line in lines)
@@ -72,6 +88,8 @@ class Vocabulary:
         self.word: dict[str, int] = {}
         self.flat, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.hits = np.zeros(0, np.int64)
+        #: Longer words of this batch, whose rows are the last ones.
+        self.passing: list[str] = []
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -83,12 +101,7 @@ class Vocabulary:
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's begin and end."""
-        cut = []
-        for text in texts:
-            # A space after white space doesn't begin a match for sure; such a text is one long word.
-            words = [text] if _SPACE_AFTER_SPACE(text) else text.split(" ")
-            words[0] = _FIRST + words[0]
-            cut.append(words)
+        cut = [_words(text) for text in texts]
         try:
             rows = [np.fromiter(map(self.word.__getitem__, words), np.int64, len(words)) for words in cut]
         except KeyError:
@@ -99,6 +112,7 @@ class Vocabulary:
         size = self.sizes[row]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begins[row] - ends[:-1], size)]
+        self._pass()
         return ids, ends[np.cumsum([0, *map(len, rows)])]
 
     def _meet(self, cut: list[list[str]]) -> None:
@@ -106,7 +120,8 @@ class Vocabulary:
         met = set().union(*cut)
         if len(self.word) + len(met) > self.remembered:
             self._forget()
-        new = [w for w in met if w not in self.word]
+        new = sorted((w for w in met if w not in self.word), key=lambda w: len(w) > SHORT)
+        self.passing = [w for w in new if len(w) > SHORT]
         pieces = [self.find(w[1:] if w[:1] == _FIRST else f" {w}") for w in new]
         self.learn(set().union(*pieces))
         ids = [[i for piece in own for i in self.known[piece]] for own in pieces]
@@ -116,6 +131,19 @@ class Vocabulary:
         self.sizes = np.concatenate([self.sizes, size])
         self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
+        for piece in [x for own in pieces for x in own if len(x) > SHORT]:
+            self.known.pop(piece, None)
+
+    def _pass(self) -> None:
+        """Forget the longer words of a batch."""
+        if not self.passing:
+            return
+        stay = len(self.sizes) - len(self.passing)
+        for w in self.passing:
+            del self.word[w]
+        self.flat = self.flat[: int(self.begins[stay])].copy()
+        self.begins, self.sizes, self.hits = self.begins[:stay].copy(), self.sizes[:stay].copy(), self.hits[:stay].copy()
+        self.passing = []
 
     def _forget(self) -> None:
         """Keep the words met most often, half of the bound at most, and count anew."""
