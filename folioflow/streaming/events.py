@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from folioflow.operators.relational import latest
 from folioflow.session import scratch
+from folioflow.streaming.upserts import UpsertTable
 
 
 def tail(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -36,21 +36,16 @@ def latest_state(events: DataFrame) -> DataFrame:
 def drained(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     """Run an aggregated stream over what is there now and give its result, one row for each of keys.
 
-    A batch writes only the rows that it changed, into a folder of its own, and one that runs again
-    overwrites that; the newest batch of a key counts. State and rows stand in the shared folder, never on
+    Batches hold only the rows that they changed and are merged into an UpsertTable, so its files don't grow with the
+    number of batches, and one that runs again changes nothing. State and rows stand in the shared folder, never on
     the driver. A later call of the same name goes on where this one stopped.
     """
     spark = stream.sparkSession
     base = f"{scratch(spark)}/folioflow-{spark.sparkContext.applicationId}/stream-{name}"
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-
-    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").outputMode("update").trigger(availableNow=True).start()
+    out = UpsertTable(spark, f"{base}/out", stream.schema, keys)
+    query = stream.writeStream.foreachBatch(out.merge).option("checkpointLocation", f"{base}/state").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
-    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
-    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{base}/out/batch=-1")  # the result without any batch
-    return latest(spark.read.schema(schema).parquet(f"{base}/out"), list(keys), F.desc("batch")).drop("batch")
+    return out.table()
 
 
 def until_final(events: DataFrame, key: str, order: Sequence[str], final: Column) -> DataFrame:
