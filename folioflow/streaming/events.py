@@ -33,6 +33,15 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(last.alias("e")).select("user_id", F.col("e.event_id").alias("event_id"), F.col("e.event_type").alias("event_type"))
 
 
+def reserved(jobs: DataFrame, keys: Sequence[str], at: str, active: str) -> DataFrame:
+    """The first request of each key; one that comes while an earlier one of its key is active reuses that one and is dropped.
+
+    A key is active for `active` after its request, and its state leaves when the watermark has passed that, so the state holds
+    the keys of that span only. Requests more than `active` late are dropped. A batch that runs again gives the same.
+    """
+    return jobs.withWatermark(at, active).dropDuplicatesWithinWatermark(list(keys))
+
+
 def drained(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     """Run an aggregated stream over what is there now and give its result, one row for each of keys.
 
@@ -48,6 +57,14 @@ def drained(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     return out.table()
 
 
+def logged(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream that only appends over what is there now and give all that it has written, each row once."""
+    spark = stream.sparkSession
+    base = f"{scratch(spark)}/folioflow-{spark.sparkContext.applicationId}/log-{name}"
+    stream.writeStream.format("parquet").option("path", f"{base}/log").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/log")
+
+
 def until_final(events: DataFrame, key: str, order: Sequence[str], final: Column) -> DataFrame:
     """The events of each key up to its first final one, that included; what a reader of the tail sees before it stops."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators.relational import latest
+from folioflow.streaming import events as S
+from folioflow.streaming import leases as L
 from folioflow.streaming.upserts import UpsertTable
 
 KINDS = "k long, s string, v long"
@@ -78,3 +80,79 @@ def test_only_touched_buckets_are_written_again(spark, tmp_path):
     after = {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "base").rglob("*.parquet")}
     assert len(before) >= 7 and len(set(before.items()) - set(after.items())) == 1
     assert latest(t.table(), ["k"], F.desc("v")).where("v = 1").count() == 1
+
+
+EVENTS = "job long, at string, event_id long, event string, attempt int"
+
+
+@pytest.fixture
+def stream(spark, tmp_path):
+    """put(rows) adds a file of events, drain() runs the machine over what is new and gives the whole log in order."""
+    path = tmp_path / "events"
+
+    def put(*rows):
+        df = spark.createDataFrame([(j, f"2024-01-01 {at}:00", i, e, a) for i, (j, at, e, a) in enumerate(rows)], EVENTS)
+        df.withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(path))
+
+    def drain(minutes=15, attempts=2):
+        source = S.tail(spark, str(path), spark.read.parquet(str(path)).schema)
+        log = L.drained(L.transitions(source, minutes, attempts, late="10 minutes", keep_days=1), tmp_path.name)
+        return [(r.job, str(r.at)[11:16], r.event, r.status, r.attempts, r.accepted) for r in log.orderBy("job", "seq").collect()]
+
+    return put, drain
+
+
+def test_leases_are_claimed_renewed_and_end(stream):
+    put, drain = stream
+    put((1, "10:00", "submit", None), (1, "10:01", "claim", None), (1, "10:10", "renew", 1), (2, "10:00", "submit", None), (2, "10:05", "claim", None))
+    first = [(1, "10:00", "submit", "queued", 0, True), (1, "10:01", "claim", "running", 1, True), (1, "10:10", "renew", "running", 1, True)]
+    assert [r for r in drain() if r[0] == 1] == first
+    # the watermark passes the end of both leases: 10:25 of job 1, 10:20 of job 2
+    put((3, "11:00", "submit", None), (1, "10:55", "renew", 1))
+    got = drain()
+    assert [r for r in got if r[0] == 2][-1] == (2, "10:20", "expire", "queued", 1, True)
+    # its renewal comes late: the lease has ended, the job is queued again
+    assert [r for r in got if r[0] == 1] == [*first, (1, "10:25", "expire", "queued", 1, True), (1, "10:55", "renew", "queued", 1, False)]
+
+
+def test_attempts_end_and_cancels_wait_for_the_lease(stream):
+    put, drain = stream
+    put((1, "10:00", "submit", None), (1, "10:01", "claim", None), (1, "10:30", "claim", None), (1, "10:31", "renew", 1), (1, "10:31", "renew", 2), (1, "11:00", "claim", None),
+        (2, "10:00", "submit", None), (2, "10:01", "claim", None), (2, "10:02", "cancel", None), (2, "10:30", "complete", None), (3, "10:00", "submit", None), (3, "10:01", "cancel", None), (3, "10:02", "submit", None), (4, "10:00", "claim", None))
+    got = drain()
+    assert [r[2:] for r in got if r[0] == 1] == [("submit", "queued", 0, True), ("claim", "running", 1, True), ("expire", "queued", 1, True), ("claim", "running", 2, True), ("renew", "running", 2, False), ("renew", "running", 2, True), ("expire", "failed", 2, True), ("claim", "failed", 2, False)]
+    assert [r[2:] for r in got if r[0] == 2] == [("submit", "queued", 0, True), ("claim", "running", 1, True), ("cancel", "cancel_requested", 1, True), ("expire", "cancelled", 1, True), ("complete", "cancelled", 1, False)]
+    assert [r[3] for r in got if r[0] == 3] == ["queued", "cancelled", "queued"] and [r[2:] for r in got if r[0] == 4] == [("claim", "none", 0, False)]
+
+
+def test_a_run_in_parts_equals_one_run(spark, tmp_path):
+    """Events that come in the order of their times give the same transitions in one batch or in many."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(5), f"2024-01-01 {10 + k // 60:02}:{k % 60:02}:00", k, rng.choice(list(L.ALLOWED)), rng.choice([None, 1, 2])) for k in range(240)]
+
+    def run(name, parts):
+        path = str(tmp_path / name)
+        size = -(-len(rows) // parts)
+        for at in range(0, len(rows), size):
+            spark.createDataFrame(rows[at : at + size], EVENTS).withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+            source = S.tail(spark, path, spark.read.parquet(path).schema)
+            log = L.drained(L.transitions(source, 15, 3), f"{name}-{tmp_path.name}")
+        return sorted((r.job, r.seq, r.at, r.event, r.status, r.attempts, r.accepted) for r in log.collect())
+
+    assert run("whole", 1) == run("parts", 3)
+
+
+def test_a_key_is_reserved_again_after_its_span(spark, tmp_path):
+    path, name = str(tmp_path / "jobs"), tmp_path.name
+
+    def send(*rows):
+        spark.createDataFrame(rows, "job long, at string, key string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+        source = S.tail(spark, path, spark.read.parquet(path).schema)
+        return sorted(r.job for r in S.logged(S.reserved(source, ["key"], "at", "1 hour"), f"r-{name}").collect())
+
+    assert send((1, "2024-01-01 10:00:00", "a"), (2, "2024-01-01 10:00:00", "b")) == [1, 2]
+    assert send((3, "2024-01-01 10:30:00", "a")) == [1, 2]  # reuses job 1
+    assert send((4, "2024-01-01 13:00:00", "c")) == [1, 2, 4]  # the watermark passes the span of a and b
+    assert send((5, "2024-01-01 13:30:00", "a")) == [1, 2, 4, 5]
