@@ -88,8 +88,8 @@ def file_kind(content: Column, name: Column) -> Column:
     return F.coalesce(by_head, F.when(kind.isin("txt", "csv", "md", "html", "json"), kind), F.lit("unknown"))
 
 
-def upload_findings(files: DataFrame, most_bytes: int) -> DataFrame:
-    """name, finding, blocking for each file (name, content): empty, too large, NUL bytes in text, extension that the bytes contradict."""
+def upload_findings(files: DataFrame, most_bytes: int, key: str = "name") -> DataFrame:
+    """key, finding, blocking for each file (name, content and the key): empty, too large, NUL bytes in text, extension that the bytes contradict."""
     kind = file_kind(F.col("content"), F.col("name"))
     extension = F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1))
     size = F.octet_length("content")
@@ -102,7 +102,7 @@ def upload_findings(files: DataFrame, most_bytes: int) -> DataFrame:
             F.when(kind == "unknown", F.struct(F.lit("unknown_kind").alias("finding"), F.lit(False).alias("blocking"))),
         )
     )
-    return files.select("name", F.inline(found))
+    return files.select(key, F.inline(found))
 
 
 def evidence_role(claim: Column, kind: Column, primary: Sequence[str], supporting: Sequence[str], against: Sequence[str]) -> Column:
@@ -139,9 +139,9 @@ def folder_status(files: DataFrame, folder: str, name: str, vague: Sequence[str]
 
 def intake(files: DataFrame, id_: str, most_bytes: int) -> DataFrame:
     """id, findings, route of every file (id, name, content): blocked by a blocking finding, review with others, accepted without."""
-    found = upload_findings(files, most_bytes)  # named by the file's name
-    per = found.groupBy("name").agg(F.count("*").alias("findings"), F.bool_or("blocking").alias("blocked"))
-    df = files.select(id_, "name").join(per, "name", "left")
+    found = upload_findings(files, most_bytes, id_)  # several files may have one name
+    per = found.groupBy(id_).agg(F.count("*").alias("findings"), F.bool_or("blocking").alias("blocked"))
+    df = files.select(id_).join(per, id_, "left")
     route = F.when(F.coalesce("blocked", F.lit(False)), "blocked").when(F.col("findings") > 0, "review").otherwise("accepted")
     return df.select(id_, F.coalesce("findings", F.lit(0)).alias("findings"), route.alias("route"))
 

@@ -17,8 +17,8 @@ from folioflow.functions.text import bigrams, keyword_hits, tokens
 K1, B, SQUASH = 1.2, 0.75, 8.0
 #: A candidate below this hybrid score isn't reported.
 ABSTAIN = 0.12
-#: Rank fusion: the constant beside a rank, and how many of the best of each component take part.
-FUSION, DEPTH = 60, 20
+#: Rank fusion: the constant beside a rank.
+FUSION = 60
 #: Rows up to which a side of a join is broadcast; beyond, the planner shuffles both sides.
 BROADCAST_ROWS = 1_000_000
 
@@ -109,14 +109,15 @@ def top(df: DataFrame, by: str, k: int, key: str = "doc_id", tie: str = "item_id
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def fuse(scored: DataFrame, components: Sequence[str], depth: int = DEPTH) -> DataFrame:
-    """Reciprocal rank fusion of the score columns `components` of (doc_id, item_id, ...): rrf, for pairs that are among
-    the `depth` best positive ones of a component: the sum of 1 / (FUSION + rank) over those, by the best possible sum."""
+def fuse(scored: DataFrame, components: Sequence[str], depth: int | None = None) -> DataFrame:
+    """Reciprocal rank fusion of the score columns `components` of (doc_id, item_id, ...): rrf, the sum of 1 / (FUSION + rank)
+    over the components in which a pair is positive, by the best possible sum. With depth only the best so many ranks count."""
     ranked = scored
     for c in components:
         w = Window.partitionBy("doc_id").orderBy(F.desc(c), "item_id")
         ranked = ranked.withColumn(f"__{c}", F.row_number().over(w))
-    part = lambda c: F.when((F.col(c) > 0) & (F.col(f"__{c}") <= depth), 1.0 / (FUSION + F.col(f"__{c}"))).otherwise(0.0)
+    counts = lambda c: (F.col(c) > 0) & (F.lit(True) if depth is None else F.col(f"__{c}") <= depth)
+    part = lambda c: F.when(counts(c), 1.0 / (FUSION + F.col(f"__{c}"))).otherwise(0.0)
     total = sum((part(c) for c in components), F.lit(0.0))
     out = ranked.withColumn("rrf", F.round(F.least(total / (len(components) / (FUSION + 1)), F.lit(1.0)), 6))
     return out.drop(*[f"__{c}" for c in components])
@@ -260,20 +261,18 @@ def intent(text: Column, rules: Sequence[tuple[str, str, float]], item: Column,
     return F.round(F.greatest(F.lit(least), F.least(F.lit(most), total)), 6)
 
 
-def full(scored: DataFrame, bonus_: DataFrame, shortlist: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
+def blended(fused: DataFrame) -> DataFrame:
     """doc_id, item_id, score, rank of every candidate from ABSTAIN on.
 
-    scored has cosine, bm25, semantic; bonus_ (doc_id, item_id, bonus) adds to their blend with the rank fusion,
-    the sum is at most 1; a shortlist (doc_id, item_id, relevance) is blended in. Scores are cut to four places.
+    fused has bm25, cosine, semantic and rrf, whose blend and `bonus` make the local score, at most 1; relevance is
+    what a shortlist says of the pair, it is blended in where the column is there. Nulls count as 0, scores are cut to four places.
     """
-    df = fuse(scored, ["bm25", "cosine", "semantic"], depth).join(bonus_, ["doc_id", "item_id"], "left")
     local = sum((w * whole(c) for c, w in PARTS.items()), F.lit(0)) / 100 + whole("bonus")
     local = F.greatest(F.lit(-1e6), F.least(F.lit(1e6), local))
-    if shortlist is not None:
-        df = df.join(shortlist, ["doc_id", "item_id"], "left")
+    if "relevance" in fused.columns:
         local = (LOCAL * local + SHORTLIST * whole("relevance")) / 100
     score = F.floor(local / 100 + 1e-6) / 10_000.0
-    return top(df.select("doc_id", "item_id", score.alias("score")).where(F.col("score") >= ABSTAIN), "score", 2**31 - 1)
+    return top(fused.select("doc_id", "item_id", score.alias("score")).where(F.col("score") >= ABSTAIN), "score", 2**31 - 1)
 
 
 def accepted(terms: DataFrame, key: str, vocabulary: DataFrame, synonyms: Sequence[Sequence[str]] = (), most: int = 6) -> DataFrame:

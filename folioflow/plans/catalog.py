@@ -257,7 +257,7 @@ def hybrid_top5(spark, t):
 
 @query(f"""with {POSTINGS}, {COSINE}, {BM25},
   p as (select doc_id, item_id, 1.0::double / (60 + n) as part from (select doc_id, item_id, cosine as v, row_number() over (partition by doc_id order by cosine desc, item_id) as n from cosine
-    union all select doc_id, item_id, bm25, row_number() over (partition by doc_id order by bm25 desc, item_id) from bm) where v > 0 and n <= 20)
+    union all select doc_id, item_id, bm25, row_number() over (partition by doc_id order by bm25 desc, item_id) from bm) where v > 0)
   select doc_id, item_id, round(least(sum(part) / (2.0::double / 61), 1.0), 6) as rrf from p group by doc_id, item_id""")
 def rrf_fusion(spark, t):
     return V.fuse(_scored(t), ["cosine", "bm25"]).where("rrf > 0").select("doc_id", "item_id", "rrf")

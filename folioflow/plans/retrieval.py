@@ -11,6 +11,7 @@ from folioflow.operators import relational as R
 from folioflow.operators import retrieval as V
 from folioflow.plans.registry import query
 from folioflow.plans.sql import BM25, COSINE, HYBRID, POSTINGS, TOKENS
+from folioflow.session import written
 
 #: Patterns of documents and of items that belong together or don't, and their points.
 _INTENT = (("that", "that", 0.2), ("with", "from", 0.45), ("dans", "that", -0.3), ("nicht", "the", -0.25))
@@ -39,7 +40,7 @@ def _bonuses(t):
     seen = t("documents").join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
     learned = E.feedback_terms(seen, labels.where("quality = 0"), 4).select(F.sha2("token", 256).alias("term_hash"), "precision")
     terms = V.item_terms(t("benchmark"), _fields(t), learned)
-    found = V.term_bonuses(t("documents"), "doc_id", "text", terms)
+    found = written(V.term_bonuses(t("documents"), "doc_id", "text", terms), "bonuses")
     # A phrase can only be in a document that has all its tokens, so texts meet for those few pairs only.
     near = found.where("every").select("doc_id", "item_id").join(t("benchmark").select("item_id", F.col("text").alias("phrase")), "item_id").join(t("documents").select("doc_id", "text"), "doc_id")
     phrases = near.select("doc_id", "item_id", V.phrase_bonus(F.col("text"), F.col("phrase")).alias("phrase"))
@@ -54,15 +55,16 @@ def _scored(t):
 
 
 def _full(t):
-    scored = _scored(t)
+    """The pairs' scores are made once and carry everything on: ranks, flags of both sides, bonuses, what a shortlist says."""
     flags = lambda name, side: [F.lower(F.coalesce("text", F.lit(""))).rlike(r[side]).alias(f"{name}{i}") for i, r in enumerate(INTENT)]
     # Patterns are matched once a text, then pairs meet flags; texts don't travel with pairs.
-    pairs = scored.select("doc_id", "item_id").join(t("documents").select("doc_id", *flags("q", 0)), "doc_id").join(V.measured(t("benchmark").select("item_id", *flags("i", 1))), "item_id")
+    fused = V.fuse(_scored(t), ["bm25", "cosine", "semantic"])
+    pairs = fused.join(t("documents").select("doc_id", *flags("q", 0)), "doc_id").join(V.measured(t("benchmark").select("item_id", *flags("i", 1))), "item_id")
     points = sum((F.when(F.col(f"q{i}") & F.col(f"i{i}"), r[2]).otherwise(0.0) for i, r in enumerate(INTENT)), F.lit(0.0))
-    bonus = pairs.select("doc_id", "item_id", F.greatest(F.lit(-0.35), F.least(F.lit(0.55), points)).alias("intent")).join(_bonuses(t), ["doc_id", "item_id"], "left")
+    found = pairs.withColumn("intent", F.greatest(F.lit(-0.35), F.least(F.lit(0.55), points))).join(_bonuses(t), ["doc_id", "item_id"], "left")
     total = sum((F.coalesce(c, F.lit(0.0)) for c in ("intent", "fields", "phrase", "feedback")), F.lit(0.0))
-    shortlist = scored.where("item_id % 3 = 0 and doc_id % 2 = 0").select("doc_id", "item_id", F.lit(0.8).alias("relevance"))
-    return V.full(scored, bonus.select("doc_id", "item_id", F.round(total, 6).alias("bonus")), shortlist)
+    listed = F.when(F.expr("item_id % 3 = 0 and doc_id % 2 = 0"), 0.8)
+    return V.blended(found.withColumns({"bonus": F.round(total, 6), "relevance": listed}))
 
 
 _SYN = "case x " + " ".join(f"when '{k}' then [{', '.join(repr(o) for o in v)}]" for k, v in V._synonyms(SYNONYMS).items()) + " else []::varchar[] end"
@@ -92,7 +94,7 @@ _FULL = f"""with {POSTINGS}, {COSINE}, {BM25},
   se as (select doc_id, item_id, round(dot / (nd.n * ni.n), 6) as semantic from sm join nd on nd.id = doc_id join ni on ni.id = item_id),
   sc as (select se.doc_id, se.item_id, coalesce(cosine, 0) as cosine, coalesce(bm25, 0) as bm25, semantic from se left join cosine using (doc_id, item_id) left join bm using (doc_id, item_id)),
   rk as (select *, row_number() over (partition by doc_id order by bm25 desc, item_id) as r1, row_number() over (partition by doc_id order by cosine desc, item_id) as r2, row_number() over (partition by doc_id order by semantic desc, item_id) as r3 from sc),
-  rr as (select *, round(least((case when bm25 > 0 and r1 <= 20 then 1.0::double / (60 + r1) else 0 end + case when cosine > 0 and r2 <= 20 then 1.0::double / (60 + r2) else 0 end + case when semantic > 0 and r3 <= 20 then 1.0::double / (60 + r3) else 0 end) / (3.0::double / 61), 1), 6) as rrf from rk),
+  rr as (select *, round(least((case when bm25 > 0 then 1.0::double / (60 + r1) else 0 end + case when cosine > 0 then 1.0::double / (60 + r2) else 0 end + case when semantic > 0 then 1.0::double / (60 + r3) else 0 end) / (3.0::double / 61), 1), 6) as rrf from rk),
   dt as (select doc_id, unnest(list_distinct({TOKENS})) as token from documents), it as (select item_id, unnest(list_distinct({TOKENS})) as token from benchmark),
   fb as (select doc_id, item_id, round(sum(p), 6) as fields from ({_field_sql()}) group by 1, 2),
   qf as (select doc_id, text, {_flag_sql(0)} from documents), jf as (select item_id, text, {_flag_sql(1)} from benchmark),

@@ -92,3 +92,18 @@ def test_upload_findings(spark):
     df = spark.createDataFrame([("a.pdf", bytearray(b"text")), ("b.txt", bytearray(b"")), ("c.txt", bytearray(b"a\0b"))], "name string, content binary")
     got = {(r.name, r.finding) for r in D.upload_findings(df, 100).collect()}
     assert {("a.pdf", "signature_mismatch"), ("b.txt", "empty"), ("c.txt", "nul_bytes")} <= got
+
+
+def test_intake_judges_each_file_by_its_id(spark):
+    rows = [(1, "a.txt", b""), (2, "a.txt", b"fine"), (3, "b.pdf", b"no pdf"), (None, "a.txt", b"fine")]
+    df = spark.createDataFrame([(i, n, bytearray(c)) for i, n, c in rows], "id long, name string, content binary")
+    assert {r.id: r.route for r in D.intake(df, "id", 100).collect()} == {1: "blocked", 2: "accepted", 3: "blocked", None: "accepted"}
+
+
+def test_fusion_ranks_every_positive_score(spark):
+    rows = [(1, i, 1.0 / (i + 1), 0.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, item_id long, a double, b double")
+    rrf = {r.item_id: r.rrf for r in V.fuse(df, ["a", "b"]).collect()}
+    assert all(abs(rrf[i] - 1 / (61 + i) / (2 / 61)) < 1e-6 for i in range(30))
+    cut = {r.item_id: r.rrf for r in V.fuse(df, ["a", "b"], 20).collect()}
+    assert cut[19] > 0 and cut[20] == 0
