@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import scratch_root, stored, table
@@ -18,6 +18,9 @@ from folioflow.llm.op08_substring import remove_repeats
 from folioflow.llm.op09_simhash import near_duplicates
 from folioflow.session import ship
 
+#: Copies of a row that one step makes.
+COPIES = 1_000
+
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that the quality rules keep, unchanged; null and empty texts go with the short ones, repeated rows stay or go together."""
@@ -68,12 +71,30 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows that agree in doc_id, source and text share one decision. Null sources are a source, null texts have no words."""
+    """Each document as often as the mix takes it. Null sources are a source, null texts have no words.
+
+    Rows that agree in doc_id, source and text are documents of their own to the mix; what it takes of them in all is
+    dealt out over them evenly, so repeats neither gain nor lose.
+    """
     ship(spark)
-    keyed = docs.select(F.xxhash64("doc_id", "source", "text").alias("key"), "source", "text", F.struct("*").alias("row"))
-    taken = mix(keyed.select(F.col("key").alias("doc_id"), "source", "text")).where("copies > 0")
-    copies = taken.groupBy(F.col("doc_id").alias("key")).agg(F.max("copies").cast("int").alias("copies"))
-    return keyed.join(copies, "key").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
+    # Nulls are skipped by the hash, so what is null is hashed beside the values.
+    parts = [x for c in ("doc_id", "source", "text") for x in (F.col(c), F.col(c).isNull())]
+    keyed = docs.select(F.xxhash64(*parts).alias("key"), "source", "text", F.struct("*").alias("row"))
+    taken = mix(keyed.select(F.col("key").alias("doc_id"), "source", "text"))
+    taken = taken.groupBy(F.col("doc_id").alias("key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    taken = stored(taken, "pipeline-taken")
+    # Only rows that occur several times are summed up, equal ones to one row with its count.
+    lone = keyed.join(taken.where("n = 1"), "key").select("row", F.col("copies").cast("long").alias("copies"))
+    several = keyed.join(taken.where("n > 1"), "key").groupBy("key", "row", "copies", "n").agg(F.count("*").alias("own"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    several = several.withColumn("upto", F.sum("own").over(order))
+    share = lambda upto: F.floor(F.col("copies").cast("decimal(20,0)") * upto / F.col("n"))
+    several = several.select("row", (share(F.col("upto")) - share(F.col("upto") - F.col("own"))).cast("long").alias("copies")).where("copies > 0")
+    # Many copies are made in two steps, so no array is long.
+    blocks = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES)))
+    rows = lone.union(several).select("row", "copies", blocks.alias("block"))
+    each = F.explode(F.array_repeat(F.lit(0), F.least(F.lit(COPIES), F.col("copies") - F.col("block") * COPIES).cast("int")))
+    return rows.select("row", each).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
