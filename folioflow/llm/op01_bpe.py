@@ -120,10 +120,13 @@ class Vocabulary:
         met = set().union(*cut)
         if len(self.word) + len(met) > self.remembered:
             self._forget()
-        new = sorted((w for w in met if w not in self.word), key=lambda w: len(w) > SHORT)
+        new = [w for w in met if w not in self.word]
         self.passing = [w for w in new if len(w) > SHORT]
+        if self.passing:
+            new = [w for w in new if len(w) <= SHORT] + self.passing
         pieces = [self.find(w[1:] if w[:1] == _FIRST else f" {w}") for w in new]
-        self.learn(set().union(*pieces))
+        each = set().union(*pieces)
+        self.learn(each)
         ids = [[i for piece in own for i in self.known[piece]] for own in pieces]
         size = np.array([len(i) for i in ids], np.int64)
         self.word.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
@@ -131,8 +134,10 @@ class Vocabulary:
         self.sizes = np.concatenate([self.sizes, size])
         self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
-        for piece in [x for own in pieces for x in own if len(x) > SHORT]:
-            self.known.pop(piece, None)
+        if self.passing:
+            for piece in each:
+                if len(piece) > SHORT:
+                    self.known.pop(piece, None)
 
     def _pass(self) -> None:
         """Forget the longer words of a batch."""

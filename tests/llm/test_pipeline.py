@@ -135,7 +135,27 @@ def test_fourth_stage_mixes_to_targets(stages):
     before, after = stages[1][3]
     times = bag(after)
     assert set(times) <= set(bag(before))
-    check_mix([(r.source, len(WORD(r.text or ""))) for r in before], [times[tuple(r)] // bag(before)[tuple(r)] for r in before])
+    left, given = Counter(times), []
+    for r in before:  # what a row's repeats have in all is dealt out over them
+        most = -(-times[tuple(r)] // bag(before)[tuple(r)])
+        given.append(min(most, left[tuple(r)]))
+        left[tuple(r)] -= given[-1]
+    check_mix([(r.source, len(WORD(r.text or ""))) for r in before], given)
+
+
+def test_mixture_of_repeated_rows_meets_its_target(spark):
+    """Repeats neither gain nor lose, and what is null in one column isn't what is null in another."""
+    rows = [(i % 100, f"{'w ' * 20}{i % 100}", "s", "en" if i % 1000 < 500 else "de") for i in range(5_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    after = corpus_pipeline.mixture(spark, docs, "").collect()
+    assert abs(len(after) - 7_500) <= 5
+    times, before = bag(after), bag(docs.collect())
+    assert set(times) <= set(before) and all(n <= 2 * before[r] for r, n in times.items())
+    odd = [(1, None, "x", "a"), (1, "x", None, "b")] * 40
+    after = corpus_pipeline.mixture(spark, spark.createDataFrame(odd, docs.schema), "").collect()
+    assert set(bag(after)) <= set(bag(odd_rows := spark.createDataFrame(odd, docs.schema).collect())) and len(odd_rows) == 80
+    lone = [(None, "y z", None, None)] * 3_000
+    assert abs(len(corpus_pipeline.mixture(spark, spark.createDataFrame(lone, docs.schema), "").collect()) - 4_500) <= 2
 
 
 def test_last_stage_encodes_every_row(stages):
