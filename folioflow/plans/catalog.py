@@ -12,7 +12,7 @@ from folioflow.operators import evaluation as E
 from folioflow.operators import relational as R
 from folioflow.operators import retrieval as V
 from folioflow.operators import rules as U
-from folioflow.plans import archives, backups, evidence, grading, ledgers, retrieval, rulebook, selection, streams, structure, texts  # noqa: F401  register their queries too
+from folioflow.plans import archives, backups, evidence, explain, grading, ledgers, retrieval, rulebook, selection, streams, structure, texts  # noqa: F401  register their queries too
 from folioflow.plans.registry import oracle_sql, queries, query  # noqa: F401
 from folioflow.plans.sql import BM25, COSINE, HYBRID, POSTINGS, TOKENS
 from folioflow.streaming import events as S
