@@ -53,6 +53,50 @@ def test_the_penalty_keeps_scores_through_swaps_and_spares_neutral_mentions(spar
     assert right(fair) > 0.95 and right(fair) > right(plain)
 
 
+def test_fit_equals_a_plain_statement_with_numeric_gradients(spark):
+    """The loss spelled out term by term: weighted log loss, decay, and the squared change of the logit for every swap."""
+    from collections import Counter
+    from itertools import combinations
+    from math import exp, log, sqrt
+
+    rows, penalty, decay, steps, rate = sentences(4, 16, True), 20.0, 1e-4, 5, 0.05
+    times = Counter()
+    for _, text, _ in rows:
+        for (a, b), n in tox.swaps(text).items():
+            times[min(a, b), max(a, b)] += n
+    for kind in tox.IDENTITY_TERMS:
+        times.update((min(p), max(p)) for p in combinations(kind, 2))
+        times.update((term, "") for term in kind)
+    held = [[f for w in set(tox._WORD(t.lower())) for f in tox.word_features(w)] for _, t, _ in rows]
+    label = [y for *_, y in rows]
+    share, lift = sum(label) / len(label), {}
+    for f in {f for own in held for f in own}:
+        seen, hits = sum(own.count(f) for own in held), sum(own.count(f) for own, y in zip(held, label, strict=True) if y)
+        if seen >= tox.LEAST_SEEN:
+            lift[f] = log((hits + tox.PRIOR * share) / (seen * share + tox.PRIOR * share))
+    names = sorted(f for f, x in lift.items() if x)
+    each = [0.5 / (sum(label) if y else len(label) - sum(label)) for y in label]
+
+    def loss(at):
+        w, b = {f: v * lift[f] for f, v in zip(names, at, strict=False)}, at[-1]
+        of = lambda features: sum(w.get(f, 0.0) for f in features)
+        data = sum(k * (log(1 + exp(-(of(own) + b))) if y else log(1 + exp(of(own) + b))) for own, y, k in zip(held, label, each, strict=True))
+        swapped = sum(n * (of(tox.word_features(b_)) * bool(b_) - of(tox.word_features(a))) ** 2 for (a, b_), n in times.items()) * penalty / sum(times.values())
+        return data + decay / 2 * sum(v * v for v in at[:-1]) + swapped / 2
+
+    at = [0.0] * (len(names) + 1)
+    m, v = [0.0] * len(at), [0.0] * len(at)
+    for step in range(1, steps + 1):
+        nudged = lambda i, e: [x + e * (k == i) for k, x in enumerate(at)]  # noqa: B023, E731
+        g = [(loss(nudged(i, 1e-5)) - loss(nudged(i, -1e-5))) / 2e-5 for i in range(len(at))]
+        m, v = [0.9 * a + 0.1 * x for a, x in zip(m, g, strict=True)], [0.99 * a + 0.01 * x * x for a, x in zip(v, g, strict=True)]
+        at = [x - rate * (a / (1 - 0.9**step)) / (sqrt(c / (1 - 0.99**step)) + 1e-4) for x, a, c in zip(at, m, v, strict=True)]
+    weights, base = tox.fit(spark.createDataFrame(rows, ROWS), penalty, decay, steps, rate)
+    assert len(names) > 20 and base == pytest.approx(at[-1], abs=1e-4)
+    assert [float(weights[f]) for f in names] == pytest.approx([x * lift[f] for f, x in zip(names, at, strict=False)], abs=1e-4)
+    assert np.count_nonzero(weights) <= len(names)
+
+
 ODD = [(1, "trash hate " * 3, "en"), (2, "music garden", None), (2, "another text of that id", "en"), (3, None, "en"), (4, "", "en"), (None, "no id", None), (5, "z " * 20_000, "en"), (1, "trash hate " * 3, "en")]
 LABELS = [(1, 0, 1), (1, 0, 0), (2, 1, 0), (3, 0, 1), (4, None, None), (None, 1, 1), (9, 1, 0), (5, 1, 0)]
 
