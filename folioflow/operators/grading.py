@@ -29,6 +29,7 @@ PROOF = {
     "evaluation": "evaluation_report",
     "improvement": "improvement_record",
 }
+#: What stands against a grade.
 DISQUALIFIERS = ("plan_without_result", "template_only")
 
 
@@ -107,6 +108,7 @@ def assess(mappings: DataFrame, key: str, rules: Sequence[Rule] | None = None) -
     rows = []
     for rule in rules or fallback_rules():
         before = BEFORE[rule.grade]
+        # The labels before and after the colons are fixed values.
         lacks = [
             F.transform(F.array_except(F.sort_array(strings(rule.stages)), own["stages"]), lambda s: F.concat(F.lit("stage:"), s)),
             F.transform(F.array_except(F.sort_array(strings([PROOF[s] for s in rule.stages])), own["sources"]), lambda s: F.concat(F.lit("source_type:"), s)),
@@ -145,6 +147,7 @@ def grade_rank(grade: Column) -> Column:
 def six_flags(df: DataFrame, status: Column, coverage: Column, sources: Column, approval: Column, grade: Column, ceiling: Column, periods: Column, organizations: Column) -> DataFrame:
     """Adds findings and verified: six flags, each of which must hold; null fails a flag."""
     rank, most = grade_rank(grade), grade_rank(ceiling)
+    # The flags' names are fixed values.
     within = (approval == "approved") & (rank >= 0) & (most >= 0) & (rank <= most)
     fine = {
         "mapping_status": status == "candidate",

@@ -225,6 +225,7 @@ def compute_routing(spark, t):
     )
     off = 1 - c("quality")
     parts = lambda *own: {str(i): p for i, p in enumerate(own)}
+    # The weights and thresholds as above.
     fact = G.routed(
         x, parts((0.25, F.lit(0.5)), (0.15, c("lines") / 40), (0.2, c("marks")), (0.25, c("digits")), (0.1, c("n_chars") / 6000.0)), parts((0.35, off), (0.25, c("toxic")), (0.2, c("marks")), (0.2, c("digits"))),
         c("n_chars") > 400, 0.3, {"coverage_failed": c("n_chars") < 50, "local_only": c("toxic") == 1}, c("digits") >= 0.25,
