@@ -38,7 +38,8 @@ def citations(mappings: DataFrame, facts: DataFrame, sources: DataFrame, id_: st
     facts has fact_id, claim; sources fact_id, ordinal, quote. Lists are cut before they are gathered, so a row holds
     MOST_CITED x MOST_SOURCES quotes at most.
     """
-    asked = mappings.select(id_, F.posexplode("supporting").alias("pos", "fact_id")).join(facts.select("fact_id", "claim"), "fact_id")
+    # Lists are small as a file and many rows when exploded, so the planner's size of them says nothing: no side is broadcast.
+    asked = mappings.select(id_, F.posexplode("supporting").alias("pos", "fact_id")).hint("merge").join(facts.select("fact_id", "claim"), "fact_id")
     cited = asked.withColumn("__n", F.row_number().over(Window.partitionBy(id_).orderBy("pos"))).where(F.col("__n") <= MOST_CITED)
     first = sources.withColumn("__n", F.row_number().over(Window.partitionBy("fact_id").orderBy("ordinal"))).where(F.col("__n") <= MOST_SOURCES)
     quotes = first.groupBy("fact_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "quote"))), lambda x: x["quote"]).alias("quotes"))

@@ -1,4 +1,4 @@
-"""Assessment over rules as a table: requirements are divided by evidence, prerequisites followed through their graph, and only what changed is judged again."""
+"""Assessment over rules as a table: requirements are met by a mapping's evidence, prerequisites followed through their graph, and only what changed is judged again."""
 
 from __future__ import annotations
 
@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.operators import grading as G
+from folioflow.operators.retrieval import measured
 from folioflow.operators.rules import period_allowed
 
 GRADES = tuple(G.REQUIRED)
 _NONE = "array<string>"
+#: Mappings that one task judges.
+MAPPINGS = 20_000
 #: Labels of what a grade lacks; fixed values, their order is that of the result.
 LACKS = ("stage", "source_type", "prerequisite_grade", "period", "organization", "disqualifier")
 
@@ -68,17 +71,21 @@ def with_needs(rules: DataFrame, key: str) -> DataFrame:
     return rules.join(placed, [key, "grade"])
 
 
-def lacking(mappings: DataFrame, evidence: DataFrame, rules: DataFrame, id_: str, key: str) -> DataFrame:
-    """id, grade, lacks: requirements of the rules of a mapping's parameter that no evidence (id, kind, name) of it meets, as sorted labels.
+def with_shown(mappings: DataFrame, evidence: DataFrame, id_: str) -> DataFrame:
+    """mappings with shown, the different (kind, name) of each one's evidence; dealt by id in parts of MAPPINGS rows.
 
-    Division of rules x requirements by mappings x evidence: what an anti join leaves is missing.
+    A table of evidence is small as a file and large as rows, so no side is left to the planner's guess: both are sorted and merged.
     """
-    one = lambda kind, names: F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
-    asked = rules.select(key, "grade", F.explode(F.concat(one(LACKS[0], "required_stages"), one(LACKS[1], "required_sources"))).alias("r")).select(key, "grade", "r.kind", "r.name")
-    wanted = mappings.select(id_, key).join(asked, key).select(id_, "grade", "kind", "name")
-    left = wanted.join(evidence.select(id_, "kind", "name"), [id_, "kind", "name"], "left_anti")
-    place = F.struct((F.col("kind") != LACKS[0]).alias("later"), F.concat_ws(":", "kind", "name").alias("label"))
-    return left.groupBy(id_, "grade").agg(F.transform(F.sort_array(F.collect_list(place)), lambda x: x["label"]).alias("lacks"))
+    parts = max(1, -(-mappings.count() // MAPPINGS))
+    own = evidence.select(id_, "kind", "name").dropna().repartition(parts, id_).groupBy(id_).agg(F.collect_set(F.struct("kind", "name")).alias("shown"))
+    return mappings.repartition(parts, id_).join(own.hint("merge"), id_, "left")
+
+
+def lacks(shown: Column) -> Column:
+    """Requirements of a rule's row that aren't among shown, as sorted labels: stages, then sources."""
+    one = lambda kind, names: F.transform(F.sort_array(names), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    asked = F.concat(*[one(k, F.coalesce(F.col(c), _empty())) for k, c in zip(LACKS, ("required_stages", "required_sources"), strict=False)])
+    return F.transform(F.filter(asked, lambda x: ~F.array_contains(shown, x)), lambda x: F.concat_ws(":", x["kind"], x["name"]))
 
 
 def assessed(mappings: DataFrame, evidence: DataFrame, rules: DataFrame, id_: str, key: str) -> DataFrame:
@@ -89,11 +96,12 @@ def assessed(mappings: DataFrame, evidence: DataFrame, rules: DataFrame, id_: st
     it needs lacks nothing.
     """
     periods, organizations, flags = (F.coalesce(F.col(c), _empty()) for c in ("periods", "organizations", "disqualifiers"))
-    joined = mappings.join(rules, key).join(lacking(mappings, evidence, rules, id_, key), [id_, "grade"], "left")
+    joined = with_shown(mappings, evidence, id_).join(measured(rules), key)
+    shown = F.coalesce("shown", F.array().cast("array<struct<kind:string,name:string>>"))
     single = lambda name, own: F.when(F.size(own) != 1, G.strings([f"{name}:required_single"])).otherwise(_empty())
     late = F.when(~period_allowed(F.col("effective_year"), periods), G.strings(["period:before_effective_date"])).otherwise(_empty())
     blocked = F.transform(F.array_intersect(F.sort_array(G.strings(G.DISQUALIFIERS)), flags), lambda x: F.concat(F.lit("disqualifier:"), x))
-    df = joined.select(id_, key, "grade", "prerequisite", "needs", "approval_status", F.coalesce("lacks", _empty()).alias("before"), F.concat(single("period", periods), single("organization", organizations), late, blocked).alias("after"))
+    df = joined.select(id_, key, "grade", "prerequisite", "needs", "approval_status", lacks(shown).alias("before"), F.concat(single("period", periods), single("organization", organizations), late, blocked).alias("after"))
     # The grades of one mapping stand side by side; they are as many as its parameter has rules.
     w = Window.partitionBy(id_)
     df = df.withColumn("met", F.collect_set(F.when((F.size("before") == 0) & (F.size("after") == 0), F.col("grade"))).over(w))

@@ -101,3 +101,19 @@ def test_only_what_changed_is_judged_again(spark, world):
     columns = whole.columns
     active = fresh.select(*columns).union(kept.where("is_active").select(*columns))
     assert sorted(map(str, active.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_evidence_and_lists_of_facts_are_never_broadcast(spark):
+    """Both are a few bytes a mapping as files and many rows as a table, so a broadcast chosen by the file's size would fill the driver."""
+    from folioflow.operators import explain as X
+
+    table = B.with_needs(spark.createDataFrame([rule("a", "E", ["policy"], sources=["policy_document"])], RULES), "p")
+    df = written(spark.range(100).selectExpr("id", "'a' as p", "array('2021') as periods", "array('x') as organizations", "cast(array() as array<string>) as disqualifiers"), "own")
+    evidence = written(spark.range(50).selectExpr("id", "array(named_struct('kind', 'stage', 'name', 'policy'), named_struct('kind', 'source_type', 'name', 'policy_document'), named_struct('kind', 'stage', 'name', null)) as e"), "shown").selectExpr("id", "inline(e)")
+    judged = B.assessed(df, evidence, table, "id", "p")
+    assert "BroadcastHashJoin [id" not in judged._jdf.queryExecution().executedPlan().toString()
+    assert {(r.passed, tuple(r.missing)): r.n for r in judged.groupBy("passed", "missing").agg(F.count("*").alias("n")).collect()} == {(True, ()): 50, (False, ("stage:policy", "source_type:policy_document")): 50}
+    lists = written(spark.range(100).selectExpr("id", "transform(sequence(0, 14), i -> concat_ws(':', id, i)) as supporting"), "lists")
+    facts = written(spark.range(100).selectExpr("concat_ws(':', id, '3') as fact_id", "'c' as claim"), "facts")
+    cited = X.citations(lists, facts, spark.createDataFrame([], "fact_id string, ordinal int, quote string"), "id")
+    assert "BroadcastHashJoin [fact_id" not in cited._jdf.queryExecution().executedPlan().toString() and cited.count() == 100
