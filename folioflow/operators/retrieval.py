@@ -7,12 +7,13 @@ lexical scores come of one join and one aggregation, dealt by document once.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import bigrams, keyword_hits, tokens
+from folioflow.functions.text import STOP_WORDS, bigrams, keyword_hits, tokens
 
 K1, B, SQUASH = 1.2, 0.75, 8.0
 #: A candidate below this hybrid score isn't reported.
@@ -21,6 +22,8 @@ ABSTAIN = 0.12
 FUSION = 60
 #: Rows up to which a side of a join is broadcast; beyond, the planner shuffles both sides.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of text that one task holds.
+PART_BYTES = 4_000_000
 
 
 def measured(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -34,6 +37,23 @@ def postings(df: DataFrame, id_: str, text: str, words: Column | None = None) ->
     return df.select(F.col(id_).alias("id"), F.explode(own).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
 
 
+def token_set(runs: Column) -> Column:
+    """The distinct tokens among runs of ASCII letters and digits, as `tokens` has them."""
+    return F.array_except(runs, F.array(*[F.lit(x) for x in (*STOP_WORDS, *string.ascii_lowercase, *string.digits)]))
+
+
+def dealt(documents: DataFrame, id_: str, text: str) -> DataFrame:
+    """doc_id, runs: each document's lower-case runs of two ASCII letters and digits or more, with repeats; rows of one id together.
+
+    Documents are dealt by id once, whole, into parts of about PART_BYTES, so what a task holds doesn't grow with the
+    table. All that is grouped by document keeps to that.
+    """
+    size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    runs = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    rows = documents.select(F.col(id_).alias("doc_id"), runs.alias("runs")).repartition(max(1, -(-size // PART_BYTES)), "doc_id")
+    return rows.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
 def statistics(catalog: DataFrame) -> DataFrame:
     """token, df, n, avgdl over the catalog's postings."""
     total = catalog.agg(F.countDistinct("id").alias("n"), F.sum("tf").alias("length")).select("n", (F.col("length") / F.col("n")).alias("avgdl"))
@@ -41,34 +61,33 @@ def statistics(catalog: DataFrame) -> DataFrame:
 
 
 def weights(catalog: DataFrame) -> DataFrame:
-    """item_id, token, w2 (squared idf), bm (the token's part of BM25), cn (the item's norm) for the catalog's postings (id, token, tf)."""
+    """item_id, token, w2 (squared idf), bm (the token's part of BM25), cn (the item's norm), n_item (its tokens) for the catalog's postings (id, token, tf)."""
     stats = statistics(catalog)
     idf = F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1
     bm_idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     item = Window.partitionBy("id")  # an item's tokens
     norm = F.col("tf") + K1 * (1 - B + B * F.sum("tf").over(item) / F.col("avgdl"))
     df = catalog.join(stats, "token").withColumn("w2", F.pow(idf, 2)).withColumn("bm", bm_idf * F.col("tf") * (K1 + 1) / norm)
-    return df.select(F.col("id").alias("item_id"), "token", "w2", "bm", F.sqrt(F.sum("w2").over(item)).alias("cn"))
+    return df.select(F.col("id").alias("item_id"), "token", "w2", "bm", F.sqrt(F.sum("w2").over(item)).alias("cn"), F.count("*").over(item).alias("n_item"))
 
 
 def lexical(documents: DataFrame, id_: str, text: str, catalog: DataFrame) -> DataFrame:
-    """doc_id, item_id, cosine, bm25 for every pair with a common token; catalog has postings (id, token, tf).
+    """doc_id, item_id, cosine, bm25, share for every pair with a common token; catalog has postings (id, token, tf).
 
     cosine is over sets of tokens weighted by idf = ln((n + 1) / (df + 1)) + 1; document tokens outside
     the catalog don't count. bm25 takes the document as a query, its counts capped at 2, and is squashed
-    to 1 - exp(-score / SQUASH). Occurrences are dealt by document once; counting them, the join's sums
-    and the norms keep to that.
+    to 1 - exp(-score / SQUASH). share is that of `overlap`. Documents are dealt once; counts, norms and sums keep to that.
     """
     known = measured(weights(catalog))
+    # The catalog's vocabulary leaves out stop words already.
     words = measured(known.select("token", "w2").distinct())
-    # The catalog's vocabulary leaves out short and stop words already.
-    runs = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    found = documents.select(F.col(id_).alias("doc_id"), F.explode(runs).alias("token")).join(words, "token")
-    own = found.repartition("doc_id").groupBy("doc_id", "token", "w2").agg(F.least(F.count("*"), F.lit(2)).alias("qtf"))
-    norms = own.groupBy("doc_id").agg(F.sqrt(F.sum("w2")).alias("dn"))
-    sums = own.join(known.drop("w2"), "token").groupBy("doc_id", "item_id").agg(F.sum("w2").alias("dot"), F.sum(F.col("bm") * F.col("qtf")).alias("s"), F.first("cn").alias("cn"))
-    both = sums.join(norms, "doc_id")
-    return both.select("doc_id", "item_id", F.round(F.col("dot") / (F.col("dn") * F.col("cn")), 6).alias("cosine"), F.round(1 - F.exp(-F.col("s") / SQUASH), 6).alias("bm25"))
+    found = dealt(documents.dropna(subset=[id_]), id_, text).select("doc_id", F.size(token_set(F.col("runs"))).alias("n_own"), F.explode("runs").alias("token")).join(words, "token")
+    own = found.groupBy("doc_id", "token", "w2").agg(F.least(F.count("*"), F.lit(2)).alias("qtf"), F.first("n_own").alias("n_own"))
+    own = own.withColumn("dn", F.sqrt(F.sum("w2").over(Window.partitionBy("doc_id"))))
+    first = [F.first(c).alias(c) for c in ("dn", "cn", "n_own", "n_item")]
+    both = own.join(known.drop("w2"), "token").groupBy("doc_id", "item_id").agg(F.sum("w2").alias("dot"), F.sum(F.col("bm") * F.col("qtf")).alias("s"), F.count("*").alias("n"), *first)
+    share = F.round(F.col("n") / F.least("n_own", "n_item"), 6).alias("share")
+    return both.select("doc_id", "item_id", F.round(F.col("dot") / (F.col("dn") * F.col("cn")), 6).alias("cosine"), F.round(1 - F.exp(-F.col("s") / SQUASH), 6).alias("bm25"), share)
 
 
 def semantic_vectors(df: DataFrame, id_: str, text: str, groups: Sequence[Sequence[str]] = ()) -> DataFrame:
@@ -97,10 +116,14 @@ def whole(c: str | Column) -> Column:
     return F.round(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0)) * 1e6).cast("long")
 
 
-def hybrid(scored: DataFrame) -> DataFrame:
-    """doc_id, item_id, score = 0.45 cosine + 0.55 bm25 cut to four places, from ABSTAIN on."""
-    score = F.floor((45 * whole("cosine") + 55 * whole("bm25")) / 10_000) / 10_000.0
-    return scored.select("doc_id", "item_id", score.alias("score")).where(F.col("score") >= ABSTAIN)
+def hybrid_score() -> Column:
+    """0.45 cosine + 0.55 bm25 cut to four places."""
+    return F.floor((45 * whole("cosine") + 55 * whole("bm25")) / 10_000) / 10_000.0
+
+
+def hybrid(scored: DataFrame, *more: str) -> DataFrame:
+    """doc_id, item_id, score = 0.45 cosine + 0.55 bm25 cut to four places, from ABSTAIN on; more names further columns to keep."""
+    return scored.select("doc_id", "item_id", hybrid_score().alias("score"), *more).where(F.col("score") >= ABSTAIN)
 
 
 def top(df: DataFrame, by: str, k: int, key: str = "doc_id", tie: str = "item_id") -> DataFrame:
@@ -142,20 +165,20 @@ def diverse(ranked: DataFrame, k: int, group: str, share: float = 0.2, most: int
     folded = F.aggregate(
         F.col("c").cast(kind),
         start,
-        lambda a, x: F.struct(F.when(fits(a, x), add(a["take"], x)).otherwise(a["take"]).alias("take"), F.when(fits(a, x), a["skip"]).otherwise(add(a["skip"], x)).alias("skip")),
+        # At most k skipped ones are ever asked for.
+        lambda a, x: F.when(fits(a, x), F.struct(add(a["take"], x).alias("take"), a["skip"].alias("skip"))).when(F.size(a["skip"]) < k, F.struct(a["take"].alias("take"), add(a["skip"], x).alias("skip"))).otherwise(a),
     )
     chosen = rows.select("doc_id", "c", folded.alias("f"))
     chosen = chosen.select("doc_id", F.when(F.size("c") <= k, F.col("c").cast(kind)).otherwise(F.slice(F.concat("f.take", "f.skip"), 1, k)).alias("c"))
     return chosen.select("doc_id", F.posexplode("c").alias("place", "x")).select("doc_id", (F.col("place") + 1).alias("place"), F.col("x.item_id").alias("item_id"))
 
 
-def overlap(documents: DataFrame, catalog: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_common, share of the smaller token set, for pairs with a common token."""
-    size = lambda p, name: p.groupBy("id").agg(F.count("*").alias(name))
-    both = documents.select(F.col("id").alias("doc_id"), "token").join(catalog.select(F.col("id").alias("item_id"), "token"), "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_common"))
-    a, b = size(documents, "__a").withColumnRenamed("id", "doc_id"), size(catalog, "__b").withColumnRenamed("id", "item_id")
-    share = F.round(F.col("n_common") / F.least("__a", "__b"), 6)
-    return both.join(a, "doc_id").join(b, "item_id").select("doc_id", "item_id", "n_common", share.alias("share"))
+def overlap(documents: DataFrame, id_: str, text: str, catalog: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_common, share of the smaller token set, for pairs with a common token; catalog has postings (id, token)."""
+    items = measured(catalog.select(F.col("id").alias("item_id"), "token", F.count("*").over(Window.partitionBy("id")).alias("n_item")))
+    own = dealt(documents.dropna(subset=[id_]), id_, text).select("doc_id", token_set(F.col("runs")).alias("t")).select("doc_id", F.size("t").alias("n_own"), F.explode("t").alias("token"))
+    both = own.join(items, "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_common"), F.first("n_own").alias("n_own"), F.first("n_item").alias("n_item"))
+    return both.select("doc_id", "item_id", "n_common", F.round(F.col("n_common") / F.least("n_own", "n_item"), 6).alias("share"))
 
 
 def bonus(n: Column, each: float, most: float) -> Column:
@@ -171,7 +194,7 @@ def phrase_bonus(text: Column, phrase: Column, least: int = 12, points: float =
 
 def feedback_bonus(terms: DataFrame, learned: DataFrame, most: float = 0.18) -> DataFrame:
     """doc_id, bonus for documents whose terms (doc_id, token) are among the learned (term_hash, precision): hashes only are compared."""
-    hits = terms.select("doc_id", F.sha2("token", 256).alias("term_hash")).distinct().join(learned, "term_hash")
+    hits = terms.select("doc_id", F.sha2("token", 256).alias("term_hash")).join(measured(learned), "term_hash").distinct()
     return hits.groupBy("doc_id").agg(F.round(F.least(F.lit(most), F.sum(0.08 + F.col("precision") * 0.06)), 6).alias("bonus"))
 
 

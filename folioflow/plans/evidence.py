@@ -11,6 +11,7 @@ from folioflow.operators import relational as R
 from folioflow.operators import retrieval as V
 from folioflow.operators import rules as U
 from folioflow.plans.registry import query
+from folioflow.session import written
 
 #: Keywords of the corpus's languages, in place of a domain's lexicon.
 STAGES = {"policy": "the", "shared": "and", "done": "tion", "evaluated": "ing", "improved": "able"}
@@ -177,7 +178,7 @@ def synonym_terms(spark, t):
 
 
 def _overlap(t):
-    return V.overlap(V.postings(t("documents"), "doc_id", "text"), V.postings(t("benchmark"), "item_id", "text"))
+    return V.overlap(t("documents"), "doc_id", "text", V.postings(t("benchmark"), "item_id", "text"))
 
 
 @query(f"""with {_POST_SQL} select doc_id, item_id, n_common, round(n_common / cast(least(a, b) as double), 6) as share, round(least(0.18::double, n_common * 0.035::double), 6) as bonus
@@ -199,10 +200,10 @@ def phrase_points(spark, t):
   s as (select token, round(count(*) filter (where quality = 0) / cast(count(*) as double), 6) as p from k group by token having count(*) filter (where quality = 0) >= 2), g as (select token, p from s where p >= 0.8)
   select doc_id, round(least(0.18::double, sum(0.08::double + p * 0.06::double)), 6) as bonus from (select distinct doc_id, unnest({_TOKEN_SQL.format("text")}) as token from documents) join g using (token) group by doc_id""")
 def feedback_points(spark, t):
-    terms = t("documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
-    seen = terms.join(t("labels").select("doc_id"), "doc_id", "left_semi")
+    terms = V.dealt(t("documents"), "doc_id", "text").select("doc_id", V.token_set(F.col("runs")).alias("t"))
+    seen = terms.join(V.measured(t("labels").select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.explode("t").alias("token"))
     learned = E.feedback_terms(seen, t("labels").where("quality = 0")).select(F.sha2("token", 256).alias("term_hash"), "precision")
-    return V.feedback_bonus(terms, learned)
+    return V.feedback_bonus(terms.select("doc_id", F.explode("t").alias("token")), written(learned, "learned"))
 
 
 def _hits_sql(words, text="text"):
