@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.operators.relational import ratio
@@ -10,17 +10,29 @@ from folioflow.operators.relational import ratio
 
 def candidate_sets(left: DataFrame, right: DataFrame, key: str, item: str) -> DataFrame:
     """key, n_left, n_right, n_both, jaccard, coverage (share of left that right has)."""
-    a = left.select(key, item).distinct().withColumn("__a", F.lit(1))
-    b = right.select(key, item).distinct().withColumn("__b", F.lit(1))
-    df = a.join(b, [key, item], "full").groupBy(key).agg(F.count("__a").alias("n_left"), F.count("__b").alias("n_right"), F.count(F.col("__a") + F.col("__b")).alias("n_both"), F.count("*").alias("__all"))
+    a = left.select(key, item).distinct().withColumn("__a", F.lit(True))
+    b = right.select(key, item).distinct().withColumn("__b", F.lit(True))
+    return compared(a.join(b, [key, item], "full"), key, F.col("__a"), F.col("__b"))
+
+
+def compared(marked: DataFrame, key: str, left: Column, right: Column) -> DataFrame:
+    """As `candidate_sets`, over rows (key, and each item once) that say whether an item is in either set (null counts as no)."""
+    n = lambda c: F.count(F.when(c, 1))
+    df = marked.where(F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))).groupBy(key).agg(n(left).alias("n_left"), n(right).alias("n_right"), n(left & right).alias("n_both"), F.count("*").alias("__all"))
     return df.withColumns({"jaccard": ratio(F.col("n_both"), F.col("__all")), "coverage": ratio(F.col("n_both"), F.col("n_left"))}).drop("__all")
 
 
 def retrieval_metrics(ranked: DataFrame, expected: DataFrame, key: str, item: str, k: int) -> DataFrame:
     """One row: cases, recall@k and precision@k over the cases of `expected` (key, item); ranked has rank."""
-    hits = ranked.where(F.col("rank") <= k).select(key, item).distinct().withColumn("__hit", F.lit(1))
-    shown = hits.groupBy(key).agg(F.count("*").alias("__shown"))
-    per = expected.select(key, item).distinct().join(hits, [key, item], "left").groupBy(key).agg(F.count("*").alias("__want"), F.count("__hit").alias("__got")).join(shown, key, "left")
+    hits = ranked.where(F.col("rank") <= k).select(key, item).distinct().withColumn("__hit", F.lit(True))
+    marked = expected.select(key, item).distinct().withColumn("__want", F.lit(True)).join(hits, [key, item], "full")
+    return measures(marked, key, F.col("__hit"), F.col("__want"))
+
+
+def measures(marked: DataFrame, key: str, hit: Column, wanted: Column) -> DataFrame:
+    """As `retrieval_metrics`, over rows (key, and each item once) that say whether an item is shown and whether it is expected (null counts as no)."""
+    n = lambda c: F.count(F.when(c, 1))
+    per = marked.groupBy(key).agg(n(wanted).alias("__want"), n(wanted & hit).alias("__got"), n(hit).alias("__shown")).where("__want > 0")
     found = F.sum((F.col("__got") > 0).cast("long"))
     return per.agg(F.count("*").alias("cases"), ratio(found, F.count("*")).alias("recall"), ratio(F.sum("__got"), F.coalesce(F.sum("__shown"), F.lit(0))).alias("precision"))
 
