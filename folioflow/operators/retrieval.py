@@ -81,7 +81,9 @@ def lexical(documents: DataFrame, id_: str, text: str, catalog: DataFrame) -> Da
     known = measured(weights(catalog))
     # The catalog's vocabulary leaves out stop words already.
     words = measured(known.select("token", "w2").distinct())
-    found = dealt(documents.dropna(subset=[id_]), id_, text).select("doc_id", F.size(token_set(F.col("runs"))).alias("n_own"), F.explode("runs").alias("token")).join(words, "token")
+    # The size is taken before the rows are exploded, else it is taken once a token.
+    rows = dealt(documents.dropna(subset=[id_]), id_, text).select("doc_id", "runs", F.size(token_set(F.col("runs"))).alias("n_own"))
+    found = rows.select("doc_id", "n_own", F.explode("runs").alias("token")).join(words, "token")
     own = found.groupBy("doc_id", "token", "w2").agg(F.least(F.count("*"), F.lit(2)).alias("qtf"), F.first("n_own").alias("n_own"))
     own = own.withColumn("dn", F.sqrt(F.sum("w2").over(Window.partitionBy("doc_id"))))
     first = [F.first(c).alias(c) for c in ("dn", "cn", "n_own", "n_item")]
@@ -176,7 +178,7 @@ def diverse(ranked: DataFrame, k: int, group: str, share: float = 0.2, most: int
 def overlap(documents: DataFrame, id_: str, text: str, catalog: DataFrame) -> DataFrame:
     """doc_id, item_id, n_common, share of the smaller token set, for pairs with a common token; catalog has postings (id, token)."""
     items = measured(catalog.select(F.col("id").alias("item_id"), "token", F.count("*").over(Window.partitionBy("id")).alias("n_item")))
-    own = dealt(documents.dropna(subset=[id_]), id_, text).select("doc_id", token_set(F.col("runs")).alias("t")).select("doc_id", F.size("t").alias("n_own"), F.explode("t").alias("token"))
+    own = dealt(documents.dropna(subset=[id_]), id_, text).select("doc_id", token_set(F.col("runs")).alias("t")).select("doc_id", "t", F.size("t").alias("n_own")).select("doc_id", "n_own", F.explode("t").alias("token"))
     both = own.join(items, "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_common"), F.first("n_own").alias("n_own"), F.first("n_item").alias("n_item"))
     return both.select("doc_id", "item_id", "n_common", F.round(F.col("n_common") / F.least("n_own", "n_item"), 6).alias("share"))
 
