@@ -1,8 +1,8 @@
 """Lexical retrieval of catalog entries for documents: IDF cosine, BM25, sparse semantic vectors, rank fusion.
 
 Documents meet the catalog on tokens, so no pair without a common token is ever made. Statistics come
-from the catalog only, so a document's other tokens are dropped before anything is shuffled. Both
-lexical scores come of one join and one aggregation, dealt by document once.
+from the catalog only. Documents are dealt by id once, in parts of bounded size, and both lexical
+scores come of one join and one aggregation there.
 """
 
 from __future__ import annotations
