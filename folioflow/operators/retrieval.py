@@ -46,12 +46,13 @@ def dealt(documents: DataFrame, id_: str, text: str) -> DataFrame:
     """doc_id, runs: each document's lower-case runs of two ASCII letters and digits or more, with repeats; rows of one id together.
 
     Documents are dealt by id once, whole, into parts of about PART_BYTES, so what a task holds doesn't grow with the
-    table. All that is grouped by document keeps to that.
+    table. All that is grouped by document keeps to that. The texts themselves are sent, since their runs take three times
+    the memory of the task that deals them; texts of one id are joined by line ends, which no run crosses.
     """
     size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    runs = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
-    rows = documents.select(F.col(id_).alias("doc_id"), runs.alias("runs")).repartition(max(1, -(-size // PART_BYTES)), "doc_id")
-    return rows.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    rows = documents.select(F.col(id_).alias("doc_id"), F.col(text).alias("text")).repartition(max(1, -(-size // PART_BYTES)), "doc_id")
+    texts = rows.groupBy("doc_id").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+    return texts.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{2,}"), F.lit(0)).alias("runs"))
 
 
 def statistics(catalog: DataFrame) -> DataFrame:
@@ -153,12 +154,16 @@ def diverse(ranked: DataFrame, k: int, group: str, share: float = 0.2, most: int
 
     Of a value of wider at most twice the share (2..2 * most) is taken. k candidates or fewer stay in order.
 
-    A fold over the ordered candidates of one document; candidates are bounded by the catalog's size.
+    A fold over the ordered candidates of one document. Only those are gathered that it can choose: of one group and value of
+    wider it takes the first cap at most, and of the 2 k best at least k are skipped, more than are ever asked for.
     """
     cap = max(1, min(most, -(-int(share * k * 1000) // 1000)))
     wide = max(2, min(2 * most, -(-int(2 * share * k * 1000) // 1000))) if wider else k
-    item = F.struct(F.col("rank").alias("rank"), F.col("item_id").alias("item_id"), F.col(group).cast("string").alias("g"), (F.col(wider) if wider else F.lit(None)).cast("string").alias("w"))
-    rows = ranked.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("c"))
+    named = ranked.select("doc_id", "rank", "item_id", F.col(group).cast("string").alias("g"), (F.col(wider) if wider else F.lit(None)).cast("string").alias("w"))
+    alike = F.row_number().over(Window.partitionBy("doc_id", "g", "w").orderBy("rank", "item_id"))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("rank", "item_id"))
+    few = named.withColumns({"__m": first, "__n": alike}).where((F.col("__n") <= min(cap, wide)) | (F.col("__m") <= 2 * k))
+    rows = few.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id", "g", "w"))).alias("c"))
     kind = "array<struct<rank:int,item_id:bigint,g:string,w:string>>"
     start = F.struct(F.array().cast(kind).alias("take"), F.array().cast(kind).alias("skip"))
     held = lambda a, x, of: F.size(F.filter(a["take"], lambda t: t[of].eqNullSafe(x[of])))

@@ -66,3 +66,39 @@ def test_marks_say_what_joined_sets_say(spark):
     a, b = df.where("a"), df.where("b").withColumn("rank", F.lit(1))
     assert found(E.compared(df, "k", F.col("a"), F.col("b"))) == found(E.candidate_sets(a, b, "k", "i"))
     assert found(E.measures(df, "k", F.col("b"), F.col("a"))) == found(E.retrieval_metrics(b, a, "k", "i", 1))
+
+
+def greedy(own, k, cap, wide):
+    """The choice of one document's (rank, item, group, wider), one candidate at a time."""
+    if len(own) <= k:
+        return [i for _, i, _, _ in own]
+    take, skip = [], []
+    for x in own:
+        fits = len(take) < k and sum(y[2] == x[2] for y in take) < cap and sum(y[3] == x[3] for y in take) < wide
+        (take if fits else skip).append(x)
+    return [i for _, i, _, _ in (take + skip)[:k]]
+
+
+def test_diverse_gathers_few_candidates_and_chooses_as_before(spark):
+    import random
+
+    rng, k, cap, wide = random.Random(5), 6, 2, 3
+    own = {d: [(3 * r + 1, 1000 - r, rng.choice(["a", "b", "c", "d", None]), rng.choice(["x", "y", None])) for r in range(n)] for d, n in enumerate((1, 6, 7, 12, 40, 90, 200))}
+    own[7] = [(r, r, "a", "x") for r in range(1, 100)] + [(r, r, "b", "y") for r in range(100, 103)]
+    df = spark.createDataFrame([(d, *x) for d, rows in own.items() for x in rows], "doc_id long, rank int, item_id long, kind string, wider string")
+    picked = V.diverse(df, k, "kind", share=0.25, wider="wider")
+    got = {}
+    for r in picked.orderBy("doc_id", "place").collect():
+        got.setdefault(r.doc_id, []).append(r.item_id)
+    assert got == {d: greedy(rows, k, cap, wide) for d, rows in own.items()}
+    # Choices need not all candidates of a document in one row.
+    gathered = plan(picked)
+    assert "row_number" in gathered and gathered.index("collect_list") < gathered.index("row_number")
+
+
+def test_texts_are_dealt_not_their_runs(spark):
+    """A task that deals holds what it sends; runs are three times their text."""
+    text = plan(V.dealt(documents(spark, 50), "doc_id", "text"))
+    assert "regexp_extract_all" not in text[text.index("REPARTITION_BY_NUM") :]
+    got = {r.doc_id: r.runs for r in V.dealt(spark.createDataFrame([(1, "ab"), (1, "cd x"), (2, None), (1, None)], "doc_id long, text string"), "doc_id", "text").collect()}
+    assert sorted(got[1]) == ["ab", "cd"] and got[2] == []
