@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,10 @@ LEASED, FINAL = ("running", "cancel_requested"), ("completed", "cancelled", "fai
 #: What each event asks of a job's state, and the state that it leads to.
 ALLOWED = {"submit": ("none", *FINAL), "claim": ("queued",), "renew": LEASED, "cancel": ("queued", "running"), "complete": LEASED}
 TRANSITIONS = "job long, seq int, at timestamp, event string, status string, attempts int, accepted boolean, lease_until timestamp"
+#: The same with times as milliseconds, as the tasks give them.
+_ROWS = TRANSITIONS.replace("timestamp", "long")
+#: The time of an event that has none: before all others, so it is refused.
+_NO_TIME = -9_223_372_036_855
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -69,40 +74,49 @@ class Leases(StatefulProcessor):
         self.state = handle.getValueState("job", "status string, attempts int, until long, at long, seq int")
 
     def _load(self) -> Job:
-        return Job(*self.state.get()) if self.state.exists() else Job()
+        held = self.state.get()  # null for a new job
+        return Job(*held) if held is not None else Job()
 
-    def _save(self, job: Job) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _due(self, job: Job) -> int | None:
+        return job.until + 1 if job.until is not None else job.at + self.keep if job.status in FINAL else None
+
+    def _save(self, was: Job, job: Job) -> None:
+        """Each call is a message to the state store, so timers aren't listed: a job has the one that its stored state asks for."""
         self.state.update(tuple(job))
-        due = job.until + 1 if job.until is not None else job.at + self.keep if job.status in FINAL else None
-        if due is not None:
+        old, due = self._due(was), self._due(job)
+        if old is not None and old != due:
+            self.handle.deleteTimer(old)
+        if due is not None and old != due:
             self.handle.registerTimer(due)
 
     def _rows(self, key: int, found: list[tuple[Job, int, str, bool]]) -> pd.DataFrame:
-        time = lambda ms: None if ms is None else pd.Timestamp(ms, unit="ms")
-        rows = [(key, job.seq, time(at), event, job.status, job.attempts, accepted, time(job.until)) for job, at, event, accepted in found]
-        df = pd.DataFrame(rows, columns=["job", "seq", "at", "event", "status", "attempts", "accepted", "lease_until"])
-        return df.astype({"job": "int64", "seq": "int32", "attempts": "int32", "at": "datetime64[ns]", "lease_until": "datetime64[ns]"})
+        jobs, at, event, accepted = zip(*found, strict=True)
+        return pd.DataFrame({
+            "job": np.full(len(jobs), key), "seq": [x.seq for x in jobs], "at": at, "event": event, "status": [x.status for x in jobs],
+            "attempts": [x.attempts for x in jobs], "accepted": accepted, "lease_until": np.array([x.until for x in jobs], dtype=object),
+        })
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        job, found = self._load(), []
-        for at, event, attempt in zip((batch["at"].astype("datetime64[ns]").astype("int64") // 1_000_000).tolist(), batch["event"], batch["attempt"], strict=True):
+        held = list(rows)
+        batch = held[0] if len(held) == 1 else pd.concat(held)
+        order = np.lexsort((batch["event_id"].to_numpy(), batch["ms"].to_numpy()))
+        was, found = self._load(), []
+        job = was
+        for at, event, attempt in zip(*[batch[c].to_numpy()[order].tolist() for c in ("ms", "event", "attempt")], strict=True):
             ended = expired(job, at, self.most_attempts)
             if ended:
                 found.append((ended, job.until, "expire", True))
                 job = ended
-            job, accepted = advanced(job, event, at, None if pd.isna(attempt) else int(attempt), self.lease)
+            job, accepted = advanced(job, event, at, None if attempt is None or attempt != attempt else int(attempt), self.lease)
             found.append((job, at, event, accepted))
-        self._save(job)
+        self._save(was, job)
         yield self._rows(key[0], found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         job = self._load()
         ended = expired(job, expiredTimerInfo.getExpiryTimeInMs(), self.most_attempts)
         if ended:
-            self._save(ended)
+            self._save(job, ended)
             yield self._rows(key[0], [(ended, job.until, "expire", True)])
         elif job.status in FINAL:
             self.state.clear()
@@ -117,9 +131,11 @@ def transitions(events: DataFrame, minutes: int, most_attempts: int, late: str =
     Events more than `late` older than the newest that an earlier batch saw are dropped. Events of one job in one
     batch are held together to sort them.
     """
-    own = events.select("job", F.col("at").cast("timestamp").alias("at"), "event_id", "event", F.col("attempt").cast("int").alias("attempt"))
+    at = F.col("at").cast("timestamp")
+    own = events.select("job", at.alias("at"), F.coalesce(F.unix_millis(at), F.lit(_NO_TIME)).alias("ms"), "event_id", "event", F.col("attempt").cast("int").alias("attempt"))
     machine = Leases(minutes * 60_000, most_attempts, keep_days * 86_400_000)
-    return own.withWatermark("at", late).groupBy("job").transformWithStateInPandas(statefulProcessor=machine, outputStructType=TRANSITIONS, outputMode="Append", timeMode="EventTime")
+    found = own.withWatermark("at", late).groupBy("job").transformWithStateInPandas(statefulProcessor=machine, outputStructType=_ROWS, outputMode="Append", timeMode="EventTime")
+    return found.withColumns({c: F.timestamp_millis(c) for c in ("at", "lease_until")})
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:

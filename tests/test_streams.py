@@ -156,3 +156,57 @@ def test_a_key_is_reserved_again_after_its_span(spark, tmp_path):
     assert send((3, "2024-01-01 10:30:00", "a")) == [1, 2]  # reuses job 1
     assert send((4, "2024-01-01 13:00:00", "c")) == [1, 2, 4]  # the watermark passes the span of a and b
     assert send((5, "2024-01-01 13:30:00", "a")) == [1, 2, 4, 5]
+
+
+class Store:
+    """A job's state and timers, and the messages that they took."""
+
+    def __init__(self):
+        self.held, self.timers, self.calls = None, set(), []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.held is not None
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    def clear(self):
+        self.held = None
+
+    def listTimers(self):  # noqa: N802
+        self.calls.append("list")
+        return iter(list(self.timers))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls.append("delete")
+        self.timers.discard(at)
+
+
+def test_a_batch_of_a_job_takes_few_messages_and_leaves_one_timer():
+    import pandas as pd
+
+    store, machine = Store(), L.Leases(60_000, 2, 600_000)
+    machine.init(store)
+    give = lambda *rows: pd.concat(machine.handleInputRows((7,), iter([pd.DataFrame([(pd.Timestamp(ms, unit="ms"), ms, i, e, None) for i, (ms, e) in enumerate(rows)], columns=["at", "ms", "event_id", "event", "attempt"])]), None))
+    assert give((2_000, "claim"), (1_000, "submit"))["accepted"].tolist() == [True, True]
+    assert store.calls == ["get", "update", "register"] and store.timers == {62_001}
+    store.calls.clear()
+    give((3_000, "renew"))
+    assert store.timers == {63_001} and len(store.calls) == 4 and "list" not in store.calls
+    give((4_000, "complete"))
+    assert store.timers == {604_000}
+    give((5_000, "submit"))
+    assert store.timers == set()
