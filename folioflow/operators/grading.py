@@ -48,6 +48,17 @@ def lexicon_hits(df: DataFrame, id_: str, text: str, lexicon: DataFrame) -> Data
     return df.select(id_).distinct().join(found, id_, "left").select(id_, F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
 
 
+def with_kinds(df: DataFrame, words: str, lexicon: DataFrame) -> DataFrame:
+    """df with kinds, the sorted kinds of the lexicon (term, kind) of which a row's array of words holds a term.
+
+    The lexicon is sent to every row as one map, so nothing is shuffled and no rows are gathered; one that doesn't fit a row is for `lexicon_hits`.
+    """
+    terms = lexicon.select("term", "kind").dropna().groupBy("term").agg(F.collect_set("kind").alias("kinds"))
+    one = terms.agg(F.map_from_entries(F.collect_list(F.struct("term", "kinds"))).alias("__lexicon"))
+    held = F.transform(F.array_intersect(words, F.map_keys("__lexicon")), lambda x: F.element_at("__lexicon", x))
+    return df.crossJoin(F.broadcast(one)).withColumn("kinds", F.sort_array(F.array_distinct(F.flatten(held)))).drop("__lexicon")
+
+
 @dataclass(frozen=True)
 class Rule:
     """What a grade asks for."""

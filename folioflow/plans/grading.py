@@ -96,13 +96,13 @@ _MAPPINGS = f"""m0 as (select doc_id, lang, text, {_WORDS} as w from documents),
 
 
 def _mappings(spark, t):
-    docs = t("documents")
-    words = G.word_set(F.col("text"))
-    has = lambda own: F.arrays_overlap(words, G.strings(own))
+    # Each row is made of itself alone; its words are taken once.
+    docs = t("documents").select("doc_id", "lang", F.length(F.trim(F.coalesce("text", F.lit("")))).alias("size"), G.word_set(F.col("text")).alias("w"))
+    has = lambda own: F.arrays_overlap("w", G.strings(own))
     periods = F.when(F.col("doc_id") % 7 == 0, G.strings(["2021", "2023"])).when(F.col("doc_id") % 11 == 0, G.strings([])).otherwise(F.array((F.lit(2020) + F.col("doc_id") % 4).cast("string")))
-    flags = F.array_compact(F.array(F.when(has(PLAN) & ~has(RESULT), F.lit("plan_without_result")), F.when(F.length(F.trim(F.coalesce("text", F.lit("")))) < 20, F.lit("template_only"))))
-    df = docs.select("doc_id", periods.alias("periods"), F.when(F.col("lang").isNull(), G.strings([])).otherwise(F.array("lang")).alias("organizations"), flags.alias("disqualifiers"))
-    df = df.join(G.lexicon_hits(docs, "doc_id", "text", _terms(spark)).withColumnRenamed("kinds", "stages"), "doc_id")
+    flags = F.array_compact(F.array(F.when(has(PLAN) & ~has(RESULT), F.lit("plan_without_result")), F.when(F.col("size") < 20, F.lit("template_only"))))
+    df = G.with_kinds(docs, "w", _terms(spark))
+    df = df.select("doc_id", periods.alias("periods"), F.when(F.col("lang").isNull(), G.strings([])).otherwise(F.array("lang")).alias("organizations"), flags.alias("disqualifiers"), F.col("kinds").alias("stages"))
     return df.withColumn("sources", F.transform("stages", lambda s: F.coalesce(*[F.when(s == k, F.lit(v)) for k, v in G.PROOF.items()])))
 
 

@@ -117,3 +117,14 @@ def test_evidence_and_lists_of_facts_are_never_broadcast(spark):
     facts = written(spark.range(100).selectExpr("concat_ws(':', id, '3') as fact_id", "'c' as claim"), "facts")
     cited = X.citations(lists, facts, spark.createDataFrame([], "fact_id string, ordinal int, quote string"), "id")
     assert "BroadcastHashJoin [fact_id" not in cited._jdf.queryExecution().executedPlan().toString() and cited.count() == 100
+
+
+def test_mappings_are_made_of_their_own_rows(spark):
+    from folioflow.plans import grading as P
+    from folioflow.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    df = P._mappings(spark, t)
+    assert "Exchange hashpartitioning(doc_id" not in df._jdf.queryExecution().executedPlan().toString()
+    hits = G.lexicon_hits(t("documents"), "doc_id", "text", P._terms(spark))
+    assert sorted(map(str, df.select("doc_id", F.col("stages").alias("kinds")).collect())) == sorted(map(str, hits.collect()))
