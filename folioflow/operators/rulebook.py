@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioflow.operators import grading as G
 from folioflow.operators.retrieval import measured
 from folioflow.operators.rules import period_allowed
+from folioflow.session import written
 
 GRADES = tuple(G.REQUIRED)
 _NONE = "array<string>"
@@ -71,14 +72,19 @@ def with_needs(rules: DataFrame, key: str) -> DataFrame:
     return rules.join(placed, [key, "grade"])
 
 
-def with_shown(mappings: DataFrame, evidence: DataFrame, id_: str) -> DataFrame:
-    """mappings with shown, the different (kind, name) of each one's evidence; dealt by id in parts of MAPPINGS rows.
+def parts(*tables: DataFrame) -> int:
+    """Parts in which the rows of the largest table are MAPPINGS each."""
+    return max(1, *[-(-df.count() // MAPPINGS) for df in tables])
+
+
+def with_shown(mappings: DataFrame, evidence: DataFrame, id_: str, n: int | None = None) -> DataFrame:
+    """mappings with shown, the different (kind, name) of each one's evidence; dealt by id in n parts, by default of MAPPINGS rows.
 
     A table of evidence is small as a file and large as rows, so no side is left to the planner's guess: both are sorted and merged.
     """
-    parts = max(1, -(-mappings.count() // MAPPINGS))
-    own = evidence.select(id_, "kind", "name").dropna().repartition(parts, id_).groupBy(id_).agg(F.collect_set(F.struct("kind", "name")).alias("shown"))
-    return mappings.repartition(parts, id_).join(own.hint("merge"), id_, "left")
+    n = n or parts(mappings)
+    own = evidence.select(id_, "kind", "name").dropna().repartition(n, id_).groupBy(id_).agg(F.collect_set(F.struct("kind", "name")).alias("shown"))
+    return mappings.repartition(n, id_).join(own.hint("merge"), id_, "left")
 
 
 def lacks(shown: Column) -> Column:
@@ -95,8 +101,13 @@ def assessed(mappings: DataFrame, evidence: DataFrame, rules: DataFrame, id_: st
     says which stages and types of source a mapping's facts show, rules is as with_needs gives it. A grade passes if all that
     it needs lacks nothing.
     """
+    return judged(with_shown(mappings, evidence, id_), rules, id_, key)
+
+
+def judged(mappings: DataFrame, rules: DataFrame, id_: str, key: str) -> DataFrame:
+    """As `assessed`, for mappings that have shown and are dealt by id already."""
     periods, organizations, flags = (F.coalesce(F.col(c), _empty()) for c in ("periods", "organizations", "disqualifiers"))
-    joined = with_shown(mappings, evidence, id_).join(measured(rules), key)
+    joined = mappings.join(measured(rules), key)
     shown = F.coalesce("shown", F.array().cast("array<struct<kind:string,name:string>>"))
     single = lambda name, own: F.when(F.size(own) != 1, G.strings([f"{name}:required_single"])).otherwise(_empty())
     late = F.when(~period_allowed(F.col("effective_year"), periods), G.strings(["period:before_effective_date"])).otherwise(_empty())
@@ -111,7 +122,7 @@ def assessed(mappings: DataFrame, evidence: DataFrame, rules: DataFrame, id_: st
     return df.select(id_, key, "grade", F.concat("before", F.coalesce(first, _empty()), "after").alias("missing"), "passed", "approval_status")
 
 
-def outcomes(judged: DataFrame, rules: DataFrame, id_: str, key: str) -> DataFrame:
+def outcomes(found: DataFrame, rules: DataFrame, id_: str, key: str) -> DataFrame:
     """id, grade (the highest passed one), next_missing (of the first grade that lacks something), approval_status and primary_allowed.
 
     A parameter is approved if it has compiled rules and all of them are; its grade may stand alone only then.
@@ -121,36 +132,40 @@ def outcomes(judged: DataFrame, rules: DataFrame, id_: str, key: str) -> DataFra
     approved = rules.groupBy(key).agg((F.coalesce(F.bool_or(compiled), F.lit(False)) & F.coalesce(F.bool_and(F.when(compiled, F.col("approval_status") == "approved")), F.lit(False))).alias("__approved"))
     best = F.max(F.when(F.col("passed"), F.struct(order.alias("n"), F.col("grade").alias("grade"))))
     first = F.min(F.when(F.size("missing") > 0, F.struct(order.alias("n"), F.col("missing").alias("missing"))))
-    df = judged.groupBy(id_, key).agg(best.alias("best"), first.alias("first")).join(approved, key)
+    df = found.groupBy(id_, key).agg(best.alias("best"), first.alias("first")).join(measured(approved), key)
     status = F.when(F.col("__approved"), "approved").otherwise("draft")
     return df.select(id_, key, F.col("best.grade").alias("grade"), F.coalesce("first.missing", _empty()).alias("next_missing"), status.alias("approval_status"), (F.col("__approved") & F.col("best").isNotNull()).alias("primary_allowed"))
 
 
-def basis(mappings: DataFrame, evidence: DataFrame, rules: DataFrame, id_: str, key: str) -> DataFrame:
-    """id, basis: a digest of all that a mapping's outcome depends on, its own values, its evidence and its parameter's rules with their approval."""
-    ruled = rules.groupBy(key).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("grade", F.coalesce("checksum", F.lit("")).alias("c"), "approval_status")))), 256).alias("rules"))
-    shown = evidence.groupBy(id_).agg(F.sort_array(F.collect_set(F.concat_ws(":", "kind", "name"))).alias("shown"))
-    parts = [F.sort_array(F.coalesce(F.col(c), _empty())).alias(c) for c in ("periods", "organizations", "disqualifiers")]
-    df = mappings.join(ruled, key).join(shown, id_, "left")
-    return df.select(id_, F.sha2(F.to_json(F.struct(F.col(key).cast("string").alias("k"), "rules", F.coalesce("shown", _empty()).alias("shown"), *parts)), 256).alias("basis"))
+def basis(mappings: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """mappings (with shown) with basis: a digest of all that a mapping's outcome depends on, its own values, its evidence and its parameter's rules with their approval; null where the parameter has no rules."""
+    ruled = rules.groupBy(key).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("grade", F.coalesce("checksum", F.lit("")).alias("c"), "approval_status")))), 256).alias("__rules"))
+    labels = F.transform(F.coalesce("shown", F.array().cast("array<struct<kind:string,name:string>>")), lambda x: F.concat_ws(":", x["kind"], x["name"]))
+    own = [F.sort_array(F.coalesce(F.col(c), _empty())).alias(c) for c in ("periods", "organizations", "disqualifiers")]
+    digest = F.sha2(F.to_json(F.struct(F.col(key).cast("string").alias("k"), F.col("__rules").alias("rules"), F.sort_array(F.array_distinct(labels)).alias("shown"), *own)), 256)
+    return mappings.join(measured(ruled), key, "left").withColumn("basis", F.when(F.col("__rules").isNotNull(), digest)).drop("__rules")
 
 
 def reverified(stored: DataFrame, mappings: DataFrame, evidence: DataFrame, rules: DataFrame, id_: str, key: str) -> tuple[DataFrame, DataFrame]:
     """The new versions (id, version, outcome columns, basis), and the stored ones with is_active, after a change of facts, rules or approvals.
 
-    Only mappings whose basis differs from that of their newest stored version are judged again: their ids reduce
-    mappings and evidence before any division. A stored version stays active while it is the newest and its mapping lasts.
+    Only mappings whose basis differs from that of their newest stored version are judged again. A stored version stays
+    active while it is the newest and its mapping lasts. All tables are dealt by id in parts of about MAPPINGS rows, so
+    what a task holds doesn't grow with them; what each mapping is compared by is made and stored once.
     """
-    newest = stored.groupBy(id_).agg(F.max_by(F.struct("version", "basis"), "version").alias("last")).select(id_, "last.*")
-    now = basis(mappings, evidence, rules, id_, key)
-    compared = now.join(newest.withColumnRenamed("basis", "was"), id_, "left")
-    changed = compared.where(~F.col("basis").eqNullSafe(F.col("was"))).select(id_, "basis", (F.coalesce("version", F.lit(0)) + 1).cast("int").alias("version"))
-    own = mappings.join(changed.select(id_), id_, "left_semi")
-    facts = evidence.join(changed.select(id_), id_, "left_semi")
-    fresh = outcomes(assessed(own, facts, rules, id_, key), rules, id_, key).join(changed, id_)
-    gone = stored.join(newest.select(id_, F.col("version").alias("last")), id_).join(changed.select(id_, F.lit(True).alias("again")), id_, "left").join(mappings.select(id_, F.lit(True).alias("lasts")), id_, "left")
-    active = (F.col("version") == F.col("last")) & F.col("again").isNull() & F.col("lasts").isNotNull()
-    return fresh, gone.withColumn("is_active", active).drop("last", "again", "lasts")
+    n = parts(mappings, stored)
+    held = stored.repartition(n, id_)
+    newest = held.groupBy(id_).agg(F.max_by(F.struct("version", "basis"), "version").alias("last")).select(id_, F.col("last.version").alias("version"), F.col("last.basis").alias("was"))
+    compared = basis(with_shown(mappings, evidence, id_, n), rules, key).join(newest.hint("merge"), id_, "left")
+    again = F.col("basis").isNotNull() & ~F.col("basis").eqNullSafe(F.col("was"))
+    state = written(compared.withColumns({"again": again, "version": (F.coalesce("version", F.lit(0)) + 1).cast("int")}).drop("was"), "compared")
+    changed = state.where("again").repartition(n, id_)
+    fresh = outcomes(judged(changed.drop("basis", "version", "again"), rules, id_, key), rules, id_, key).join(changed.select(id_, "basis", "version").hint("merge"), id_)
+    lasting = state.select(id_, "again").repartition(n, id_).groupBy(id_).agg(F.bool_or("again").alias("again"))
+    versions = held.where(F.col(id_).isNotNull()).withColumn("last", F.max("version").over(Window.partitionBy(id_)))
+    active = (F.col("version") == F.col("last")) & F.coalesce(~F.col("again"), F.lit(False))
+    kept = versions.join(lasting.hint("merge"), id_, "left").withColumn("is_active", active).drop("last", "again")
+    return fresh, kept
 
 
 def select_versions(fresh: DataFrame, kept: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -119,6 +119,22 @@ def test_evidence_and_lists_of_facts_are_never_broadcast(spark):
     assert "BroadcastHashJoin [fact_id" not in cited._jdf.queryExecution().executedPlan().toString() and cited.count() == 100
 
 
+def test_all_tables_of_a_reverification_are_dealt_by_count(spark, world, monkeypatch):
+    """An exchange that the planner sizes by bytes puts all mappings, which are short, into one task."""
+    mappings, _, _, df, evidence, table = world
+    monkeypatch.setattr(B, "MAPPINGS", 100)
+    none = spark.createDataFrame([], "id long, p string, grade string, next_missing array<string>, approval_status string, primary_allowed boolean, basis string, version int")
+    first = written(B.reverified(none, df, evidence, table, "id", "p")[0], "first")
+    fresh, kept = B.reverified(first, df.where("id <> 1"), evidence.where("id <> 5"), table, "id", "p")
+    for x in (fresh, kept):
+        lines = [y for y in x._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(id#" in y]
+        assert lines and all("REPARTITION_BY_NUM" in y and f", {-(-len(mappings) // 100)})" in y for y in lines)
+        assert x.rdd.getNumPartitions() == -(-len(mappings) // 100)
+    had = {5} if evidence.where("id = 5").count() else set()
+    assert {(r.id, r.version) for r in fresh.collect()} == {(i, 2) for i in had}
+    assert {r.id for r in kept.where("is_active").collect()} == {m[0] for m in mappings} - had - {1}
+
+
 def test_mappings_are_made_of_their_own_rows(spark):
     from folioflow.plans import grading as P
     from folioflow.plans.registry import Tables
