@@ -38,7 +38,7 @@ def _written(spark, t) -> DataFrame:
     pages = t("pages").select("page_id", "url", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), F.floor(F.col("page_id") / SHARE).alias("share"))
     folder = f"{scratch(spark)}/folioflow-{spark.sparkContext.applicationId}/archives-{uuid.uuid4().hex}"
     units.register(spark)
-    pages.groupBy("share").applyInPandas(_archives, "name string, content binary").write.format("folioflow_files").mode("append").save(folder)
+    units.saved(pages.groupBy("share").applyInPandas(_archives, "name string, content binary"), folder)
     return spark.read.format("folioflow_units").load(folder)
 
 

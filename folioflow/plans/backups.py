@@ -36,6 +36,10 @@ def backup_restore(spark, t):
     return told.union(whole).groupBy("state").agg(F.count("*").alias("n"), F.sum("o_orderkey").cast("long").alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+#: Files that a folder of the audited ones holds, on average.
+SHARE = 1_000
+
+
 def _judged(rows):
     """Lines and characters of each content, through the readers of units."""
     found = files.file_units(rows.withColumnRenamed("sha256", "path"))
@@ -48,13 +52,14 @@ def _judged(rows):
 def corpus_audit(spark, t):
     """A file for each page; the second run opens the tenth of them that was written again, and judges new contents only."""
     folder = f"{scratch(spark)}/folioflow-{spark.sparkContext.applicationId}/audit-{uuid.uuid4().hex}"
-    units.register(spark)
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
-    named = t("pages").select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".txt")).alias("name"), host.cast("binary").alias("content"), F.upper(host).cast("binary").alias("changed"))
+    pages = t("pages")
+    below = F.pmod(F.xxhash64("page_id"), F.lit(-(-pages.count() // SHARE) or 1)).cast("string")
+    named = pages.select("page_id", F.concat(below, F.lit("/"), F.col("page_id").cast("string"), F.lit(".txt")).alias("name"), host.cast("binary").alias("content"), F.upper(host).cast("binary").alias("changed"))
     manifest, results = spark.createDataFrame([], A.MANIFEST), spark.createDataFrame([], "sha256 string, version string, units long, characters long")
     out = None
     for run, rows in ((1, named.select("name", "content")), (2, named.where("page_id % 10 = 3").select("name", F.col("changed").alias("content")))):
-        rows.write.format("folioflow_files").mode("append").save(folder)
+        units.saved(rows, folder)
         manifest, results, seen = A.audited(A.listing(spark, folder), manifest, results, "v1", _judged)
         whole = A.corpus(manifest, results, "v1").agg(F.count("*").alias("files"), F.coalesce(F.sum("characters"), F.lit(0)).alias("characters"))
         row = whole.join(results.agg(F.count("*").alias("contents"))).select(F.lit(run).alias("run"), F.lit(seen.get["opened"]).alias("opened"), "files", "contents", "characters")  # one row each

@@ -2,8 +2,9 @@
 
     spark.read.format("folioflow_units").load(folder)       # rows of files.UNITS
     df.write.format("folioflow_files").save(folder)         # one file a row of (name, content)
+    saved(df, folder)                                       # the same for any number of files
 
-`register(spark)` makes both known. Folders may be plain paths or URIs of any store that pyarrow.fs opens.
+`register(spark)` makes source and sink known. Folders may be plain paths or URIs of any store that pyarrow.fs opens.
 Partitions are planned by file size: small files share one, and a large PDF is read in shares of its pages
 by several. Filters on kind and path are pushed down; a file of another kind is known by its first bytes, and not read on.
 """
@@ -17,14 +18,18 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from folioflow.session import written
 from folioflow.sources import files
 
 #: Bytes of files in a partition, by default, and bytes of a PDF from which its pages are shared out.
 PARTITION_BYTES = 64 << 20
+#: Files that one task moves.
+MOVES = 2_000
 #: First bytes of a file that tell its kind.
 HEAD = 64 << 10
 
@@ -121,13 +126,78 @@ class UnitsSource(DataSource):
         return UnitsReader(schema, self.options)
 
 
+def staged(batches: Iterator[pa.RecordBatch], folder: str, staging: str) -> Iterator[tuple[str, str]]:
+    """Write rows (name, content) below a folder of this attempt in `staging`; where each file is held, and its name."""
+    system, base = opened(folder)
+    attempt, n = posixpath.join(base, staging, uuid.uuid4().hex), 0
+    for batch in batches:
+        for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            steps = (name or "").split("/")
+            if not name or name.startswith("/") or any(s in ("", ".", "..") for s in steps):
+                raise ValueError(f"{name!r} is no name of a file below a folder")
+            if not n:
+                system.create_dir(attempt, recursive=True)
+            held = posixpath.join(attempt, str(n))
+            with system.open_output_stream(held) as f:
+                f.write(content or b"")
+            yield held, name
+            n += 1
+
+
+def moved(system: fs.FileSystem, base: str, held: str, name: str, made: set[str]) -> None:
+    """Move a staged file to its name; `made` has the folders that are there. A file that an earlier attempt has moved stays."""
+    target = posixpath.join(base, name)
+    if (above := posixpath.dirname(target)) not in made:
+        system.create_dir(above, recursive=True)
+        made.add(above)
+    try:
+        system.move(held, target)
+    except OSError:
+        there = [x.type == fs.FileType.File for x in system.get_file_info([held, target])]
+        if there != [False, True]:
+            raise
+
+
+def saved(df: DataFrame, folder: str) -> int:
+    """Write one file a row of (name, content) below a folder, as the sink does in mode append; the number of files.
+
+    The sink's names all pass the driver, which moves the files. Here tasks stage them and hand their names to a table,
+    which is searched for names that several rows have, and then tasks move the files, MOVES each.
+    """
+    staging, spark = f"_temporary-{uuid.uuid4().hex}", df.sparkSession
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("held", pa.string()), ("name", pa.string())])
+        yield from files.batched(staged(batches, folder, staging), schema)
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (system, base), made, n = opened(folder), set(), 0
+        for batch in batches:
+            for held, name in zip(batch.column("held").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                moved(system, base, held, name, made)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    system, base = opened(folder)
+    system.create_dir(base, recursive=True)
+    try:
+        names = written(df.select("name", "content").mapInArrow(stage, "held string, name string"), "staged-files")
+        if names.groupBy("name").count().where("count > 1").limit(1).count():
+            raise ValueError("several rows have one name")
+        parts = max(1, -(-names.count() // MOVES))
+        return names.repartition(parts, "name").mapInArrow(move, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    finally:
+        if system.get_file_info(posixpath.join(base, staging)).type == fs.FileType.Directory:
+            system.delete_dir(posixpath.join(base, staging))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     names: list[tuple[str, str]]
 
 
 class FilesWriter(DataSourceArrowWriter):
-    """Each task writes below a folder of its attempt; the files move to their names when all tasks are done."""
+    """Each task writes below a folder of its attempt; the files move to their names when all tasks are done. The driver has all their names, `saved` does without."""
 
     def __init__(self, options, overwrite: bool):
         self._folder, self._overwrite, self._job = options["path"], overwrite, uuid.uuid4().hex
@@ -136,22 +206,11 @@ class FilesWriter(DataSourceArrowWriter):
         return posixpath.join(base, f"_temporary-{self._job}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        system, base = opened(self._folder)
-        attempt, names = posixpath.join(self._staging(base), uuid.uuid4().hex), []
-        system.create_dir(attempt, recursive=True)
-        for batch in iterator:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                steps = (name or "").split("/")
-                if not name or name.startswith("/") or any(s in ("", ".", "..") for s in steps):
-                    raise ValueError(f"{name!r} is no name of a file below a folder")
-                held = posixpath.join(attempt, str(len(names)))
-                with system.open_output_stream(held) as f:
-                    f.write(content or b"")
-                names.append((held, name))
-        return Written(names)
+        return Written(list(staged(iterator, self._folder, f"_temporary-{self._job}")))
 
     def commit(self, messages: list[Written | None]) -> None:
         system, base = opened(self._folder)
+        system.create_dir(base, recursive=True)
         listed = [x for m in messages if m is not None for x in m.names]
         targets = [name for _, name in listed]
         if len(set(targets)) < len(targets):
@@ -162,10 +221,9 @@ class FilesWriter(DataSourceArrowWriter):
             for x in system.get_file_info(fs.FileSelector(base)):
                 if x.base_name != staged:
                     (system.delete_dir if x.type == fs.FileType.Directory else system.delete_file)(x.path)
+        made: set[str] = set()
         for held, name in listed:
-            target = posixpath.join(base, name)
-            system.create_dir(posixpath.dirname(target), recursive=True)
-            system.move(held, target)
+            moved(system, base, held, name, made)
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
