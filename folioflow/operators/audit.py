@@ -97,9 +97,10 @@ def audited(files: DataFrame, manifest: DataFrame, results: DataFrame, version:
     read = contents(fresh).observe(seen, F.count("*").alias("opened"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("bytes"))
     digests = written(read.select(*key, F.sha2("content", 256).alias("sha256")), "audit-digests")
     now = written(known.select(*key, "sha256").union(digests), "audit-manifest")
-    missing = now.join(results.where(F.col("version") == version).select("sha256").distinct(), "sha256", "left_anti")
-    one = missing.groupBy("sha256").agg(F.min(F.struct("path", "length")).alias("f")).select("f.path", "f.length", "sha256")
-    ran = engine(contents(dealt(one)).select("sha256", "content")).withColumn("version", F.lit(version))
+    # Files of one content are brought together before rows are dealt by content, so a frequent one is no larger than others.
+    one = now.groupBy("sha256").agg(F.min(F.struct("path", "length")).alias("f")).select("f.path", "f.length", "sha256")
+    missing = one.join(results.where(F.col("version") == version).select("sha256").distinct(), "sha256", "left_anti")
+    ran = engine(contents(dealt(missing)).select("sha256", "content")).withColumn("version", F.lit(version))
     return now, results.unionByName(written(ran.select(*results.columns), "audit-results")), seen
 
 
