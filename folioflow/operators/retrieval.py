@@ -26,9 +26,14 @@ BROADCAST_ROWS = 1_000_000
 PART_BYTES = 4_000_000
 
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has `rows` rows at most."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def measured(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for a broadcast only if it has `rows` rows at most, which is counted first."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if fits(df, rows) else df
 
 
 def postings(df: DataFrame, id_: str, text: str, words: Column | None = None) -> DataFrame:
@@ -55,6 +60,17 @@ def dealt(documents: DataFrame, id_: str, text: str) -> DataFrame:
     return texts.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{2,}"), F.lit(0)).alias("runs"))
 
 
+def gathered(documents: DataFrame, id_: str, text: str) -> DataFrame:
+    """doc_id, texts: documents dealt by id once, whole, into parts of about PART_BYTES; the texts of one id together, a null as an empty one.
+
+    What a task holds doesn't grow with the table, and all that is grouped by document keeps to that. Several parts of a
+    plan that begin with the same gathered documents share one exchange, as long as all need the same columns.
+    """
+    size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rows = documents.where(F.col(id_).isNotNull()).select(F.col(id_).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.repartition(max(1, -(-size // PART_BYTES)), "doc_id").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+
+
 def statistics(catalog: DataFrame) -> DataFrame:
     """token, df, n, avgdl over the catalog's postings."""
     total = catalog.agg(F.countDistinct("id").alias("n"), F.sum("tf").alias("length")).select("n", (F.col("length") / F.col("n")).alias("avgdl"))
@@ -222,28 +238,17 @@ def topic(text: Column, topics: Mapping[str, Sequence[str]]) -> Column:
     return F.when(best["n"] > 0, best["name"])
 
 
-def semantic(documents: DataFrame, id_: str, text: str, catalog: DataFrame, catalog_id: str, catalog_text: str, groups: Sequence[Sequence[str]] = ()) -> DataFrame:
-    """doc_id, item_id, semantic: cosine of the sparse semantic vectors of documents and items with a common term.
-
-    A document's own terms are distinct within its row, so only products are shuffled, summed before; terms
-    outside the catalog count for the norm alone.
-    """
-    items = semantic_vectors(catalog, catalog_id, catalog_text, groups)
-    norm = Window.partitionBy("id")
-    items = measured(items.select(F.col("id").alias("item_id"), "token", F.col("w").alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm)).alias("cn")))
-    words = documents.select(F.col(id_).alias("doc_id"), tokens(F.col(text)).alias("t"))
+def with_terms(df: DataFrame, groups: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """df, whose t are a text's tokens, with own (each token and the members of its synonym groups once), two (each bigram once) and
+    norm2, the square of the norm of their sparse semantic vector, in which own weigh 1 and two 1.35."""
     if groups:
         pairs = F.create_map(*[x for g in _synonyms(groups).items() for x in (F.lit(g[0]), F.array(*[F.lit(o) for o in g[1]]))])
         more = F.flatten(F.transform("t", lambda x: F.coalesce(F.try_element_at(pairs, x), F.array().cast("array<string>"))))
-        words = words.withColumn("own", F.array_distinct(F.concat("t", more)))
+        df = df.withColumn("own", F.array_distinct(F.concat("t", more)))
     else:
-        words = words.withColumn("own", F.array_distinct("t"))
-    words = words.withColumn("two", F.array_distinct(bigrams(F.col("t"))))
-    words = words.withColumn("dn", F.sqrt(F.size("own") + 1.35 * 1.35 * F.size("two")))
-    term = lambda c, w: F.transform(c, lambda x: F.struct(x.alias("token"), F.lit(w).alias("w")))
-    terms = words.select("doc_id", "dn", F.inline(F.concat(term("own", 1.0), term("two", 1.35))))
-    dot = terms.join(items, "token").groupBy("doc_id", "item_id").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.first("dn").alias("dn"), F.first("cn").alias("cn"))
-    return dot.select("doc_id", "item_id", F.round(F.col("dot") / (F.col("dn") * F.col("cn")), 6).alias("semantic"))
+        df = df.withColumn("own", F.array_distinct("t"))
+    df = df.withColumn("two", F.array_distinct(bigrams(F.col("t"))))
+    return df.withColumn("norm2", F.size("own") + 1.35 * 1.35 * F.size("two"))
 
 
 def _synonyms(groups: Sequence[Sequence[str]]) -> dict[str, list[str]]:
@@ -261,25 +266,86 @@ PARTS = {"bm25": 30, "cosine": 25, "semantic": 30, "rrf": 15}
 LOCAL, SHORTLIST = 65, 35
 
 
-def item_terms(items: DataFrame, fields: DataFrame, learned: DataFrame) -> DataFrame:
-    """item_id, token, the fields that hold it, points (a learned term's, else null), n_tokens of the item.
+def item_terms(items: DataFrame, fields: DataFrame, groups: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """item_id, token, w2, bm, v, one column for each of FIELDS and n for every term of the catalog.
 
-    items has item_id, text; fields item_id, field, text with texts that are parts of the item's; learned term_hash, precision.
+    items has item_id, text; fields item_id, field, text. Terms are tokens, synonyms and bigrams. w2 and bm are those of `weights`, v is
+    the weight in the sparse semantic vector, a field's column and n count the item's rows whose field or text has the token.
     """
-    own = items.select("item_id", F.array_distinct(tokens(F.col("text"))).alias("t")).select("item_id", F.size("t").alias("n_tokens"), F.explode("t").alias("token"))
-    held = fields.select("item_id", "field", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).groupBy("item_id", "token").agg(F.collect_set("field").alias("fields"))
-    df = own.join(held, ["item_id", "token"], "left").withColumn("term_hash", F.sha2("token", 256)).join(learned, "term_hash", "left")
-    return df.select("item_id", "token", "n_tokens", F.coalesce("fields", F.array().cast("array<string>")).alias("fields"), (0.08 + F.col("precision") * 0.06).alias("points"))
+    rows = items.select("item_id", tokens(F.col("text")).alias("t"))
+    lexical_ = weights(postings(items, "item_id", "text")).select("item_id", "token", "w2", "bm")
+    term = lambda c, w: F.transform(c, lambda x: F.struct(x.alias("token"), F.lit(w).alias("w")))
+    vectors = with_terms(rows, groups).select("item_id", F.inline(F.concat(term("own", 1.0), term("two", 1.35)))).groupBy("item_id", "token").agg(F.sum("w").alias("v"))
+    held = fields.select("item_id", "field", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    held = held.groupBy("item_id", "token").agg(*[F.count(F.when(F.col("field") == f, 1)).alias(f) for f in FIELDS])
+    n = rows.select("item_id", F.explode(F.array_distinct("t")).alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("n"))
+    both = vectors
+    for other in (lexical_, held, n):
+        both = both.join(other, ["item_id", "token"], "left")
+    return both.where("item_id is not null").na.fill(0)
+
+
+def item_norms(items: DataFrame, groups: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """item_id, cn and sn: the norms of an item's terms weighted as `weights` does and of its sparse semantic vector."""
+    rows = items.select("item_id", tokens(F.col("text")).alias("t"))
+    semantic_ = with_terms(rows, groups).groupBy("item_id").agg(F.sqrt(F.sum("norm2")).alias("sn"))
+    return semantic_.join(weights(postings(items, "item_id", "text")).select("item_id", "cn").distinct(), "item_id", "left")
+
+
+def holding(texts: DataFrame, phrases: DataFrame, least: int = 12) -> DataFrame:
+    """doc_id, phrases: for each gathered document the phrases (item_id, phrase, n) that it may hold whole, case aside; phrases has item_id, text.
 
+    A text that holds a phrase has the phrase's tokens next to each other, but for the first and the last, which may be parts of longer words
+    there. So a phrase asks for the rarest of its inner bigrams; one without is asked of every document. n counts equal rows.
+    """
+    low = phrases.select("item_id", F.lower(F.trim(F.coalesce("text", F.lit("")))).alias("phrase"), F.length(F.trim("text")).alias("size")).where(F.col("size") >= least)
+    low = low.groupBy("item_id", "phrase").agg(F.count("*").alias("n"))
+    runs = F.regexp_extract(F.col("phrase"), "(?s)^[^a-z0-9]*[a-z0-9]+(.*[^a-z0-9])[a-z0-9]+[^a-z0-9]*$", 1)
+    inner = low.withColumn("t", tokens(runs)).select("item_id", "phrase", "n", F.explode_outer(F.array_distinct(bigrams(F.col("t")))).alias("token"))
+    rare = F.struct(F.count("*").over(Window.partitionBy("token")), F.col("token"))
+    asked = inner.withColumn("rare", rare).groupBy("item_id", "phrase", "n").agg(F.coalesce(F.min(F.when(F.col("token").isNotNull(), F.col("rare")))["token"], F.lit("")).alias("token"))
+    words = texts.select("doc_id", F.explode("texts").alias("text")).select("doc_id", tokens(F.col("text")).alias("t"))
+    had = words.select("doc_id", F.explode(F.array_append(bigrams(F.col("t")), F.lit(""))).alias("token"))
+    return had.join(measured(asked), "token").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "phrase", "n")).alias("phrases"))
+
+
+def full_scores(texts: DataFrame, items: DataFrame, terms: DataFrame, few: bool, about: Sequence[str], groups: Sequence[Sequence[str]] = (), most: float = 0.18) -> DataFrame:
+    """doc_id, item_id, cosine, bm25, semantic, fields, feedback and the columns `about` of every pair with a common term.
 
-def term_bonuses(documents: DataFrame, id_: str, text: str, terms: DataFrame, most: float = 0.18) -> DataFrame:
-    """doc_id, item_id, fields, feedback, every: the bonuses of common tokens by field and by learned terms, and whether
-    the document has all the item's tokens; from one join of distinct tokens with `item_terms`."""
-    own = documents.select(F.col(id_).alias("doc_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("token"))
-    n = {f: F.sum(F.array_contains("fields", f).cast("int")) for f in FIELDS}
-    points = sum((F.least(F.lit(bound), n[f] * each) for f, (each, bound) in FIELDS.items()), F.lit(0.0))
-    found = own.join(measured(terms), "token").groupBy("doc_id", "item_id")
-    return found.agg(F.round(points, 6).alias("fields"), F.round(F.least(F.lit(most), F.coalesce(F.sum("points"), F.lit(0.0))), 6).alias("feedback"), (F.count("*") == F.first("n_tokens")).alias("every"))
+    texts are gathered documents with columns `about`, items has item_id, text, terms is `item_terms` with points (a learned term's, else 0);
+    few: they may be broadcast. cosine and bm25 are those of `lexical`, semantic the cosine of the sparse semantic vectors, whose terms
+    outside the catalog count for the norm alone, fields and feedback the bonuses of common tokens by field and of learned ones.
+
+    A document's terms meet the catalog's in one join and one aggregation, for which nothing but the texts was dealt.
+    """
+    known = F.broadcast(terms) if few else terms
+    words = terms.select("token", "w2").groupBy("token").agg(F.max("w2").alias("w2")).union(texts.sparkSession.createDataFrame([("", 0.0)], "token string, w2 double"))
+    rows = with_terms(texts.select("doc_id", *about, F.explode("texts").alias("text")).select("doc_id", *about, tokens(F.col("text")).alias("t")), groups)
+    # tf: a token occurs, has: a text has the token, w: a term's semantic weight; the empty term carries the text's norm.
+    term = lambda c, tf, has, w: F.transform(c, lambda x: F.struct(x.alias("token"), F.lit(tf).alias("tf"), F.lit(has).alias("has"), F.lit(w).alias("w"), F.lit(0.0).alias("norm2")))
+    norm = F.array(F.struct(F.lit("").alias("token"), F.lit(0).alias("tf"), F.lit(0).alias("has"), F.lit(0.0).alias("w"), F.col("norm2").cast("double").alias("norm2")))
+    parts = [term("t", 1, 0, 0.0), term(F.array_distinct("t"), 0, 1, 0.0), term("own", 0, 0, 1.0), term("two", 0, 0, 1.35), norm]
+    found = rows.select("doc_id", *about, F.inline(F.concat(*parts))).join(F.broadcast(words) if few else words, "token")
+    found = found.groupBy("doc_id", *about, "token", "w2").agg(*[F.sum(c).alias(c) for c in ("tf", "has", "w", "norm2")])
+    # Synonyms that the text itself lacks have no part in the lexical scores.
+    found = found.withColumns({"w2": F.when(F.col("tf") > 0, F.col("w2")).otherwise(0.0), "tf": F.least("tf", F.lit(2))})
+    own = Window.partitionBy("doc_id")
+    found = found.withColumns({"dn": F.sqrt(F.sum("w2").over(own)), "dsn": F.sqrt(F.sum("norm2").over(own))}).drop("norm2").where("token != ''")
+    pairs = found.join(known.withColumnRenamed("w2", "both"), "token")
+    # An item that has a term as a synonym only has no weight for it.
+    sums = {"dot": F.when(F.col("tf") > 0, F.col("both")).otherwise(0.0), "s": F.col("bm") * F.col("tf"), "sem": F.col("w") * F.col("v"), "feedback": F.col("points") * F.col("has")}
+    sums |= {f: F.col(f) * F.col("has") for f in FIELDS}
+    pairs = pairs.groupBy("doc_id", *about, "dn", "dsn", "item_id").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    pairs = pairs.join(measured(item_norms(items, groups)), "item_id")
+    points = sum((F.least(F.lit(bound), F.col(f) * each) for f, (each, bound) in FIELDS.items()), F.lit(0.0))
+    return pairs.select(
+        "doc_id", "item_id", *about,
+        F.round(F.coalesce(F.try_divide(F.col("dot"), F.col("dn") * F.col("cn")), F.lit(0.0)), 6).alias("cosine"),
+        F.round(1 - F.exp(-F.col("s") / SQUASH), 6).alias("bm25"),
+        F.round(F.col("sem") / (F.col("dsn") * F.col("sn")), 6).alias("semantic"),
+        F.round(points, 6).alias("fields"),
+        F.round(F.least(F.lit(most), F.col("feedback")), 6).alias("feedback"),
+    )
 
 
 def intent(text: Column, rules: Sequence[tuple[str, str, float]], item: Column, least: float = -0.35, most: float = 0.55) -> Column:
@@ -292,7 +358,7 @@ def intent(text: Column, rules: Sequence[tuple[str, str, float]], item: Column,
 
 
 def blended(fused: DataFrame) -> DataFrame:
-    """doc_id, item_id, score, rank of every candidate from ABSTAIN on.
+    """doc_id, item_id, score of every candidate from ABSTAIN on.
 
     fused has bm25, cosine, semantic and rrf, whose blend and `bonus` make the local score, at most 1; relevance is
     what a shortlist says of the pair, it is blended in where the column is there. Nulls count as 0, scores are cut to four places.
@@ -302,7 +368,7 @@ def blended(fused: DataFrame) -> DataFrame:
     if "relevance" in fused.columns:
         local = (LOCAL * local + SHORTLIST * whole("relevance")) / 100
     score = F.floor(local / 100 + 1e-6) / 10_000.0
-    return top(fused.select("doc_id", "item_id", score.alias("score")).where(F.col("score") >= ABSTAIN), "score", 2**31 - 1)
+    return fused.select("doc_id", "item_id", score.alias("score")).where(F.col("score") >= ABSTAIN)
 
 
 def accepted(terms: DataFrame, key: str, vocabulary: DataFrame, synonyms: Sequence[Sequence[str]] = (), most: int = 6) -> DataFrame:
