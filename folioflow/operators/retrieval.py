@@ -71,6 +71,11 @@ def gathered(documents: DataFrame, id_: str, text: str) -> DataFrame:
     return rows.repartition(max(1, -(-size // PART_BYTES)), "doc_id").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
 
 
+def words_of(text: Column) -> Column:
+    """As `tokens`, where many texts are taken apart: stop words are looked up in a set."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda x: ~x.isin(*STOP_WORDS))
+
+
 def statistics(catalog: DataFrame) -> DataFrame:
     """token, df, n, avgdl over the catalog's postings."""
     total = catalog.agg(F.countDistinct("id").alias("n"), F.sum("tf").alias("length")).select("n", (F.col("length") / F.col("n")).alias("avgdl"))
@@ -132,7 +137,7 @@ def sparse_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def whole(c: str | Column) -> Column:
     """A score of six places as a whole number of millionths, so that a cut doesn't depend on how a sum of doubles falls."""
-    return F.round(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0)) * 1e6).cast("long")
+    return F.rint(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0)) * 1e6).cast("long")
 
 
 def hybrid_score() -> Column:
@@ -292,39 +297,51 @@ def item_norms(items: DataFrame, groups: Sequence[Sequence[str]] = ()) -> DataFr
     return semantic_.join(weights(postings(items, "item_id", "text")).select("item_id", "cn").distinct(), "item_id", "left")
 
 
-def holding(texts: DataFrame, phrases: DataFrame, least: int = 12) -> DataFrame:
-    """doc_id, phrases: for each gathered document the phrases (item_id, phrase, n) that it may hold whole, case aside; phrases has item_id, text.
+def asked(items: DataFrame, least: int = 12) -> DataFrame:
+    """item_id, phrase, n, token for each different text that is long enough as a phrase; items has item_id, text, n counts equal rows.
+
+    A text that holds a phrase, case aside, has the phrase's tokens next to each other, but for the first and the last, which may be parts of
+    longer words there. So it has the token given here, the rarest of the phrase's inner bigrams, null if there is none.
+    """
+    phrase = F.trim(F.coalesce("text", F.lit("")))
+    low = items.where(F.length(phrase) >= least).groupBy("item_id", F.lower(phrase).alias("phrase")).agg(F.count("*").alias("n"))
+    inner = tokens(F.regexp_extract("phrase", "(?s)^[^a-z0-9]*[a-z0-9]+(.*[^a-z0-9])[a-z0-9]+[^a-z0-9]*$", 1))
+    pairs = low.withColumn("t", inner).select("item_id", "phrase", "n", F.explode_outer(F.array_distinct(bigrams(F.col("t")))).alias("token"))
+    rare = F.struct(F.count("*").over(Window.partitionBy("token")).alias("df"), "token")
+    return pairs.withColumn("rare", rare).groupBy("item_id", "phrase", "n").agg(F.min("rare")["token"].alias("token"))
+
+
+def held(pairs: DataFrame, texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """pairs (doc_id, item_id, may, ...) with held, the number of the document's texts that hold the item's phrase, times its equal rows.
 
-    A text that holds a phrase has the phrase's tokens next to each other, but for the first and the last, which may be parts of longer words
-    there. So a phrase asks for the rarest of its inner bigrams; one without is asked of every document. n counts equal rows.
+    phrases are those of `asked`; texts are read for pairs that may hold one only, and no pair carries a text on.
     """
-    low = phrases.select("item_id", F.lower(F.trim(F.coalesce("text", F.lit("")))).alias("phrase"), F.length(F.trim("text")).alias("size")).where(F.col("size") >= least)
-    low = low.groupBy("item_id", "phrase").agg(F.count("*").alias("n"))
-    runs = F.regexp_extract(F.col("phrase"), "(?s)^[^a-z0-9]*[a-z0-9]+(.*[^a-z0-9])[a-z0-9]+[^a-z0-9]*$", 1)
-    inner = low.withColumn("t", tokens(runs)).select("item_id", "phrase", "n", F.explode_outer(F.array_distinct(bigrams(F.col("t")))).alias("token"))
-    rare = F.struct(F.count("*").over(Window.partitionBy("token")), F.col("token"))
-    asked = inner.withColumn("rare", rare).groupBy("item_id", "phrase", "n").agg(F.coalesce(F.min(F.when(F.col("token").isNotNull(), F.col("rare")))["token"], F.lit("")).alias("token"))
-    words = texts.select("doc_id", F.explode("texts").alias("text")).select("doc_id", tokens(F.col("text")).alias("t"))
-    had = words.select("doc_id", F.explode(F.array_append(bigrams(F.col("t")), F.lit(""))).alias("token"))
-    return had.join(measured(asked), "token").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "phrase", "n")).alias("phrases"))
+    own = phrases.groupBy("item_id").agg(F.collect_list(F.struct("phrase", "n")).alias("phrases"))
+    both = pairs.join(texts.select(F.col("doc_id").alias("id"), "texts"), (F.col("doc_id") == F.col("id")) & F.col("may"), "left")
+    both = both.join(measured(own.withColumnRenamed("item_id", "own")), (F.col("item_id") == F.col("own")) & F.col("may"), "left")
+    with_ = lambda p: F.size(F.filter("texts", lambda x: F.instr(F.lower(x), p["phrase"]) > 0)) * p["n"]
+    n = F.aggregate("phrases", F.lit(0).cast("long"), lambda a, p: a + with_(p))
+    return both.withColumn("held", F.when(F.col("may") & F.col("phrases").isNotNull(), n).otherwise(0).cast("int")).drop("may", "id", "texts", "own", "phrases")
 
 
 def full_scores(texts: DataFrame, items: DataFrame, terms: DataFrame, few: bool, about: Sequence[str], groups: Sequence[Sequence[str]] = (), most: float = 0.18) -> DataFrame:
-    """doc_id, item_id, cosine, bm25, semantic, fields, feedback and the columns `about` of every pair with a common term.
+    """doc_id, item_id, cosine, bm25, semantic, fields, feedback, asked and the columns `about` of every pair with a common term.
 
-    texts are gathered documents with columns `about`, items has item_id, text, terms is `item_terms` with points (a learned term's, else 0);
-    few: they may be broadcast. cosine and bm25 are those of `lexical`, semantic the cosine of the sparse semantic vectors, whose terms
+    texts are gathered documents with columns `about`, items has item_id, text, terms is `item_terms` with points (a learned term's, else 0) and
+    asked (whether a phrase asks for it, else 0); few: they may be broadcast. cosine and bm25 are those of `lexical`, semantic the cosine of the sparse semantic vectors, whose terms
     outside the catalog count for the norm alone, fields and feedback the bonuses of common tokens by field and of learned ones.
 
     A document's terms meet the catalog's in one join and one aggregation, for which nothing but the texts was dealt.
     """
     known = F.broadcast(terms) if few else terms
     words = terms.select("token", "w2").groupBy("token").agg(F.max("w2").alias("w2")).union(texts.sparkSession.createDataFrame([("", 0.0)], "token string, w2 double"))
-    rows = with_terms(texts.select("doc_id", *about, F.explode("texts").alias("text")).select("doc_id", *about, tokens(F.col("text")).alias("t")), groups)
+    rows = with_terms(texts.select("doc_id", *about, F.explode("texts").alias("text")).select("doc_id", *about, words_of(F.col("text")).alias("t")), groups)
     # tf: a token occurs, has: a text has the token, w: a term's semantic weight; the empty term carries the text's norm.
-    term = lambda c, tf, has, w: F.transform(c, lambda x: F.struct(x.alias("token"), F.lit(tf).alias("tf"), F.lit(has).alias("has"), F.lit(w).alias("w"), F.lit(0.0).alias("norm2")))
-    norm = F.array(F.struct(F.lit("").alias("token"), F.lit(0).alias("tf"), F.lit(0).alias("has"), F.lit(0.0).alias("w"), F.col("norm2").cast("double").alias("norm2")))
-    parts = [term("t", 1, 0, 0.0), term(F.array_distinct("t"), 0, 1, 0.0), term("own", 0, 0, 1.0), term("two", 0, 0, 1.35), norm]
+    term = lambda x, tf, has, w, norm2=0.0: F.struct(x.alias("token"), F.lit(tf).alias("tf"), F.lit(has).alias("has"), F.lit(w).alias("w"), F.lit(norm2).alias("norm2"))
+    # Of own the text's tokens come first, then synonyms that it lacks.
+    rows = rows.withColumn("n", F.size(F.array_distinct("t")))
+    owned = F.transform("own", lambda x, i: term(x, 0, (i < F.col("n")).cast("int"), 1.0))
+    parts = [F.transform("t", lambda x: term(x, 1, 0, 0.0)), owned, F.transform("two", lambda x: term(x, 0, 0, 1.35)), F.array(term(F.lit(""), 0, 0, 0.0, F.col("norm2").cast("double")))]
     found = rows.select("doc_id", *about, F.inline(F.concat(*parts))).join(F.broadcast(words) if few else words, "token")
     found = found.groupBy("doc_id", *about, "token", "w2").agg(*[F.sum(c).alias(c) for c in ("tf", "has", "w", "norm2")])
     # Synonyms that the text itself lacks have no part in the lexical scores.
@@ -333,7 +350,7 @@ def full_scores(texts: DataFrame, items: DataFrame, terms: DataFrame, few: bool,
     found = found.withColumns({"dn": F.sqrt(F.sum("w2").over(own)), "dsn": F.sqrt(F.sum("norm2").over(own))}).drop("norm2").where("token != ''")
     pairs = found.join(known.withColumnRenamed("w2", "both"), "token")
     # An item that has a term as a synonym only has no weight for it.
-    sums = {"dot": F.when(F.col("tf") > 0, F.col("both")).otherwise(0.0), "s": F.col("bm") * F.col("tf"), "sem": F.col("w") * F.col("v"), "feedback": F.col("points") * F.col("has")}
+    sums = {"dot": F.when(F.col("tf") > 0, F.col("both")).otherwise(0.0), "s": F.col("bm") * F.col("tf"), "sem": F.col("w") * F.col("v"), "feedback": F.col("points") * F.col("has"), "asked": F.col("asked")}
     sums |= {f: F.col(f) * F.col("has") for f in FIELDS}
     pairs = pairs.groupBy("doc_id", *about, "dn", "dsn", "item_id").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
     pairs = pairs.join(measured(item_norms(items, groups)), "item_id")
@@ -343,8 +360,9 @@ def full_scores(texts: DataFrame, items: DataFrame, terms: DataFrame, few: bool,
         F.round(F.coalesce(F.try_divide(F.col("dot"), F.col("dn") * F.col("cn")), F.lit(0.0)), 6).alias("cosine"),
         F.round(1 - F.exp(-F.col("s") / SQUASH), 6).alias("bm25"),
         F.round(F.col("sem") / (F.col("dsn") * F.col("sn")), 6).alias("semantic"),
-        F.round(points, 6).alias("fields"),
+        points.alias("fields"),
         F.round(F.least(F.lit(most), F.col("feedback")), 6).alias("feedback"),
+        "asked",
     )
 
 
